@@ -13,6 +13,12 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
 
+def op3_sanitise_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeline.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeline.llm.packing import pack
 
@@ -39,5 +45,5 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op7_best_fit_packing, op8_quality_classifier, op9_simhash_near_dedup, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op2_media_columns, op3_sanitise_pii, op7_best_fit_packing, op8_quality_classifier, op9_simhash_near_dedup, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
