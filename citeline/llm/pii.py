@@ -118,16 +118,20 @@ def disclosing_terms(df: DataFrame, text: str = "text", threshold: float = 0.9,
     """(term, entity, n_both, n_term, n_entity, disclosure) of the terms that disclose a protected entity."""
     pairs = cut(evidence(df, text, window))
     entities = pairs.select("entity", "h").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    both = cut(pairs.where("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support))
+    both = pairs.where("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
+    texts = df.select(F.xxhash64(text)).distinct().count()
+    # A term is in at least the texts that it has evidence in; what fails with that count fails with the whole one.
+    seen = pairs.select("term", "h").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_seen"))
+    own = F.greatest(F.log(F.lit(texts) / F.col("n_entity")), F.lit(1e-9))
+    most = F.log(F.col("n_both") * texts / (F.col("n_seen") * F.col("n_entity"))) / own
+    both = cut(both.join(seen, "term").join(entities, "entity").where(most >= threshold).drop("n_seen"))
     candidates = both.select("term").distinct()
     many = candidates.count()
     if not many:
-        return both.select("term", "entity", "n_both", *(F.lit(None).cast("long").alias(c) for c in ("n_term", "n_entity")), F.lit(None).cast("double").alias("disclosure"))
-    texts = df.select(F.xxhash64(text)).distinct().count()
+        return both.select("term", "entity", "n_both", F.lit(None).cast("long").alias("n_term"), "n_entity", F.lit(None).cast("double").alias("disclosure"))
     held = holding(df, text, candidates, many).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    own = F.greatest(F.log(F.lit(texts) / F.col("n_entity")), F.lit(1e-9))
     pmi = F.log(F.col("n_both") * texts / (F.col("n_term") * F.col("n_entity")))
-    return both.join(held, "term").join(entities, "entity").withColumn("disclosure", pmi / own).where(F.col("disclosure") >= threshold).select("term", "entity", "n_both", "n_term", "n_entity", "disclosure")
+    return both.join(held, "term").withColumn("disclosure", pmi / own).where(F.col("disclosure") >= threshold).select("term", "entity", "n_both", "n_term", "n_entity", "disclosure")
 
 
 def with_spans(df: DataFrame, text: str = "text", **limits) -> DataFrame:
