@@ -17,6 +17,7 @@ columns are ignored.
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
@@ -33,7 +34,7 @@ from citeline.llm.common import small_batches
 #: The split pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -214,6 +215,7 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
 
     def run(batches):
         t = transducer(path)
+        gc.disable()  # millions of remembered tuples and no cycles: the collector would walk them again and again
         for batch in batches:
             counts, ids_hex, text_hex = [], [], []
             for value in batch.column(1):
