@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from citeline.llm.common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeline.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeline.llm.media import text_media
 
@@ -51,5 +57,5 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op3_sanitise_pii, op4_url_filter, op7_best_fit_packing, op8_quality_classifier, op9_simhash_near_dedup, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op3_sanitise_pii, op4_url_filter, op7_best_fit_packing, op8_quality_classifier, op9_simhash_near_dedup, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
