@@ -31,6 +31,18 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeline.llm.embed_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeline.llm.chat import exchanges, linked
+
+    return linked(*exchanges(table(spark, sf_dir, "conversations")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeline.llm.packing import pack
 
@@ -57,5 +69,5 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op3_sanitise_pii, op4_url_filter, op7_best_fit_packing, op8_quality_classifier, op9_simhash_near_dedup, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op3_sanitise_pii, op4_url_filter, op5_embedding_near_dedup, op6_tool_call_linking, op7_best_fit_packing, op8_quality_classifier, op9_simhash_near_dedup, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
