@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from citeline.llm.common import components, cut, small_batches
 
@@ -177,12 +178,44 @@ def links(fps: DataFrame, bits: int, pieces: int, tile: int = 4096) -> DataFrame
     return placed.repartition(*tiles).sortWithinPartitions(*tiles).mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, pieces: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: key, fingerprint (16 hex digits) and the smallest key reachable by links."""
-    docs = cut(fingerprints(df, words, key, text))
+def with_fingerprints(df: DataFrame, words: int, text: str = "text") -> DataFrame:
+    """All rows and columns with ``__fp``."""
+    at, schema = df.columns.index(text), StructType([*df.schema.fields, StructField("__fp", LongType())])
+
+    def run(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(v.as_py(), words) for v in batch.column(at)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=schema.names)
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def classes_of(docs: DataFrame, bits: int, pieces: int) -> DataFrame:
+    """(fp, component_id) of (key, fp) rows: the smallest key reachable from each fingerprint."""
+    key = docs.columns[0]
     classes = docs.groupBy("fp").agg(F.min(key).alias("low"))
     reach = components(links(classes.select("fp"), bits, pieces))
     joined = classes.join(reach, classes["fp"] == reach["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = joined.join(lowest, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return joined.join(lowest, "root").select("fp", "component_id")
+
+
+def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, pieces: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: key, fingerprint (16 hex digits) and the smallest key reachable by links."""
+    docs = cut(fingerprints(df, words, key, text))
+    return docs.join(classes_of(docs, bits, pieces), "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, words: int = 4, bits: int = 4, pieces: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, the one with the smallest key, with its own columns.
+
+    The choice is made on keys and fingerprints; whole texts move once, for the join with the kept ones.
+    """
+    docs = cut(fingerprints(df, words, key, text))
+    winners = docs.join(classes_of(docs, bits, pieces), "fp").where(F.col(key).eqNullSafe(F.col("component_id")))
+    kept = cut(winners.groupBy(F.col(key).alias("__key")).agg(F.min("fp").alias("__kept"), F.count(F.lit(1)).alias("__rows")))
+    left = with_fingerprints(df, words, text).join(kept, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__fp") == F.col("__kept")))
+    if kept.where("__rows > 1").limit(1).collect():  # repeated rows or keys: one of them stays
+        left = left.dropDuplicates([key, "__fp"])
+    return left.select(*df.columns)
