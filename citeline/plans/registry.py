@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from citeline.plans import retrieval_plans, text_plans  # noqa: F401  each registers its queries
+from citeline.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
