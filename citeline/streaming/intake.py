@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
 MAGIC, MAX_BYTES = b"%PDF-", 100 * 1024 * 1024
 
 
 def uploads(spark: SparkSession, path: str, pattern: str = "*", magic: bytes = MAGIC, max_bytes: int = MAX_BYTES) -> DataFrame:
     """A stream of (path, content, sha256) of acceptable files: right first bytes, not empty, not too large."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).load(path)
     return files.where((F.length("content") <= max_bytes) & (F.substring("content", 1, len(magic)) == F.lit(magic))).select("path", "content", F.sha2("content", 256).alias("sha256"))
 
 
