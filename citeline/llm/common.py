@@ -39,6 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def narrowed(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
+    """As many partitions as so many rows fill; a small table keeps few tasks and files, a large one all of them."""
+    return df.coalesce(rows // each + 1)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, component) per node in an edge.
 
@@ -53,25 +58,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
+    rows = links.count()
     for _ in range(max_rounds):
+        links = narrowed(links, rows)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-            .select("x.u", "x.v")
-            .where("u <> v")
-            .distinct()
-        )
-        new = cut(small)
-        # A forest of stars: nobody points at a node that itself points further.
-        if not new.join(new.select(F.col("u").alias("v")), "v", "left_semi").limit(1).collect() and new.groupBy("u").count().where("count > 1").limit(1).collect() == []:
-            return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        links = new
+        low = narrowed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), rows)
+        large = narrowed(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), rows)
+        low = narrowed(large.groupBy("u").agg(F.min("v").alias("m")), rows)
+        pair = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(low, "u").select(F.explode(pair).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        links = cut(narrowed(small, rows))
+        # A forest of stars: nobody has two parents, and nobody points at a node that itself points further.
+        bad = links.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        deep = links.select(F.col("v").alias("u")).distinct().join(bad.select("u"), "u", "left_semi")
+        if not narrowed(bad.where("n > 1").select("u").unionByName(deep), rows).limit(1).collect():
+            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
