@@ -39,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns named c0, c1, ... by place, so that columns added to it clash with none."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
 def narrowed(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
     """As many partitions as so many rows fill; a small table keeps few tasks and files, a large one all of them."""
     return df.coalesce(rows // each + 1)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeline.llm.common import cut
+from citeline.llm.common import cut, numbered
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The four base patterns. Possessive loops and the guards before them change no match; they keep the
@@ -170,6 +170,9 @@ def with_spans(df: DataFrame, text: str = "text", **limits) -> DataFrame:
 
 def sanitise(df: DataFrame, text: str = "text", **limits) -> DataFrame:
     """All rows with every span of ``text`` replaced by its kind in brackets; overlapping spans by the first's."""
+    names = df.columns
+    df, name = numbered(df)
+    text = name[text]
     found = with_spans(df, text, **limits)
     order = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"], s["kind"], s["end"])))
 
@@ -180,7 +183,7 @@ def sanitise(df: DataFrame, text: str = "text", **limits) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate(order, start, step, lambda acc: F.concat_ws("", F.concat(acc["out"], F.array(F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))))
-    return found.withColumn(text, F.when(F.size("pii") > 0, clean).otherwise(F.col(text))).drop("pii")
+    return found.withColumn(text, F.when(F.size("pii") > 0, clean).otherwise(F.col(text))).select(*df.columns).toDF(*names)
 
 
 def spans_text(spans: Column) -> Column:

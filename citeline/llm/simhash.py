@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from citeline.llm.common import components, cut, small_batches
+from citeline.llm.common import components, cut, numbered, small_batches
 
 SEED = 42
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -215,7 +215,8 @@ def keep_one(df: DataFrame, words: int = 4, bits: int = 4, pieces: int = 3, key:
     docs = cut(fingerprints(df, words, key, text))
     winners = docs.join(classes_of(docs, bits, pieces), "fp").where(F.col(key).eqNullSafe(F.col("component_id")))
     kept = cut(winners.groupBy(F.col(key).alias("__key")).agg(F.min("fp").alias("__kept"), F.count(F.lit(1)).alias("__rows")))
-    left = with_fingerprints(df, words, text).join(kept, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__fp") == F.col("__kept")))
+    rows, name = numbered(df)
+    left = with_fingerprints(rows, words, name[text]).join(kept, F.col(name[key]).eqNullSafe(F.col("__key")) & (F.col("__fp") == F.col("__kept")))
     if kept.where("__rows > 1").limit(1).collect():  # repeated rows or keys: one of them stays
-        left = left.dropDuplicates([key, "__fp"])
-    return left.select(*df.columns)
+        left = left.dropDuplicates([name[key], "__fp"])
+    return left.select(*rows.columns).toDF(*df.columns)
