@@ -11,10 +11,10 @@ from citeline.streaming.intake import MAGIC, MAX_BYTES
 
 
 def checked_uploads(spark: SparkSession, path: str, magic: bytes = MAGIC, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, length, sha256, problem) of files: problem is null, ``empty``, ``too large`` or ``wrong type``."""
+    """(path, length, sha256, problem) of files: problem is null, ``too large`` or ``wrong type``; Spark lists no empty files."""
     files = spark.read.format("binaryFile").load(path)
     wrong = F.substring("content", 1, len(magic)) != F.lit(magic)
-    problem = F.when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too large").when(wrong, "wrong type")
+    problem = F.when(F.col("length") > max_bytes, "too large").when(wrong, "wrong type")
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), problem.alias("problem"))
 
 
