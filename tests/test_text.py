@@ -56,7 +56,7 @@ def test_labels_and_names(spark):
 
 
 def test_caption(spark):
-    long = "First part. " + "w" * 150 + " end. " + "Last one here"
+    long = "First part. " + "w" * 180 + " end. " + "Last one here"
     assert one(spark, ["  short  ", long, "z" * 300], T.sentence_tail) == ["short", "Last one here", "z" * 200]
 
 
