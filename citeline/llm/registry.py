@@ -70,4 +70,13 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op3_sanitise_pii, op4_url_filter, op5_embedding_near_dedup, op6_tool_call_linking, op7_best_fit_packing, op8_quality_classifier, op9_simhash_near_dedup, op10_bpe_round_trip)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_embedding_near_dedup": """WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+r AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT l.a, r.m FROM r JOIN l ON l.b = r.n),
+c AS (SELECT n, min(m) AS component_id FROM r GROUP BY n),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.n = vec_id LEFT JOIN k ON k.a = vec_id""",
+}

@@ -31,6 +31,9 @@ from citeline.llm.common import components, cut, numbered, small_batches
 
 SEED = 42
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Up to so many fingerprints three pieces are compared; beyond that two, whose anchors number 2^20 each, so that
+#: an anchor stays small. Both find every link.
+THREE_PIECES = 1 << 24
 #: Parity masks of the [7,4] Hamming code; the syndrome is the place of the wrong bit.
 PARITY = (0b1010101, 0b1100110, 0b1111000)
 
@@ -136,7 +139,7 @@ def links(fps: DataFrame, bits: int, pieces: int, tile: int = 4096) -> DataFrame
     block = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     other = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     placed = (
-        spread.join(F.broadcast(busy), ["piece", "anchor"])  # bounded as said above
+        spread.join(F.broadcast(busy) if pieces > 2 else busy, ["piece", "anchor"])  # bounded as said above
         .select(
             "piece", "anchor", "fp",
             F.explode(F.concat(
@@ -191,23 +194,24 @@ def with_fingerprints(df: DataFrame, words: int, text: str = "text") -> DataFram
     return df.mapInArrow(run, schema)
 
 
-def classes_of(docs: DataFrame, bits: int, pieces: int) -> DataFrame:
+def classes_of(docs: DataFrame, bits: int, pieces: int | None) -> DataFrame:
     """(fp, component_id) of (key, fp) rows: the smallest key reachable from each fingerprint."""
     key = docs.columns[0]
-    classes = docs.groupBy("fp").agg(F.min(key).alias("low"))
+    classes = cut(docs.groupBy("fp").agg(F.min(key).alias("low")))
+    pieces = pieces or (3 if classes.count() <= THREE_PIECES else 2)
     reach = components(links(classes.select("fp"), bits, pieces))
     joined = classes.join(reach, classes["fp"] == reach["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     return joined.join(lowest, "root").select("fp", "component_id")
 
 
-def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, pieces: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, pieces: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, fingerprint (16 hex digits) and the smallest key reachable by links."""
     docs = cut(fingerprints(df, words, key, text))
     return docs.join(classes_of(docs, bits, pieces), "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, words: int = 4, bits: int = 4, pieces: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, words: int = 4, bits: int = 4, pieces: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, the one with the smallest key, with its own columns.
 
     The choice is made on keys and fingerprints; whole texts move once, for the join with the kept ones.
