@@ -34,7 +34,7 @@ from citeline.llm.common import small_batches
 #: The split pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,9 +61,10 @@ class Transducer:
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         self.split = regex.compile(SPLIT)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.size = {i: len(b) for i, b in self.bytes_of.items()}
         self.decimal = {i: str(i) for i in self.bytes_of}
-        self.own: dict[bytes, bool] = {}
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.own = bytearray(1 + max(self.bytes_of))  # by id: 1 encodes to itself, 2 does not, 0 not yet known
+        self.fits: dict[int, bool] = {}  # by left id << 32 | right id
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -79,69 +80,69 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def proper(self, token: bytes) -> bool:
-        known = self.own.get(token)
-        if known is None:
-            known = self.own[token] = self.merged(token) == [token]
-        return known
+    def proper(self, i: int) -> bool:
+        """Whether a token encodes to itself."""
+        if not self.own[i]:
+            self.own[i] = 1 if self.merged(self.bytes_of[i]) == [self.bytes_of[i]] else 2
+        return self.own[i] == 1
 
-    def compatible(self, left: bytes, right: bytes) -> bool:
-        known = self.fits.get((left, right))
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether two tokens next to each other stay as they are."""
+        known = self.fits.get(left << 32 | right)
         if known is None:
             if len(self.fits) > REMEMBERED:
                 self.fits.clear()
-            known = (left, right) not in self.rank and self.merged(left + right) == [left, right]
-            self.fits[left, right] = known
+            a, b = self.bytes_of[left], self.bytes_of[right]
+            known = self.fits[left << 32 | right] = (a, b) not in self.rank and self.merged(a + b) == [a, b]
         return known
 
-    def extend(self, buffer: bytes, last: list[bytes]) -> None:
-        """Find the last token of each further prefix of ``buffer``."""
-        ids, own, fits, longest = self.id_of, self.own, self.fits, self.lookahead
+    def extend(self, buffer: bytes, last: list[int]) -> None:
+        """Find the last token of each further prefix of ``buffer``; -1 stands before its start."""
+        found, own, fits, longest = self.id_of.get, self.own, self.fits.get, self.lookahead
         for end in range(len(last), len(buffer) + 1):
-            for at in range(max(0, end - longest), end):
-                token = buffer[at:end]
-                if token in ids and (own.get(token) or self.proper(token)):
+            for at in range(end - longest if end > longest else 0, end):
+                i = found(buffer[at:end])
+                if i is not None and (own[i] == 1 or self.proper(i)):
                     left = last[at]
-                    if not left:
+                    if left < 0:
                         break
-                    fit = fits.get((left, token))
-                    if self.compatible(left, token) if fit is None else fit:
+                    fit = fits(left << 32 | i)
+                    if self.compatible(left, i) if fit is None else fit:
                         break
             else:
                 raise ValueError("a byte is missing from the vocabulary")
-            last.append(token)
+            last.append(i)
 
-    @staticmethod
-    def back(last: list[bytes], end: int) -> list[bytes]:
+    def back(self, last: list[int], end: int) -> list[int]:
         """The tokens of the prefix of ``end`` bytes."""
-        out = []
+        out, size = [], self.size
         while end:
-            out.append(last[end])
-            end -= len(last[end])
+            i = last[end]
+            out.append(i)
+            end -= size[i]
         return out[::-1]
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Token ids of one word that arrives in chunks; keeps a few windows of bytes at most."""
-        buffer, last, longest, ids = b"", [b""], self.lookahead, self.id_of
+        buffer, last, longest = b"", [-1], self.lookahead
         for chunk in chunks:
             for at in range(0, len(chunk), 4 * longest):
                 buffer += chunk[at : at + 4 * longest]
                 self.extend(buffer, last)
                 if len(buffer) > 4 * longest:
-                    stable = self.shared(last, longest)
-                    yield from (ids[t] for t in self.back(last, stable))
+                    stable = self.shared(last)
+                    yield from self.back(last, stable)
                     if stable:
                         buffer, last = buffer[stable:], last[stable:]
-        yield from (ids[t] for t in self.back(last, len(buffer)))
+        yield from self.back(last, len(buffer))
 
-    @staticmethod
-    def shared(last: list[bytes], longest: int) -> int:
+    def shared(self, last: list[int]) -> int:
         """Where the encodings of all prefixes in the window last agree; what ends there is stable."""
-        ends = set(range(max(0, len(last) - longest), len(last)))
+        ends = set(range(max(0, len(last) - self.lookahead), len(last)))
         while len(ends) > 1:
             far = max(ends)
             ends.remove(far)
-            ends.add(far - len(last[far]))
+            ends.add(far - self.size[last[far]])
         return ends.pop()
 
     def word(self, text: str) -> tuple[int, ...]:
@@ -150,9 +151,9 @@ class Transducer:
         if found is None:
             data = text.encode()
             if len(data) <= 4 * self.lookahead:
-                last = [b""]
+                last = [-1]
                 self.extend(data, last)
-                found = tuple([self.id_of[t] for t in self.back(last, len(data))])
+                found = tuple(self.back(last, len(data)))
             else:
                 found = tuple(self.stream((data,)))
         if len(self.words) >= REMEMBERED:
