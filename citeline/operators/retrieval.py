@@ -50,19 +50,24 @@ def bm25(docs: DataFrame, questions: DataFrame, key: str = "doc_id", text: str =
     parts = phrases(questions, query, question)
     # Questions share phrases: each distinct phrase is matched once.
     listed = parts.groupBy(query, "phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]), " ").alias("p"), F.min("phrase").alias("n"))
+    # Phrases and their document frequencies are no more rows than this table: one check bounds all three.
+    few = listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if few else (lambda df: df)
     parts_of = listed.select("p").distinct().select("p", F.split("p", " ").alias("terms")).select("p", F.size("terms").alias("len"), F.posexplode("terms").alias("i", "term"))
     words = docs.select(key, index_tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("doc_len"), F.posexplode("w").alias("pos", "term"))
-    met = words.join(small(parts_of), "term")
-    starts = met.groupBy(key, "p", "len", "doc_len", (F.col("pos") - F.col("i")).alias("start")).agg(F.count(F.lit(1)).alias("found")).where(F.col("found") == F.col("len"))
-    tf = starts.groupBy(key, "p", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    met = words.join(hint(parts_of), "term")
+    # Occurrences of a single term add up before the shuffle; only real phrases keep where they start.
+    start = F.when(F.col("len") > 1, F.col("pos") - F.col("i")).alias("start")
+    starts = met.groupBy(key, "p", "len", "doc_len", start).agg(F.count(F.lit(1)).alias("found")).where("len = 1 or found = len")
+    tf = starts.groupBy(key, "p", "doc_len").agg(F.sum(F.when(F.col("len") == 1, F.col("found")).otherwise(1)).alias("tf"))
     df = tf.groupBy("p").agg(F.count(F.lit(1)).alias("df"))
     stats = F.broadcast(corpus_stats(docs, text))  # one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("doc_len") / F.col("avg_len")))
-    scored = tf.join(df, "p").crossJoin(stats).select(key, "p", part.alias("part"))
+    scored = tf.join(hint(df), "p").crossJoin(stats).select(key, "p", part.alias("part"))
     ordered = F.array_sort(F.collect_list(F.struct("n", "part")))
-    return scored.join(small(listed.select(query, "n", "p")), "p").groupBy(query, key).agg(F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x["part"]).alias("score"))
+    return scored.join(hint(listed.select(query, "n", "p")), "p").groupBy(query, key).agg(F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x["part"]).alias("score"))
 
 
 def top_k(scored: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
