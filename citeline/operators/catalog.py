@@ -128,3 +128,20 @@ def vector_to_blob(vector: Column) -> Column:
 def text_sink(rows: DataFrame) -> DataFrame:
     """One JSON line per row."""
     return rows.select(F.to_json(F.struct("*")).alias("line"))
+
+
+def pending(chunks: DataFrame) -> DataFrame:
+    """Chunks that still lack a vector."""
+    return chunks.where("embedding is null")
+
+
+def message_payload(messages: DataFrame) -> DataFrame:
+    """Messages with their citations decoded; null where there are none."""
+    kind = "array<struct<source_id:string,quote:string>>"
+    return messages.withColumn("citations", F.from_json(F.nullif("citations", F.lit("")), kind, {"mode": "FAILFAST"}))
+
+
+def report_payload(counted: DataFrame) -> DataFrame:
+    """(id, payload): a report as JSON with its counts by kind."""
+    counts = F.struct("fte", F.col("goals").alias("sustainability_goal")).alias("extraction_counts")
+    return counted.select("id", F.to_json(F.struct("id", "company", "status", "page_count", counts), {"ignoreNullFields": "false"}).alias("payload"))

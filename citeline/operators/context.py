@@ -61,3 +61,18 @@ def attach_interpretation(messages: DataFrame, conversation: str, order: str) ->
     """Messages with ``shown_as``: a user turn takes the interpretation stored with the assistant turn after it."""
     after = F.lead(F.struct("role", "interpreted_as")).over(Window.partitionBy(conversation).orderBy(order))
     return messages.withColumn("shown_as", F.when((F.col("role") == "user") & (after["role"] == "assistant"), after["interpreted_as"]))
+
+
+def chat_context(docs: DataFrame, questions: DataFrame, vector_lists: DataFrame, chunks: DataFrame, budget_tokens: int = 5000, depth: int = 20, keep: int = 8) -> DataFrame:
+    """Sources of each question: words and vectors fused, the best chunks within the budget, tagged in order.
+
+    docs (doc_id, text, company) are ready reports' chunks; vector_lists (query_id, list_idx, rank, doc_id) come
+    from the vector side; a question that names companies sees theirs only.
+    """
+    from citeline.operators import retrieval as R
+
+    scoped = R.scope_by_name(questions, docs, "query_id", "question", "company")
+    scored = R.bm25(docs.select("doc_id", "text"), questions).join(docs.select("doc_id", "company"), "doc_id").join(scoped, ["query_id", "company"], "left_semi")
+    words = R.top_k(scored, ["query_id"], [F.round("score", 9).desc(), F.col("doc_id")], depth).select("query_id", F.lit(0).alias("list_idx"), "rank", "doc_id")
+    best = R.fused_top(words.unionByName(vector_lists), "query_id", "doc_id", keep).select("query_id", "rank", F.col("doc_id").alias("chunk_id"))
+    return assemble(best.join(chunks, "chunk_id"), budget_tokens)

@@ -68,3 +68,37 @@ def dedupe_goals(goals: DataFrame, report: str = "report_id", order: str = "pos"
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in goals.schema) + f", slot {goals.schema[order].dataType.simpleString()}"
     return goals.groupBy(report, "category", "target_year").applyInPandas(one, schema)
+
+
+#: The phrasings that look for workforce figures and for sustainability goals.
+WORKFORCE_QUESTIONS = (
+    "total number of employees FTE full-time equivalent", "workforce headcount at year end", "average number of employees",
+    "own employees own workforce", "number of employees as of 31 December", "internal employees external employees",
+)
+GOAL_QUESTIONS = (
+    "net zero ambition", "emission reduction target 2030 scope 1 2 3", "we aim to", "science based targets",
+    "renewable energy target", "biodiversity water waste circularity target", "diversity inclusion target", "sustainability strategy goals",
+)
+
+
+def question_table(spark, phrasings: tuple[str, ...]) -> DataFrame:
+    """(query_id, question) of fixed phrasings, in order; with them multi-query retrieval finds candidates."""
+    return spark.createDataFrame(list(enumerate(phrasings)), "query_id long, question string")
+
+
+def fact_rows(facts: DataFrame, chunks: DataFrame, compatibility: bool = True) -> DataFrame:
+    """Accepted workforce facts (report_id, chunk_id, quote, value_text, ...) with verified, value, page and payload."""
+    from citeline.operators.verify import verification
+
+    joined = facts.join(chunks.select(F.col("id").alias("chunk_id"), "page_start", F.col("text").alias("_t")), "chunk_id")
+    v = verification(F.col("quote"), F.col("value_text"), F.col("_t"), compatibility)
+    made = joined.withColumn("_v", v).withColumns({"verified": F.col("_v.verified"), "value": F.col("_v.value"), "page": F.col("page_start")})
+    return made.withColumn("payload", F.to_json(F.struct("value_text", "value"))).drop("_v", "_t", "page_start")
+
+
+def goal_rows(goals: DataFrame, chunks: DataFrame, compatibility: bool = True) -> DataFrame:
+    """Goals with verified (the quote alone) and page."""
+    from citeline.operators.verify import quote_in
+
+    joined = goals.join(chunks.select(F.col("id").alias("chunk_id"), F.col("page_start").alias("page"), F.col("text").alias("_t")), "chunk_id")
+    return joined.withColumn("verified", quote_in(F.col("quote"), F.col("_t"), compatibility)).drop("_t")

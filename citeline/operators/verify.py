@@ -123,3 +123,20 @@ def highlight_spans(rows: DataFrame, key: list[str], quote: str = "quote", value
 def overlap(a: Column, b: Column, compatibility: bool = True) -> Column:
     """Whether one quote contains the other."""
     return quote_in(a, b, compatibility) | quote_in(b, a, compatibility)
+
+
+def split_around(text: Column, quote: Column) -> Column:
+    """struct(before, found, after) around the first literal place of a quote, null where it is not there."""
+    at = F.call_function("instr", text, quote)
+    whole = F.length(text)
+    parts = F.struct(F.substring(text, 1, at - 1).alias("before"), F.substring(text, at, F.length(quote)).alias("found"), F.substring(text, at + F.length(quote), whole).alias("after"))
+    return F.when((at > 0) & (F.length(quote) > 0), parts)
+
+
+def segments(turns: DataFrame, turn: str = "turn_id") -> DataFrame:
+    """(turn, seq, text, number): an answer cut at its markers; a marker has its display number and no text."""
+    ids = F.transform(F.regexp_extract_all("answer", F.lit(r"\[S(\d+)\]"), F.lit(1)), lambda n: F.concat(F.lit("S"), n))
+    zipped = F.arrays_zip(F.split("answer", r"\[S\d+\]", -1).alias("text"), ids.alias("id"))
+    each = turns.select(turn, markers(F.col("answer")).alias("_order"), F.posexplode(zipped).alias("i", "x"))
+    pair = F.array(F.struct((F.col("i") * 2).alias("seq"), F.col("x.text").alias("text"), F.lit(None).cast("int").alias("number")), F.struct((F.col("i") * 2 + 1).alias("seq"), F.lit("").alias("text"), F.array_position("_order", F.col("x.id")).cast("int").alias("number")))
+    return each.select(turn, F.explode(pair).alias("s")).select(turn, "s.*").where("text <> '' or number is not null")

@@ -184,3 +184,24 @@ def shared_folder(spark) -> str:
     import tempfile
 
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="intake-")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 4 = 0")
+def pending_embeddings(spark, sf_dir):
+    some = F.when(F.col("vec_id") % 4 != 0, F.col("embedding"))
+    return K.pending(table(spark, sf_dir, "embeddings").withColumn("embedding", some)).select("vec_id")
+
+
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'S' || turn END AS source_id, CAST(CASE turn % 3 WHEN 0 THEN 1 END AS INTEGER) AS n FROM conversations")
+def message_payloads(spark, sf_dir):
+    stored = F.when(F.col("turn") % 3 == 0, F.to_json(F.array(F.struct(F.concat(F.lit("S"), F.col("turn").cast("string")).alias("source_id"), F.lit("q").alias("quote"))))).when(F.col("turn") % 3 == 1, "")
+    read = K.message_payload(table(spark, sf_dir, "conversations").withColumn("citations", stored))
+    return read.select("conv_id", "turn", F.col("citations")[0]["source_id"].alias("source_id"), F.when(F.col("citations").isNotNull(), F.size("citations")).alias("n"))
+
+
+@query(
+    f"""WITH {REPORTS}, {EXTRACTIONS}, n AS (SELECT report_id, count(*) FILTER (kind = 'fte') AS f, count(*) FILTER (kind <> 'fte') AS g FROM extractions GROUP BY report_id)
+SELECT id, '{{"id":' || id || ',"company":"' || company || '","status":"' || status || '","page_count":' || coalesce(CAST(page_count AS VARCHAR), 'null') || ',"extraction_counts":{{"fte":' || CASE WHEN status = 'ready' THEN coalesce(f, 0) ELSE 0 END || ',"sustainability_goal":' || CASE WHEN status = 'ready' THEN coalesce(g, 0) ELSE 0 END || '}}}}' AS payload FROM reports LEFT JOIN n ON id = report_id"""
+)
+def report_payloads(spark, sf_dir):
+    return K.report_payload(K.extraction_counts(reports(spark, sf_dir), extractions(spark, sf_dir)))

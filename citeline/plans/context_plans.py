@@ -60,3 +60,20 @@ SELECT conv_id, turn, CASE WHEN role = 'user' AND lead(role) OVER w = 'assistant
 def attach_interpretation(spark, sf_dir):
     said = F.when((F.col("role") == "assistant") & (F.col("turn") % 3 == 0), F.substring("text", 1, 20))
     return X.attach_interpretation(table(spark, sf_dir, "conversations").withColumn("interpreted_as", said), "conv_id", "turn").select("conv_id", "turn", "shown_as")
+
+
+@query(
+    f"""WITH RECURSIVE {P._LISTS}, rc AS (SELECT query_id, rank, doc_id AS chunk_id, doc_id % 20 AS report_id, doc_id % 50 AS page_start, length(text) AS n FROM fr JOIN documents USING (doc_id) WHERE rank <= 8),
+walk AS (SELECT query_id, rank, chunk_id, report_id, page_start, n <= 20000 AS kept, CASE WHEN n <= 20000 THEN n ELSE 0 END AS used FROM rc WHERE rank = 1
+ UNION ALL SELECT r.query_id, r.rank, r.chunk_id, r.report_id, r.page_start, w.used + r.n <= 20000, w.used + CASE WHEN w.used + r.n <= 20000 THEN r.n ELSE 0 END FROM walk w JOIN rc r ON r.query_id = w.query_id AND r.rank = w.rank + 1)
+SELECT query_id, chunk_id, rank, 'S' || row_number() OVER (PARTITION BY query_id ORDER BY report_id, page_start, rank) AS source_id FROM walk WHERE kept"""
+)
+def chat_context(spark, sf_dir):
+    """From questions to tagged sources in one plan; the passages name no source, so each sees all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("company"))
+    asked = P.passages(spark, sf_dir)
+    vectors = P.best(P.R.cosine_scores(P.vectors(spark, sf_dir), P.vector_queries(spark, sf_dir).drop("label").join(asked.select("query_id"), "query_id", "left_semi"), "doc_id", "query_id"), 20)
+    page = (F.col("doc_id") % 50).cast("int")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 20).alias("report_id"), page.alias("page_start"), page.alias("page_end"), F.lit("text").alias("kind"), "company", F.lit(2024).alias("year"), "text")
+    found = X.chat_context(docs, asked, vectors.select("query_id", F.lit(1).alias("list_idx"), "rank", "doc_id"), chunks)
+    return found.select("query_id", "chunk_id", "rank", "source_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from citeline.operators import extract as E
 from citeline.plans.base import LINES, lines, query
+from citeline.plans.text_plans import CANON
 from citeline.session import table
 
 
@@ -59,3 +60,29 @@ def goal_candidates(spark, sf_dir):
     rows = named.select("source", "doc_id", "pos", (F.col("doc_id") * 1000 + F.col("pos")).alias("id"), "para")
     topical = rows.where(F.col("para").rlike(r"(?i)\b(the|licen[sc]e\w*)\b")).drop("para")
     return E.candidates(topical, rows.where("pos % 11 = 0").drop("para"), "source", ["doc_id", "pos"], "id").select("source", "id")
+
+
+def found_facts(spark, sf_dir):
+    """A fact of each document: its first words as the quote, every fifth one spoilt."""
+    docs = table(spark, sf_dir, "documents")
+    quote = F.when(F.col("doc_id") % 5 == 0, F.reverse(F.substring("text", 1, 60))).otherwise(F.substring("text", 1, 60))
+    return docs.select(F.col("doc_id").alias("chunk_id"), quote.alias("quote"), F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") * 1000).cast("string")).otherwise("").alias("value_text"))
+
+
+def doc_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 50).cast("int").alias("page_start"), "text")
+
+
+_FACTS = "f AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 5 = 0 THEN reverse(substr(text, 1, 60)) ELSE substr(text, 1, 60) END AS quote, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id * 1000 AS VARCHAR) ELSE '' END AS v, text FROM documents)"
+_GOOD = f"trim(quote) <> '' AND contains({CANON.format(x='text')}, {CANON.format(x='quote')})"
+
+
+@query(f"WITH {_FACTS} SELECT chunk_id, {_GOOD} AND (v = '' OR contains(quote, v)) AS verified, CASE WHEN v <> '' THEN CAST(v AS DOUBLE) END AS value, CAST(chunk_id % 50 AS INTEGER) AS page FROM f")
+def fact_rows(spark, sf_dir):
+    return E.fact_rows(found_facts(spark, sf_dir), doc_chunks(spark, sf_dir), compatibility=False).select("chunk_id", "verified", "value", "page")
+
+
+@query(f"WITH {_FACTS} SELECT chunk_id, {_GOOD} AS verified, CAST(chunk_id % 50 AS INTEGER) AS page FROM f")
+def goal_rows(spark, sf_dir):
+    return E.goal_rows(found_facts(spark, sf_dir), doc_chunks(spark, sf_dir), compatibility=False).select("chunk_id", "verified", "page")
+

@@ -120,3 +120,23 @@ def highlight_spans(spark, sf_dir):
     some = lines(spark, sf_dir).where("pos < 5 and length(para) > 10")
     values = F.array(F.lit("th"), F.lit("the"), F.lit("he "), F.lit("and"), F.right("para", F.lit(3)))
     return V.highlight_spans(some.withColumn("values", values), ["doc_id", "pos"], "para").select("doc_id", "pos", "start", "end")
+
+
+@query(
+    f"""WITH {ANSWERS}, a AS (SELECT turn_id, {_FIRST_MARKS} AS ord, {_MARKS} AS marks, string_split(regexp_replace(answer, '\\[S[0-9]+\\]', chr(1), 'g'), chr(1)) AS texts FROM answers),
+p AS (SELECT turn_id, ord, i, texts[i] AS text, CASE WHEN i <= len(marks) THEN marks[i] END AS mark FROM a, range(1, len(texts) + 1) r(i))
+SELECT turn_id, CAST((i - 1) * 2 AS INTEGER) AS seq, text, CAST(NULL AS INTEGER) AS number FROM p WHERE text <> ''
+UNION ALL SELECT turn_id, CAST((i - 1) * 2 + 1 AS INTEGER), '', CAST(list_position(ord, mark) AS INTEGER) FROM p WHERE mark IS NOT NULL"""
+)
+def answer_segments(spark, sf_dir):
+    return V.segments(answers(spark, sf_dir))
+
+
+@query(
+    f"""WITH {LINES}, q AS (SELECT doc_id, pos, para, CASE WHEN pos % 3 = 0 THEN substr(para, 3, 9) ELSE 'zq' || substr(para, 1, 4) END AS q FROM lines WHERE length(para) > 12)
+SELECT doc_id, pos, CASE WHEN strpos(para, q) > 0 THEN substr(para, 1, strpos(para, q) - 1) END AS before, CASE WHEN strpos(para, q) > 0 THEN substr(para, strpos(para, q) + length(q)) END AS after FROM q"""
+)
+def quote_split(spark, sf_dir):
+    quote = F.when(F.col("pos") % 3 == 0, F.substring("para", 3, 9)).otherwise(F.concat(F.lit("zq"), F.substring("para", 1, 4)))
+    cut = lines(spark, sf_dir).where("length(para) > 12").select("doc_id", "pos", V.split_around(F.col("para"), quote).alias("s"))
+    return cut.select("doc_id", "pos", "s.before", "s.after")
