@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from citeline.llm.common import table
+from citeline.llm.oracles import PII
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,8 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeline.llm.chat import exchanges, linked
 
-    return linked(*exchanges(table(spark, sf_dir, "conversations")))
+    found = linked(*exchanges(table(spark, sf_dir, "conversations")))
+    return found.withColumn("errors", F.array_join("errors", "; "))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +74,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op3_sanitise_pii, op4_url_filter, op5_embedding_near_dedup, op6_tool_call_linking, op7_best_fit_packing, op8_quality_classifier, op9_simhash_near_dedup, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {
+    "op3_sanitise_pii": PII,
     "op5_embedding_near_dedup": """WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
 s AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
@@ -79,4 +83,15 @@ r AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT l.a, r.m FROM
 c AS (SELECT n, min(m) AS component_id FROM r GROUP BY n),
 k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.n = vec_id LEFT JOIN k ON k.a = vec_id""",
+    "op6_tool_call_linking": """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS x FROM conversations),
+calls AS (SELECT * FROM c WHERE role = 'user'),
+res AS (SELECT *, CASE WHEN role = 'assistant' THEN turn - 1 END AS k FROM c WHERE role IS DISTINCT FROM 'user')
+SELECT conv_id, turn, CAST(0 AS INTEGER) AS place, 'call' AS kind, CAST(turn AS VARCHAR) AS call_id, turn AS call_turn, CAST(0 AS INTEGER) AS level,
+ CASE WHEN EXISTS (SELECT 1 FROM res WHERE res.conv_id = calls.conv_id AND res.k = calls.turn) THEN 'linked' ELSE 'open' END AS state,
+ x <> '' AS valid, CASE WHEN x = '' THEN '$.prompt: too short' ELSE '' END AS errors,
+ '{"arguments":{"prompt":' || CAST(to_json(x) AS VARCHAR) || ',"turn":' || turn || '},"conversation":' || conv_id || ',"id":"' || turn || '","name":"answer","role":"user","turn":' || turn || ',"type":"call"}' AS json FROM calls
+UNION ALL SELECT r.conv_id, r.turn, 0, 'result', CAST(k AS VARCHAR), calls.turn, CASE WHEN calls.turn IS NOT NULL THEN 1 END, CASE WHEN calls.turn IS NULL THEN 'orphan' ELSE 'linked' END,
+ calls.turn IS NOT NULL, CASE WHEN calls.turn IS NULL THEN 'orphan' ELSE '' END,
+ '{"content":' || CAST(to_json(r.x) AS VARCHAR) || ',"conversation":' || r.conv_id || ',"id":' || coalesce('"' || k || '"', 'null') || ',"role":' || coalesce('"' || r.role || '"', 'null') || ',"turn":' || r.turn || ',"type":"result"}'
+ FROM res r LEFT JOIN calls ON calls.conv_id = r.conv_id AND calls.turn = k""",
 }

@@ -133,8 +133,9 @@ def test_pii_base_spans(spark):
     texts = ["".join(r.choice(a) for _ in range(r.choice([5, 40, 300]))) for a in ("a@.b-_%", "1234567890. -", "+1 ()9.-5", "aé😀@1.+-, ", "0123.@", "4111 ") for _ in range(80)]
     texts += ["1" * 50000, "a" * 50000, "1 2-" * 20000, "a@" + "b." * 20000, "4111 1111 1111 1111", "x@y.z_d@e.f@g.h", "001.002.003.0004 0.0.0.0 256.1.1.1", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {x.doc_id: (x.base_sha256, x.spans) for x in pii.report(df).collect()}
+    found = {x.doc_id: (x.base_sha256, x.spans, x.n_email, x.n_ip, x.n_card, x.n_phone) for x in pii.report(df).collect()}
     for i, t in enumerate(texts):
+        assert found[i][2:] == tuple(sum(s.startswith(k + ":") for s in base_spans(t).split(",")) for k in BASE), t[:60]
         assert found[i][0] == hashlib.sha256(base_spans(t).encode()).hexdigest(), t[:60]
         assert found[i][1].startswith(base_spans(t))
 
