@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeline.llm.common import table
-from citeline.llm.oracles import PII
+from citeline.llm.oracles import PII, url_filter
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,8 @@ def op3_sanitise_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeline.llm.url_filter import judge
 
-    return judge(table(spark, sf_dir, "pages"))
+    found = judge(table(spark, sf_dir, "pages"))
+    return found.withColumns({c: F.round(c, 6) for c in ("score", "threshold")})
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op3_sanitise_pii, op4_url_filter, op5_embedding_near_dedup, op6_tool_call_linking, op7_best_fit_packing, op8_quality_classifier, op9_simhash_near_dedup, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {
     "op3_sanitise_pii": PII,
+    "op4_url_filter": url_filter(),
     "op5_embedding_near_dedup": """WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
 s AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
