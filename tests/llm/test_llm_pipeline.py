@@ -49,3 +49,17 @@ def test_registered_queries_run(spark, name):
 def test_entry_lists_all():
     names = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    cell = lambda v: None if pd.isna(v) else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    plain = lambda df: sorted((tuple(cell(v) for v in row) for row in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=repr)
+    found, wanted = registry.QUERIES[name](spark, SMALL).toPandas(), con.sql(registry.ORACLES[name]).df()
+    assert plain(found) == plain(wanted)
