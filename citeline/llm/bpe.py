@@ -33,8 +33,8 @@ from citeline.llm.common import small_batches
 
 #: The split pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: Distinct words that a worker remembers before it starts anew, and how long they may be.
+REMEMBERED, LONGEST_REMEMBERED = 600_000, 80
 
 
 def byte_letters() -> dict[str, int]:
@@ -156,9 +156,10 @@ class Transducer:
                 found = tuple(self.back(last, len(data)))
             else:
                 found = tuple(self.stream((data,)))
-        if len(self.words) >= REMEMBERED:
-            self.older, self.words = self.words, {}
-        self.words[text] = found
+        if len(text) <= LONGEST_REMEMBERED:
+            if len(self.words) >= REMEMBERED:
+                self.older, self.words = self.words, {}
+            self.words[text] = found
         return found
 
     def encode(self, text: str | None) -> list[int]:
