@@ -51,7 +51,8 @@ def quotes_in_corpus(quotes: DataFrame, docs: DataFrame, quote_id: str, quote: s
     canon = canon.withColumn("k", F.least(F.lit(k), F.size(F.split(F.trim("q"), " "))))
     first = canon.select(quote_id, "q", "k", F.xxhash64(F.array_join(F.slice(F.split(F.trim("q"), " "), 1, k), " ")).alias("h"))
     texts = docs.select(key, canonical_form(F.col(text), compatibility).alias("t"))
-    each = texts.select(key, F.explode(F.array(*(F.struct(F.lit(i).alias("k"), heads(F.col("t"), i).alias("hs")) for i in range(1, k + 1)))).alias("x"))
+    sizes = sorted(r["k"] for r in first.select("k").distinct().collect()) or [k]  # k values at most
+    each = texts.select(key, F.explode(F.array(*(F.struct(F.lit(i).alias("k"), heads(F.col("t"), i).alias("hs")) for i in sizes))).alias("x"))
     met = each.select(key, "x.k", F.explode("x.hs").alias("h")).join(small(first.select(quote_id, "k", "h")), ["k", "h"]).select(quote_id, key).distinct()
     return met.join(canon.select(quote_id, "q"), quote_id).join(texts, key).where(F.contains("t", F.col("q"))).select(quote_id, key)
 
