@@ -63,9 +63,9 @@ def attach_interpretation(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {P._LISTS}, rc AS (SELECT query_id, rank, doc_id AS chunk_id, doc_id % 20 AS report_id, doc_id % 50 AS page_start, length(text) AS n FROM fr JOIN documents USING (doc_id) WHERE rank <= 8),
-walk AS (SELECT query_id, rank, chunk_id, report_id, page_start, n <= 20000 AS kept, CASE WHEN n <= 20000 THEN n ELSE 0 END AS used FROM rc WHERE rank = 1
- UNION ALL SELECT r.query_id, r.rank, r.chunk_id, r.report_id, r.page_start, w.used + r.n <= 20000, w.used + CASE WHEN w.used + r.n <= 20000 THEN r.n ELSE 0 END FROM walk w JOIN rc r ON r.query_id = w.query_id AND r.rank = w.rank + 1)
+    f"""WITH RECURSIVE {P._LISTS}, rc AS (SELECT query_id, rank, doc_id AS chunk_id, doc_id % 20 AS report_id, doc_id % 50 AS page_start, length(text) AS n, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM fr JOIN documents USING (doc_id) WHERE rank <= 8),
+walk AS (SELECT query_id, rn, rank, chunk_id, report_id, page_start, n <= 20000 AS kept, CASE WHEN n <= 20000 THEN n ELSE 0 END AS used FROM rc WHERE rn = 1
+ UNION ALL SELECT r.query_id, r.rn, r.rank, r.chunk_id, r.report_id, r.page_start, w.used + r.n <= 20000, w.used + CASE WHEN w.used + r.n <= 20000 THEN r.n ELSE 0 END FROM walk w JOIN rc r ON r.query_id = w.query_id AND r.rn = w.rn + 1)
 SELECT query_id, chunk_id, rank, 'S' || row_number() OVER (PARTITION BY query_id ORDER BY report_id, page_start, rank) AS source_id FROM walk WHERE kept"""
 )
 def chat_context(spark, sf_dir):
