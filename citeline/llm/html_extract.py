@@ -30,6 +30,8 @@ BLOCKS = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template svg math iframe object textarea select button title head canvas audio video".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
+#: Elements that may stand in a head; any other start tag, and any text, ends an open head.
+HEAD = frozenset("head title meta link base basefont bgsound script style noscript noframes template".split())
 #: Elements that say what a region of a page is.
 REGIONS = frozenset("article main nav aside header footer form".split())
 #: Start tags that end an open element of the second set, within the nearest element of the third.
@@ -111,10 +113,15 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 return None
         return None
 
+    def read(text: str) -> None:
+        if stack and stack[-1][0] == "head" and text.strip():
+            pop(len(stack) - 1)
+        if text and not skipped:
+            add(text)
+
     page, at = page or "", 0
     while m := TOKEN.search(page, at):
-        if m.start() > at and not skipped:
-            add(page[at : m.start()])
+        read(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -124,6 +131,8 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             if depth is not None:
                 pop(depth)
             continue
+        if skipped and tag not in HEAD:
+            close({"head"}, set())
         block = tag in BLOCKS
         if block:
             close({"p"}, {"table", "td", "th", "button", "object"}) if tag not in ("html", "body") else None
@@ -148,8 +157,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             node = len(nodes)
             nodes.append(Node(tag, parent, marks_of(found) if found else frozenset(), hidden, found.get("data-label")))
         stack.append((tag, node, block))
-    if at < len(page) and not skipped:
-        add(page[at:])
+    read(page[at:])
     pop(0)
     flush()
     return nodes, blocks
