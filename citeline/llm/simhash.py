@@ -195,14 +195,14 @@ def with_fingerprints(df: DataFrame, words: int, text: str = "text") -> DataFram
 
 
 def classes_of(docs: DataFrame, bits: int, pieces: int | None) -> DataFrame:
-    """(fp, component_id) of (key, fp) rows: the smallest key reachable from each fingerprint."""
+    """(fp, component_id, __root) of (key, fp) rows: the smallest key reachable from each fingerprint, and its component."""
     key = docs.columns[0]
     classes = cut(docs.groupBy("fp").agg(F.min(key).alias("low")))
     pieces = pieces or (3 if classes.count() <= THREE_PIECES else 2)
     reach = components(links(classes.select("fp"), bits, pieces))
     joined = classes.join(reach, classes["fp"] == reach["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    return joined.join(lowest, "root").select("fp", "component_id")
+    return joined.join(lowest, "root").select("fp", "component_id", F.col("root").alias("__root"))
 
 
 def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, pieces: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,7 +218,8 @@ def keep_one(df: DataFrame, words: int = 4, bits: int = 4, pieces: int | None =
     """
     docs = cut(fingerprints(df, words, key, text))
     winners = docs.join(classes_of(docs, bits, pieces), "fp").where(F.col(key).eqNullSafe(F.col("component_id")))
-    kept = cut(winners.groupBy(F.col(key).alias("__key")).agg(F.min("fp").alias("__kept"), F.count(F.lit(1)).alias("__rows")))
+    # By component and not by key: rows that share a key, or have none, may be of different components.
+    kept = cut(winners.groupBy("__root").agg(F.first("component_id").alias("__key"), F.min("fp").alias("__kept"), F.count(F.lit(1)).alias("__rows")))
     rows, name = numbered(df)
     left = with_fingerprints(rows, words, name[text]).join(kept, F.col(name[key]).eqNullSafe(F.col("__key")) & (F.col("__fp") == F.col("__kept")))
     if kept.where("__rows > 1").limit(1).collect():  # repeated rows or keys: one of them stays

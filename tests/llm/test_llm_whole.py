@@ -2,7 +2,7 @@
 
 import pytest
 
-from citeline.llm import html_extract
+from citeline.llm import html_extract, simhash
 
 
 @pytest.mark.parametrize("start", ["<body>", "", "<body class=x><div>", "<main>"])
@@ -17,3 +17,11 @@ def test_html_text_ends_an_open_head():
     model = html_extract.Model(html_extract.labelled_pages())
     body = "<article><h1>A title</h1><p>A sentence that is long enough to be read as content of the page.</p></article>"
     assert model.extract(f"<html><head><title>t</title><body>{body}") == model.extract(f"<html><head><title>t</title></head><body>{body}") != ""
+
+
+def test_simhash_keeps_unrelated_rows_that_share_a_key(spark):
+    words = "red green blue cyan pink grey teal gold lime navy rust sand plum mint jade ruby".split()
+    text = lambda i: " ".join(words[(i * 7 + j * (i + 1)) % 16] + str(i) for j in range(30))
+    rows = [(None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (5, text(4)), (6, text(5))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted({(k or 0, t) for k, t in rows})
