@@ -1,16 +1,15 @@
 """Quality classification by an interpolated modified Kneser-Ney model of trusted text.
 
-Method. Texts are read as symbols of a small fixed alphabet (letters, classes of punctuation and of
-other scripts), so that n-grams of order four number at most SYMBOLS ** 4, whatever the corpus. All
-trusted texts are counted, pre-aggregated in each task; the shards of counts are joined by
-context, order by order, with three discounts estimated from the counts of counts, to interpolated
-probabilities. The bounded table is broadcast and joined with the n-grams of each text; the mean gives
-the perplexity. A language's threshold is a high quantile of the perplexity of its trusted texts,
-widened by a slack; texts above it are rejected.
+Method. Texts are read as n-grams of LENGTH real characters, with no fixed alphabet, so that what is counted grows
+with the trusted text. All trusted texts are counted, pre-aggregated in each task; the shards of counts are joined by
+context, order by order, with three discounts estimated from the counts of counts. Texts to score are dealt into
+blocks; the distinct n-grams of the blocks meet the model in joins, and their probabilities return to the block's
+texts; the mean gives the perplexity. A language's threshold is a high quantile of the perplexity of its trusted
+texts, each scored by the model of the half that it is not in, widened by a slack; texts above it are rejected.
 
 Defined cases: null and empty texts score as their end symbol alone; a null or unlabelled language takes the
 quantile of all trusted texts; without any trusted text nothing is rejected; labels that contradict
-each other do not make a text trusted; repeated rows stay repeated; extra columns are ignored.
+each other, or call it toxic, do not make a text trusted; repeated rows stay repeated; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +19,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from citeline.llm.common import cut, narrowed, numbered, small_batches
-
+from citeline.llm.common import cut, narrowed, numbered, small_batches, stored
+
+#: Characters of an n-gram; what stands before and after a text.
+LENGTH = 4
+START, STOP = "\x02", "\x03"
+#: Documents of a block that is scored at once, characters that are held as numbers at once, n-grams that a task adds up.
+BLOCK, CHARACTERS, HELD = 8000, 1 << 20, 1 << 20
+#: Models by number: of the texts outside the first half, of those outside the second, of all.
+ALL = 2
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: The closed-alphabet form (``codes``, ``counts``, ``log_probabilities``), for comparison: order four, small classes.
 ORDER = 4
 #: The classes of characters that count as one symbol; letters a-z are symbols of their own.
 CLASSES = (" \t", "\n\r\x0b\x0c", "0123456789", ".", ",", ";:", "!?", "'\"", "-_", "()[]{}<>", "|/\\")
@@ -93,7 +100,10 @@ def counts(texts: DataFrame, text: str = "text") -> DataFrame:
 def discounts(grams: DataFrame) -> tuple[float, float, float]:
     """The three discounts of modified Kneser-Ney from the counts of counts."""
     n = grams.agg(*(F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4))).first()
-    n1, n2, n3, n4 = (n[f"n{i}"] for i in (1, 2, 3, 4))
+    return discounts_of(*(n[f"n{i}"] for i in (1, 2, 3, 4)))
+
+
+def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     if not (n1 and n2 and n3):
         return 0.5, 0.75, 0.9
     y = n1 / (n1 + 2 * n2)
@@ -126,37 +136,142 @@ def log_probabilities(grams: DataFrame) -> np.ndarray:
     return np.log(dense).astype(np.float32)
 
 
-def scored(df: DataFrame, model: Broadcast, text: str = "text") -> DataFrame:
-    """All rows and columns with ``__symbols`` and ``__nats``: how long the text is and its negative ln p."""
-    schema = StructType([*df.schema.fields, StructField("__symbols", LongType()), StructField("__nats", DoubleType())])
-    at = df.columns.index(text)
+def windows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(all windows of code points, places of the n-grams, their 64-bit hashes, how many each text has), one n-gram for each character and the end."""
+    padded = [START * (LENGTH - 1) + (t or "").replace("\0", "\ufffd") + STOP for t in texts]
+    flat = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), "<u4")
+    ends = np.cumsum([len(t) for t in padded])
+    valid = np.ones(len(flat), bool)
+    for i in range(1, LENGTH):
+        valid[ends - i] = False
+    at = np.nonzero(valid)[0]
+    return np.lib.stride_tricks.sliding_window_view(flat, LENGTH), at, hashes(flat)[at], [len(t) - LENGTH + 1 for t in padded]
+
+
+def hashes(flat: np.ndarray) -> np.ndarray:
+    """The hash of the n-gram that starts at each place (of no meaning at the last ones)."""
+    wide = np.concatenate([flat.astype(np.uint64), np.zeros(LENGTH - 1, np.uint64)])
+    out = sum(wide[i : len(flat) + i] * MIX[i] for i in range(LENGTH))
+    return out ^ (out >> np.uint64(29))
+
+
+def portions(texts: list[str | None]):
+    """Runs of texts of about CHARACTERS characters."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "") + 1
+        if size >= CHARACTERS:
+            yield texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
+def tally(texts: DataFrame) -> DataFrame:
+    """(g, tag, c): how often each n-gram occurs in the texts of (text, tag); each task adds up its own before the shuffle."""
 
     def run(batches):
-        lookup = model.value
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def out():
+            for tag, (_, grams, many) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(grams.tolist(), pa.string()), pa.array(np.full(len(grams), tag)), pa.array(many)], names=["g", "tag", "c"])
+            held.clear()
+
         for batch in batches:
-            sizes, nats = [], []
-            for v in batch.column(at):
-                found = lookup[codes(v.as_py())]
-                sizes.append(len(found))
-                nats.append(-float(found.sum(dtype=np.float64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(nats, pa.float64())], names=schema.names)
+            tags = batch.column(1).to_numpy(zero_copy_only=False)
+            for tag in np.unique(tags).tolist():
+                for part in portions(batch.column(0).filter(pa.array(tags == tag)).to_pylist()):
+                    views, at, h, _ = windows(part)
+                    new, first, seen = np.unique(h, return_index=True, return_counts=True)
+                    grams = np.ascontiguousarray(views[at[first]]).view(f"<U{LENGTH}")[:, 0]
+                    if tag in held:
+                        old, before, many = held[tag]
+                        new, first, place = np.unique(np.concatenate([old, new]), return_index=True, return_inverse=True)
+                        grams = np.concatenate([before, grams])[first]
+                        seen = np.bincount(place, np.concatenate([many, seen]), len(new)).astype(np.int64)
+                    held[tag] = new, grams, seen
+                    if sum(len(x[0]) for x in held.values()) > HELD:
+                        yield from out()
+        yield from out()
+
+    return texts.mapInArrow(run, "g string, tag long, c long").groupBy("g", "tag").agg(F.sum("c").alias("c"))
+
+
+def trained(texts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order (own, left) of (text, half): the discounted share of each n-gram, and of each context what it leaves to lower orders.
+
+    Lower orders count distinct left neighbours. ``m`` is the model.
+    """
+    halves = tally(texts).select("g", F.explode(F.array(1 - F.col("tag"), F.lit(ALL).cast("long"))).alias("m"), "c")
+    top = cut(halves.groupBy("m", "g").agg(F.sum("c").alias("c")))
+    orders = {LENGTH: top}
+    for k in range(LENGTH - 1, 0, -1):
+        orders[k] = cut(orders[k + 1].select("m", F.right("g", F.lit(k)).alias("g")).groupBy("m", "g").agg(F.count(F.lit(1)).alias("c")))
+    out = []
+    for k in range(1, LENGTH + 1):
+        cuts = F.lit(None).cast("double")
+        for m, found in ((r["m"], [r[f"n{i}"] for i in (1, 2, 3, 4)]) for r in orders[k].groupBy("m").agg(*(F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4))).collect()):
+            d1, d2, d3 = discounts_of(*found)
+            cuts = F.when(F.col("m") == m, F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)).otherwise(cuts)
+        shard = orders[k].select("m", "g", F.left("g", F.lit(k - 1)).alias("x"), "c", cuts.alias("d"))
+        sums = cut(shard.groupBy("m", "x").agg(F.sum("c").alias("total"), F.sum("d").alias("mass"), F.count(F.lit(1)).alias("kinds")))
+        own = shard.join(sums, ["m", "x"]).select("m", "g", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"))
+        out.append((cut(own), sums.select("m", "x", (F.col("mass") / F.col("total")).alias("left"), "kinds")))
+    return out
+
 
-    return df.mapInArrow(run, schema)
+def probabilities(needed: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(m, g, nats) for distinct (m, g): negative ln p, interpolated down to an even share of the characters seen and one more."""
+    found = needed.withColumn("p", F.lit(None).cast("double"))
+    for k, (own, left) in enumerate(model, 1):
+        found = found.withColumns({"s": F.right("g", F.lit(k)), "x": F.left(F.right("g", F.lit(k)), F.lit(k - 1))})
+        found = found.join(own.withColumnRenamed("g", "s"), ["m", "s"], "left").join(left, ["m", "x"], "left")
+        lower = F.col("p") if k > 1 else 1 / (F.coalesce("kinds", F.lit(0)) + 1)
+        found = found.select("m", "g", (F.coalesce("own", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * lower).alias("p"))
+    return found.select("m", "g", (-F.log("p")).alias("nats"))
+
+
+def scored(df: DataFrame, model: list[tuple[DataFrame, DataFrame]], text: str = "text", by: Column | None = None) -> DataFrame:
+    """All rows and columns with ``__symbols`` and ``__nats``: how long the text is and its negative ln p by the model ``by``."""
+    schema = StructType([*df.schema.fields, StructField("__symbols", LongType()), StructField("__nats", DoubleType())])
+    at = df.columns.index(text)
+    by = F.lit(ALL) if by is None else by
+    # Stored, because the blocks are read twice and must be the same.
+    rows = stored(df.withColumn("__tag", F.expr(f"monotonically_increasing_id() div {BLOCK}") * 4 + by))
+    grams = cut(tally(rows.select(text, "__tag")).select("g", "tag", (F.col("tag") % 4).alias("m")))
+    found = grams.join(probabilities(grams.select("m", "g").distinct(), model), ["m", "g"]).select(F.col("tag").alias("__tag"), "g", "nats")
+
+    def run(texts: pa.Table, table: pa.Table) -> pa.Table:
+        names = np.array(table.column("g").to_pylist(), f"<U{LENGTH}")
+        known = hashes(names.view("<u4"))[::LENGTH]
+        order = np.argsort(known)
+        known, nats = known[order], table.column("nats").to_numpy()[order]
+        sizes, sums = [], []
+        for part in portions(texts.column(at).to_pylist()):
+            _, _, h, many = windows(part)
+            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            if (known[place] != h).any():
+                raise RuntimeError("an n-gram of a block has no probability")
+            sizes += many
+            sums.append(np.add.reduceat(nats[place], np.cumsum([0, *many[:-1]])))
+        columns = [*texts.columns[: len(schema) - 2], pa.array(sizes, pa.int64()), pa.array(np.concatenate(sums), pa.float64())]
+        return pa.table(columns, names=schema.names)
+
+    return rows.groupBy("__tag").cogroup(found.groupBy("__tag")).applyInArrow(run, schema)
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Keys with the label quality 1 and no contradicting one."""
-    return labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("q")).where("q = 1").select(key)
+    """Keys with the label quality 1 and no contradicting one, and not called toxic."""
+    toxic = F.coalesce(F.col("toxic"), F.lit(0)) if "toxic" in labels.columns else F.lit(0)
+    return labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("q"), F.max(toxic).alias("t")).where("q = 1 and t = 0").select(key)
 
 
 @dataclass
 class Fitted:
-    """A model of trusted text and what it says of each language; ``limits`` has a row per language.
-
-    The table is broadcast once, in half precision (2 bytes for each of SYMBOLS ** 4 n-grams).
-    """
+    """A model of trusted text and what it says of each language; ``limits`` has a row per language."""
 
-    table: Broadcast
+    model: list[tuple[DataFrame, DataFrame]]
     mean: float
     limit: float | None
     limits: DataFrame | None
@@ -173,17 +288,19 @@ def fit(df: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float =
     ids = cut(trusted_ids(labels, key))
     known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     trusted = df.select(F.col(key), F.col(lang).alias("__lang"), F.col(text).alias("__text")).join(known, key, "left_semi").select("__lang", "__text")
-    table = df.sparkSession.sparkContext.broadcast(log_probabilities(counts(trusted, "__text")).astype(np.float16))
-    found = cut(scored(trusted, table, "__text").drop("__text"))
+    # By the text, so that copies are in one half; a text is judged by the model of the other.
+    half = F.pmod(F.xxhash64("__text"), F.lit(2))
+    model = trained(trusted.select("__text", half.alias("tag")))
+    found = cut(scored(trusted, model, "__text", half).drop("__text"))
     whole = found.agg(F.sum("__nats").alias("a"), F.sum("__symbols").alias("b")).first()
     if not whole["b"]:
-        return Fitted(table, 0.0, None, None, prior)
+        return Fitted(model, 0.0, None, None, prior)
     mean = whole["a"] / whole["b"]
     means = by_language(found.groupBy("__lang").agg((F.sum("__nats") / F.sum("__symbols")).alias("__mean")))
     levels = cut(found.join(means, "__lang", "left").withColumn("__level", level(F.coalesce("__mean", F.lit(mean)), prior)))
     quantiles = levels.groupBy("__lang").agg(F.first("__mean").alias("__mean"), (F.percentile_approx("__level", quantile, 10000) + math.log1p(slack)).alias("__limit")).where("__lang is not null")
     overall = levels.agg(F.percentile_approx("__level", quantile, 10000).alias("q")).first()["q"] + math.log1p(slack)
-    return Fitted(table, mean, overall, by_language(quantiles), prior)
+    return Fitted(model, mean, overall, by_language(quantiles), prior)
 
 
 def by_language(rows: DataFrame) -> DataFrame:
@@ -200,7 +317,7 @@ def level(mean: Column, prior: float) -> Column:
 def judged(df: DataFrame, model: Fitted, text: str = "text", lang: str = "lang") -> DataFrame:
     """All rows and columns with ``__perplexity``, ``__threshold`` and ``__accepted``."""
     small_batches(df.sparkSession)
-    found = scored(df, model.table, text).withColumn("__perplexity", F.exp(F.col("__nats") / F.col("__symbols")))
+    found = scored(df, model.model, text).withColumn("__perplexity", F.exp(F.col("__nats") / F.col("__symbols")))
     if model.limit is None:
         return found.withColumns({"__threshold": F.lit(None).cast("double"), "__accepted": F.lit(True)}).drop("__symbols", "__nats")
     limit = F.coalesce("__limit", F.lit(model.limit))

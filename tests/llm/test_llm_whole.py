@@ -1,8 +1,12 @@
 """Each operator does the whole job: cases that an earlier cut lost."""
 
+import math
+import random
+from collections import Counter
+
 import pytest
 
-from citeline.llm import html_extract, simhash
+from citeline.llm import html_extract, quality, simhash
 
 
 @pytest.mark.parametrize("start", ["<body>", "", "<body class=x><div>", "<main>"])
@@ -25,3 +29,50 @@ def test_simhash_keeps_unrelated_rows_that_share_a_key(spark):
     rows = [(None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (5, text(4)), (6, text(5))]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted({(k or 0, t) for k, t in rows})
+
+
+def test_quality_model_is_of_real_characters(spark):
+    """Against a plain Kneser-Ney over code points; each text by the model of all."""
+    texts = ["the cat sat on the mat. " * 3, "мама мыла раму", "THE 12 dogs", "你好世界", "", "the cat\0sat"]
+    df = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, tag long")
+    asked = [*texts, "unseen Ωord", "рама мыла маму"]
+    rows = quality.scored(spark.createDataFrame([(t,) for t in asked], "text string"), quality.trained(df)).collect()
+    n = quality.LENGTH
+
+    def grams(t):
+        p = quality.START * (n - 1) + t.replace("\0", "\ufffd") + quality.STOP
+        return [p[i : i + n] for i in range(len(t) + 1)]
+
+    orders = {n: Counter(g for t in texts for g in grams(t))}
+    for k in range(n - 1, 0, -1):
+        orders[k] = Counter(g[1:] for g in orders[k + 1])
+    cuts = {k: quality.discounts_of(*(Counter(c.values())[i] for i in (1, 2, 3, 4))) for k, c in orders.items()}
+
+    def prob(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(orders[1]) + 1)
+        same = {x: c for x, c in orders[k].items() if x[:-1] == g[:-1]}
+        low, total = prob(g[1:]), sum(same.values())
+        cut = lambda c: cuts[k][min(c, 3) - 1]
+        return ((same[g] - cut(same[g]) if g in same else 0) + sum(map(cut, same.values())) * low) / total if same else low
+
+    found = {r.text: (r["__symbols"], r["__nats"]) for r in rows}
+    for t in asked:
+        assert found[t][0] == len(t) + 1 and math.isclose(found[t][1], -sum(math.log(prob(g)) for g in grams(t)), rel_tol=1e-9)
+
+
+def test_quality_tells_texts_of_one_script_apart(spark):
+    r = random.Random(5)
+    words = "река камень дом вода лес ветер снег поле трава дорога".split()
+    clean = [(i, " ".join(r.choice(words) for _ in range(40)), "ru") for i in range(200)]
+    letters = sorted(set("".join(words)))
+    junk = [(500 + i, " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(40)), "ru") for i in range(10)]
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    found = {x.doc_id: x.accepted for x in quality.classify(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string"), labels).collect()}
+    assert not any(found[i] for i, *_ in junk) and sum(not found[i] for i, *_ in clean) <= 4
+
+
+def test_quality_trusts_no_toxic_text(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, None), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(r.doc_id for r in quality.trusted_ids(labels).collect()) == [1, 3]
