@@ -76,7 +76,7 @@ def table_split(spark, sf_dir):
 
 def items(spark, sf_dir):
     """Lines as items: every ninth is a table of its words, regions change every four lines."""
-    rows = lines(spark, sf_dir).where("pos < 40 and para <> ''")
+    rows = lines(spark, sf_dir).where("para <> ''")
     is_table = (F.col("pos") % 9 == 8) & (F.length("para") < 2000)
     words = F.split("para", " ")
     return rows.select(
@@ -92,7 +92,7 @@ rn AS (SELECT *, sum(CASE WHEN k IS NULL OR kind = 'table' OR k = 'table' OR r <
 
 @query(f"WITH {_ITEMS} SELECT doc_id, seq, kind, CAST(run AS BIGINT) AS run, CASE WHEN kind = 'table' AND k = 'text' AND length(t) <= 200 THEN trim(t) END AS short_caption FROM rn")
 def item_runs(spark, sf_dir):
-    found = C.runs(items(spark, sf_dir))
+    found = C.runs(items(spark, sf_dir).where("seq < 40"))  # as in its SQL
     before = F.lag("text").over(C.Window.partitionBy("doc_id").orderBy("seq"))
     return found.withColumn("_t", before).select("doc_id", "seq", "kind", F.col("run").cast("long").alias("run"), F.when(F.length("_t") <= 200, F.col("caption")).alias("short_caption"))
 
