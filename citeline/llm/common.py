@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,20 +21,54 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; a temporary one only where none is set."""
+    """The session's checkpoint folder, which all executors share.
+
+    Where none is set, a local session gets a temporary one; on a cluster that is an error, because a
+    folder of one machine is not seen by the others.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write whole rows as Parquet into the shared folder and read them again."""
+    """Write whole rows as Parquet into the shared folder, under its checkpoint of this application, and read them again."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for this table; nothing may read it afterwards."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[1].startswith("stored-"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, share: int = 2000) -> DataFrame:
+    """Inner join of ``left`` with one row per ``on`` of ``right``, whose column ``__n`` says how many rows of left have it.
+
+    Keys with more than one ``share``-th of all rows, of which there are fewer than ``share``, are
+    broadcast; the others meet in a shuffle in which no key is hot.
+    """
+    right = cut(right)
+    total = right.agg(F.sum("__n")).first()[0] or 0
+    hot = right.where(F.col("__n") * share > total).drop("__n").withColumn("__hot", F.lit(True))
+    cold = right.where(F.col("__n") * share <= total).drop("__n")
+    first = left.join(F.broadcast(hot), on)
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
+    return first.drop("__hot").unionByName(rest)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint in the shared folder; a temporary one only where none is set."""
     shared_folder(df.sparkSession)

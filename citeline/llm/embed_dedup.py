@@ -1,36 +1,43 @@
 """Near-duplicate vectors by collision-counting projections.
 
-Method. Vectors of one label and dimension are compared in cells, and a cell in tiles of bounded size. In
-a tile the rows are sorted along many one-dimensional random projections; around each query a window
-is cut out of each sorted list, the collisions of every pair are counted over the lists, and the pairs
-with enough of them are verified by their cosine in double precision. Window and count are calibrated:
-the difference of two unit vectors at the threshold, projected, has a known spread, and the count is the
-largest that loses such a pair with at most ``MISS`` probability. Labels of up to ``ONE_CELL`` vectors
-are one cell; larger ones are cut into cells by the signs of projections, in as many independent tables
-as keep the probability of losing a pair at the threshold below ``CELL_MISS``.
+Method. In a tile of vectors of one label and dimension, the rows are sorted along many one-dimensional random
+projections. Around each query a window is cut out of each sorted list; a row collides with the query in the lists
+whose windows it stands in. Pairs with enough collisions in the first lists are counted on in the others; pairs
+with enough in all are verified by their cosine in double precision, no others. Window and counts are
+calibrated by recall: the difference of two unit vectors at the threshold, projected, has a known spread,
+and the counts are the largest that lose such a pair with at most ``MISS`` probability.
+
+Windows of single projections alone would count quadratically many collisions, so a label is dealt into cells
+by the signs of ``bits`` further projections, in as many tables as keep the probability of losing a pair at
+the threshold below ``CELL_MISS``. The number of bits is the one of least counted cost of copies and
+comparisons; it is none for small labels and grows with the logarithm of large ones.
 Equal vectors are one weighted row beforehand. A tile answers with the number of links of each row and
 a spanning forest, never with pairs; a cell of any size is split into tiles, so no task holds more
 than two blocks of it.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors with a
-null label, link with nothing; vectors of other dimensions do not link; repeated rows count as vectors
-of their own; an empty table gives no rows; extra columns are ignored.
+null label, link with nothing; vectors of other dimensions do not link; a pair exactly at the threshold links (ties
+need no order); repeated rows count as vectors of their own; a null key takes part in a component without
+naming it; an empty table gives no rows; extra columns are ignored. Vectors of any length go: a block
+holds fewer long ones.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeline.llm.common import components, cut
+from citeline.llm.common import components, cut, spread_join
 
-PROJECTIONS, WIDTH, MISS = 24, 2.2, 1e-9
-BLOCK, ONE_CELL, CELL_ROWS, CELL_MISS = 2048, 131_072, 2048, 1e-4
+#: Sorted lists; lists that are counted for every pair of a tile; half window in spreads; recall loss of the counts, of the cells.
+PROJECTIONS, FIRST_LISTS, WIDTH, MISS, CELL_MISS = 40, 12, 2.0, 1e-5, 1e-4
+#: Vectors of a block; queries counted at once; cost of a copy of a vector in compared pairs.
+BLOCK, QUERIES, COPY_COST = 8192, 128, 2500
 SEED = 7
 
 
@@ -40,26 +47,32 @@ def directions(dim: int, many: int, seed: int) -> np.ndarray:
     return found / np.linalg.norm(found, axis=0)
 
 
-def calibrated(cosine: float, dim: int) -> tuple[float, int]:
-    """(half window, least count): a pair at the threshold has the count but for MISS."""
-    spread = math.sqrt((2 - 2 * cosine) / dim)
-    inside = math.erf(WIDTH / math.sqrt(2))
+def least_count(lists: int, inside: float, miss: float) -> int:
+    """The largest count that a binomial of that many lists stays below with at most ``miss``."""
     lost, least = 0.0, 0
-    for count in range(PROJECTIONS + 1):
-        lost += math.comb(PROJECTIONS, count) * inside**count * (1 - inside) ** (PROJECTIONS - count)
-        if lost > MISS:
+    for count in range(lists + 1):
+        lost += math.comb(lists, count) * inside**count * (1 - inside) ** (lists - count)
+        if lost > miss:
             break
         least = count + 1
-    return WIDTH * spread, least
+    return least
+
+
+def calibrated(cosine: float, dim: int) -> tuple[float, int, int]:
+    """(half window, least count in the first lists, least count in all): a pair at the threshold has both but for MISS."""
+    inside = math.erf(WIDTH / math.sqrt(2))
+    return WIDTH * math.sqrt((2 - 2 * cosine) / dim), least_count(FIRST_LISTS, inside, MISS / 2), least_count(PROJECTIONS, inside, MISS / 2)
 
 
-def tables(rows: int, cosine: float, one_cell: int = ONE_CELL, cell_rows: int = CELL_ROWS) -> tuple[int, int]:
-    """(sign bits, tables) of a label with that many vectors."""
-    if rows <= one_cell:
-        return 0, 1
-    bits = math.ceil(math.log2(rows / cell_rows))
-    same = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, math.ceil(math.log(CELL_MISS) / math.log1p(-same))
+def tables(rows: int, cosine: float) -> tuple[int, int]:
+    """(sign bits, tables) of least cost for a label with that many vectors."""
+
+    def many(bits: int) -> int:
+        same = (1 - math.acos(cosine) / math.pi) ** bits
+        return 1 if not bits else math.ceil(math.log(CELL_MISS) / math.log1p(-same))
+
+    bits = min(range(40), key=lambda b: (many(b) * (COPY_COST + rows / 2**b), b))
+    return bits, many(bits)
 
 
 def cells(unit: np.ndarray, bits: int, many: int) -> np.ndarray:
@@ -70,40 +83,71 @@ def cells(unit: np.ndarray, bits: int, many: int) -> np.ndarray:
     return (signs.reshape(len(unit), many, bits) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64)
 
 
-def counted(query: np.ndarray, data: np.ndarray, half: float) -> np.ndarray:
-    """Collisions of each query with each row: the windows around the queries in each sorted projection."""
-    total = np.zeros((len(query), len(data)), np.int8)
+def candidates(query: np.ndarray, data: np.ndarray, half: float, first: int, least: int, after: int | None):
+    """(i, j) arrays, chunk by chunk, of the rows that collide often enough with each query.
+
+    ``query`` and ``data`` are projections. With ``after`` the queries are the rows of data, and j > i.
+    """
+    ranks, low, wide = [], [], []
     for q, d in zip(query.T, data.T):
         order = np.argsort(d, kind="stable")
+        rank = np.empty(len(d), np.uint16)
+        rank[order] = np.arange(len(d), dtype=np.uint16)
         line = d[order]
-        low, high = np.searchsorted(line, q - half, "left"), np.searchsorted(line, q + half, "right")
-        ranks = np.empty(len(d), np.int32)
-        ranks[order] = np.arange(len(d))
-        total += (ranks >= low[:, None]) & (ranks < high[:, None])
-    return total
-
-
-def linked(unit: np.ndarray, at: np.ndarray, to: np.ndarray, cosine: float, codes: np.ndarray | None, table: int, same: bool):
-    """Verified links (positions in ``at`` and ``to``), chunk by chunk; each link in its first common table alone."""
-    axes = directions(unit.shape[1], PROJECTIONS, SEED)
-    half, least = calibrated(cosine, unit.shape[1])
-    spots = unit @ axes
-    for start in range(0, len(at), 256):
-        part = at[start : start + 256]
-        passing = counted(spots[part], spots[to], half) >= least
-        if same:
-            passing &= np.arange(start, start + len(part))[:, None] < np.arange(len(to))[None, :]
-        if not passing.any():
-            continue
-        i, j = np.nonzero(passing & (unit[part] @ unit[to].T >= cosine))
-        if codes is not None and table and len(i):
-            first = ~(codes[part[i], :table] == codes[to[j], :table]).any(axis=1)
-            i, j = i[first], j[first]
+        a, b = np.searchsorted(line, q - half, "left"), np.searchsorted(line, q + half, "right")
+        ranks.append(rank)
+        low.append(a.astype(np.uint16))
+        wide.append((b - a).astype(np.uint16))
+    for start in range(0, len(query), QUERIES):
+        rows = slice(start, start + QUERIES)
+        origin = start + 1 if after is not None else 0  # rows up to the query itself were met before
+        if origin >= len(data):
+            break
+        count = np.zeros((len(query[rows]), len(data) - origin), np.uint8)
+        for k in range(FIRST_LISTS):
+            count += ranks[k][None, origin:] - low[k][rows, None] < wide[k][rows, None]
+        i, j = np.nonzero(count >= first)
+        if len(i) * 8 > count.size:  # nearly all of them go on: count on by whole lists
+            for k in range(FIRST_LISTS, PROJECTIONS):
+                count += ranks[k][None, origin:] - low[k][rows, None] < wide[k][rows, None]
+            i, j = np.nonzero(count >= least)
+            i, j = i + start, j + origin
+        elif len(i):
+            total = count[i, j]
+            i, j = i + start, j + origin
+            for k in range(FIRST_LISTS, PROJECTIONS):
+                total += ranks[k][j] - low[k][i] < wide[k][i]
+            i, j = i[total >= least], j[total >= least]
+        if after is not None and len(i):
+            i, j = i[j > i], j[j > i]
         if len(i):
-            yield start + i, j
+            yield i, j
 
 
-def tile_links(rep: np.ndarray, weight: np.ndarray, vectors: np.ndarray, side: np.ndarray, cosine: float, bits: int, many: int, table: int):
+def linked(unit: np.ndarray, at: np.ndarray, to: np.ndarray, cosine: float, codes: np.ndarray | None, table: int, same: bool, seen: list[int] | None = None):
+    """Verified links (positions in ``at`` and ``to``), chunk by chunk; each link in its first common table alone.
+
+    ``seen`` collects how many pairs were verified.
+    """
+    spots = unit @ directions(unit.shape[1], PROJECTIONS, SEED)
+    half, first, least = calibrated(cosine, unit.shape[1])
+    for i, j in candidates(spots[at], spots[to], half, first, least, 0 if same else None):
+        if seen is not None:
+            seen.append(len(i))
+        if codes is not None and table:
+            fresh = ~(codes[at[i], :table] == codes[to[j], :table]).any(axis=1)
+            i, j = i[fresh], j[fresh]
+        a, b = at[i], to[j]
+        queries, place = np.unique(a, return_inverse=True)
+        if len(a) > len(queries) * len(to) / 8:  # a crowd of near copies: one matrix product is less work than its pairs
+            near = (unit[queries] @ unit[to].T)[place, j] >= cosine
+        else:
+            near = np.concatenate([np.einsum("ij,ij->i", unit[a[s : s + 8192]], unit[b[s : s + 8192]]) >= cosine for s in range(0, len(a), 8192)] or [np.zeros(0, bool)])
+        if near.any():
+            yield i[near], j[near]
+
+
+def tile_links(rep: np.ndarray, weight: np.ndarray, vectors: np.ndarray, side: np.ndarray, cosine: float, bits: int, many: int, table: int, seen: list[int] | None = None):
     """(rep, links) counts and forest edges of one tile; side 0 are queries, 1 data, 2 both."""
     unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
     same = bool((side == 2).any())
@@ -112,7 +156,7 @@ def tile_links(rep: np.ndarray, weight: np.ndarray, vectors: np.ndarray, side: n
     codes = cells(unit, bits, many) if table else None
     links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
     edges: list[tuple[int, int]] = []
-    for i, j in linked(unit, at, to, cosine, codes, table, same):
+    for i, j in linked(unit, at, to, cosine, codes, table, same, seen):
         a, b = at[i], to[j]
         np.add.at(links, a, weight[b])
         np.add.at(links, b, weight[a])
@@ -126,15 +170,23 @@ def tile_links(rep: np.ndarray, weight: np.ndarray, vectors: np.ndarray, side: n
     return links, edges
 
 
-def near_duplicates(df: DataFrame, cosine: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", one_cell: int = ONE_CELL, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """One row per input row: key, n_links, component_id, kept."""
-    plan = (cosine, one_cell, cell_rows)
+def classes(df: DataFrame, key: str, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with the name of their group of equals, groups); names are hashes that are checked to be one for each vector."""
     v = F.col(vector)
     sound = F.col(label).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+    for seed in range(8):
+        name = F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(F.lit(seed), F.col(label), v))
+        rows = df.select(F.col(key).alias("_key"), name.alias("rep"), F.col(label).cast("string").alias("lab"), v.alias("v"))
+        reps = cut(rows.where("rep is not null").groupBy("rep", "lab", "v").agg(F.count(F.lit(1)).alias("w"), F.min("_key").alias("low")).withColumn("dim", F.size("v")))
+        if not reps.groupBy("rep").count().where("count > 1").limit(1).collect():
+            return rows.select("_key", "rep"), reps
+    raise RuntimeError("different vectors share every name")
+
+
+def near_duplicates(df: DataFrame, cosine: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", plan: Callable[[int, float], tuple[int, int]] = tables) -> DataFrame:
+    """One row per input row: key, n_links, component_id, kept. ``plan`` says how many sign bits and tables a label takes."""
     kind = df.schema[vector].dataType.simpleString()
-    # The hash of label and vector names a row's group of equals, so that nothing but it is kept of a row.
-    rows = df.select(F.col(key).alias("_key"), F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(F.col(label), v)).alias("rep"), F.col(label).cast("string").alias("lab"), v.alias("v"))
-    reps = cut(rows.where("rep is not null").groupBy("rep").agg(F.count(F.lit(1)).alias("w"), F.min("_key").alias("low"), F.first("lab").alias("lab"), F.first("v").alias("v")).withColumn("dim", F.size("v")))
+    rows, reps = classes(df, key, vector, label)
     sizes = reps.groupBy("lab", "dim").agg(F.count(F.lit(1)).alias("n"))
     sized = reps.join(sizes, ["lab", "dim"])
 
@@ -144,23 +196,17 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, key: str = "vec_id", ve
             dims = batch.column(3).to_numpy()
             for d, total in sorted({*zip(dims.tolist(), n.tolist())}):
                 part = batch.filter(pa.array((dims == d) & (n == total)))
-                bits, many = tables(total, *plan)
+                bits, many = plan(total, cosine)
                 unit = part.column(2).flatten().to_numpy().reshape(-1, d).astype(np.float64)
                 found = cells(unit / np.linalg.norm(unit, axis=1)[:, None], bits, many)
                 for t in range(many):
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(unit), t, np.int32)), pa.array(found[:, t])], names=["rep", "w", "v", "dim", "n", "tab", "cell"])
-
-    def spread_with_label(batches):
-        for batch in batches:
-            labels = batch.column(5)
-            for lab in labels.unique():
-                mine = batch.filter(pa.compute.equal(labels, lab))
-                for out in spread([pa.RecordBatch.from_arrays(mine.columns[:5], names=mine.schema.names[:5])]):
-                    yield out.append_column("lab", pa.array([lab.as_py()] * out.num_rows, pa.string()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(unit), t, np.int32)), pa.array(found[:, t])], names=[*part.schema.names, "tab", "cell"])
 
-    placed = sized.select("rep", "w", "v", "dim", "n", "lab").mapInArrow(spread_with_label, f"rep long, w long, v {kind}, dim int, n long, tab int, cell long, lab string")
+    placed = sized.select("rep", "w", "v", "dim", "n", "lab").mapInArrow(spread, f"rep long, w long, v {kind}, dim int, n long, lab string, tab int, cell long")
     where = ["lab", "dim", "tab", "cell"]
-    blocks = placed.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    # Blocks of long vectors hold fewer of them.
+    full = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.lit(BLOCK * 256) / F.col("dim")))
+    blocks = placed.groupBy(*where).agg(F.count(F.lit(1)).alias("c")).select(*where, F.ceil(F.col("c") / full).cast("int").alias("nb"))
     mine = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nb")).cast("int")
     tiles = placed.join(blocks, where).withColumn("b", mine).select(
         *where, "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(
@@ -176,7 +222,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, key: str = "vec_id", ve
             d, n, t = b["dim"][0].as_py(), b["n"][0].as_py(), b["tab"][0].as_py()
             rep = b["rep"].to_numpy()
             vectors = b["v"].combine_chunks().flatten().to_numpy().reshape(-1, d).astype(np.float64)
-            links, edges = tile_links(rep, b["w"].to_numpy(), vectors, b["side"].to_numpy(), cosine, *tables(n, *plan), t)
+            links, edges = tile_links(rep, b["w"].to_numpy(), vectors, b["side"].to_numpy(), cosine, *plan(n, cosine), t)
             some = np.nonzero(links)[0]
             a = np.concatenate([rep[some], np.array([e[0] for e in edges], np.int64)])
             z = np.concatenate([links[some], np.array([e[1] for e in edges], np.int64)])
@@ -202,15 +248,15 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, key: str = "vec_id", ve
     found = cut(tiles.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(compare, "edge boolean, a long, b long"))
     links = found.where("not edge").groupBy("a").agg(F.sum("b").alias("links"))
     reach = components(found.where("edge").select("a", "b"))
-    named = (
+    named = cut(
         reps.select("rep", "w", "low")
         .join(links, F.col("rep") == F.col("a"), "left")
         .join(reach, F.col("rep") == F.col("node"), "left")
-        .select("rep", "low", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("root"))
+        .select("rep", "w", "low", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("root"))
     )
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    facts = named.join(lowest, "root").select("rep", "n_links", "component_id")
-    out = rows.select("_key", "rep").join(facts, "rep", "left")
-    return out.select(
-        F.col("_key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "_key").alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("__n"))
+    facts = spread_join(named, lowest, "root").select("rep", "n_links", "component_id", F.col("w").alias("__n"))
+    linked_rows = spread_join(rows.where("rep is not null"), facts, "rep").select("_key", "n_links", "component_id")
+    alone = rows.where("rep is null").select("_key", F.lit(0).cast("long").alias("n_links"), F.col("_key").alias("component_id"))
+    out = linked_rows.unionByName(alone).select(F.col("_key").alias(key), F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "_key").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

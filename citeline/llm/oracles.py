@@ -25,24 +25,22 @@ _LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j: C
   ELSE CAST(substr(reverse({_DIGITS}), j, 1) AS INTEGER) * 2 - CASE WHEN CAST(substr(reverse({_DIGITS}), j, 1) AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
 _WORDS = f"list_filter(string_split_regex({{x}}, '{_SPACE}'), lambda w: w <> '')"
 
-#: Base spans, evidence in windows, disclosure, and the spans of disclosing terms.
+#: Base spans, evidence in whole texts, disclosure, and the spans of disclosing terms.
 PII = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
 m AS ({" UNION ALL ".join(f"SELECT rid, t, {k} AS kind, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS h FROM d" for k, p in enumerate(_PATTERNS))}),
 s0 AS (SELECT rid, t, kind, h[i] AS v, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM m, range(1, len(h) + 1) r(i)),
 s AS (SELECT rid, t, kind, v, a, a + length(v) AS b FROM s0 WHERE CASE kind WHEN 1 THEN regexp_full_match(v, '{pii.OCTET}(\\.{pii.OCTET}){{3}}') WHEN 2 THEN length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN} WHEN 3 THEN length({_DIGITS}) BETWEEN 8 AND 15 ELSE true END),
-w AS (SELECT t, ['email', 'ip', 'card', 'phone'][kind + 1] || ':' || lower(v) AS entity, a, substr({plain("t")}, greatest(a - 80, 0) + 1, least(a, 80)) AS before, substr({plain("t")}, b + 1, 80) AS after FROM s),
-l AS (SELECT t, entity, list_reverse({_WORDS.format(x="before")}) AS lw, {_WORDS.format(x="after")} AS rw, a, length(after) AS n FROM w),
-x AS (SELECT t, entity, list_concat((CASE WHEN a > 80 THEN lw[1:len(lw) - 1] ELSE lw END)[1:5], (CASE WHEN n = 80 THEN rw[1:len(rw) - 1] ELSE rw END)[1:5]) AS near FROM l),
-e AS (SELECT DISTINCT t, entity, unnest(near) AS term FROM x),
-p AS (SELECT * FROM e WHERE length(term) >= 3 AND NOT contains(term, '@') AND NOT regexp_matches(term, '^[0-9+-]+$')),
-ne AS (SELECT entity, count(DISTINCT t) AS n_entity FROM x GROUP BY entity),
-nb AS (SELECT entity, term, count(*) AS n_both FROM p GROUP BY ALL HAVING count(*) >= 3),
-tk AS (SELECT rid, t, string_split_regex({plain("t")}, '{_SPACE}') AS ws FROM d),
-nt AS (SELECT term, count(DISTINCT t) AS n_term FROM (SELECT t, unnest(ws) AS term FROM tk WHERE (SELECT count(*) FROM nb) > 0) WHERE term IN (SELECT term FROM nb) GROUP BY term),
-c AS (SELECT count(DISTINCT text) AS n FROM documents),
-f AS (SELECT DISTINCT term FROM nb JOIN ne USING (entity) JOIN nt USING (term), c WHERE ln(n_both * n / (n_term * n_entity)) / greatest(ln(n / n_entity), 1e-9) >= 0.9),
-ts AS (SELECT rid, ws[i] AS v, CAST(coalesce(list_sum(list_transform(ws[1:i - 1], lambda q: length(q) + 1)), 0) AS BIGINT) AS a FROM tk, range(1, len(ws) + 1) r(i) WHERE (SELECT count(*) FROM f) > 0 AND ws[i] IN (SELECT term FROM f)),
-tt AS (SELECT rid, v, a, a + length(v) AS b FROM ts WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.rid = ts.rid AND s.a < ts.a + length(ts.v) AND s.b > ts.a)),
+en AS (SELECT DISTINCT t, unnest([['email', 'ip', 'card', 'phone'][kind + 1], ['email', 'ip', 'card', 'phone'][kind + 1] || ':' || lower(v)]) AS entity FROM s),
+ne AS (SELECT entity, count(*) AS n_entity FROM en GROUP BY entity HAVING count(*) >= 3),
+wd AS (SELECT DISTINCT t, unnest(string_split_regex({plain(f"regexp_replace(t, '{_PATTERNS[0]}', ' ', 'g')")}, '{_SPACE}')) AS term FROM d),
+p AS (SELECT * FROM wd WHERE length(term) >= 3 AND NOT contains(term, '@') AND NOT regexp_matches(term, '^[0-9+-]+$')),
+nb AS (SELECT entity, term, count(*) AS n_both FROM en JOIN ne USING (entity) JOIN p USING (t) GROUP BY ALL HAVING count(*) >= 3),
+nt AS (SELECT term, count(*) AS n_term FROM p GROUP BY term),
+c AS (SELECT count(DISTINCT t) AS n FROM d),
+f AS (SELECT entity, term FROM nb JOIN ne USING (entity) JOIN nt USING (term), c WHERE ln(n_both * n / (n_term * n_entity)) / greatest(ln(n / n_entity), 1e-9) >= 0.9),
+tk AS (SELECT rid, t, string_split_regex({plain("t")}, '{_SPACE}') AS ws FROM d WHERE EXISTS (SELECT 1 FROM f)),
+ts AS (SELECT rid, t, ws[i] AS v, CAST(coalesce(list_sum(list_transform(ws[1:i - 1], lambda q: length(q) + 1)), 0) AS BIGINT) AS a FROM tk, range(1, len(ws) + 1) r(i) WHERE ws[i] IN (SELECT term FROM f)),
+tt AS (SELECT rid, v, a, a + length(v) AS b FROM ts WHERE (v IN (SELECT term FROM f WHERE contains(entity, ':')) OR EXISTS (SELECT 1 FROM en JOIN f USING (entity) WHERE en.t = ts.t AND f.term = ts.v)) AND NOT EXISTS (SELECT 1 FROM s WHERE s.rid = ts.rid AND s.a < ts.a + length(ts.v) AND s.b > ts.a)),
 al AS (SELECT rid, kind, ['email', 'ip', 'card', 'phone'][kind + 1] AS name, a, b FROM s UNION ALL SELECT rid, 4, 'term', a, b FROM tt),
 o AS (SELECT rid, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
  coalesce(string_agg(name || ':' || a || ':' || b, ',' ORDER BY kind, a) FILTER (kind < 4), '') AS base, string_agg(name || ':' || a || ':' || b, ',' ORDER BY kind, a) AS spans FROM al GROUP BY rid)

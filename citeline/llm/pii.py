@@ -1,24 +1,27 @@
 """Personal data by information-theoretic sanitisation, in DataFrame functions alone.
 
-Method. Base patterns find the protected entities (e-mail, IP, card, phone). Around each mention the
-nearest words are candidate terms; over all distinct texts of the corpus the pointwise mutual
-information of a term and an entity is PMI(t, e) = ln(n(t, e) N / (n(t) n(e))). A term discloses an entity
-when PMI reaches ``threshold`` of the entity's own information ln(N / n(e)), with at least ``support``
-texts behind it. Disclosing terms are generalised wherever they occur, base spans are
-replaced by their kind. Copies of a text are one piece of evidence. A window bounds the pairs of a
-mention, so the pairs grow with the mentions, never with the product of a text's words and entities.
-
-Defined cases: null and empty texts have no spans and stay as they are; a term inside a base span is not
-marked again; overlapping spans are replaced as one; repeated rows stay repeated; tables without
-entities have no terms; extra columns stay. Places are code points, ends exclusive.
+Method. Base patterns find the protected entities: each kind (e-mail, IP, card, phone) and each value that
+recurs. Over all distinct texts of the corpus, whole texts at any distance, the pointwise mutual
+information of a term and an entity is PMI(t, e) = ln(n(t, e) N / (n(t) n(e))). A term discloses an entity when
+PMI reaches ``threshold`` of the entity's own information ln(N / n(e)), with at least ``support``
+texts behind it. A term that discloses a value is generalised wherever it occurs, for it names that value
+even alone; one that discloses a kind, in the texts that hold that kind. Base spans are replaced by their
+kind. Copies of a text are one piece of evidence. Words are exploded only of texts with entities, and of
+the others only the words that may disclose.
+
+Defined cases: null and empty texts have no spans and stay as they are; a term inside a base span is not marked again; overlapping spans are replaced as one; ties at the
+threshold disclose; repeated rows stay repeated; tables without entities have no terms; an empty table gives no
+rows; extra columns stay. Very long texts take time in proportion to their length. Places are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeline.llm.common import cut, numbered
+from citeline.llm.common import cut, discard, numbered, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The four base patterns. Possessive loops and the guards before them change no match; they keep the
@@ -32,13 +35,16 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": "@", "ip": "[0-9][.][0-9]", "card": "[0-9](?:[\\x20-]?[0-9]){14}", "phone": "+"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
+ONE = "struct<kind:int,start:int,end:int,value:string>"
+SPAN = f"array<{ONE}>"
 #: One letter for one letter: capitals become small, punctuation becomes a space, so places stay.
 CAPITALS = "".join(chr(c) for c in [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)])
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&=/\\_`~^"
 SPACE = r"[\x20\x09-\x0D]"
-#: Terms up to this number are one literal set in the plan; more are joined.
-LITERAL_TERMS = 5000
+#: Terms up to this number are one literal set in the plan; up to the second they are broadcast; more are joined by shuffle.
+LITERAL_TERMS, BROADCAST_TERMS = 5000, 200_000
+#: Items that are folded in one go; longer lists are folded block by block, so that appending stays linear.
+FOLDED = 256
 
 
 def plain(text: Column) -> Column:
@@ -57,21 +63,42 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def folded(items: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """One array of what ``step(place, item)`` -> (new place, array of ``kind``) gives for the items in order."""
+    state = f"struct<at:int,out:array<{kind}>>"
+
+    def one(acc: Column, x: Column) -> Column:
+        at, fresh = step(acc["at"], x)
+        return F.struct(at.cast("int").alias("at"), F.when(F.size(fresh) > 0, F.concat(acc["out"], fresh)).otherwise(acc["out"]).alias("out"))
+
+    def block(done: Column, part: Column) -> Column:
+        at = F.coalesce(F.try_element_at(done, F.lit(-1))["at"], F.lit(0))
+        start = F.struct(at.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.concat(done, F.array(F.aggregate(part, start, one)))
+
+    def all_of(items: Column) -> Column:
+        last = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / FOLDED).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * FOLDED + 1, FOLDED))
+        done = F.aggregate(parts, F.array().cast(f"array<{state}>"), block)
+        return F.flatten(F.transform(done, lambda x: x["out"]))
+
+    # As the variable of a lambda the items are computed once, not once a block.
+    return F.transform(F.array(items), all_of)[0]
+
+
 def kind_spans(text: Column, kind: str) -> Column:
     """The valid spans of one kind, in order: what lies between the matches gives their places."""
     number, pattern = KINDS.index(kind), F.lit(PATTERNS[kind])
     pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        a = at + F.length(x["gap"])
         b = a + F.coalesce(F.length(x["hit"]), F.lit(0))
         span = F.array(F.struct(F.lit(number).alias("kind"), a.alias("start"), b.alias("end"), x["hit"].alias("value"))).cast(SPAN)
-        return F.struct(b.alias("at"), F.when(x["hit"].isNotNull() & valid(kind, x["hit"]), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return b, F.when(x["hit"].isNotNull() & valid(kind, x["hit"]), span).otherwise(F.array().cast(SPAN))
 
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
     needed = F.contains(text, F.lit(NEEDS[kind])) if len(NEEDS[kind]) == 1 else text.rlike(NEEDS[kind])
-    return F.when(needed, found).otherwise(F.array().cast(SPAN))
+    return F.when(needed, folded(pairs, step, ONE)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -89,83 +116,112 @@ def is_term(word: Column) -> Column:
     return (F.length(word) >= 3) & ~F.contains(word, F.lit("@")) & ~word.rlike("^[0-9+-]+$")
 
 
-def evidence(df: DataFrame, text: str, window: int = 5, reach: int = 80) -> DataFrame:
-    """Distinct (entity, term, h): the terms next to each mention of an entity, for each distinct text."""
-    found = df.select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).withColumn("s", base_spans(F.col("t"))).where(F.size("s") > 0)
-    each = found.withColumn("n", plain(F.col("t"))).select("h", "n", F.explode("s").alias("s"))
-    words = lambda c: F.filter(F.split(c, SPACE, -1), lambda w: w != "")
-    before = F.expr(f"substring(n, greatest(s.start - {reach}, 0) + 1, least(s.start, {reach}))")
-    after = F.expr(f"substring(n, s.end + 1, {reach})")
-    left = F.reverse(words(before))
-    left = F.when(F.col("s.start") > reach, F.slice(left, 1, F.greatest(F.size(left) - 1, F.lit(0)))).otherwise(left)
-    right = words(after)
-    right = F.when(F.length(after) == reach, F.slice(right, 1, F.greatest(F.size(right) - 1, F.lit(0)))).otherwise(right)
-    near = F.array_distinct(F.filter(F.concat(F.slice(left, 1, window), F.slice(right, 1, window)), is_term))
-    entity = F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("s.kind") + 1), F.lower("s.value"))
-    return each.select("h", entity.alias("entity"), F.explode_outer(near).alias("term")).distinct()
+def identity(text: str) -> Column:
+    """What stands for a text where copies count once."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
+def words_outside(text: Column) -> Column:
+    """The distinct terms of a text, those inside e-mail addresses left out; the other kinds hold no letters."""
+    text = F.coalesce(text, F.lit(""))
+    masked = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.filter(tokens(masked), is_term))
+
+
+def entities_of(spans: Column) -> Column:
+    """The distinct entities of base spans: their kinds, and kind and value."""
+    name = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)
+    return F.array_distinct(F.concat(F.transform(spans, name), F.transform(spans, lambda s: F.concat_ws(":", name(s), F.lower(s["value"])))))
 
 
 def holding(df: DataFrame, text: str, terms: DataFrame, many: int) -> DataFrame:
     """Distinct (term, h) of the texts that hold each of ``terms``, over all texts."""
-    words = F.array_distinct(tokens(F.col(text)))
+    words = words_outside(F.col(text))
     if many <= LITERAL_TERMS:
         literal = [r["term"] for r in terms.collect()]
-        return df.select(F.xxhash64(text).alias("h"), F.explode(F.filter(words, lambda w: w.isin(literal))).alias("term")).distinct()
-    return df.select(F.xxhash64(text).alias("h"), F.explode(words).alias("term")).join(terms, "term", "left_semi").distinct()
+        return df.select(identity(text).alias("h"), F.explode(F.filter(words, lambda w: w.isin(literal))).alias("term")).distinct()
+    small = F.broadcast(terms) if many <= BROADCAST_TERMS else terms
+    return df.select(identity(text).alias("h"), F.explode(words).alias("term")).join(small, "term", "left_semi").distinct()
 
 
-def disclosing_terms(df: DataFrame, text: str = "text", threshold: float = 0.9, support: int = 3, window: int = 5) -> DataFrame:
+def disclosing_terms(df: DataFrame, text: str = "text", threshold: float = 0.9, support: int = 3) -> DataFrame:
     """(term, entity, n_both, n_term, n_entity, disclosure) of the terms that disclose a protected entity."""
-    pairs = cut(evidence(df, text, window))
-    entities = pairs.select("entity", "h").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    both = pairs.where("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    texts = df.select(F.xxhash64(text)).distinct().count()
-    # A term is in at least the texts that it has evidence in; what fails with that count fails with the whole one.
-    seen = pairs.select("term", "h").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_seen"))
+    found = df.select(F.col(text).alias("t"), identity(text).alias("h")).withColumn("s", base_spans(F.col("t"))).where(F.size("s") > 0)
+    held = stored(found.select("h", words_outside(F.col("t")).alias("words"), entities_of(F.col("s")).alias("entities")).dropDuplicates(["h"]))
+    texts = df.select(identity(text)).distinct().count()
+    mentions = held.select("h", F.explode("entities").alias("entity"))
+    entities = cut(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support))
+    kinds = held.select("h", F.explode("words").alias("term"), F.filter("entities", lambda e: e.isin(*KINDS)).alias("kinds"))
+    # Values stand with a colon, so that they are told from kinds; only the recurring ones meet the words of their texts.
+    values = mentions.where(F.contains("entity", F.lit(":"))).join(entities.select("entity"), "entity", "left_semi")
+    by_value = values.join(held.select("h", "words"), "h").select("entity", F.explode("words").alias("term"))
+    both = (
+        kinds.select(F.explode("kinds").alias("entity"), "term")
+        .unionByName(by_value)
+        .groupBy("entity", "term")
+        .agg(F.count(F.lit(1)).alias("n_both"))
+        .where(F.col("n_both") >= support)
+    )
+    # A term is in at least the texts that hold an entity with it; what fails with that count fails with the whole one.
+    seen = kinds.groupBy("term").agg(F.count(F.lit(1)).alias("n_seen"))
     own = F.greatest(F.log(F.lit(texts) / F.col("n_entity")), F.lit(1e-9))
     most = F.log(F.col("n_both") * texts / (F.col("n_seen") * F.col("n_entity"))) / own
-    both = cut(both.join(seen, "term").join(entities, "entity").where(most >= threshold).drop("n_seen"))
-    candidates = both.select("term").distinct()
+    small = F.broadcast(entities) if entities.count() <= BROADCAST_TERMS else entities
+    both = cut(both.join(seen, "term").join(small, "entity").where(most >= threshold).drop("n_seen"))
+    discard(held)
+    candidates = cut(both.select("term").distinct())
     many = candidates.count()
     if not many:
         return both.select("term", "entity", "n_both", F.lit(None).cast("long").alias("n_term"), "n_entity", F.lit(None).cast("double").alias("disclosure"))
-    held = holding(df, text, candidates, many).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    counted = holding(df, text, candidates, many).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     pmi = F.log(F.col("n_both") * texts / (F.col("n_term") * F.col("n_entity")))
-    return both.join(held, "term").withColumn("disclosure", pmi / own).where(F.col("disclosure") >= threshold).select("term", "entity", "n_both", "n_term", "n_entity", "disclosure")
+    return both.join(counted, "term").withColumn("disclosure", pmi / own).where(F.col("disclosure") >= threshold).select("term", "entity", "n_both", "n_term", "n_entity", "disclosure")
 
 
 def with_spans(df: DataFrame, text: str = "text", **limits) -> DataFrame:
     """All rows with ``pii``: base spans by kind and place, then the spans of disclosing terms by place."""
-    terms = cut(disclosing_terms(df, text, **limits).select("term").distinct())
-    many = terms.count()
+    pairs = cut(disclosing_terms(df, text, **limits).select("entity", "term"))
+    many = pairs.count()
     whole = F.coalesce(F.col(text), F.lit(""))
     base = df.withColumn("pii", base_spans(F.col(text)))
     if not many:
         return base
-    number = KINDS.index("term")
+    number, none = KINDS.index("term"), F.array().cast(SPAN)
+    kinds = F.transform("pii", lambda s: s["kind"])
+    has = {k: F.array_contains(kinds, i) for i, k in enumerate(KINDS[:4])}
 
     def spread(hit) -> Column:
         """The places of the words for which ``hit`` holds, outside base spans."""
 
-        def step(acc: Column, w: Column) -> Column:
-            end = acc["at"] + F.length(w)
-            free = ~F.exists("pii", lambda s: (s["start"] < end) & (s["end"] > acc["at"]))
-            span = F.array(F.struct(F.lit(number).alias("kind"), acc["at"].alias("start"), end.alias("end"), w.alias("value"))).cast(SPAN)
-            return F.struct((end + 1).alias("at"), F.when(hit(w) & free, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        def step(at: Column, w: Column) -> tuple[Column, Column]:
+            end = at + F.length(w)
+            free = ~F.exists("pii", lambda s: (s["start"] < end) & (s["end"] > at))
+            span = F.array(F.struct(F.lit(number).alias("kind"), at.alias("start"), end.alias("end"), w.alias("value"))).cast(SPAN)
+            return end + 1, F.when(hit(w) & free, span).otherwise(none)
 
-        return F.aggregate(tokens(whole), F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+        return folded(tokens(whole), step, ONE)
 
     if many <= LITERAL_TERMS:
-        literal = [r["term"] for r in terms.collect()]
-        hit = lambda w: w.isin(literal)
-        added = F.when(F.exists(tokens(whole), hit), spread(hit)).otherwise(F.array().cast(SPAN))
-        return base.withColumn("pii", F.concat("pii", added))
-    # Too many terms for a literal: the terms of each distinct text come by joins instead.
-    of_text = df.select(F.xxhash64(text).alias("_h"), F.explode(F.array_distinct(tokens(whole))).alias("term")).distinct().join(terms, "term").groupBy("_h").agg(F.collect_set("term").alias("_terms"))
-    joined = base.withColumn("_h", F.xxhash64(text)).join(of_text, "_h", "left")
-    hit = lambda w: F.array_contains("_terms", w)
-    added = F.when(F.col("_terms").isNotNull(), spread(hit)).otherwise(F.array().cast(SPAN))
-    return joined.withColumn("pii", F.concat("pii", added)).drop("_h", "_terms")
+        told: dict[str, set[str]] = {}
+        for r in pairs.collect():
+            told.setdefault(r["entity"] if r["entity"] in KINDS else "", set()).add(r["term"])
+        known = base.withColumns({f"__{k}": has[k] for k in told if k})
+
+        def hit(w: Column) -> Column:
+            found = F.lit(False)
+            for k, terms in sorted(told.items()):
+                found = found | (w.isin(sorted(terms)) & (F.col(f"__{k}") if k else F.lit(True)))
+            return found
+
+        added = F.when(F.exists(tokens(whole), hit), spread(hit)).otherwise(none)
+        return known.withColumn("pii", F.concat("pii", added)).drop(*(f"__{k}" for k in told if k))
+    # Too many for a literal: the terms of each distinct text come by joins instead.
+    named = base.withColumn("__h", identity(text))
+    worded = named.select("__h", F.filter(F.array(*(F.when(c, k) for k, c in has.items())), lambda k: k.isNotNull()).alias("k"), F.explode(F.array_distinct(F.filter(tokens(whole), is_term))).alias("term"))
+    small = F.broadcast(pairs) if many <= BROADCAST_TERMS else pairs
+    of_text = worded.join(small, "term").where(F.contains("entity", F.lit(":")) | F.array_contains("k", F.col("entity"))).groupBy("__h").agg(F.collect_set("term").alias("__terms"))
+    marked = named.join(of_text, "__h", "left")
+    return marked.withColumn("pii", F.concat("pii", F.when(F.col("__terms").isNotNull(), spread(lambda w: F.array_contains("__terms", w))).otherwise(none))).drop("__h", "__terms")
 
 
 def sanitise(df: DataFrame, text: str = "text", **limits) -> DataFrame:
@@ -176,13 +232,13 @@ def sanitise(df: DataFrame, text: str = "text", **limits) -> DataFrame:
     found = with_spans(df, text, **limits)
     order = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"], s["kind"], s["end"])))
 
-    def step(acc: Column, s: Column) -> Column:
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
         name = F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)), F.lit("]"))
-        fresh = F.array(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), name)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], fresh)).otherwise(acc["out"]).alias("out"))
+        fresh = F.array(F.substring(F.col(text), at + 1, s["start"] - at), name)
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, fresh).otherwise(F.array().cast("array<string>"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(order, start, step, lambda acc: F.concat_ws("", F.concat(acc["out"], F.array(F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))))
+    last = F.array_max(F.transform("pii", lambda s: s["end"]))
+    clean = F.concat(F.array_join(folded(order, step, "string"), ""), F.substring(F.col(text), last + 1, F.length(F.col(text))))
     return found.withColumn(text, F.when(F.size("pii") > 0, clean).otherwise(F.col(text))).select(*df.columns).toDF(*names)
 
 
