@@ -69,7 +69,7 @@ def folded(items: Column, step: Callable[[Column, Column], tuple[Column, Column]
 
     def one(acc: Column, x: Column) -> Column:
         at, fresh = step(acc["at"], x)
-        return F.struct(at.cast("int").alias("at"), F.when(F.size(fresh) > 0, F.concat(acc["out"], fresh)).otherwise(acc["out"]).alias("out"))
+        return F.struct(at.cast("int").alias("at"), F.concat(acc["out"], fresh).alias("out"))
 
     def block(done: Column, part: Column) -> Column:
         at = F.coalesce(F.try_element_at(done, F.lit(-1))["at"], F.lit(0))
