@@ -6,18 +6,18 @@ right: the last token of a prefix is the vocabulary entry that ends there and is
 last token of the shorter prefix. A token of any longer input starts at most ``lookahead`` bytes
 back, where ``lookahead`` is the byte length of the longest merge result. Whatever all encodings
 of the prefixes within that window share is stable: it is emitted and forgotten, so memory does not
-follow the length of a word. Decoding feeds token bytes to an incremental UTF-8 state machine that
-holds back at most three bytes.
+follow the length of a word. A text goes through in portions, cut where a word begins in any case, and digests are
+fed portion by portion. Decoding feeds token bytes to an incremental UTF-8 state machine that holds
+back at most three bytes.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text; strings of added
-tokens inside a text become the added token, as the library does; repeated rows stay repeated; extra
-columns are ignored.
+tokens inside a text become the added token, as the library does; merges of equal rank (ties) go leftmost
+first; very long texts take time in proportion to their length; repeated rows stay repeated; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import codecs
-import gc
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
@@ -34,7 +34,11 @@ from citeline.llm.common import small_batches
 #: The split pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words that a worker remembers before it starts anew, and how long they may be.
-REMEMBERED, LONGEST_REMEMBERED = 600_000, 80
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 80
+#: Characters of a text that are encoded at once; where a text may be cut: before a single space between two other
+#: characters, which begins a word in any case.
+PORTION = 1 << 16
+CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_letters() -> dict[str, int]:
@@ -170,18 +174,35 @@ class Transducer:
             return [i for part in self.split_added.split(text) if part for i in ([self.added[part]] if part in self.added else self.plain(part))]
         return self.plain(text)
 
+    def portions(self, text: str | None) -> Iterator[list[int]]:
+        """The ids of a text in lists of bounded size, whatever its length; only a stretch without a single space is one piece."""
+        text, at = text or "", 0
+        while at < len(text):
+            end = len(text)
+            if end - at > PORTION and (found := CUT.search(text, at + PORTION)):
+                end = found.start()
+            piece = text[at:end]
+            if self.split_added and end < len(text) and any(a in text[max(0, end - len(a)) : end + len(a)] for a in self.added):
+                piece, end = text[at:], len(text)  # an added token may stand across the cut
+            yield self.encode(piece)
+            at = end
+
     def plain(self, text: str) -> list[int]:
         found = self.words.get  # a generation that ends meanwhile stays readable here
         return list(chain.from_iterable([found(w) or self.word(w) for w in self.split.findall(text)]))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
+        return "".join(self.decoded([ids]))
+
+    def decoded(self, portions: Iterable[Iterable[int]]) -> Iterator[str]:
+        """The text of portions of ids, piece by piece; a character whose bytes are not all there waits in the machine."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        data, out = map(self.bytes_of.__getitem__, ids), []
-        while piece := b"".join(x for _, x in zip(range(4096), data)):
-            out.append(machine.decode(piece))
-        out.append(machine.decode(b"", True))
-        return "".join(out)
+        for ids in portions:
+            data = map(self.bytes_of.__getitem__, ids)
+            while piece := b"".join(x for _, x in zip(range(4096), data)):
+                yield machine.decode(piece)
+        yield machine.decode(b"", True)
 
 
 @lru_cache(maxsize=2)
@@ -217,14 +238,24 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
 
     def run(batches):
         t = transducer(path)
-        gc.disable()  # millions of remembered tuples and no cycles: the collector would walk them again and again
         for batch in batches:
             counts, ids_hex, text_hex = [], [], []
             for value in batch.column(1):
-                ids = t.encode(value.as_py())
-                counts.append(len(ids))
-                ids_hex.append(hashlib.sha256(",".join(map(t.decimal.__getitem__, ids)).encode()).hexdigest())
-                text_hex.append(hashlib.sha256(t.decode(ids).encode("utf-8", "replace")).hexdigest())
+                of_ids, of_text, many = hashlib.sha256(), hashlib.sha256(), 0
+
+                def digested(portions):
+                    nonlocal many
+                    for ids in portions:
+                        if ids:
+                            of_ids.update((("," if many else "") + ",".join(map(t.decimal.__getitem__, ids))).encode())
+                            many += len(ids)
+                        yield ids
+
+                for piece in t.decoded(digested(t.portions(value.as_py()))):
+                    of_text.update(piece.encode("utf-8", "replace"))
+                counts.append(many)
+                ids_hex.append(of_ids.hexdigest())
+                text_hex.append(of_text.hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],
                 names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],

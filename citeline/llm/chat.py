@@ -1,16 +1,20 @@
 """Chat formatting: tool calls linked with their results.
 
 Method. Calls and results are joined by hash on conversation and identifier. Calls are ordered topologically:
-a call's level is one more than the highest level it refers to, found in rounds of equi-joins over
-the calls still open, and a result follows its call. Arguments are validated against the JSON schema of
+a call's level is one more than the highest level it refers to, and a result follows its call. Calls with a single
+reference point along their chain, and the pointers double in each round of equi-joins, so a chain takes as many
+rounds as its length has binary digits; rounds over the calls still open are left to calls with several
+references. Texts are parsed once and the parsed rows are stored. Arguments are validated against the JSON schema of
 the called tool, and every row is serialised as canonical JSON (sorted keys, no white space, UTF-8).
 Rows are never gathered by conversation, so one conversation may hold any share of them.
 
 Defined cases: an identifier used twice belongs to the first call by turn and place, later ones are ``repeated``;
 a result without a call is an ``orphan``; a call without a result is ``open``; references to nothing are
 ignored and calls on a cycle get level null and the error ``cycle``; arguments that are no JSON object or
-tools without a schema are invalid with a reason; null and empty texts are the empty text; a null
-conversation or turn stays null and links with nothing; an empty table gives no rows.
+tools without a schema are invalid with a reason; numbers that are not finite and JSON that is nested too
+deep to be read are no JSON; half surrogates become U+FFFD; references that are no list are none; null and empty texts
+are the empty text and very long ones are kept whole; repeated rows stay repeated; a null conversation or
+turn stays null and links with nothing; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeline.llm.common import cut, small_batches
+from citeline.llm.common import cut, small_batches, stored
 
 #: Schemas of the tools that ``exchanges`` makes of the turns of a conversation.
 TURN_TOOLS = {
@@ -36,6 +40,25 @@ TURN_TOOLS = {
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+def parsed(text: str):
+    """The value of a JSON text; ValueError for what is none, holds numbers that are not finite, or is nested too deep."""
+
+    def number(digits: str) -> float:
+        if not math.isfinite(x := float(digits)):
+            raise ValueError("a number is not finite")
+        return x
+
+    try:
+        return json.loads(text, parse_float=number, parse_constant=number)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+
+
+def whole(text: str | None) -> str | None:
+    """The text with half surrogates replaced, which no UTF-8 can hold."""
+    return text if text is None or text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def canonical(value) -> str:
     """Canonical JSON: keys sorted by code point, no white space, whole floats as integers."""
 
@@ -53,7 +76,7 @@ def problems(value, schema: dict, path: str = "$") -> list[str]:
     """Where a value breaks a schema of type, enum, bounds, lengths, properties and items."""
     kind = schema.get("type")
     if kind in ("integer", "number"):
-        fits = isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or value == int(value))
+        fits = isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or math.isfinite(value) and value == int(value))
     else:
         fits = kind is None or isinstance(value, TYPES[kind])
     if not fits:
@@ -84,8 +107,8 @@ def exchanges(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Tool calls in JSON, as {"tool_calls": [{"id", "name", "arguments", "after": [ids]}]} from the assistant and
     {"tool_call_id", "content"} from the tool, are taken as they are. Every other user turn is a call of
-    ``answer`` named by its turn, and every other assistant turn the result for the turn before it; other
-    roles are results of no call.
+    ``answer`` named by its turn, which refers to the call two turns before, and every other assistant turn
+    the result for the turn before it; other roles are results of no call.
     """
     entry = "struct<kind:string,place:int,call_id:string,name:string,payload:string,after:array<string>>"
 
@@ -97,44 +120,62 @@ def exchanges(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
             found = None
             if x.lstrip()[:1] == "{" and ("tool_call" in x):
                 try:
-                    found = json.loads(x)
+                    found = parsed(x)
                 except ValueError:
                     found = None
+            name = lambda v: None if v is None else whole(v if isinstance(v, str) else json.dumps(v))
             if isinstance(found, dict) and isinstance(found.get("tool_calls"), list):
                 calls = [c if isinstance(c, dict) else {} for c in found["tool_calls"]]
-                given = lambda a: a if isinstance(a, str) else json.dumps(a)
-                return [{"kind": "call", "place": i, "call_id": None if c.get("id") is None else str(c["id"]), "name": None if c.get("name") is None else str(c["name"]), "payload": given(c.get("arguments")), "after": [str(a) for a in c.get("after") or []]} for i, c in enumerate(calls)]
+                after = lambda c: [name(a) for a in c["after"] if a is not None] if isinstance(c.get("after"), list) else []
+                return [{"kind": "call", "place": i, "call_id": name(c.get("id")), "name": name(c.get("name")), "payload": name(c.get("arguments")) or "null", "after": after(c)} for i, c in enumerate(calls)]
             if isinstance(found, dict) and "tool_call_id" in found:
-                return [{"kind": "result", "place": 0, "call_id": str(found["tool_call_id"]), "name": None, "payload": json.dumps(found.get("content")), "after": []}]
+                return [{"kind": "result", "place": 0, "call_id": name(found["tool_call_id"]), "name": None, "payload": json.dumps(found.get("content")), "after": []}]
             if r == "user":
-                return [{"kind": "call", "place": 0, "call_id": None if t is None else str(t), "name": "answer", "payload": json.dumps({"prompt": x, "turn": t}), "after": []}]
+                return [{"kind": "call", "place": 0, "call_id": None if t is None else str(t), "name": "answer", "payload": json.dumps({"prompt": x, "turn": t}), "after": [] if t is None else [str(t - 2)]}]
             return [{"kind": "result", "place": 0, "call_id": str(t - 1) if r == "assistant" and t is not None else None, "name": None, "payload": json.dumps(x), "after": []}]
 
         return pd.Series([one(*row) for row in zip(turn, role, text)])
 
     small_batches(turns.sparkSession, 1000)
-    rows = turns.select("conv_id", "turn", "role", F.explode(read("turn", "role", "text")).alias("e")).select("conv_id", "turn", "role", "e.*")
+    rows = stored(turns.select("conv_id", "turn", "role", F.explode(read("turn", "role", "text")).alias("e")).select("conv_id", "turn", "role", "e.*"))
     return rows.where("kind = 'call'").drop("kind"), rows.where("kind = 'result'").drop("kind", "name", "after")
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of owned calls (conv_id, call_id, after): 0 without references, null on a cycle."""
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("ref")).distinct()
-    nodes = calls.select("conv_id", "call_id")
-    edges = cut(edges.join(nodes.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"]))
-    waiting = edges.select("conv_id", "call_id").distinct()
-    done = nodes.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    left = edges.count()
+    """(conv_id, call_id, level) of owned calls (conv_id, call_id, after): 0 without references, null on a cycle or after one."""
+    at, none = ["conv_id", "call_id"], F.lit(None).cast("int")
+    nodes = cut(calls.select(*at))
+    edges = calls.select(*at, F.explode("after").alias("ref")).distinct()
+    edges = cut(edges.join(nodes.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"]).select(*at, "ref"))
+    degree = edges.groupBy(*at).agg(F.count(F.lit(1)).alias("refs"), F.min("ref").alias("to"))
+    jumps = cut(degree.where("refs = 1").select(*at, "to", F.lit(1).alias("steps")))
+    # Pointer doubling along the calls with one reference, to the next call with none or several.
+    for _ in range(max(jumps.count(), 1).bit_length()):
+        on = jumps.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
+        joined = jumps.join(on, ["conv_id", "to"], "left")
+        grown = cut(joined.select(*at, F.coalesce("next", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")))
+        jumps = grown.drop("moved")
+        if not grown.where("moved").limit(1).collect():
+            break
+    single = jumps.select(*at)
+    several = degree.where("refs > 1").select(*at)
+    done = nodes.join(single.unionByName(several), at, "left_anti").withColumn("level", F.lit(0))
+    # A reference of a call with several is a reference to where its chain ends, so many steps further.
+    ends = jumps.select("conv_id", F.col("call_id").alias("ref"), "to", "steps")
+    open_ = cut(edges.join(several, at, "left_semi").join(ends, ["conv_id", "ref"], "left").select(*at, F.coalesce("to", "ref").alias("ref"), F.coalesce("steps", F.lit(0)).alias("steps")))
+    left = open_.count()
     while left:
-        met = edges.join(done.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"], "left")
-        ready = met.groupBy("conv_id", "call_id").agg(F.count_if(F.col("level").isNull()).alias("missing"), (F.max("level") + 1).alias("level")).where("missing = 0").drop("missing")
-        new = ready.join(done, ["conv_id", "call_id"], "left_anti")
-        grown = cut(done.unionByName(new))
-        edges = cut(edges.join(new, ["conv_id", "call_id"], "left_anti"))
-        done, before, left = grown, left, edges.count()
+        met = open_.join(done.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"], "left")
+        ready = met.groupBy(*at).agg(F.count_if(F.col("level").isNull()).alias("missing"), (F.max(F.col("level") + F.col("steps")) + 1).cast("int").alias("level")).where("missing = 0").drop("missing")
+        new = cut(ready.join(done, at, "left_anti"))
+        done = cut(done.unionByName(new))
+        open_ = cut(open_.join(new, at, "left_anti"))
+        before, left = left, open_.count()
         if left == before:
             break
-    return done.unionByName(edges.select("conv_id", "call_id").distinct().withColumn("level", F.lit(None).cast("int")))
+    done = done.unionByName(open_.select(*at).distinct().withColumn("level", none))
+    ended = jumps.join(done.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"], "left")
+    return done.unionByName(ended.select(*at, (F.col("level") + F.col("steps")).cast("int").alias("level")))
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
@@ -163,18 +204,18 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] | None
         out = []
         for c, t, r, k, i, n, p, s in zip(conv, turn, role, kind, call_id, name, payload, state):
             try:
-                value = json.loads(p) if p else None
+                value = parsed(p) if p else None
             except ValueError:
                 value = p
             errors = [] if s in ("linked", "open") else [s]
-            if k == "call":
-                errors += problems(value, schemas[n]) if n in schemas else ["no schema"]
-            row = {"conversation": None if pd.isna(c) else int(c), "id": i, "role": r, "turn": None if pd.isna(t) else int(t), "type": k}
-            row |= {"name": n, "arguments": value} if k == "call" else {"content": value}
             try:
-                line = canonical(row)
-            except ValueError:
-                errors.append("no canonical form")
+                if k == "call":
+                    errors += map(whole, problems(value, schemas[n])) if n in schemas else ["no schema"]
+                row = {"conversation": None if pd.isna(c) else int(c), "id": i, "role": r, "turn": None if pd.isna(t) else int(t), "type": k}
+                row |= {"name": n, "arguments": value} if k == "call" else {"content": value}
+                line = whole(canonical(row))
+            except RecursionError:
+                errors.append("nested too deep")
                 line = None
             out.append((not errors, errors, line))
         return pd.DataFrame(out, columns=["valid", "errors", "json"])

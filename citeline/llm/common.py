@@ -114,5 +114,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         bad = links.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
         deep = links.select(F.col("v").alias("u")).distinct().join(bad.select("u"), "u", "left_semi")
         if not narrowed(bad.where("n > 1").select("u").unionByName(deep), rows).limit(1).collect():
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            roots = narrowed(links.select(F.col("v").alias("node"), F.col("v").alias("component")), rows).distinct()  # few tasks add up a hub's rows
+            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -55,10 +55,9 @@ def url_filter() -> str:
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     name = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ordered) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered) + " END"
-    seeds = ", ".join(f"('www.{a}-{b}')" for a in u.REJECTED_WORDS for b in u.REJECTED_WORDS if a != b)
+    words = ", ".join(f"('{c}', '{w}')" for c, x in u.CATEGORIES.items() for w in x.split())
     kinds = [x for pair in u.MODELS for x in pair]
-    count = {"a": "accepted", "r": "rejected"}
-    counted = ", ".join(f"CASE WHEN NOT seed AND fold = {x[1:]} THEN 0 ELSE {count[x[0]]} END AS {x}" if x[1:] else f"{count[x]} AS {x}" for x in kinds)
+    counted = ", ".join(f"CASE WHEN half IS NOT DISTINCT FROM {x[1]} OR (v IS NOT DISTINCT FROM 'block') <> {x[0] == 'r'} THEN 0 ELSE 1 END AS {x}" for x in kinds)
     orders = []
     for k in range(1, u.ORDER + 1):
         low = {x: f"l.q{x}" if k > 1 else "1 / 256" for x in kinds}
@@ -66,17 +65,17 @@ def url_filter() -> str:
 sums{k} AS (SELECT c, {", ".join(f"sum({x}) AS n{x}, count(*) FILTER ({x} > 0) AS t{x}" for x in kinds)} FROM own{k} GROUP BY c),
 q{k} AS (SELECT o.g, {", ".join(f"CASE WHEN n{x} > 0 THEN (o.{x} + t{x} * {low[x]}) / (n{x} + t{x}) ELSE {low[x]} END AS q{x}" for x in kinds)} FROM own{k} o JOIN sums{k} USING (c){f" JOIN q{k - 1} l ON l.g = o.s" if k > 1 else ""})""")
     gram = f"substr(repeat(chr(2), {u.ORDER - 1}) || line || chr(3), i, {u.ORDER})"
-    scores = ", ".join(f"avg(ln(q{r} / q{a})) AS score{a[1:]}" for a, r in u.MODELS)
     newline = ",\n"
     return f"""WITH p0 AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p1 AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p0),
-rows_ AS (SELECT page_id, host, path, {name} AS rule, {verdict} AS v, regexp_replace(host, '(?:^|\\.)[^.]*(?:\\.[^.]*)?$', '') || regexp_replace(path, '^/[^/]*', '') AS line FROM p1),
-known AS (SELECT line, count(*) FILTER (v = 'allow') AS accepted, count(*) FILTER (v = 'block') AS rejected FROM rows_ WHERE host <> '' GROUP BY line),
-folded AS (SELECT *, CAST('0x' || substr(md5(regexp_extract(line, '([^./]*)(?:/.*)?$', 1)), 1, 8) AS BIGINT) % 2 AS fold FROM (SELECT *, false AS seed FROM known UNION ALL SELECT *, 0, 1, true FROM (VALUES {seeds}))),
-counted AS (SELECT line, {counted} FROM folded),
+rows_ AS (SELECT page_id, host, path, {name} AS rule, {verdict} AS v, host || path AS line FROM p1),
+known AS (SELECT line, any_value(v) AS v, CAST('0x' || substr(md5(regexp_extract(line, '^[^/]*')), 1, 8) AS BIGINT) % 2 AS half FROM rows_ WHERE host <> '' GROUP BY line),
+w(c, x) AS (VALUES {words}),
+listed AS (SELECT x AS line FROM w UNION SELECT a.x || j || b.x FROM w a JOIN w b USING (c), (VALUES ('-'), ('')) t(j) WHERE a.x <> b.x),
+counted AS (SELECT line, {counted} FROM (SELECT line, v, half FROM known UNION ALL SELECT line, 'block', NULL FROM listed)),
 top AS (SELECT {gram} AS g, {", ".join(f"sum({x}) AS {x}" for x in kinds)} FROM counted, range(1, length(line) + 2) r(i) GROUP BY 1),
 {newline.join(orders)},
-sc AS (SELECT line, {scores} FROM known, range(1, length(line) + 2) r(i) JOIN q{u.ORDER} ON g = {gram} GROUP BY line),
-lim AS (SELECT greatest(quantile_disc(CASE WHEN fold = 0 THEN score0 ELSE score1 END, 0.99), 0.0) AS cutoff FROM folded JOIN sc USING (line) WHERE NOT seed AND accepted > 0)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host = '' THEN 'allow' WHEN score > cutoff THEN 'block' ELSE 'allow' END) AS verdict, round(CASE WHEN host <> '' THEN score END, 6) AS score, round(cutoff, 6) AS threshold
+sc AS (SELECT line, avg(CASE WHEN half = 0 THEN ln(qr0 / qa0) ELSE ln(qr1 / qa1) END) AS score FROM known, range(1, length(line) + 2) r(i) JOIN q{u.ORDER} ON g = {gram} GROUP BY line),
+lim AS (SELECT greatest(coalesce(quantile_disc(score, 0.99), 0.0), 0.0) AS cutoff FROM known JOIN sc USING (line) WHERE v = 'allow')
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host = '' THEN 'allow' WHEN score > cutoff THEN 'block' ELSE 'allow' END) AS verdict, round(score, 6) AS score, round(cutoff, 6) AS threshold
 FROM rows_ LEFT JOIN sc USING (line), lim"""

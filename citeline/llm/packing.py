@@ -22,8 +22,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeline.llm.common import cut
+
 LENGTHS = (256, 512, 1024, 2048, 4096)
-SALTS = 64
+#: Pieces that one task ranks: the salts of a table grow with it.
+RANKED = 50_000
+#: Salts up to which the offsets, at most so many for each length, are broadcast.
+BROADCAST_SALTS = 256
 
 
 def sequence_cost(length: int) -> float:
@@ -126,16 +131,18 @@ def pack(df: DataFrame, sizes: Sequence[int] = LENGTHS, key: str = "doc_id", len
     """Rows (key, piece, start, n_tokens, seq_id, seq_offset, seq_used, seq_length) for each piece of each row."""
     spark, largest = df.sparkSession, max(sizes)
     n = (words(F.col("text")) if length is None else length).cast("long")
-    docs = df.select(F.col(key), n.alias("n"))
+    # Counted once, then only keys and lengths are read.
+    docs = cut(df.select(F.col(key), n.alias("n")))
+    salts = docs.agg((F.sum(F.greatest((F.col("n") + largest - 1) / largest, F.lit(1)).cast("long")) / RANKED).cast("long") + 1).first()[0] or 1
     items = docs.select(
         key, F.posexplode(F.when(F.col("n") > 0, F.sequence(F.lit(0), ((F.col("n") - 1) / largest).cast("int"))).otherwise(F.array(F.lit(0)))).alias("piece", "_"), "n"
     ).select(
         key, "piece", (F.col("piece") * F.lit(largest).cast("long")).alias("start"),
         F.least(F.lit(largest).cast("long"), F.col("n") - F.col("piece") * largest).alias("n_tokens"),
-        F.pmod(F.xxhash64(key, "piece", "n"), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64(key, "piece", "n"), F.lit(salts)).cast("int").alias("salt"),
     )
     packed = items.where("n_tokens > 0")
-    # At most largest * SALTS rows, whatever the input.
+    # At most a row for each length and salt, and no more than pieces.
     salted = packed.groupBy("n_tokens", "salt").count()
     before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.select("n_tokens", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ranked"))
@@ -145,7 +152,7 @@ def pack(df: DataFrame, sizes: Sequence[int] = LENGTHS, key: str = "doc_id", len
     rank = F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy(key, "piece")) - 1
     placed = (
         packed.withColumn("rank", rank)
-        .join(F.broadcast(offsets), ["n_tokens", "salt"])
+        .join(offsets if salts > BROADCAST_SALTS else F.broadcast(offsets), ["n_tokens", "salt"])
         .withColumn("rank", F.col("rank") + F.col("ranked"))
         .join(F.broadcast(by_length), "n_tokens")
         .where("rank >= item_lo and rank < item_hi")

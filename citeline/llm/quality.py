@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, MapType, StructField, StructType
 
-from citeline.llm.common import cut, narrowed, numbered, small_batches, stored
+from citeline.llm.common import cut, narrowed, numbered, small_batches
 
 #: Characters of an n-gram; what stands before and after a text.
 LENGTH = 4
@@ -237,9 +237,13 @@ def scored(df: DataFrame, model: list[tuple[DataFrame, DataFrame]], text: str =
     schema = StructType([*df.schema.fields, StructField("__symbols", LongType()), StructField("__nats", DoubleType())])
     at = df.columns.index(text)
     by = F.lit(ALL) if by is None else by
-    # Stored, because the blocks are read twice and must be the same.
-    rows = stored(df.withColumn("__tag", F.expr(f"monotonically_increasing_id() div {BLOCK}") * 4 + by))
-    grams = cut(tally(rows.select(text, "__tag")).select("g", "tag", (F.col("tag") % 4).alias("m")))
+    # Blocks by content, so that they are the same however often a lost task is run again. Texts move once: both reads
+    # of ``rows`` share one exchange, and a block lies whole in one task, where it is counted.
+    many = df.count() // BLOCK + 1
+    told = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    rows = df.withColumn("__tag", F.pmod(F.xxhash64(*told), F.lit(many)) * 4 + by).repartition("__tag")
+    whole = rows.mapInArrow(lambda batches: (b.select([text, "__tag"]).rename_columns(["t", "tag"]) for b in batches), "t string, tag long")
+    grams = tally(whole).select("g", "tag", (F.col("tag") % 4).alias("m"))
     found = grams.join(probabilities(grams.select("m", "g").distinct(), model), ["m", "g"]).select(F.col("tag").alias("__tag"), "g", "nats")
 
     def run(texts: pa.Table, table: pa.Table) -> pa.Table:

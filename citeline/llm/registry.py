@@ -87,13 +87,15 @@ k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.n = vec_id LEFT JOIN k ON k.a = vec_id""",
     "op6_tool_call_linking": """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS x FROM conversations),
 calls AS (SELECT * FROM c WHERE role = 'user'),
-res AS (SELECT *, CASE WHEN role = 'assistant' THEN turn - 1 END AS k FROM c WHERE role IS DISTINCT FROM 'user')
-SELECT conv_id, turn, CAST(0 AS INTEGER) AS place, 'call' AS kind, CAST(turn AS VARCHAR) AS call_id, turn AS call_turn, CAST(0 AS INTEGER) AS level,
+res AS (SELECT *, CASE WHEN role = 'assistant' THEN turn - 1 END AS k FROM c WHERE role IS DISTINCT FROM 'user'),
+runs AS (SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM (SELECT DISTINCT conv_id, turn FROM calls)),
+lv AS (SELECT conv_id, turn, CAST(2 * (row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1) AS INTEGER) AS level FROM runs)
+SELECT conv_id, turn, CAST(0 AS INTEGER) AS place, 'call' AS kind, CAST(turn AS VARCHAR) AS call_id, turn AS call_turn, level,
  CASE WHEN EXISTS (SELECT 1 FROM res WHERE res.conv_id = calls.conv_id AND res.k = calls.turn) THEN 'linked' ELSE 'open' END AS state,
  x <> '' AS valid, CASE WHEN x = '' THEN '$.prompt: too short' ELSE '' END AS errors,
- '{"arguments":{"prompt":' || CAST(to_json(x) AS VARCHAR) || ',"turn":' || turn || '},"conversation":' || conv_id || ',"id":"' || turn || '","name":"answer","role":"user","turn":' || turn || ',"type":"call"}' AS json FROM calls
-UNION ALL SELECT r.conv_id, r.turn, 0, 'result', CAST(k AS VARCHAR), calls.turn, CASE WHEN calls.turn IS NOT NULL THEN 1 END, CASE WHEN calls.turn IS NULL THEN 'orphan' ELSE 'linked' END,
+ '{"arguments":{"prompt":' || CAST(to_json(x) AS VARCHAR) || ',"turn":' || turn || '},"conversation":' || conv_id || ',"id":"' || turn || '","name":"answer","role":"user","turn":' || turn || ',"type":"call"}' AS json FROM calls JOIN lv USING (conv_id, turn)
+UNION ALL SELECT r.conv_id, r.turn, 0, 'result', CAST(k AS VARCHAR), calls.turn, lv.level + 1, CASE WHEN calls.turn IS NULL THEN 'orphan' ELSE 'linked' END,
  calls.turn IS NOT NULL, CASE WHEN calls.turn IS NULL THEN 'orphan' ELSE '' END,
  '{"content":' || CAST(to_json(r.x) AS VARCHAR) || ',"conversation":' || r.conv_id || ',"id":' || coalesce('"' || k || '"', 'null') || ',"role":' || coalesce('"' || r.role || '"', 'null') || ',"turn":' || r.turn || ',"type":"result"}'
- FROM res r LEFT JOIN calls ON calls.conv_id = r.conv_id AND calls.turn = k""",
+ FROM res r LEFT JOIN calls ON calls.conv_id = r.conv_id AND calls.turn = k LEFT JOIN lv ON lv.conv_id = r.conv_id AND lv.turn = k""",
 }

@@ -187,6 +187,19 @@ def test_url_rules_and_models(spark):
     assert sum(x.verdict == "block" for x in free) < 0.1 * len(free)
 
 
+def test_url_models_read_whole_urls(spark):
+    """Registered names count as much as those below others; a name that is in the list only in part is known by its characters."""
+    r = random.Random(4)
+    name = lambda: "".join(r.choice("bcdlmnrst") + r.choice("aeiou") for _ in range(r.randint(2, 5)))
+    clean = [f"https://{r.choice(('', 'www.', 'news.'))}{name()}{r.choice(('', '-' + name()))}.{r.choice(('com', 'org', 'io'))}/{r.choice(('fr', 'en', 'a'))}/{name()}" for _ in range(800)]
+    bad = ["https://cheap-pills.com/", "https://www.casinopoker.io/en/x", "https://onlinecasinos.org/win", "http://a.b.pharmacy-tablets.com/en/"]
+    found = {x.page_id: x for x in url_filter.judge(spark.createDataFrame(list(enumerate([*clean, *bad])), "page_id long, url string")).collect()}
+    assert [found[800 + i].verdict for i in range(4)] == ["block"] * 4
+    free = [found[i] for i in range(800) if found[i].rule is None]
+    assert sum(x.verdict == "block" for x in free) < 0.05 * len(free)
+    assert found[800].score != found[801].score
+
+
 def test_url_ratio_is_witten_bell(spark):
     """The joined tables give what a plain computation gives."""
     from collections import Counter
@@ -194,8 +207,8 @@ def test_url_ratio_is_witten_bell(spark):
 
     data = [("abab", 2, 1), ("abc", 0, 3), ("b", 1, 0)]
     lines = spark.createDataFrame(data, "line string, accepted long, rejected long")
-    counted = {x + v: F.col(c) for v in ("", "0", "1") for x, c in (("a", "accepted"), ("r", "rejected"))}
-    found = {r.g: r.llr for r in url_filter.ratios(lines.withColumns(counted)).collect()}
+    counted = {x + v: F.col(c) for v in ("0", "1") for x, c in (("a", "accepted"), ("r", "rejected"))}
+    found = {r.g: r.llr1 for r in url_filter.ratios(lines.withColumns(counted)).collect()}
     n = [Counter(), Counter()]
     for text, *many in data:
         padded = url_filter.START * 4 + text + url_filter.END

@@ -1,12 +1,13 @@
 """Each operator does the whole job: cases that an earlier cut lost."""
 
+import json
 import math
 import random
 from collections import Counter
 
 import pytest
 
-from citeline.llm import html_extract, quality, simhash
+from citeline.llm import chat, html_extract, quality, simhash
 
 
 @pytest.mark.parametrize("start", ["<body>", "", "<body class=x><div>", "<main>"])
@@ -76,3 +77,29 @@ def test_quality_tells_texts_of_one_script_apart(spark):
 def test_quality_trusts_no_toxic_text(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, None), (4, 0, 0)], "doc_id long, quality int, toxic int")
     assert sorted(r.doc_id for r in quality.trusted_ids(labels).collect()) == [1, 3]
+
+
+def test_chat_survives_bad_json(spark):
+    call = lambda i, **more: json.dumps({"tool_calls": [{"id": i, "name": "answer", "arguments": {"prompt": "p", "turn": 1}} | more]})
+    texts = [
+        call("a", arguments='{"prompt": "p", "turn": NaN}'), call("b", arguments='{"prompt": "p", "turn": 1e400}'), call("c", arguments='{"prompt": "\\ud800", "turn": 1}'),
+        call("d", after=5), '{"tool_calls": [{"id": "e", "arguments": ' + "[" * 100_000 + "]" * 100_000 + "}]}", call("f", arguments="[" * 600 + "]" * 600), call("g", id=[1, {"x": None}]), call("h", after=[None, "d", 7]),
+        '{"tool_calls": [{"id": "i", "name": "answer", "arguments": {"prompt": "\\udc00", "turn": 2.0}}]}',
+    ]
+    rows = [(1, i, "assistant", t) for i, t in enumerate(texts)]
+    found = {r.turn: r for r in chat.linked(*chat.exchanges(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert len(found) == len(texts)
+    assert not found[0].valid and not found[1].valid and found[2].valid and "\ufffd" in found[2].json
+    assert found[3].valid and found[3].level == 0 and found[4].kind == "result" and not found[5].valid
+    assert found[6].call_id == '[1, {"x": null}]' and found[7].level == 2 and found[8].valid and "\ufffd" in found[8].json
+
+
+def test_chat_orders_long_chains_and_joins(spark):
+    """A chain of 600 calls, a call that joins two of it, a cycle and what hangs on it."""
+    rows = [(1, i, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(600)] + [(1, 700, "j", ["c10", "c500"]), (1, 701, "k", ["j"]), (1, 702, "m", ["k", "c2"])]
+    rows += [(2, 0, "x", ["y"]), (2, 1, "y", ["x"]), (2, 2, "z", ["x"]), (2, 3, "w", ["z", "v"]), (2, 4, "v", ["nothing"])]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, after array<string>")
+    found = {r.call_id: r.level for r in chat.levels(calls).collect()}
+    assert len(found) == len(rows) and all(found[f"c{i}"] == i for i in range(600))
+    assert (found["j"], found["k"], found["m"]) == (501, 502, 503)
+    assert [found[k] for k in "xyzwv"] == [None, None, None, None, 0]
