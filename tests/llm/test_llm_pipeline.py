@@ -1,28 +1,73 @@
 """The stages against plain computations, and the registered queries on the small tables."""
 
 import os
+import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from citeline.llm import packing, pii, quality, registry, simhash
+from citeline.llm import near_copies, packing, pii, quality, registry
 from citeline.llm.common import table
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no driver tables here")
 
 
+def kept_by_force(texts, similarity=0.8):
+    """The smallest key of each component of texts whose five-word shingles have at least that Jaccard similarity."""
+    sets = {}
+    for i, t in texts.items():
+        words = (t or "").lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    near = {i: [j for j in sets if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])] for i in sets}
+    low, before = {i: i for i in sets}, None
+    while low != before:
+        before = low
+        low = {i: min(low[j] for j in near[i]) for i in sets}
+    return {i for i in low if low[i] == i}
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_near_copies_against_brute_force(spark, similarity):
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(60):
+        words = [r.choice(vocabulary) for _ in range(r.choice((4, 30, 200, 400)))]
+        texts += [" ".join(words)] * r.choice((1, 1, 2))
+        for _ in range(r.choice((0, 1, 3))):
+            words = list(words)
+            for _ in range(max(1, len(words) // 100)):
+                words[r.randrange(len(words))] = r.choice(vocabulary)
+            texts.append(" ".join(words))
+    texts += ["", "  ", None, "one two", "one two", "One two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit(c) for c in ("key", "h", "id", "__h", "fp", "low")})
+    kept = near_copies.keep_one(df, similarity=similarity)
+    found = {x.doc_id for x in kept.collect()}
+    wanted = kept_by_force(dict(enumerate(texts)), similarity)
+    assert kept.columns == df.columns and not wanted - found and len(found - wanted) <= 0.03 * len(texts)
+
+
+def test_near_copies_tiles_and_ties(spark):
+    """A crowd of copies over several tiles, rows that share a key, null keys."""
+    base = " ".join(f"v{i}" for i in range(120))
+    rows = [(i, f"{base} end{i}") for i in range(50)] + [(3, "something else altogether here now"), (None, base + " null"), (None, "all alone in the world"), (7, f"{base} end7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((x.doc_id if x.doc_id is not None else -1, x.text) for x in near_copies.keep_one(df).collect())
+    assert found == [(-1, "all alone in the world"), (0, f"{base} end0"), (3, "something else altogether here now")]
+    fps = np.array([np.frombuffer(near_copies.wide(near_copies.shingles(t, 5)), np.uint64) for _, t in rows[:50]])
+    whole, parts = near_copies.forest(fps, fps, 50), near_copies.forest(fps[:20], fps[20:], 50)
+    assert len(whole) == 49 and len(parts) == 49
+
+
 def test_run_is_its_stages(spark):
     docs = table(spark, SMALL, "documents").toPandas()
     accepted = {r.doc_id for r in quality.classify(table(spark, SMALL, "documents"), table(spark, SMALL, "labels")).where("accepted").collect()}
     left = docs[docs.doc_id.isin(accepted)]
-    fps = {i: simhash.fingerprint(t, 4) for i, t in zip(left.doc_id, left.text)}
-    low = {i: i for i in fps}
-    for _ in range(20):
-        for i in fps:
-            low[i] = min(low[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 4)
-    kept = {i for i in fps if low[i] == i}
+    kept = kept_by_force(dict(zip(left.doc_id, left.text)))
     clean = pii.sanitise(table(spark, SMALL, "documents").where(f"doc_id in ({','.join(map(str, kept))})")).toPandas()
     wanted = dict(zip(clean.doc_id, map(lambda t: len(t.split()), clean.text)))
     found = corpus_pipeline.run(spark, SMALL).collect()
