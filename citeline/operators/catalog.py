@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import struct
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeline.session import cut
+
 #: Labels of goal categories.
 CATEGORY_LABELS = {
     "climate": "Climate", "energy": "Energy", "circularity_waste": "Circularity & waste", "water": "Water",
@@ -31,8 +32,17 @@ def lookup(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def with_ids(rows: DataFrame, order: list[str], after: int = 0, key: str = "id") -> DataFrame:
-    """New rows with ids that follow ``after`` in a stated order; ids are never reused."""
-    return rows.withColumn(key, F.row_number().over(Window.orderBy(*order)) + F.lit(after))
+    """New rows with ids that follow ``after`` in a stated order; ids are never reused.
+
+    Rows are sorted by ranges and numbered within each; a range starts after the counts of those before it.
+    """
+    placed = cut(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    # One row for each task of the sort.
+    counts = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("_p", before.alias("_b")))
+    return placed.withColumn("_p", part).join(starts, "_p").withColumn(key, F.col("_b") + place + F.lit(after + 1)).drop("_p", "_b", "_m")
 
 
 def latest(events: DataFrame, key: str, order: str) -> DataFrame:
@@ -109,11 +119,11 @@ def filtered(rows: DataFrame, category: str | None = None, year: str | None = No
 
 
 def _decode(blobs: pd.Series) -> pd.Series:
-    return blobs.map(lambda b: None if b is None else list(struct.unpack(f"<{len(b) // 4}f", b)))
+    return blobs.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4"))
 
 
 def _encode(vectors: pd.Series) -> pd.Series:
-    return vectors.map(lambda v: None if v is None else struct.pack(f"<{len(v)}f", *v))
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
 def blob_to_vector(blob: Column) -> Column:
@@ -145,3 +155,42 @@ def report_payload(counted: DataFrame) -> DataFrame:
     """(id, payload): a report as JSON with its counts by kind."""
     counts = F.struct("fte", F.col("goals").alias("sustainability_goal")).alias("extraction_counts")
     return counted.select("id", F.to_json(F.struct("id", "company", "status", "page_count", counts), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def of_report(rows: DataFrame, report: str, order: list[str], key: str = "report_id") -> DataFrame:
+    """The chunks or extractions of one report in a stated order; None means all reports, in order of report first."""
+    return rows.orderBy(key, *order) if report is None else rows.where(F.col(key) == report).orderBy(*order)
+
+
+def embedded(chunks: DataFrame) -> DataFrame:
+    """Chunks that have a vector: what a vector index loads."""
+    return chunks.where("embedding is not null")
+
+
+def cleared(messages: DataFrame, conversation: str | None = None, key: str = "conversation_id") -> DataFrame:
+    """Messages without those of one conversation; None clears all."""
+    return messages.limit(0) if conversation is None else messages.where(~F.col(key).eqNullSafe(conversation))
+
+
+def sorted_goals(goals: DataFrame) -> DataFrame:
+    """Goals by the label of their category, then title, both as people read them, then year and page."""
+    read = lambda c: F.collate(c, "UNICODE")
+    return goals.orderBy(read(category_label(F.col("category"))), read(F.coalesce(F.col("title"), F.lit(""))), F.col("target_year").asc_nulls_last(), F.col("page").asc_nulls_last(), "id")
+
+
+def chat_payload(results: DataFrame) -> DataFrame:
+    """(turn_id, payload): a chat result (status, answer, caveats, citations, interpreted_as) as JSON, nulls kept."""
+    fields = [c for c in results.columns if c != "turn_id"]
+    return results.select("turn_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def now_iso(at: Column | None = None) -> Column:
+    """A point in time, now by default, as ISO 8601 in UTC with microseconds."""
+    at = F.current_timestamp() if at is None else at
+    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
+def page_tasks(pages: DataFrame, size: int = 5, key: str = "doc_id", count: str = "page_count") -> DataFrame:
+    """(key, first, last): ranges of pages to work on, ``size`` pages each; the last one of a document may be shorter."""
+    starts = F.when(F.col(count) > 0, F.sequence(F.lit(1), F.col(count).cast("int"), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return pages.select(key, count, F.explode(starts).alias("first")).select(key, "first", F.least(F.col("first") + size - 1, F.col(count)).cast("int").alias("last"))

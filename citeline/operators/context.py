@@ -45,6 +45,14 @@ def short_tag(source_id: Column, first: Column, last: Column, kind: Column, text
     return F.concat(F.lit('<source id="'), source_id, F.lit('" pages="'), page_label(first, last), F.lit('" kind="'), kind, F.lit('">\n'), text, F.lit("\n</source>"))
 
 
+def extraction_context(chunks: DataFrame, order: list[str], query: str = "query_id") -> tuple[DataFrame, DataFrame]:
+    """((query, context), (query, source_id, chunk_id)): the prompt of an extraction, and what its source ids stand for."""
+    numbered = chunks.withColumn("_s", F.row_number().over(Window.partitionBy(query).orderBy(*order))).withColumn("source_id", F.concat(F.lit("S"), F.col("_s").cast("string")))
+    tag = short_tag(F.col("source_id"), F.col("page_start"), F.col("page_end"), F.col("kind"), F.col("text"))
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("_s", tag.alias("t")))), lambda x: x["t"])
+    return numbered.groupBy(query).agg(F.array_join(blocks, "\n\n").alias("context")), numbered.select(query, "source_id", "chunk_id")
+
+
 def recent(messages: DataFrame, conversation: str, order: str, n: int = HISTORY_MESSAGES) -> DataFrame:
     """The last n messages of each conversation."""
     w = Window.partitionBy(conversation).orderBy(F.col(order).desc())
@@ -63,16 +71,17 @@ def attach_interpretation(messages: DataFrame, conversation: str, order: str) ->
     return messages.withColumn("shown_as", F.when((F.col("role") == "user") & (after["role"] == "assistant"), after["interpreted_as"]))
 
 
-def chat_context(docs: DataFrame, questions: DataFrame, vector_lists: DataFrame, chunks: DataFrame, budget_tokens: int = 5000, depth: int = 20, keep: int = 8) -> DataFrame:
+def chat_context(docs: DataFrame, questions: DataFrame, vector_lists: DataFrame, chunks: DataFrame, budget_tokens: int = 5000, depth: int = 20, keep: int = 8, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Sources of each question: words and vectors fused, the best chunks within the budget, tagged in order.
 
     docs (doc_id, text, company) are ready reports' chunks; vector_lists (query_id, list_idx, rank, doc_id) come
-    from the vector side; a question that names companies sees theirs only.
+    from the vector side; a question that names companies sees theirs only. ``index`` are stored postings and lengths of docs.
     """
     from citeline.operators import retrieval as R
 
     scoped = R.scope_by_name(questions, docs, "query_id", "question", "company")
-    scored = R.bm25(docs.select("doc_id", "text"), questions).join(docs.select("doc_id", "company"), "doc_id").join(scoped, ["query_id", "company"], "left_semi")
+    scored = R.bm25_indexed(*index, questions) if index else R.bm25(docs.select("doc_id", "text"), questions)
+    scored = scored.join(docs.select("doc_id", "company"), "doc_id").join(scoped, ["query_id", "company"], "left_semi")
     words = R.top_k(scored, ["query_id"], [F.round("score", 9).desc(), F.col("doc_id")], depth).select("query_id", F.lit(0).alias("list_idx"), "rank", "doc_id")
     best = R.fused_top(words.unionByName(vector_lists), "query_id", "doc_id", keep).select("query_id", "rank", F.col("doc_id").alias("chunk_id"))
     return assemble(best.join(chunks, "chunk_id"), budget_tokens)

@@ -50,3 +50,22 @@ def reverify(extractions: DataFrame, chunks: DataFrame, compatibility: bool = Tr
     joined = extractions.join(chunks.select(F.col("id").alias("chunk_id"), F.col("text").alias("_t")), "chunk_id")
     again = F.when(F.col("kind") == "fte", verification(F.col("quote"), F.col("value_text"), F.col("_t"), compatibility)["verified"]).otherwise(quote_in(F.col("quote"), F.col("_t"), compatibility))
     return joined.withColumn("now_verified", again).where("now_verified <> verified").drop("_t")
+
+
+def accepted_gold(entries: DataFrame, chunks: DataFrame, compatibility: bool = True) -> DataFrame:
+    """Gold entries (chunk_id, usable, question, expected_quote) that are usable, have both texts, and whose quote stands in the chunk."""
+    joined = entries.join(chunks.select(F.col("id").alias("chunk_id"), F.col("text").alias("_t")), "chunk_id")
+    given = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    return joined.where(F.coalesce("usable", F.lit(False)) & given("question") & given("expected_quote") & quote_in(F.col("expected_quote"), F.col("_t"), compatibility)).drop("_t")
+
+
+def reverify_counts(extractions: DataFrame, chunks: DataFrame, compatibility: bool = True) -> DataFrame:
+    """(kind, checked, gained, lost): how many verifications a new pass looks at and changes, by kind."""
+    held = extractions.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").groupBy("kind").agg(F.count(F.lit(1)).alias("checked"))
+    changed = reverify(extractions, chunks, compatibility).groupBy("kind").agg(F.count_if("now_verified").alias("gained"), F.count_if(~F.col("now_verified")).alias("lost"))
+    return held.join(changed, "kind", "left").na.fill(0, ["gained", "lost"])
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """A share in percent with one decimal; null where there is no whole."""
+    return F.when(whole > 0, F.round(part * 100.0 / whole, 1))

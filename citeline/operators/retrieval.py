@@ -6,14 +6,21 @@ after scoring, so scoped and unscoped scores of a row are the same.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.functions.text import index_tokens, question_tokens
+from citeline.session import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Rows of a question table that are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Query vectors that are held against all vectors at once.
+QUERY_BLOCK = 2_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,6 +30,11 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("doc_len").alias("doc_len"))
 
 
+def lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, doc_len) of every text, those without words too."""
+    return docs.select(key, F.size(index_tokens(F.col(text))).alias("doc_len"))
+
+
 def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
     """One row (n_docs, avg_len) over all texts."""
     return docs.select(F.size(index_tokens(F.col(text))).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
@@ -41,33 +53,101 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def asked(questions: DataFrame, query: str, question: str) -> tuple[DataFrame, DataFrame, bool]:
+    """((query, phrase, p, n), (p, len, i, term), whether they are few): questions share phrases, each distinct phrase is matched once."""
+    parts = phrases(questions, query, question)
+    listed = parts.groupBy(query, "phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]), " ").alias("p"), F.min("phrase").alias("n"))
+    # Phrases and their document frequencies are no more rows than this table: one check bounds all three.
+    few = listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    parts_of = listed.select("p").distinct().select("p", F.split("p", " ").alias("terms")).select("p", F.size("terms").alias("len"), F.posexplode("terms").alias("i", "term"))
+    return listed, parts_of, few
+
+
+def scores(tf: DataFrame, stats: DataFrame, listed: DataFrame, hint, key: str, query: str) -> DataFrame:
+    """(query, key, score) from how often each phrase occurs in each document (key, p, doc_len, tf)."""
+    df = tf.groupBy("p").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("doc_len") / F.col("avg_len")))
+    scored = tf.join(hint(df), "p").crossJoin(F.broadcast(stats)).select(key, "p", part.alias("part"))  # stats is one row
+    ordered = F.array_sort(F.collect_list(F.struct("n", "part")))
+    return scored.join(hint(listed.select(query, "n", "p")), "p").groupBy(query, key).agg(F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x["part"]).alias("score"))
+
+
 def bm25(docs: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", query: str = "query_id", question: str = "question") -> DataFrame:
     """(query, key, score) of all matching documents; higher is better.
 
     A document's words meet only the words asked for. A phrase matches where all its terms follow each
-    other: occurrences of its parts are shifted to the phrase's start and counted.
+    other: occurrences of its parts are shifted to the phrase's start and counted. Questions that come again and
+    again are better asked of a stored index (``bm25_indexed``).
     """
-    parts = phrases(questions, query, question)
-    # Questions share phrases: each distinct phrase is matched once.
-    listed = parts.groupBy(query, "phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]), " ").alias("p"), F.min("phrase").alias("n"))
-    # Phrases and their document frequencies are no more rows than this table: one check bounds all three.
-    few = listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    listed, parts_of, few = asked(questions, query, question)
     hint = F.broadcast if few else (lambda df: df)
-    parts_of = listed.select("p").distinct().select("p", F.split("p", " ").alias("terms")).select("p", F.size("terms").alias("len"), F.posexplode("terms").alias("i", "term"))
     words = docs.select(key, index_tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("doc_len"), F.posexplode("w").alias("pos", "term"))
     met = words.join(hint(parts_of), "term")
     # Occurrences of a single term add up before the shuffle; only real phrases keep where they start.
     start = F.when(F.col("len") > 1, F.col("pos") - F.col("i")).alias("start")
     starts = met.groupBy(key, "p", "len", "doc_len", start).agg(F.count(F.lit(1)).alias("found")).where("len = 1 or found = len")
     tf = starts.groupBy(key, "p", "doc_len").agg(F.sum(F.when(F.col("len") == 1, F.col("found")).otherwise(1)).alias("tf"))
-    df = tf.groupBy("p").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(corpus_stats(docs, text))  # one row
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("doc_len") / F.col("avg_len")))
-    scored = tf.join(hint(df), "p").crossJoin(stats).select(key, "p", part.alias("part"))
-    ordered = F.array_sort(F.collect_list(F.struct("n", "part")))
-    return scored.join(hint(listed.select(query, "n", "p")), "p").groupBy(query, key).agg(F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x["part"]).alias("score"))
+    return scores(tf, corpus_stats(docs, text), listed, hint, key, query)
+
+
+def bm25_indexed(index: DataFrame, sizes: DataFrame, questions: DataFrame, key: str = "doc_id", query: str = "query_id", question: str = "question", scope: DataFrame | None = None) -> DataFrame:
+    """What ``bm25`` gives, from postings (key, term, tf, positions, doc_len) and lengths (key, doc_len): only asked terms are read.
+
+    ``scope`` (query, key) leaves only its pairs; statistics stay those of all documents.
+    """
+    listed, parts_of, few = asked(questions, query, question)
+    hint = F.broadcast if few else (lambda df: df)
+    met = index.join(hint(parts_of), "term")
+    single = met.where("len = 1").select(key, "p", "doc_len", F.col("tf").cast("long").alias("tf"))
+    starts = met.where("len > 1").select(key, "p", "len", "doc_len", F.explode(F.transform("positions", lambda x: x - F.col("i"))).alias("start"))
+    phrased = starts.groupBy(key, "p", "len", "doc_len", "start").agg(F.count(F.lit(1)).alias("found")).where("found = len").groupBy(key, "p", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    found = scores(single.unionByName(phrased), stats, listed, hint, key, query)
+    return found if scope is None else found.join(scope, [query, key], "left_semi")
+
+
+def index_append(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = 16) -> int:
+    """Write texts as a new segment of the stored index at ``path`` and return its number.
+
+    Postings lie in buckets of terms, sorted by term, so that a question's terms are found by file statistics.
+    Lists of texts without words are kept as lengths.
+    """
+    segment = index_segments(docs.sparkSession, path)
+    found = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    found.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    lengths(docs, key, text).write.parquet(f"{path}/lengths/segment={segment}")
+    return segment
+
+
+def index_delete(keys: DataFrame, path: str, key: str = "doc_id") -> int:
+    """Delete texts from the stored index: what segments so far hold of them counts no more. An update is a delete and an append."""
+    segment = index_segments(keys.sparkSession, path)
+    keys.select(key).distinct().write.parquet(f"{path}/deleted/segment={segment}")
+    return segment
+
+
+def _part(spark, path: str, part: str) -> DataFrame | None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.option("basePath", f"{path}/{part}").parquet(f"{path}/{part}") if there else None
+
+
+def index_segments(spark, path: str) -> int:
+    """How many segments the index has, those of deletions too."""
+    tables = [t for t in (_part(spark, path, p) for p in ("lengths", "deleted")) if t is not None]
+    return max((int(t.agg(F.max("segment")).first()[0]) + 1 for t in tables if t.columns), default=0)
+
+
+def index_read(spark, path: str, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of the texts that are in the stored index and not deleted since."""
+    found, sizes, gone = (_part(spark, path, p) for p in ("postings", "lengths", "deleted"))
+    if gone is not None:
+        late = gone.groupBy(key).agg(F.max("segment").alias("_gone"))
+        live = lambda t: t.join(late, key, "left").where("_gone is null or segment > _gone").drop("_gone")
+        found, sizes = live(found), live(sizes)
+    return found.drop("segment", "bucket"), sizes.drop("segment")
 
 
 def top_k(scored: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -89,11 +169,55 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str, query: str, scope: str | None = None) -> DataFrame:
-    """(query, key, score) of each query vector with each vector, or with those of its scope only."""
-    q = queries.select(F.col(query), F.col("vector").alias("_q"), *([F.col(scope)] if scope else []))
-    pairs = vectors.join(small(q), scope) if scope else vectors.crossJoin(small(q))
-    return pairs.select(query, key, cosine(F.col("embedding"), F.col("_q")).alias("score"))
+def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str, query: str, scope: str | None = None, k: int | None = None) -> DataFrame:
+    """(query, key, score) of each query vector with each vector, or with those of its scope only.
+
+    Queries are taken in blocks of ``QUERY_BLOCK`` against all vectors: a block of unit vectors goes to the tasks, which
+    multiply it with batches of vectors. With ``k`` a task passes on, of each query, only what can be among
+    its first k by score (to nine places) and then key.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *queries.schema]}
+    mine = [query, "vector", *([scope] if scope else [])]
+    rows = queries.select(*mine).orderBy(query)
+    many = rows.count()
+    if many > QUERY_BLOCK:
+        n = -(-many // QUERY_BLOCK) + 1
+        numbered = cut(rows.withColumn("_b", F.pmod(F.xxhash64(query), F.lit(n))))
+        blocks = [numbered.where(F.col("_b") == i).drop("_b") for i in range(n)]
+    else:
+        blocks = [rows]
+    found = None
+    for block in blocks:
+        held = block.toPandas()
+        asked_ = np.array(held["vector"].tolist(), np.float64).reshape(len(held), -1)
+        size = np.sqrt((asked_ * asked_).sum(axis=1))
+        asked_ = asked_ / np.where(size > 0, size, 1.0)[:, None]
+        names, scopes = held[query].to_numpy(), held[scope].to_numpy() if scope else None
+
+        def run(batches: Iterator[pd.DataFrame], asked_=asked_, names=names, scopes=scopes) -> Iterator[pd.DataFrame]:
+            best: list[pd.DataFrame] = [pd.DataFrame({query: names[:0], key: [], "score": []})] * len(names)
+            for pdf in batches:
+                if not len(pdf) or not len(names):
+                    continue
+                v = np.array(pdf["embedding"].tolist(), np.float64)
+                n = np.sqrt((v * v).sum(axis=1))
+                alike = (v / np.where(n > 0, n, 1.0)[:, None]) @ asked_.T
+                for i in range(len(names)):
+                    some = np.nonzero(pdf[scope].to_numpy() == scopes[i])[0] if scope else np.arange(len(pdf))
+                    part = pd.DataFrame({query: np.repeat(names[i], len(some)), key: pdf[key].to_numpy()[some], "score": alike[some, i]})
+                    if k is None:
+                        yield part
+                    else:
+                        both = pd.concat([best[i], part]) if len(best[i]) else part
+                        both = both.assign(_r=both["score"].round(9)).sort_values(["_r", key], ascending=[False, True]).head(k)
+                        best[i] = both.drop(columns="_r")
+            if k is not None:
+                yield from (b for b in best if len(b))
+
+        needed = vectors.where("embedding is not null").select(key, "embedding", *([scope] if scope else []))
+        part = needed.mapInPandas(run, f"{query} {kinds[query]}, {key} {kinds[key]}, score double")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def fuse(lists: DataFrame, by: str, key: str, k: int = RRF_K) -> DataFrame:
@@ -112,10 +236,39 @@ def fused_top(lists: DataFrame, by: str, key: str, k: int) -> DataFrame:
     return top_k(fuse(lists, by, key), [by], [F.round("fused", 12).desc(), F.col("first"), F.col(key)], k).select(by, key, "fused", "rank")
 
 
+def hybrid(text_scores: DataFrame, vector_scores: DataFrame, query: str = "query_id", key: str = "doc_id", depth: int = 20, keep: int | None = None) -> DataFrame:
+    """(query, key, fused, rank): text and vector scores, each cut at ``depth``, fused; the first ``keep``, by default as many as the depth."""
+    best = lambda s, i: top_k(s, [query], [F.round("score", 9).desc(), F.col(key)], depth).select(query, F.lit(i).alias("list_idx"), "rank", key)
+    return fused_top(best(text_scores, 0).unionByName(best(vector_scores, 1)), query, key, keep or depth)
+
+
+def multi_query(fused: DataFrame, group: Column, query: str = "query_id", key: str = "doc_id", keep: int = 12) -> DataFrame:
+    """(group_id, key, fused, rank): the fused lists of several phrasings of one need, fused again in order of phrasing."""
+    lists = fused.select(group.alias("group_id"), F.col(query).alias("list_idx"), "rank", key)
+    return fused_top(lists, "group_id", key, keep)
+
+
+def vectors_added(index: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """A vector index with further vectors; one that is there already is replaced."""
+    return index.join(more, key, "left_anti").unionByName(more.where("embedding is not null"))
+
+
+def vectors_removed(index: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return index.join(keys, key, "left_anti")
+
+
 def scope_by_name(questions: DataFrame, reports: DataFrame, query: str, question: str, name: str) -> DataFrame:
-    """(query, name): names contained in a question, regardless of case; all names where none is."""
-    names = small(reports.select(name).distinct())
-    hit = F.contains(F.lower(question), F.lower(F.col(name)))
-    pairs = questions.select(query, question).crossJoin(names).withColumn("hit", hit)
-    some = F.max("hit").over(Window.partitionBy(query))
-    return pairs.withColumn("some", some).where("hit or not some").select(query, name)
+    """(query, name): names contained in a question, regardless of case; all names where none is.
+
+    Names meet questions by their first three letters in an equi-join; only questions that name none are
+    given all names, because that is their scope.
+    """
+    names = reports.select(name).distinct().where(F.coalesce(F.col(name), F.lit("")) != "").withColumn("_n", F.lower(F.col(name)))
+    names = names.withColumn("_k", F.substring("_n", 1, 3))
+    text = F.lower(F.coalesce(F.col(question), F.lit("")))
+    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring(text, i, n)))))
+    keys = questions.select(query, text.alias("_q"), F.explode(starts).alias("_k"))
+    hits = keys.join(names, "_k").where(F.contains("_q", F.col("_n"))).select(query, name).distinct()
+    rest = questions.select(query).join(hits.select(query).distinct(), query, "left_anti").withColumn("_all", F.lit(1))
+    return hits.unionByName(rest.join(names.select(name).withColumn("_all", F.lit(1)), "_all").select(query, name))

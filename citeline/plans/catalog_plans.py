@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from citeline.operators import catalog as K
 from citeline.plans.base import query
-from citeline.session import table
+from citeline.session import shared_folder, table
 
 KINDS = ("click", "error")
 
@@ -152,9 +152,9 @@ def stage_progress(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(K.progress(stage, F.col("event_id") % 10, F.lit(10)), 6).alias("progress"))
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY doc_id) + 500 AS INTEGER) AS id, doc_id FROM documents WHERE doc_id % 9 = 0")
+@query("SELECT row_number() OVER (ORDER BY doc_id) + 500 AS id, doc_id FROM documents")
 def append_with_ids(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("doc_id % 9 = 0").select("doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id")
     return K.with_ids(rows, ["doc_id"], after=500).select("id", "doc_id")
 
 
@@ -179,13 +179,6 @@ def streaming_intake(spark, sf_dir):
     return spark.read.parquet(f"{folder}/rows").select("sha256")
 
 
-def shared_folder(spark) -> str:
-    """The session's checkpoint folder, which executors share; a temporary one only where none is set."""
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="intake-")
-
-
 @query("SELECT vec_id FROM embeddings WHERE vec_id % 4 = 0")
 def pending_embeddings(spark, sf_dir):
     some = F.when(F.col("vec_id") % 4 != 0, F.col("embedding"))
@@ -205,3 +198,53 @@ SELECT id, '{{"id":' || id || ',"company":"' || company || '","status":"' || sta
 )
 def report_payloads(spark, sf_dir):
     return K.report_payload(K.extraction_counts(reports(spark, sf_dir), extractions(spark, sf_dir)))
+
+
+@query(f"WITH {EXTRACTIONS} SELECT report_id, kind, id FROM extractions")
+def extraction_listing(spark, sf_dir):
+    """All extractions in order of report, kind and id."""
+    return K.of_report(extractions(spark, sf_dir), None, ["kind", "id"]).select("report_id", "kind", "id")
+
+
+@query(f"WITH {EXTRACTIONS} SELECT kind, id FROM extractions WHERE report_id = 7")
+def report_extractions(spark, sf_dir):
+    return K.of_report(extractions(spark, sf_dir), 7, ["kind", "id"]).select("kind", "id")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 4 <> 0")
+def embedded_chunks(spark, sf_dir):
+    some = F.when(F.col("vec_id") % 4 != 0, F.col("embedding"))
+    return K.embedded(table(spark, sf_dir, "embeddings").withColumn("embedding", some)).select("vec_id")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE conv_id <> 3")
+def clear_conversation(spark, sf_dir):
+    return K.cleared(table(spark, sf_dir, "conversations"), 3, "conv_id").select("conv_id", "turn")
+
+
+@query(f"SELECT id, CAST(row_number() OVER (ORDER BY {_LABEL} COLLATE NOCASE, title, y NULLS LAST, id) AS INTEGER) AS place FROM (SELECT p_partkey AS id, {_CATEGORY} AS c, lower(p_type) AS title, CASE WHEN p_size % 7 <> 0 THEN 2020 + p_size % 20 END AS y FROM part)")
+def goal_sort(spark, sf_dir):
+    year = F.when(F.col("p_size") % 7 != 0, F.col("p_size") % 20 + 2020)
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(_CATEGORY).alias("category"), F.lower("p_type").alias("title"), year.alias("target_year"), F.lit(1).alias("page"))
+    return K.with_ids(K.sorted_goals(rows).withColumn("_o", F.monotonically_increasing_id()), ["_o"], key="place").select("id", F.col("place").cast("int").alias("place"))
+
+
+@query("SELECT conv_id, turn, '{\"status\":\"' || CASE WHEN turn % 2 = 0 THEN 'answered' ELSE 'partial' END || '\",\"interpreted_as\":' || CASE WHEN turn % 3 = 0 THEN CAST(turn AS VARCHAR) ELSE 'null' END || ',\"citations\":[' || CASE WHEN turn % 2 = 0 THEN '{\"source_id\":\"S' || turn || '\",\"verified\":true}' ELSE '' END || ']}' AS payload FROM conversations")
+def chat_payloads(spark, sf_dir):
+    cited = F.array(F.struct(F.concat(F.lit("S"), F.col("turn").cast("string")).alias("source_id"), F.lit(True).alias("verified")))
+    none = F.filter(cited, lambda c: F.lit(False))
+    rows = table(spark, sf_dir, "conversations").select(
+        F.struct("conv_id", "turn").alias("turn_id"), F.when(F.col("turn") % 2 == 0, "answered").otherwise("partial").alias("status"),
+        F.when(F.col("turn") % 3 == 0, F.col("turn")).alias("interpreted_as"), F.when(F.col("turn") % 2 == 0, cited).otherwise(none).alias("citations"),
+    )
+    return K.chat_payload(rows).select("turn_id.conv_id", "turn_id.turn", "payload")
+
+
+@query("WITH n AS (SELECT doc_id, CAST(doc_id % 23 AS INTEGER) AS pages FROM documents) SELECT doc_id, CAST(f AS INTEGER) AS first, CAST(least(f + 4, pages) AS INTEGER) AS last FROM n, range(1, pages + 1, 5) r(f)")
+def page_tasks(spark, sf_dir):
+    return K.page_tasks(table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 23).cast("int").alias("page_count")))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at FROM events")
+def iso_times(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", K.now_iso(F.col("ts").cast("timestamp")).alias("at"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from citeline.operators import chunking as C
@@ -85,14 +83,14 @@ def items(spark, sf_dir):
     )
 
 
-_ITEMS = f"""{LINES}, it AS (SELECT doc_id, pos AS seq, CASE WHEN pos % 9 = 8 AND length(para) < 2000 THEN 'table' ELSE 'text' END AS kind, page, pos // 4 % 3 AS region, para AS text FROM lines WHERE pos < 40 AND para <> ''),
+_ITEMS = f"""{LINES}, it AS (SELECT doc_id, pos AS seq, CASE WHEN pos % 9 = 8 AND length(para) < 2000 THEN 'table' ELSE 'text' END AS kind, page, pos // 4 % 3 AS region, para AS text FROM lines WHERE para <> ''),
 lg AS (SELECT *, lag(kind) OVER w AS k, lag(region) OVER w AS r, lag(text) OVER w AS t FROM it WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
 rn AS (SELECT *, sum(CASE WHEN k IS NULL OR kind = 'table' OR k = 'table' OR r <> region THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM lg)"""
 
 
 @query(f"WITH {_ITEMS} SELECT doc_id, seq, kind, CAST(run AS BIGINT) AS run, CASE WHEN kind = 'table' AND k = 'text' AND length(t) <= 200 THEN trim(t) END AS short_caption FROM rn")
 def item_runs(spark, sf_dir):
-    found = C.runs(items(spark, sf_dir).where("seq < 40"))  # as in its SQL
+    found = C.runs(items(spark, sf_dir))
     before = F.lag("text").over(C.Window.partitionBy("doc_id").orderBy("seq"))
     return found.withColumn("_t", before).select("doc_id", "seq", "kind", F.col("run").cast("long").alias("run"), F.when(F.length("_t") <= 200, F.col("caption")).alias("short_caption"))
 
@@ -103,18 +101,31 @@ def chunk_documents(spark, sf_dir):
     return C.chunk_documents(items(spark, sf_dir)).select("doc_id", "n", "page_start", "page_end", "kind", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-def hashed_vectors(texts: list[str], dim: int = 32) -> list[list[float]]:
+def hashed_vector(text, dim: int = 32):
     """The offline embedding: words counted in buckets of their MD5."""
-    out = []
-    for text in texts:
-        v = [0.0] * dim
-        for word in text.lower().split():
-            v[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim] += 1.0
-        out.append(v)
-    return out
+    words = F.filter(F.split(F.lower(text), " "), lambda w: w != "")
+    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dim)
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
 
 
-@query()
+_VECTOR = """list_transform(range(0, 32), lambda b: CAST(len(list_filter(list_transform(list_filter(string_split(lower(text), ' '), lambda w: w <> ''), lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 32), lambda x: x = b)) AS DOUBLE))"""
+_KEYS = "al.doc_id = f.doc_id AND al.run = f.run AND al.stretch = f.stretch"
+
+
+@query(
+    f"""WITH RECURSIVE {_ITEMS}, {_PIECES},
+tx AS (SELECT doc_id, run, seq, page, text, length(text) > 2800 AS long, sum(CASE WHEN length(text) > 2800 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run ORDER BY seq) AS stretch FROM rn WHERE kind = 'text'),
+vc AS MATERIALIZED (SELECT *, {_VECTOR} AS v FROM tx WHERE NOT long),
+lv AS (SELECT *, row_number() OVER w AS i, lag(v) OVER w AS b FROM vc WINDOW w AS (PARTITION BY doc_id, run, stretch ORDER BY seq)),
+al AS MATERIALIZED (SELECT * EXCLUDE (v, b), CASE WHEN b IS NOT NULL THEN CASE WHEN list_dot_product(b, b) * list_dot_product(v, v) > 0 THEN list_dot_product(b, v) / (sqrt(list_dot_product(b, b)) * sqrt(list_dot_product(v, v))) ELSE 0 END END AS alike FROM lv),
+lm AS (SELECT doc_id, run, stretch, quantile_cont(alike, 0.25) AS least FROM al GROUP BY ALL),
+f AS (SELECT doc_id, run, stretch, i, page, text, 0 AS g, length(text) AS len FROM al WHERE i = 1
+  UNION ALL SELECT al.doc_id, al.run, al.stretch, al.i, al.page, al.text, CASE WHEN alike < least OR len + 2 + length(al.text) > 2800 THEN g + 1 ELSE g END,
+   CASE WHEN alike < least OR len + 2 + length(al.text) > 2800 THEN length(al.text) ELSE len + 2 + length(al.text) END FROM f JOIN al ON {_KEYS} AND al.i = f.i + 1 JOIN lm ON lm.doc_id = f.doc_id AND lm.run = f.run AND lm.stretch = f.stretch),
+ch AS (SELECT doc_id, run, stretch, 1 AS after, g AS n, min(page) AS page_start, max(page) AS page_end, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text FROM f GROUP BY doc_id, run, stretch, g
+  UNION ALL SELECT tx.doc_id, run, stretch, 0, lp.piece, tx.page, tx.page, trim(substr(lp.para, st + 1, e - st)) FROM tx JOIN lp ON lp.doc_id = tx.doc_id AND lp.pos = tx.seq WHERE tx.long)
+SELECT doc_id, CAST(run AS BIGINT) AS run, CAST(row_number() OVER (PARTITION BY doc_id, run ORDER BY stretch, after, n) - 1 AS INTEGER) AS i, page_start, page_end, md5(text) AS digest FROM ch"""
+)
 def semantic_chunks(spark, sf_dir):
-    found = C.semantic_chunks(items(spark, sf_dir), hashed_vectors)
-    return found.select("doc_id", "run", "i", "page_start", "page_end", F.md5(F.col("text").cast("binary")).alias("digest"))
+    found = C.semantic_chunks(items(spark, sf_dir), hashed_vector)
+    return found.select("doc_id", F.col("run").cast("long").alias("run"), "i", "page_start", "page_end", F.md5(F.col("text").cast("binary")).alias("digest"))

@@ -72,8 +72,8 @@ def chat_context(spark, sf_dir):
     """From questions to tagged sources in one plan; the passages name no source, so each sees all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("company"))
     asked = P.passages(spark, sf_dir)
-    vectors = P.best(P.R.cosine_scores(P.vectors(spark, sf_dir), P.vector_queries(spark, sf_dir).drop("label").join(asked.select("query_id"), "query_id", "left_semi"), "doc_id", "query_id"), 20)
+    vectors = P.best(P.vector_scores(spark, sf_dir, P.vector_queries(spark, sf_dir).drop("label").join(asked.select("query_id"), "query_id", "left_semi")), 20)
     page = (F.col("doc_id") % 50).cast("int")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 20).alias("report_id"), page.alias("page_start"), page.alias("page_end"), F.lit("text").alias("kind"), "company", F.lit(2024).alias("year"), "text")
-    found = X.chat_context(docs, asked, vectors.select("query_id", F.lit(1).alias("list_idx"), "rank", "doc_id"), chunks)
+    found = X.chat_context(docs, asked, vectors.select("query_id", F.lit(1).alias("list_idx"), "rank", "doc_id"), chunks, index=P.stored_index(spark, sf_dir))
     return found.select("query_id", "chunk_id", "rank", "source_id")

@@ -105,3 +105,25 @@ def followup_rewrite(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text", F.lag("text").over(w).alias("history"), proposal.alias("proposal"))
     question, changed = M.rewritten(F.col("text"), F.col("history"), F.col("proposal"))
     return rows.select("conv_id", "turn", question.alias("question"), changed.alias("rewritten"))
+
+
+@query(
+    f"""WITH e AS (SELECT doc_id AS chunk_id, doc_id % 3 <> 0 AS usable, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'q' END AS question, CASE WHEN doc_id % 7 = 0 THEN reverse(substr(text, 1, 50)) ELSE substr(text, 1, 50) END AS q, text FROM documents)
+SELECT chunk_id FROM e WHERE usable AND trim(question) <> '' AND trim(q) <> '' AND contains({CANON.format(x='text')}, {CANON.format(x='q')})"""
+)
+def gold_entries(spark, sf_dir):
+    """Which proposed entries of a gold set are taken."""
+    docs = table(spark, sf_dir, "documents")
+    quote = F.when(F.col("doc_id") % 7 == 0, F.reverse(F.substring("text", 1, 50))).otherwise(F.substring("text", 1, 50))
+    made = docs.select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 3 != 0).alias("usable"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise("q").alias("question"), quote.alias("expected_quote"))
+    return E.accepted_gold(made, docs.select(F.col("doc_id").alias("id"), "text"), compatibility=False).select("chunk_id")
+
+
+@query(
+    f"""WITH e AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'fte' ELSE 'sustainability_goal' END AS kind, CASE WHEN doc_id % 7 = 0 THEN reverse(substr(text, 1, 50)) ELSE substr(text, 1, 50) END AS quote, CASE WHEN doc_id % 4 = 0 THEN 'zz' ELSE '' END AS v, doc_id % 3 <> 0 AS verified, text FROM documents WHERE doc_id % 50 <> 0),
+n AS (SELECT *, trim(quote) <> '' AND contains({CANON.format(x='text')}, {CANON.format(x='quote')}) AND (kind <> 'fte' OR v = '' OR contains(quote, v)) AS now FROM e)
+SELECT kind, count(*) AS checked, count(*) FILTER (now AND NOT verified) AS gained, count(*) FILTER (verified AND NOT now) AS lost FROM n GROUP BY kind"""
+)
+def reverify_counts(spark, sf_dir):
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return E.reverify_counts(stored_facts(spark, sf_dir), chunks, compatibility=False)

@@ -86,3 +86,12 @@ def fact_rows(spark, sf_dir):
 def goal_rows(spark, sf_dir):
     return E.goal_rows(found_facts(spark, sf_dir), doc_chunks(spark, sf_dir), compatibility=False).select("chunk_id", "verified", "page")
 
+
+
+@query()
+def workforce_candidates(spark, sf_dir):
+    """The first chunks of each source by six fixed phrasings; tests hold it against plain fusion."""
+    from citeline.plans.retrieval_plans import stored_index
+
+    sources = table(spark, sf_dir, "documents").select(F.col("source").alias("report_id"), "doc_id")
+    return E.workforce_candidates(stored_index(spark, sf_dir), sources)

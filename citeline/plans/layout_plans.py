@@ -10,11 +10,11 @@ from citeline.plans.base import LINES, lines, query
 
 def blocks(spark, sf_dir):
     """Lines as blocks in one of five columns; every seventh is a table whose cells are its words."""
-    rows = lines(spark, sf_dir).where("pos < 60")
+    rows = lines(spark, sf_dir)
     table = F.col("pos") % 7 == 3
     x0 = (F.col("pos") * 37 % 5 * 60 + F.col("doc_id") % 7 + F.col("pos") % 2 * 45).cast("double")
     y0 = (F.col("pos") % 5 * 20).cast("double")
-    cells = F.array(F.split(F.substring("para", 1, 30), " "), F.array(F.lit(""), F.lit("")))
+    cells = F.array(F.split("para", " "), F.array(F.lit(""), F.lit("")))
     return rows.select(
         "doc_id", "page", F.col("pos").alias("block_no"), F.when(table, "table").otherwise("text").alias("kind"), x0.alias("x0"), y0.alias("y0"),
         (x0 + 100).alias("x1"), (y0 + F.when(table, 60).otherwise(15)).alias("y1"), F.col("para").alias("text"),
@@ -23,11 +23,11 @@ def blocks(spark, sf_dir):
 
 
 def pages(spark, sf_dir):
-    return lines(spark, sf_dir).where("pos < 60").groupBy("doc_id").agg((F.max("page") + 1).alias("page_count"))
+    return lines(spark, sf_dir).groupBy("doc_id").agg((F.max("page") + 1).alias("page_count"))
 
 
 BLOCKS = f"""{LINES}, b AS (SELECT *, y0 + CASE WHEN kind = 'table' THEN 60 ELSE 15 END AS y1, x0 + 100 AS x1 FROM (SELECT doc_id, page, pos AS block_no, CASE WHEN pos % 7 = 3 THEN 'table' ELSE 'text' END AS kind,
- CAST(pos * 37 % 5 * 60 + doc_id % 7 + pos % 2 * 45 AS DOUBLE) AS x0, CAST(pos % 5 * 20 AS DOUBLE) AS y0, para AS text FROM lines WHERE pos < 60)),
+ CAST(pos * 37 % 5 * 60 + doc_id % 7 + pos % 2 * 45 AS DOUBLE) AS x0, CAST(pos % 5 * 20 AS DOUBLE) AS y0, para AS text FROM lines)),
 pg AS (SELECT doc_id, max(page) + 1 AS page_count FROM b GROUP BY doc_id)"""
 _INSIDE = """greatest(0, least(a.x1, t.x1) - greatest(a.x0, t.x0)) * greatest(0, least(a.y1, t.y1) - greatest(a.y0, t.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0)) > 0.5"""
 
@@ -57,7 +57,7 @@ def reading_order(spark, sf_dir):
     return L.reading_order(L.regions(blocks(spark, sf_dir))).select("doc_id", "block_no", "seq")
 
 
-_CELLS = "length(replace(substr(text, 1, 30), ' ', ''))"
+_CELLS = "length(replace(text, ' ', ''))"
 _CHARS = f"pc AS (SELECT doc_id, page, sum(CASE WHEN kind = 'text' THEN length(text) ELSE {_CELLS} END) AS chars FROM b GROUP BY ALL)"
 
 
@@ -71,7 +71,7 @@ def skipped_pages(spark, sf_dir):
     return L.skipped_pages(blocks(spark, sf_dir), pages(spark, sf_dir))
 
 
-@query(f"WITH {BLOCKS} SELECT doc_id, block_no, CAST(len(list_filter([string_split(substr(text, 1, 30), ' '), ['', '']], lambda r: len(list_filter(r, lambda c: c <> '')) > 0)) AS INTEGER) AS n_rows FROM b WHERE kind = 'table'")
+@query(f"WITH {BLOCKS} SELECT doc_id, block_no, CAST(len(list_filter([string_split(text, ' '), ['', '']], lambda r: len(list_filter(r, lambda c: c <> '')) > 0)) AS INTEGER) AS n_rows FROM b WHERE kind = 'table'")
 def real_tables(spark, sf_dir):
     return L.real_tables(blocks(spark, sf_dir)).where("kind = 'table'").select("doc_id", "block_no", F.size("rows").alias("n_rows"))
 

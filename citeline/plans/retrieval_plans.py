@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from citeline.operators import retrieval as R
 from citeline.plans.base import query
 from citeline.plans.text_plans import FIRSTS, TOKENS
-from citeline.session import table
+from citeline.session import shared_folder, table
 
 #: BM25 of every benchmark passage over all documents: view s(query_id, doc_id, score).
 BM25 = f"""words AS (SELECT doc_id, list_transform(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+'), lambda x: x) AS w FROM documents),
@@ -32,8 +34,28 @@ def passages(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored_index(spark, sf_dir):
+    """(postings, lengths) of the documents: written once a session for the files as they are, then read by every question."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    if key not in _STORED:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        R.index_append(docs, path)
+        _STORED[key] = path
+    return R.index_read(spark, _STORED[key])
+
+
 def bm25_lists(spark, sf_dir):
-    return R.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), passages(spark, sf_dir))
+    return R.bm25_indexed(*stored_index(spark, sf_dir), passages(spark, sf_dir))
+
+
+def vector_scores(spark, sf_dir, queries=None, k=20):
+    """Scores of the first ``k`` vectors of each query at least."""
+    queries = vector_queries(spark, sf_dir).drop("label") if queries is None else queries
+    return R.cosine_scores(vectors(spark, sf_dir), queries, "doc_id", "query_id", k=k)
 
 
 def best(scored, k, key="doc_id"):
@@ -49,7 +71,8 @@ def bm25_topk(spark, sf_dir):
 def bm25_scoped(spark, sf_dir):
     """Corpus statistics stay global; each question sees one source only."""
     sources = table(spark, sf_dir, "documents").select("doc_id", "source")
-    mine = bm25_lists(spark, sf_dir).join(sources, "doc_id").where(F.col("source") == F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+    wanted = passages(spark, sf_dir).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("source"))
+    mine = R.bm25_indexed(*stored_index(spark, sf_dir), passages(spark, sf_dir), scope=sources.join(F.broadcast(wanted), "source").select("query_id", "doc_id"))
     return best(mine, 5).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
@@ -79,13 +102,13 @@ _VTOP = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC,
 
 @query(f"WITH {COS} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, {_VTOP} AS rank FROM cs) WHERE rank <= 20")
 def cosine_topk(spark, sf_dir):
-    return best(R.cosine_scores(vectors(spark, sf_dir), vector_queries(spark, sf_dir).drop("label"), "doc_id", "query_id"), 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return best(vector_scores(spark, sf_dir), 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {COS} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, {_VTOP} AS rank FROM cs WHERE label = ql) WHERE rank <= 20")
 def cosine_scoped(spark, sf_dir):
     """The semi-join on the scope comes before scoring."""
-    return best(R.cosine_scores(vectors(spark, sf_dir), vector_queries(spark, sf_dir), "doc_id", "query_id", "label"), 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return best(R.cosine_scores(vectors(spark, sf_dir), vector_queries(spark, sf_dir), "doc_id", "query_id", "label", k=20), 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 _LISTS = f"""{BM25}, {COS},
@@ -99,7 +122,7 @@ def ranked_lists(spark, sf_dir):
     """Both lists of each question, 20 deep: text first, vectors second."""
     text = best(bm25_lists(spark, sf_dir), 20).select("query_id", F.lit(0).alias("list_idx"), "rank", "doc_id")
     asked = passages(spark, sf_dir).select("query_id")
-    semantic = best(R.cosine_scores(vectors(spark, sf_dir), vector_queries(spark, sf_dir).drop("label").join(asked, "query_id", "left_semi"), "doc_id", "query_id"), 20)
+    semantic = best(vector_scores(spark, sf_dir, vector_queries(spark, sf_dir).drop("label").join(asked, "query_id", "left_semi")), 20)
     return text.unionByName(semantic.select("query_id", F.lit(1).alias("list_idx"), "rank", "doc_id"))
 
 
@@ -108,9 +131,14 @@ def rrf_fuse(spark, sf_dir):
     return R.fuse(ranked_lists(spark, sf_dir), "query_id", "doc_id").select("query_id", "doc_id", F.round("fused", 9).alias("fused"))
 
 
+def hybrid_lists(spark, sf_dir, keep=None):
+    asked = vector_queries(spark, sf_dir).drop("label").join(passages(spark, sf_dir).select("query_id"), "query_id", "left_semi")
+    return R.hybrid(bm25_lists(spark, sf_dir), vector_scores(spark, sf_dir, asked), keep=keep)
+
+
 @query(f"WITH {_LISTS} SELECT * FROM fr WHERE rank <= 8")
 def hybrid_search(spark, sf_dir):
-    return R.fused_top(ranked_lists(spark, sf_dir), "query_id", "doc_id", 8).select("query_id", "doc_id", F.round("fused", 9).alias("fused"), "rank")
+    return hybrid_lists(spark, sf_dir, 8).select("query_id", "doc_id", F.round("fused", 9).alias("fused"), "rank")
 
 
 @query(
@@ -120,9 +148,7 @@ SELECT group_id, doc_id, round(fused, 9) AS fused, rank FROM (SELECT *, CAST(row
 )
 def multi_query_search(spark, sf_dir):
     """Several phrasings of one need: each is fused first, then the fused lists are fused again."""
-    inner = R.fused_top(ranked_lists(spark, sf_dir), "query_id", "doc_id", 20)
-    outer = inner.select((F.col("query_id") % 5).alias("group_id"), F.col("query_id").alias("list_idx"), "rank", "doc_id")
-    return R.fused_top(outer, "group_id", "doc_id", 12).select("group_id", "doc_id", F.round("fused", 9).alias("fused"), "rank")
+    return R.multi_query(hybrid_lists(spark, sf_dir), F.col("query_id") % 5).select("group_id", "doc_id", F.round("fused", 9).alias("fused"), "rank")
 
 
 _NAMED = "SELECT item_id, CASE WHEN item_id % 4 = 0 THEN text ELSE text || ' SRC' || (item_id % 20) END AS question FROM benchmark"
@@ -136,3 +162,30 @@ def scope_by_source(spark, sf_dir):
     named = F.when(F.col("item_id") % 4 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" SRC"), (F.col("item_id") % 20).cast("string")))
     questions = table(spark, sf_dir, "benchmark").select("item_id", named.alias("question"))
     return R.scope_by_name(questions, table(spark, sf_dir, "documents"), "item_id", "question", "source")
+
+
+_LIVE = """live AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 5 = 0),
+lw AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(CASE WHEN doc_id % 15 = 0 THEN 'renewed ' || text ELSE text END)), '[\\p{L}\\p{N}]+') AS w FROM live)"""
+
+
+@query(f"WITH {_LIVE} SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM (SELECT doc_id, unnest(w) AS term FROM lw) GROUP BY term")
+def index_maintenance(spark, sf_dir):
+    """Two appends, a delete, and an update (delete and append anew): the index holds what is live."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    R.index_append(docs.where("doc_id % 2 = 0"), path)
+    R.index_append(docs.where("doc_id % 2 <> 0"), path)
+    R.index_delete(docs.where("doc_id % 3 = 0"), path)
+    R.index_append(docs.where("doc_id % 15 = 0").withColumn("text", F.concat(F.lit("renewed "), "text")), path)
+    found, _ = R.index_read(spark, path)
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("occurrences"))
+
+
+@query("SELECT vec_id AS doc_id, label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) * CASE WHEN vec_id % 10 = 2 THEN 2 ELSE 1 END, 6) AS total FROM embeddings WHERE vec_id % 10 NOT IN (0, 1)")
+def vector_index_updates(spark, sf_dir):
+    """Load, add (some anew), remove; what is left."""
+    all_ = vectors(spark, sf_dir)
+    loaded = all_.where("doc_id % 10 <> 1")
+    twice = all_.where("doc_id % 10 = 2").withColumn("embedding", F.transform("embedding", lambda x: (x * 2).cast("float")))
+    kept = R.vectors_removed(R.vectors_added(loaded, twice, "doc_id"), all_.where("doc_id % 10 = 0").select("doc_id"), "doc_id")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return kept.select("doc_id", "label", F.round(total, 6).alias("total"))

@@ -110,14 +110,14 @@ def display_numbers(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LINES}, v AS (SELECT doc_id, pos, para, v FROM (SELECT doc_id, pos, para, ['th', 'the', 'he ', 'and', right(para, 3)] AS vs FROM lines WHERE pos < 5 AND length(para) > 10), unnest(vs) u(v)),
+    f"""WITH {LINES}, v AS (SELECT doc_id, pos, para, v FROM (SELECT doc_id, pos, para, ['th', 'the', 'he ', 'and', right(para, 3)] AS vs FROM lines WHERE length(para) >= 3), unnest(vs) u(v)),
 s AS (SELECT doc_id, pos, strpos(para, v) - 1 AS a, strpos(para, v) - 1 + length(v) AS b FROM v WHERE strpos(para, v) > 0),
 m AS (SELECT *, max(b) OVER (PARTITION BY doc_id, pos ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s),
 g AS (SELECT *, sum(CASE WHEN far IS NULL OR far < a THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, pos ORDER BY a, b) AS island FROM m)
 SELECT doc_id, pos, CAST(min(a) AS INTEGER) AS start, CAST(max(b) AS INTEGER) AS "end" FROM g GROUP BY doc_id, pos, island"""
 )
 def highlight_spans(spark, sf_dir):
-    some = lines(spark, sf_dir).where("pos < 5 and length(para) > 10")
+    some = lines(spark, sf_dir).where("length(para) >= 3")  # shorter ones hold no value
     values = F.array(F.lit("th"), F.lit("the"), F.lit("he "), F.lit("and"), F.right("para", F.lit(3)))
     return V.highlight_spans(some.withColumn("values", values), ["doc_id", "pos"], "para").select("doc_id", "pos", "start", "end")
 
