@@ -8,7 +8,9 @@ and down the tree (sum-product) give each node's exact content marginal. Text of
 of one half or more is kept, block by block in page order.
 
 Defined cases: null, empty and textless pages give an empty text; unclosed and stray tags, cut pages and
-markup without any block are parsed leniently; character references are decoded; text of scripts, styles,
+markup without any block are parsed leniently, a missing end tag of head, button, select, title and the like
+loses no text; very long pages take time in proportion to their length, whatever they are made of; a marginal of exactly
+one half (a tie) is content; character references are decoded; text of scripts, styles,
 comments and head elements never counts; repeated rows stay repeated; extra columns are ignored.
 """
 
@@ -18,6 +20,7 @@ import html
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -30,6 +33,9 @@ BLOCKS = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template svg math iframe object textarea select button title head canvas audio video".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
+#: Of these, the ones that are ignored where their end tag is missing; and others of which that is so, with whether they nest.
+ENDLESS = frozenset("title noscript template".split())
+PAIRED = {"button": False, "select": False, "canvas": False, "audio": False, "video": False, "object": True, "svg": True, "math": True}
 #: Elements that may stand in a head; any other start tag, and any text, ends an open head.
 HEAD = frozenset("head title meta link base basefont bgsound script style noscript noframes template".split())
 #: Elements that say what a region of a page is.
@@ -73,7 +79,9 @@ def marks_of(attributes: dict[str, str]) -> frozenset:
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     """(nodes, blocks): block elements with parents before children; (node, text) of each block in page order."""
     nodes = [Node("root", -1, frozenset(), False, None)]
-    stack: list[tuple[str, int, bool]] = []  # (tag, node, starts a node)
+    stack: list[tuple[str, bool]] = []  # (tag, starts a node)
+    open_nodes = [0]
+    depths: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is open
     blocks: list[tuple[int, str]] = []
     pieces: list[str] = []
     links = skipped = 0
@@ -83,35 +91,35 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                at = next((n for _, n, own in reversed(stack) if own), 0)
-                nodes[at].last = text
-                blocks.append((at, text))
+                nodes[open_nodes[-1]].last = text
+                blocks.append((open_nodes[-1], text))
 
     def add(text: str) -> None:
         pieces.append(text)
-        at = next((n for _, n, own in reversed(stack) if own), 0)
         size = len(text) if not text.isspace() else 0
-        nodes[at].own += size
+        nodes[open_nodes[-1]].own += size
         if links:
-            nodes[at].linked += size
+            nodes[open_nodes[-1]].linked += size
 
     def pop(depth: int) -> None:
         nonlocal links, skipped
         while len(stack) > depth:
-            tag, _, own = stack[-1]
+            tag, own = stack[-1]
             if own:
                 flush()
+                open_nodes.pop()
             stack.pop()
+            depths[tag].pop()
             links -= tag == "a"
             skipped -= tag in SKIPPED
 
-    def close(tags: set[str], until: set[str]) -> None:
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] in tags:
-                return pop(depth)
-            if stack[depth][0] in until:
-                return None
-        return None
+    def place(tags) -> int:
+        """The depth of the innermost open element of these tags; -1 for none."""
+        return max((depths[t][-1] for t in tags if depths[t]), default=-1)
+
+    def close(tags, until) -> None:
+        if (depth := place(tags)) > place(until):
+            pop(depth)
 
     def read(text: str) -> None:
         if stack and stack[-1][0] == "head" and text.strip():
@@ -120,22 +128,35 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             add(text)
 
     page, at = page or "", 0
-    while m := TOKEN.search(page, at):
+    last, ends = page.rfind(">"), {}
+
+    def ended(tag: str, start: int) -> bool:
+        """Whether the element that starts before ``start`` has an end tag of its own."""
+        if tag not in ends:
+            found = [(m.start(), bool(m[1])) for m in re.finditer(rf"<(/?){tag}(?=[\s/>])", page, re.I)]
+            ends[tag] = [x for x, _ in found], [is_end for _, is_end in found]
+        places, is_end = ends[tag]
+        i = bisect_left(places, start)
+        return bool(is_end) and (is_end[-1] and i < len(is_end) if PAIRED[tag] else i < len(is_end) and is_end[i])
+
+    missing: set[str] = set()  # raw elements without an end tag in the rest of the page
+    while at <= last and (m := TOKEN.search(page, at)):
         read(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == tag), None)
-            if depth is not None:
-                pop(depth)
+            if depths[tag]:
+                pop(depths[tag][-1])
             continue
         if skipped and tag not in HEAD:
-            close({"head"}, set())
+            close(("head",), ())
+        if m[3].endswith("/") and (tag in ("svg", "math") or depths["svg"] or depths["math"]):
+            continue  # a foreign element that is closed in its start tag
         block = tag in BLOCKS
         if block:
-            close({"p"}, {"table", "td", "th", "button", "object"}) if tag not in ("html", "body") else None
+            close(("p",), ("table", "td", "th", "button", "object")) if tag not in ("html", "body") else None
             flush()
         if tag in CLOSES:
             close(*CLOSES[tag])
@@ -144,20 +165,25 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 pieces.append(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = None if tag in missing else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if end is None:
+                missing.add(tag)
+            if end or tag not in ENDLESS:
+                at = end.end() if end else len(page)
+            continue
+        if tag in PAIRED and not ended(tag, at):
             continue
         links += tag == "a"
         skipped += tag in SKIPPED
-        node = 0
         if block:
             found = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3] else {}
-            parent = next((n for _, n, own in reversed(stack) if own), 0)
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-            node = len(nodes)
-            nodes.append(Node(tag, parent, marks_of(found) if found else frozenset(), hidden, found.get("data-label")))
-        stack.append((tag, node, block))
-    read(page[at:])
+            nodes.append(Node(tag, open_nodes[-1], marks_of(found) if found else frozenset(), hidden, found.get("data-label")))
+            open_nodes.append(len(nodes) - 1)
+        depths[tag].append(len(stack))
+        stack.append((tag, block))
+    rest = page[at:]
+    read(re.split(r"<[!?]", rest, maxsplit=1)[0])  # no tag ends here any more; an open comment or declaration is none of the text
     pop(0)
     flush()
     return nodes, blocks

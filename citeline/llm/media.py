@@ -3,10 +3,13 @@
 Method. Boxes are walked recursively by their 32- or 64-bit sizes; of each track the sample tables are
 decoded (stts durations, stsz/stz2 sizes, stsc chunk runs, stco/co64 chunk offsets, stss sync
 samples), and codec, duration and the byte range of every keyframe are stored. Payload bytes in mdat
-are never read for that. ``build`` writes a container whose frames are 8x8 grey pictures of 8-bit samples.
+are never read for that. Of fragmented files the runs of samples (tfhd, trun and the defaults of trex) are added to
+their tracks in file order. ``build`` writes a container whose frames are 8x8 grey pictures of 8-bit samples.
 
 Defined cases: null content has error ``null``; content that is empty, cut short or no container has
-an error text and null features, never an exception; several tracks come in file order; no sync table
+an error text and null features, never an exception; nesting deeper than any real file's, and tables that claim more
+samples than the file has bytes, are errors; very long files cost what their tables cost; no ties arise; a caller's
+columns named as the new ones stay and the new ones get an underscore; several tracks come in file order; no sync table
 means that every sample is a keyframe; equal contents give equal rows.
 """
 
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from citeline.llm.common import small_batches
 
 #: Boxes that only hold other boxes.
-PARENTS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex")
+PARENTS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf")
+DEEPEST, LONGEST = 32, (1 << 63) - 1
 #: A stored frame: 8x8 grey samples of one byte; the rate; frames from one keyframe to the next; frames in a chunk.
 FRAME, RATE, KEY_EVERY, IN_CHUNK = 64, 25, 16, 32
 
@@ -95,21 +99,77 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
 def tracks(content: bytes) -> list[dict]:
     """Features of each track, from the sample tables alone."""
     data, found = memoryview(content), []
+    defaults: dict[int, tuple] = {}  # by track id: duration, size, flags
+    fragment: dict = {}
 
     def table(form: str, at: int, end: int, many: int) -> list[tuple]:
         if at + struct.calcsize(form) * many > end:
             raise ValueError("cut table")
         return list(struct.iter_unpack(form, data[at : at + struct.calcsize(form) * many]))
 
-    def walk(start: int, end: int, t: dict | None) -> None:
+    def run_of(a: int, b: int) -> None:
+        """The samples of a trun box: (offset, size, duration, whether a keyframe), added to their track."""
+        flags, n = struct.unpack_from(">II", data, a)
+        flags, at = flags & 0xFFFFFF, a + 8
+        each = 4 * ((flags >> 8) & 15).bit_count()
+        if each * n > b - at or n > len(data):
+            raise ValueError("cut table")
+        place = fragment["next"]
+        if flags & 1:
+            place, at = fragment["base"] + struct.unpack_from(">i", data, at)[0], at + 4
+        first = None
+        if flags & 4:
+            first, at = struct.unpack_from(">I", data, at)[0], at + 4
+        if each * n > b - at:
+            raise ValueError("cut table")
+        duration, size, mark = fragment["defaults"]
+        for i in range(n):
+            own = {}
+            for bit in (0x100, 0x200, 0x400, 0x800):
+                if flags & bit:
+                    own[bit], at = struct.unpack_from(">I", data, at)[0], at + 4
+            length = own.get(0x200, size)
+            seen = own.get(0x400, first if first is not None and not i else mark)
+            fragment["samples"].append((place, length, own.get(0x100, duration), not seen & 0x10000))
+            place += length
+        if n * size > LONGEST or not 0 <= place <= LONGEST:
+            raise ValueError("samples leave the file")
+        fragment["next"] = place
+
+    def walk(start: int, end: int, t: dict | None, depth: int = 0) -> None:
+        if depth > DEEPEST:
+            raise ValueError("boxes nested too deep")
         for kind, a, b in boxes(data, start, end):
             if kind == b"trak":
                 found.append(new := {})
-                walk(a, b, new)
+                walk(a, b, new, depth + 1)
             elif kind in PARENTS:
-                walk(a, b, t)
+                if kind == b"moof":
+                    fragment.update(moof=a - 8, next=a - 8)
+                walk(a, b, t, depth + 1)
+            elif kind == b"trex":
+                number, _, *rest = struct.unpack_from(">5I", data, a + 4)
+                defaults[number] = tuple(rest)
+            elif kind == b"tfhd" and "moof" in fragment:
+                flags, number = struct.unpack_from(">II", data, a)
+                at, (duration, size, mark), base = a + 8, defaults.get(number, (0, 0, 0)), fragment["moof"]
+                if flags & 1:
+                    base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+                at += 4 * bool(flags & 2)
+                given = []
+                for bit, old in ((8, duration), (16, size), (32, mark)):
+                    given.append(struct.unpack_from(">I", data, at)[0] if flags & bit else old)
+                    at += 4 * bool(flags & bit)
+                track = next((x for x in found if x.get("id") == number), None)
+                if track is None:
+                    raise ValueError("fragment of no track")
+                fragment.update(base=base, defaults=tuple(given), samples=track.setdefault("runs", []), next=base if flags & 1 else fragment["next"])
+            elif kind == b"trun" and "samples" in fragment:
+                run_of(a, b)
             elif t is None:
                 continue
+            elif kind == b"tkhd":
+                t["id"] = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
             elif kind == b"mdhd":
                 t["timescale"], t["duration"] = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
             elif kind == b"hdlr":
@@ -126,6 +186,8 @@ def tracks(content: bytes) -> list[dict]:
                 t["chunks"] = [x for (x,) in table(">I" if kind == b"stco" else ">Q", a + 8, b, struct.unpack_from(">I", data, a + 4)[0])]
             elif kind == b"stsz":
                 same, n = struct.unpack_from(">II", data, a + 4)
+                if same * n > len(data):
+                    raise ValueError("samples leave the file")
                 t["sizes"] = [same] * n if same else [x for (x,) in table(">I", a + 12, b, n)]
             elif kind == b"stz2":
                 bits, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
@@ -136,7 +198,7 @@ def tracks(content: bytes) -> list[dict]:
 
     try:
         walk(0, len(data), None)
-    except struct.error as short:
+    except (struct.error, IndexError) as short:
         raise ValueError("cut table") from short
     if not found:
         raise ValueError("no track")
@@ -158,6 +220,19 @@ def tracks(content: bytes) -> list[dict]:
         sync = t.get("stss") or ([] if "stss" in t else range(1, len(sizes) + 1))
         if any(not 1 <= k <= len(sizes) for k in sync):
             raise ValueError("sync sample that does not exist")
+        sync = list(sync)
+        for place, size, _, is_key in t.get("runs", []):
+            places.append(place)
+            sizes.append(size)
+            if is_key:
+                sync.append(len(sizes))
+        if t.get("runs"):
+            t["stts"] = [*t.get("stts", []), *((1, each) for _, _, each, _ in t["runs"])]
+        longest = max([*(t.get("stts") and [sum(many * each for many, each in t["stts"])] or []), t.get("duration") or 0, *places, 0])
+        if longest > LONGEST and t.get("duration") == (1 << 64) - 1:
+            t["duration"] = None  # unknown, as the standard writes it
+        elif longest > LONGEST:
+            raise ValueError("a number is too large")
         out.append({
             "track": number, "handler": t.get("handler"), "codec": t.get("codec"), "timescale": t.get("timescale"),
             "duration": sum(many * each for many, each in t["stts"]) if t.get("stts") else t.get("duration"),
@@ -195,8 +270,14 @@ def media_columns(df: DataFrame, content: str = "content") -> DataFrame:
                 out.append((None, str(why)))
         return pd.DataFrame({"tracks": [t for t, _ in out], "error": [e for _, e in out]})
 
+    def free(name: str) -> str:
+        while name in df.columns:
+            name += "_"
+        return name
+
     small_batches(df.sparkSession)
-    return df.withColumn("_m", run(F.col(content))).withColumns({"tracks": F.col("_m.tracks"), "media_error": F.col("_m.error")}).drop("_m")
+    made = free("_m")
+    return df.withColumn(made, run(F.col(content))).withColumns({free("tracks"): F.col(f"{made}.tracks"), free("media_error"): F.col(f"{made}.error")}).drop(made)
 
 
 def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

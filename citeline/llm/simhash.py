@@ -5,19 +5,22 @@ in at most ``bits // pieces`` places of some piece. In each piece the anchors ar
 product of [7,4] Hamming codes (covering radius 1 a block) and of the bits left over (radius 0). Every
 value has one home anchor within the covering radius. A fingerprint is replicated, as a guest, to each
 anchor that may be the home of a fingerprint within the piece's threshold, that is to the anchors
-within covering radius plus threshold, block by block. At an anchor the homes are compared with
+within covering radius plus threshold, block by block. The number of pieces is that of least counted cost: few
+pieces make many replicas, many pieces compare more pairs. At an anchor the homes are compared with
 the guests by XOR and bit count over all 64 bits, so no link is missed. Equal fingerprints are one
 row beforehand. An anchor answers with a spanning forest of its links, never with all pairs;
 an anchor with more than ``tile`` fingerprints is split into tiles of blocks of homes and guests.
 
 Defined cases: null and empty texts have fingerprint zero and link with each other; fewer words than a
 shingle make one shingle; repeated rows stay repeated and share a component; a null key takes part in
-a component without naming it; an empty table gives no rows; extra columns are ignored.
+a component without naming it; an empty table gives no rows; extra columns are ignored. A bit set in exactly half of
+the hashes (a tie) is 0; very long texts are hashed in portions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -27,13 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from citeline.llm.common import components, cut, numbered, small_batches
+from citeline.llm.common import components, cut, numbered, small_batches, spread_join
 
 SEED = 42
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: Up to so many fingerprints three pieces are compared; beyond that two, whose anchors number 2^20 each, so that
-#: an anchor stays small. Both find every link.
-THREE_PIECES = 1 << 24
+#: Cost of a replica of a fingerprint in comparisons.
+COPY_COST = 2500
 #: Parity masks of the [7,4] Hamming code; the syndrome is the place of the wrong bit.
 PARITY = (0b1010101, 0b1100110, 0b1111000)
 
@@ -99,6 +101,24 @@ def visits(fps: np.ndarray, bits: int, pieces: int) -> Iterator[tuple[int, np.nd
         yield piece, anchors, anchors == own[index], index
 
 
+@lru_cache
+def cost_of(bits: int, pieces: int) -> tuple[float, float]:
+    """(replicas of a fingerprint, share of all pairs that are compared) with so many pieces."""
+    some = np.random.default_rng(SEED).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2)
+    replicas = compared = 0.0
+    for piece, anchors, _, _ in visits(some, bits, pieces):
+        width = pieces_of(pieces)[piece][1]
+        each = len(anchors) / len(some)
+        replicas += each
+        compared += each / 2 ** (width // 7 * 4 + width % 7)
+    return replicas, compared
+
+
+def pieces_for(rows: int, bits: int) -> int:
+    """The number of pieces of least counted cost for so many fingerprints; every number finds every link."""
+    return min(range(min(2, bits + 1), bits + 2), key=lambda p: (lambda r, c: r * COPY_COST + c * rows)(*cost_of(bits, p)))
+
+
 def link_tile(home: np.ndarray, guest: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """A spanning forest, as fingerprints, of the links between two arrays of distinct fingerprints."""
     nodes, places = np.unique(np.concatenate([home, guest]), return_inverse=True)
@@ -139,7 +159,7 @@ def links(fps: DataFrame, bits: int, pieces: int, tile: int = 4096) -> DataFrame
     block = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     other = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     placed = (
-        spread.join(F.broadcast(busy) if pieces > 2 else busy, ["piece", "anchor"])  # bounded as said above
+        spread.join(F.broadcast(busy) if max(w // 7 * 4 + w % 7 for _, w in pieces_of(pieces)) <= 12 else busy, ["piece", "anchor"])  # bounded as said above
         .select(
             "piece", "anchor", "fp",
             F.explode(F.concat(
@@ -195,20 +215,19 @@ def with_fingerprints(df: DataFrame, words: int, text: str = "text") -> DataFram
 
 
 def classes_of(docs: DataFrame, bits: int, pieces: int | None) -> DataFrame:
-    """(fp, component_id, __root) of (key, fp) rows: the smallest key reachable from each fingerprint, and its component."""
+    """(fp, component_id, __root, __n) of (key, fp) rows: the smallest key reachable from each fingerprint, its component, its rows."""
     key = docs.columns[0]
-    classes = cut(docs.groupBy("fp").agg(F.min(key).alias("low")))
-    pieces = pieces or (3 if classes.count() <= THREE_PIECES else 2)
-    reach = components(links(classes.select("fp"), bits, pieces))
-    joined = classes.join(reach, classes["fp"] == reach["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    return joined.join(lowest, "root").select("fp", "component_id", F.col("root").alias("__root"))
+    classes = cut(docs.groupBy("fp").agg(F.min(key).alias("low"), F.count(F.lit(1)).alias("n")))
+    reach = components(links(classes.select("fp"), bits, pieces or pieces_for(classes.count(), bits)))
+    joined = cut(classes.join(reach, classes["fp"] == reach["node"], "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("root")))
+    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("__n"))
+    return spread_join(joined, lowest, "root").select("fp", "component_id", F.col("root").alias("__root"), F.col("n").alias("__n"))
 
 
 def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, pieces: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, fingerprint (16 hex digits) and the smallest key reachable by links."""
     docs = cut(fingerprints(df, words, key, text))
-    return docs.join(classes_of(docs, bits, pieces), "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(docs, classes_of(docs, bits, pieces), "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, words: int = 4, bits: int = 4, pieces: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,7 +236,7 @@ def keep_one(df: DataFrame, words: int = 4, bits: int = 4, pieces: int | None =
     The choice is made on keys and fingerprints; whole texts move once, for the join with the kept ones.
     """
     docs = cut(fingerprints(df, words, key, text))
-    winners = docs.join(classes_of(docs, bits, pieces), "fp").where(F.col(key).eqNullSafe(F.col("component_id")))
+    winners = spread_join(docs, classes_of(docs, bits, pieces), "fp").where(F.col(key).eqNullSafe(F.col("component_id")))
     # By component and not by key: rows that share a key, or have none, may be of different components.
     kept = cut(winners.groupBy("__root").agg(F.first("component_id").alias("__key"), F.min("fp").alias("__kept"), F.count(F.lit(1)).alias("__rows")))
     rows, name = numbered(df)

@@ -436,7 +436,7 @@ def by_force(fps, bits):
             return low
 
 
-@pytest.mark.parametrize("pieces,tile", [(3, 4096), (2, 4096), (3, 8)])
+@pytest.mark.parametrize("pieces,tile", [(3, 4096), (2, 4096), (3, 8), (5, 4096), (5, 8)])
 def test_anchors_lose_no_link(spark, pieces, tile):
     r = random.Random(pieces)
     fps = {0}

@@ -3,11 +3,13 @@
 import json
 import math
 import random
+import struct
+import time
 from collections import Counter
 
 import pytest
 
-from citeline.llm import chat, html_extract, quality, simhash
+from citeline.llm import chat, html_extract, media, quality, simhash
 
 
 @pytest.mark.parametrize("start", ["<body>", "", "<body class=x><div>", "<main>"])
@@ -103,3 +105,71 @@ def test_chat_orders_long_chains_and_joins(spark):
     assert len(found) == len(rows) and all(found[f"c{i}"] == i for i in range(600))
     assert (found["j"], found["k"], found["m"]) == (501, 502, 503)
     assert [found[k] for k in "xyzwv"] == [None, None, None, None, 0]
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        ("<p>Start.<svg/> after", ["Start. after"]), ("<p>a<svg><path d=x/><g>no</g></svg> b", ["a b"]), ("<p>x <math/>y<p>z", ["x y", "z"]),
+        ("<button>Menu <p>One.</p><p>Two.</p>", ["Menu", "One.", "Two."]), ("<button>no</button><p>One.", ["One."]), ("<button>Go <p>One.</p><button>no</button>", ["Go", "One."]),
+        ("<select><option>a<p>One.</p>", ["a", "One."]), ("<object><p>no</p></object><p>yes", ["yes"]), ("<title>t <p>One.</p>", ["t", "One."]), ("<noscript><p>One.", ["One."]),
+        ("<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table>", ["a", "b", "c", "d", "e"]), ("<p>a <!-- never closed <p>b", ["a"]), ("<p>1 < 2 &amp; 3", ["1 < 2 & 3"]),
+        ("<p>a</b></div></p>b<dl><dt>t<dd>u<dt>v</dl>", ["a", "b", "t", "u", "v"]),
+    ],
+)
+def test_html_lenient_parsing(page, wanted):
+    assert [text for _, text in html_extract.parse(page)[1]] == wanted
+
+
+@pytest.mark.parametrize("page", ["<a " * 400_000, "<i>" * 150_000 + "</b>" * 150_000, "<b>y " * 200_000, "<div>" * 150_000, "<p><table>" + "<div>" * 150_000, "<title>" * 100_000 + "x", "<button>" * 100_000, "<svg>" * 100_000 + "</svg>", "<!" * 400_000, "<a \"" * 200_000 + ">"])
+def test_html_parsing_is_linear(page):
+    started = time.process_time()
+    html_extract.parse(page)
+    assert time.process_time() - started < 6
+
+
+def test_media_of_malformed_containers(spark):
+    good = media.build(bytes(range(64)) * 3)
+    trak = lambda *inner: media.box(b"moov", media.box(b"trak", media.box(b"mdia", *inner)))
+    deep = b""
+    for _ in range(1500):
+        deep = media.box(b"moov", deep)
+    bad = [trak(media.box(b"mdhd")), trak(media.box(b"stz2")), trak(media.full(b"stsz", struct.pack(">II", 1, 2**32 - 1))), deep, trak(media.full(b"co64", struct.pack(">IQ", 1, 2**64 - 1)), media.full(b"stsc", struct.pack(">IIII", 1, 1, 1, 1)), media.full(b"stsz", struct.pack(">III", 0, 1, 5)))]
+    bad += [good[:n] for n in range(1, len(good), 37)] + [b"", b"\0" * 20, b"\0\0\0\1moov" + b"\xff" * 8]
+    r = random.Random(3)
+    for _ in range(300):
+        x = bytearray(good)
+        for _ in range(3):
+            x[r.randrange(len(x) - 200)] = r.randrange(256)
+        bad.append(bytes(x))
+    df = spark.createDataFrame([(bytearray(good), "mine")] + [(bytearray(x), "mine") for x in bad], "content binary, tracks string")
+    found = media.media_columns(df).collect()
+    assert len(found) == len(bad) + 1 and all(x.tracks == "mine" for x in found)
+    assert found[0].media_error is None and found[0]["tracks_"][0].samples == 3
+    assert all(x.media_error for x in found[1:6]) and all((x.media_error is None) != (x["tracks_"] is None) for x in found)
+
+
+def test_media_of_fragments():
+    """Two fragments of one track: sizes of their own and by default, a first sample that is a keyframe."""
+    u = lambda *x: struct.pack(f">{len(x)}I", *x)
+    tkhd = media.full(b"tkhd", u(0, 0, 7, 0, 0), bytes(60), flags=3)
+    mdia = media.box(b"mdia", media.full(b"mdhd", u(0, 0, 1000, 0), bytes(4)), media.full(b"hdlr", bytes(4), b"vide", bytes(12), b"\0"), media.box(b"minf", media.box(b"stbl", media.full(b"stsd", u(1), media.box(b"avc1", bytes(78))))))
+    moov = media.box(b"moov", media.box(b"trak", tkhd, mdia), media.box(b"mvex", media.full(b"trex", u(7, 1, 40, 9, 0x10000))))
+
+    def moof(trun, flags, n, *more):
+        make = lambda offset: media.box(b"moof", media.box(b"traf", media.full(b"tfhd", u(7), flags=0x20000), media.full(b"trun", u(n), struct.pack(">i", offset), *more, flags=flags)))
+        return make(len(make(0)) + 8)
+
+    one = moof(None, 0x1 | 0x4 | 0x200, 3, u(0), u(5, 6, 7)) + media.box(b"mdat", b"a" * 18)
+    two = moof(None, 0x1, 2) + media.box(b"mdat", b"b" * 18)
+    content = media.box(b"ftyp", b"iso5", u(0)) + moov + one + two
+    (track,) = media.tracks(content)
+    assert (track["codec"], track["samples"], track["media_bytes"], track["duration"]) == ("avc1", 5, 36, 200)
+    assert media.stored_bytes(content, track) == b"a" * 18 + b"b" * 18
+    assert track["keyframes"] == [{"offset": content.index(b"aaa"), "size": 5}]
+
+
+def test_pieces_follow_the_counted_cost():
+    counts = [simhash.pieces_for(n, 4) for n in (10, 10**5, 10**7, 10**9, 10**11)]
+    assert counts == sorted(counts, reverse=True) and counts[0] > counts[-1] >= 2
+    assert simhash.cost_of(4, 5)[0] == 5 < simhash.cost_of(4, 3)[0] < simhash.cost_of(4, 2)[0]
