@@ -2,7 +2,7 @@
 
 Method. Texts are read as n-grams of LENGTH real characters, with no fixed alphabet, so that what is counted grows
 with the trusted text. All trusted texts are counted, pre-aggregated in each task; the shards of counts are joined by
-context, order by order, with three discounts estimated from the counts of counts. Texts to score are dealt into
+context, order by order, with three discounts estimated from the counts of counts. Texts to score are packed into compressed
 blocks; the distinct n-grams of the blocks meet the model in joins, and their probabilities return to the block's
 texts; the mean gives the perplexity. A language's threshold is a high quantile of the perplexity of its trusted
 texts, each scored by the model of the half that it is not in, widened by a slack; texts above it are rejected.
@@ -15,13 +15,13 @@ each other, or call it toxic, do not make a text trusted; repeated rows stay rep
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, MapType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from citeline.llm.common import cut, narrowed, numbered, small_batches
 
@@ -29,7 +29,7 @@ from citeline.llm.common import cut, narrowed, numbered, small_batches
 LENGTH = 4
 START, STOP = "\x02", "\x03"
 #: Documents of a block that is scored at once, characters that are held as numbers at once, n-grams that a task adds up.
-BLOCK, CHARACTERS, HELD = 8000, 1 << 20, 1 << 20
+BLOCK, BLOCK_BYTES, CHARACTERS, HELD = 8000, 32 << 20, 1 << 20, 1 << 20
 #: Models by number: of the texts outside the first half, of those outside the second, of all.
 ALL = 2
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -232,37 +232,81 @@ def probabilities(needed: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -
     return found.select("m", "g", (-F.log("p")).alias("nats"))
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """(tag, rows): the rows of each task in compressed blocks of at most BLOCK, by ``__m``; tag * 4 + m names a block."""
+    at = df.columns.index("__m")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        held: dict[int, list] = {}
+        number = TaskContext.get().partitionId() << 24
+
+        def out(m):
+            nonlocal number
+            table = pa.Table.from_batches(held.pop(m)).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
+                writer.write_table(table)
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([number * 4 + m]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["tag", "rows"])
+
+        for batch in batches:
+            ms = batch.column(at).to_numpy(zero_copy_only=False)
+            for m in np.unique(ms).tolist():
+                held.setdefault(m, []).append(batch.filter(pa.array(ms == m)))
+                if sum(b.num_rows for b in held[m]) >= BLOCK or sum(b.nbytes for b in held[m]) >= BLOCK_BYTES:
+                    yield out(m)
+        for m in list(held):
+            yield out(m)
+
+    return df.mapInArrow(run, "tag long, rows binary")
+
+
+def unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
 def scored(df: DataFrame, model: list[tuple[DataFrame, DataFrame]], text: str = "text", by: Column | None = None) -> DataFrame:
-    """All rows and columns with ``__symbols`` and ``__nats``: how long the text is and its negative ln p by the model ``by``."""
-    schema = StructType([*df.schema.fields, StructField("__symbols", LongType()), StructField("__nats", DoubleType())])
-    at = df.columns.index(text)
-    by = F.lit(ALL) if by is None else by
-    # Blocks by content, so that they are the same however often a lost task is run again. Texts move once: both reads
-    # of ``rows`` share one exchange, and a block lies whole in one task, where it is counted.
-    many = df.count() // BLOCK + 1
-    told = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
-    rows = df.withColumn("__tag", F.pmod(F.xxhash64(*told), F.lit(many)) * 4 + by).repartition("__tag")
-    whole = rows.mapInArrow(lambda batches: (b.select([text, "__tag"]).rename_columns(["t", "tag"]) for b in batches), "t string, tag long")
-    grams = tally(whole).select("g", "tag", (F.col("tag") % 4).alias("m"))
-    found = grams.join(probabilities(grams.select("m", "g").distinct(), model), ["m", "g"]).select(F.col("tag").alias("__tag"), "g", "nats")
-
-    def run(texts: pa.Table, table: pa.Table) -> pa.Table:
+    """All rows and columns but the text, with ``__symbols`` and ``__nats``: how long the text is and its negative ln p by the model ``by``.
+
+    Texts move once, compressed: both reads of the blocks share one exchange.
+    """
+    kept = [f for f in df.schema.fields if f.name != text]
+    schema = StructType([*kept, StructField("__symbols", LongType()), StructField("__nats", DoubleType())])
+    blocks = packed(df.withColumn("__m", (F.lit(ALL) if by is None else by).cast("long"))).repartition("tag")
+
+    def texts_of(batches):
+        for batch in batches:
+            for tag, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for part in unpacked(blob).select([text]).to_batches():
+                    yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array(np.full(part.num_rows, tag))], names=["t", "tag"])
+
+    grams = tally(blocks.mapInArrow(texts_of, "t string, tag long"))
+    # The sum keeps both uses of the counts alike, so that they are counted once.
+    needed = grams.groupBy((F.col("tag") % 4).alias("m"), "g").agg(F.sum("c").alias("c")).where("c > 0").select("m", "g")
+    found = grams.where("c > 0").select("g", "tag", (F.col("tag") % 4).alias("m")).join(probabilities(needed, model), ["m", "g"]).select("tag", "g", "nats")
+
+    def run(packs: pa.Table, table: pa.Table) -> pa.Table:
+        if not packs.num_rows:
+            return pa.table({f.name: pa.array([], t.type) for f, t in zip(schema, to_arrow_schema(schema))})
         names = np.array(table.column("g").to_pylist(), f"<U{LENGTH}")
         known = hashes(names.view("<u4"))[::LENGTH]
         order = np.argsort(known)
         known, nats = known[order], table.column("nats").to_numpy()[order]
+        rows = pa.concat_tables(unpacked(blob) for blob in packs.column("rows").to_pylist())
         sizes, sums = [], []
-        for part in portions(texts.column(at).to_pylist()):
+        for part in portions(rows.column(text).to_pylist()):
             _, _, h, many = windows(part)
             place = np.minimum(np.searchsorted(known, h), len(known) - 1)
             if (known[place] != h).any():
                 raise RuntimeError("an n-gram of a block has no probability")
             sizes += many
             sums.append(np.add.reduceat(nats[place], np.cumsum([0, *many[:-1]])))
-        columns = [*texts.columns[: len(schema) - 2], pa.array(sizes, pa.int64()), pa.array(np.concatenate(sums), pa.float64())]
+        columns = [*(rows.column(f.name) for f in kept), pa.array(sizes, pa.int64()), pa.array(np.concatenate(sums), pa.float64())]
         return pa.table(columns, names=schema.names)
 
-    return rows.groupBy("__tag").cogroup(found.groupBy("__tag")).applyInArrow(run, schema)
+    return blocks.groupBy("tag").cogroup(found.groupBy("tag")).applyInArrow(run, schema)
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -271,44 +315,38 @@ def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("q"), F.max(toxic).alias("t")).where("q = 1 and t = 0").select(key)
 
 
-@dataclass
-class Fitted:
-    """A model of trusted text and what it says of each language; ``limits`` has a row per language."""
-
-    model: list[tuple[DataFrame, DataFrame]]
-    mean: float
-    limit: float | None
-    limits: DataFrame | None
-    prior: float
+def judged(df: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 0.15, prior: float = 60.0, key: str = "doc_id", text: str = "text", lang: str = "lang", also: dict[str, Column] | None = None) -> DataFrame:
+    """(key, lang, also, __perplexity, __threshold, __accepted) of each row, by a model of all trusted texts.
 
-
-def fit(df: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 0.15, prior: float = 60.0, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Fitted:
-    """Train on all trusted texts and set the thresholds.
-
-    ``slack`` widens the log-perplexity threshold; ``prior`` symbols at the language's mean are added to
-    each text, so that a few odd letters do not reject a short text.
+    Trusted texts are scored by the model without their half, the others by the model of all. ``slack`` widens the
+    log-perplexity threshold; ``prior`` symbols at the language's mean are added to each text, so that a few odd
+    letters do not reject a short text.
     """
     small_batches(df.sparkSession)
-    ids = cut(trusted_ids(labels, key))
+    ids = cut(trusted_ids(labels, key)).select(F.col(key).alias("__id"), F.lit(True).alias("__t"))
     known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    trusted = df.select(F.col(key), F.col(lang).alias("__lang"), F.col(text).alias("__text")).join(known, key, "left_semi").select("__lang", "__text")
-    # By the text, so that copies are in one half; a text is judged by the model of the other.
+    rows = df.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), F.col(text).alias("__text"), *(c.alias(n) for n, c in (also or {}).items()))
+    rows = rows.join(known, F.col("__key") == F.col("__id"), "left").drop("__id")
+    # By the text, so that copies are in one half; a trusted text is judged by the model of the other.
     half = F.pmod(F.xxhash64("__text"), F.lit(2))
-    model = trained(trusted.select("__text", half.alias("tag")))
-    found = cut(scored(trusted, model, "__text", half).drop("__text"))
-    whole = found.agg(F.sum("__nats").alias("a"), F.sum("__symbols").alias("b")).first()
+    model = trained(rows.where("__t").select("__text", half.alias("tag")))
+    found = cut(scored(rows, model, "__text", F.when(F.col("__t"), half).otherwise(F.lit(ALL).cast("long"))))
+    trusted = found.where("__t")
+    whole = trusted.agg(F.sum("__nats").alias("a"), F.sum("__symbols").alias("b")).first()
+    found = found.withColumn("__perplexity", F.exp(F.col("__nats") / F.col("__symbols")))
     if not whole["b"]:
-        return Fitted(model, 0.0, None, None, prior)
+        return found.withColumns({"__threshold": F.lit(None).cast("double"), "__accepted": F.lit(True)})
     mean = whole["a"] / whole["b"]
-    means = by_language(found.groupBy("__lang").agg((F.sum("__nats") / F.sum("__symbols")).alias("__mean")))
-    levels = cut(found.join(means, "__lang", "left").withColumn("__level", level(F.coalesce("__mean", F.lit(mean)), prior)))
-    quantiles = levels.groupBy("__lang").agg(F.first("__mean").alias("__mean"), (F.percentile_approx("__level", quantile, 10000) + math.log1p(slack)).alias("__limit")).where("__lang is not null")
+    means = by_language(trusted.groupBy("__lang").agg((F.sum("__nats") / F.sum("__symbols")).alias("__mean")))
+    levels = cut(trusted.join(means, "__lang", "left").withColumn("__level", level(F.coalesce("__mean", F.lit(mean)), prior)))
+    limits = levels.groupBy("__lang").agg(F.first("__mean").alias("__mean"), (F.percentile_approx("__level", quantile, 10000) + math.log1p(slack)).alias("__limit")).where("__lang is not null")
     overall = levels.agg(F.percentile_approx("__level", quantile, 10000).alias("q")).first()["q"] + math.log1p(slack)
-    return Fitted(model, mean, overall, by_language(quantiles), prior)
+    limit = F.coalesce("__limit", F.lit(overall))
+    return found.join(by_language(limits), "__lang", "left").withColumns({"__threshold": F.exp(limit), "__accepted": level(F.coalesce("__mean", F.lit(mean)), prior) <= limit})
 
 
 def by_language(rows: DataFrame) -> DataFrame:
-    """A row per language, broadcast if there are few enough: a shuffle by language would gather whole texts."""
+    """A row per language, broadcast if there are few enough."""
     rows = cut(rows)
     return F.broadcast(rows) if rows.count() <= BROADCAST_LANGUAGES else rows
 
@@ -318,29 +356,17 @@ def level(mean: Column, prior: float) -> Column:
     return (F.col("__nats") + prior * mean) / (F.col("__symbols") + prior)
 
 
-def judged(df: DataFrame, model: Fitted, text: str = "text", lang: str = "lang") -> DataFrame:
-    """All rows and columns with ``__perplexity``, ``__threshold`` and ``__accepted``."""
-    small_batches(df.sparkSession)
-    found = scored(df, model.model, text).withColumn("__perplexity", F.exp(F.col("__nats") / F.col("__symbols")))
-    if model.limit is None:
-        return found.withColumns({"__threshold": F.lit(None).cast("double"), "__accepted": F.lit(True)}).drop("__symbols", "__nats")
-    limit = F.coalesce("__limit", F.lit(model.limit))
-    return (
-        found.join(model.limits, F.col(lang) == F.col("__lang"), "left")
-        .withColumns({"__threshold": F.exp(limit), "__accepted": level(F.coalesce("__mean", F.lit(model.mean)), model.prior) <= limit})
-        .drop("__symbols", "__nats", "__lang", "__mean", "__limit")
-    )
-
-
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **settings) -> DataFrame:
     """One row per input row: key, lang, perplexity, threshold, accepted."""
-    model = fit(df, labels, key=key, text=text, lang=lang, **settings)
-    found = judged(df.select(key, lang, text), model, text, lang)
-    return found.select(key, lang, *(F.col("__" + c).alias(c) for c in ("perplexity", "threshold", "accepted")))
+    found = judged(df, labels, key=key, text=text, lang=lang, **settings)
+    return found.select(F.col("__key").alias(key), F.col("__lang").alias(lang), *(F.col("__" + c).alias(c) for c in ("perplexity", "threshold", "accepted")))
 
 
 def keep_accepted(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **settings) -> DataFrame:
-    """The accepted rows with their own columns."""
-    model = fit(df, labels, key=key, text=text, lang=lang, **settings)
+    """The accepted rows with their own columns; rows are told by key, language and the digest of the text."""
     rows, name = numbered(df)
-    return judged(rows, model, name[text], name[lang]).where("__accepted").select(*rows.columns).toDF(*df.columns)
+    digest = F.unhex(F.sha2(F.coalesce(F.col(name[text]), F.lit("")), 256))
+    known = labels.withColumnRenamed(key, name[key]) if key in labels.columns else labels
+    accepted = judged(rows, known, key=name[key], text=name[text], lang=name[lang], also={"__d": digest}, **settings).where("__accepted").select("__key", "__lang", "__d").distinct()
+    same = F.col(name[key]).eqNullSafe(F.col("__key")) & F.col(name[lang]).eqNullSafe(F.col("__lang")) & (F.col("__d0") == F.col("__d"))
+    return rows.withColumn("__d0", digest).join(accepted, same, "left_semi").select(*rows.columns).toDF(*df.columns)

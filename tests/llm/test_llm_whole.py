@@ -39,7 +39,7 @@ def test_quality_model_is_of_real_characters(spark):
     texts = ["the cat sat on the mat. " * 3, "мама мыла раму", "THE 12 dogs", "你好世界", "", "the cat\0sat"]
     df = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, tag long")
     asked = [*texts, "unseen Ωord", "рама мыла маму"]
-    rows = quality.scored(spark.createDataFrame([(t,) for t in asked], "text string"), quality.trained(df)).collect()
+    rows = quality.scored(spark.createDataFrame([(t, t) for t in asked], "text string, asked string"), quality.trained(df)).collect()
     n = quality.LENGTH
 
     def grams(t):
@@ -60,7 +60,7 @@ def test_quality_model_is_of_real_characters(spark):
         cut = lambda c: cuts[k][min(c, 3) - 1]
         return ((same[g] - cut(same[g]) if g in same else 0) + sum(map(cut, same.values())) * low) / total if same else low
 
-    found = {r.text: (r["__symbols"], r["__nats"]) for r in rows}
+    found = {r.asked: (r["__symbols"], r["__nats"]) for r in rows}
     for t in asked:
         assert found[t][0] == len(t) + 1 and math.isclose(found[t][1], -sum(math.log(prob(g)) for g in grams(t)), rel_tol=1e-9)
 
