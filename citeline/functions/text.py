@@ -65,7 +65,8 @@ def normalize_text(text: Column, compatibility: bool = True) -> Column:
     NFKC has no built-in, so it is an Arrow function; leave it out where the text is known to be NFKC.
     """
     joined = dehyphenate(text)
-    return tidy(nfkc(joined) if compatibility else joined)
+    # ASCII is its own compatibility form: only other texts go to the Arrow function.
+    return tidy(F.coalesce(nfkc(F.when(joined.rlike(r"[^\x00-\x7F]"), joined)), joined) if compatibility else joined)
 
 
 def clean_paragraph(line_list: Column, compatibility: bool = True) -> Column:

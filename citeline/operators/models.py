@@ -21,6 +21,10 @@ class AuthError(ModelError):
     """Wrong credentials; not tried again."""
 
 
+class RateLimitError(ModelError):
+    """Too many calls; tried again like any failure, and told apart when all attempts are spent."""
+
+
 def with_retries(call: Callable, *, attempts: int = ATTEMPTS, pause: float = PAUSE, sleep: Callable[[float], None] = time.sleep):
     """The result of ``call``; after each failure but the last it waits pause x attempt."""
     for attempt in range(1, attempts + 1):
@@ -46,12 +50,13 @@ def offline_embedding(texts: list[str], dim: int = 64) -> list[list[float]]:
 
 
 def embed(df: DataFrame, text: str, into: str, model: Callable[[list[str]], list[list[float]]] = offline_embedding) -> DataFrame:
-    """All rows with the vector of a text; the model sees EMBED_BATCH texts at a time."""
+    """All rows with the vector of a text; the model sees EMBED_BATCH texts at a time, each call with retries."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             values = texts.fillna("").tolist()
-            yield pd.Series([v for i in range(0, len(values), EMBED_BATCH) for v in model(values[i : i + EMBED_BATCH])])
+            parts = (values[i : i + EMBED_BATCH] for i in range(0, len(values), EMBED_BATCH))
+            yield pd.Series([v for part in parts for v in with_retries(lambda part=part: model(part))])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return df.withColumn(into, F.pandas_udf(run, "array<float>")(F.col(text)))

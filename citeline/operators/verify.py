@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from citeline.functions.text import canonical_form, normalize_text, parse_number, reportable_numbers
 from citeline.operators.retrieval import small
 
+#: Quotes whose first words are one literal set in the plan; more are joined.
+LITERAL_HEADS = 20_000
 #: The caveats that the answer check adds.
 UNVERIFIED = "Quotes could not be matched exactly to the source text"
 ORPHANED = "Some inline citations could not be matched to evidence"
@@ -41,6 +43,10 @@ def heads(text: Column, k: int) -> Column:
     return F.array_distinct(F.transform(whole, lambda x: F.xxhash64(F.concat_ws(" ", *(x[f"w{i}"] for i in range(k))))))
 
 
+def tagged(hashes: Column, k: int) -> Column:
+    return F.transform(hashes, lambda h: F.struct(F.lit(k).alias("k"), h.alias("h")))
+
+
 def quotes_in_corpus(quotes: DataFrame, docs: DataFrame, quote_id: str, quote: str, key: str, text: str, k: int = 3, compatibility: bool = True) -> DataFrame:
     """(quote_id, key) of all verbatim quotes in all texts.
 
@@ -52,6 +58,15 @@ def quotes_in_corpus(quotes: DataFrame, docs: DataFrame, quote_id: str, quote: s
     first = canon.select(quote_id, "q", "k", F.xxhash64(F.array_join(F.slice(F.split(F.trim("q"), " "), 1, k), " ")).alias("h"))
     texts = docs.select(key, canonical_form(F.col(text), compatibility).alias("t"))
     sizes = sorted(r["k"] for r in first.select("k").distinct().collect()) or [k]  # k values at most
+    asked = first.select("k", "h").limit(LITERAL_HEADS + 1).collect()  # a row for each quote, which bounds the broadcast too
+    if len(asked) <= LITERAL_HEADS:
+        # Few heads are one literal set: a text's other heads are dropped before rows are made of them, and it is verified in place.
+        wanted = {i: sorted({r["h"] for r in asked if r["k"] == i}) for i in sizes}
+        hit = lambda i: F.filter(heads(F.col("t"), i), lambda h: h.isin(wanted[i]))
+        some = texts.withColumn("x", F.concat(*(tagged(hit(i), i) for i in sizes)))
+        met = some.where(F.size("x") > 0).select(key, "t", F.explode("x").alias("x"))
+        pairs = met.join(F.broadcast(first.select(quote_id, "q", "k", "h")), (F.col("x.k") == F.col("k")) & (F.col("x.h") == F.col("h")))
+        return pairs.where(F.contains("t", F.col("q"))).select(quote_id, key).distinct()
     each = texts.select(key, F.explode(F.array(*(F.struct(F.lit(i).alias("k"), heads(F.col("t"), i).alias("hs")) for i in sizes))).alias("x"))
     met = each.select(key, "x.k", F.explode("x.hs").alias("h")).join(small(first.select(quote_id, "k", "h")), ["k", "h"]).select(quote_id, key).distinct()
     return met.join(canon.select(quote_id, "q"), quote_id).join(texts, key).where(F.contains("t", F.col("q"))).select(quote_id, key)
