@@ -260,7 +260,8 @@ def packed(df: DataFrame) -> DataFrame:
         for m in list(held):
             yield out(m)
 
-    return df.mapInArrow(run, "tag long, rows binary")
+    # Tasks of a block's rows, so that many small input partitions do not make many small blocks.
+    return df.coalesce(df.count() // BLOCK + 1).mapInArrow(run, "tag long, rows binary")
 
 
 def unpacked(blob: bytes) -> pa.Table:
