@@ -57,7 +57,7 @@ def url_filter() -> str:
     verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered) + " END"
     words = ", ".join(f"('{c}', '{w}')" for c, x in u.CATEGORIES.items() for w in x.split())
     kinds = [x for pair in u.MODELS for x in pair]
-    counted = ", ".join(f"CASE WHEN half IS NOT DISTINCT FROM {x[1]} OR (v IS NOT DISTINCT FROM 'block') <> {x[0] == 'r'} THEN 0 ELSE 1 END AS {x}" for x in kinds)
+    counted = ", ".join(f"CASE WHEN half IS NOT DISTINCT FROM {x[1]} OR {x[0] == 'a'} AND v IS NOT DISTINCT FROM 'block' THEN 0 ELSE 1 END AS {x}" for x in kinds)
     orders = []
     for k in range(1, u.ORDER + 1):
         low = {x: f"l.q{x}" if k > 1 else "1 / 256" for x in kinds}
@@ -72,8 +72,8 @@ rows_ AS (SELECT page_id, host, path, {name} AS rule, {verdict} AS v, host || pa
 known AS (SELECT line, any_value(v) AS v, CAST('0x' || substr(md5(regexp_extract(line, '^[^/]*')), 1, 8) AS BIGINT) % 2 AS half FROM rows_ WHERE host <> '' GROUP BY line),
 w(c, x) AS (VALUES {words}),
 listed AS (SELECT x AS line FROM w UNION SELECT a.x || j || b.x FROM w a JOIN w b USING (c), (VALUES ('-'), ('')) t(j) WHERE a.x <> b.x),
-counted AS (SELECT line, {counted} FROM (SELECT line, v, half FROM known UNION ALL SELECT line, 'block', NULL FROM listed)),
-top AS (SELECT {gram} AS g, {", ".join(f"sum({x}) AS {x}" for x in kinds)} FROM counted, range(1, length(line) + 2) r(i) GROUP BY 1),
+counted AS (SELECT line, half IS NULL AS inner_, {counted} FROM (SELECT line, v, half FROM known UNION ALL SELECT line, 'block', NULL FROM listed)),
+top AS (SELECT {gram} AS g, {", ".join(f"sum({x}) AS {x}" for x in kinds)} FROM counted, range(1, length(line) + 2) r(i) WHERE NOT (inner_ AND (contains({gram}, chr(2)) OR contains({gram}, chr(3)))) GROUP BY 1),
 {newline.join(orders)},
 sc AS (SELECT line, avg(CASE WHEN half = 0 THEN ln(qr0 / qa0) ELSE ln(qr1 / qa1) END) AS score FROM known, range(1, length(line) + 2) r(i) JOIN q{u.ORDER} ON g = {gram} GROUP BY line),
 lim AS (SELECT greatest(coalesce(quantile_disc(score, 0.99), 0.0), 0.0) AS cutoff FROM known JOIN sc USING (line) WHERE v = 'allow')
