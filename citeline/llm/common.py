@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from citeline.session import cut, shared_folder, table  # noqa: F401  the operators take them from here
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -20,24 +15,6 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share.
-
-    Where none is set, a local session gets a temporary one; on a cluster that is an error, because a
-    folder of one machine is not seen by the others.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write whole rows as Parquet into the shared folder, under its checkpoint of this application, and read them again."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
@@ -69,12 +46,6 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, share: int = 2000) -
     return first.drop("__hot").unionByName(rest)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder; a temporary one only where none is set."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The table with its columns named c0, c1, ... by place, so that columns added to it clash with none."""
     names = [f"c{i}" for i in range(len(df.columns))]
