@@ -7,9 +7,10 @@ import struct
 import time
 from collections import Counter
 
+import public_tokenizers
 import pytest
 
-from citeline.llm import chat, html_extract, media, quality, simhash
+from citeline.llm import bpe, chat, html_extract, media, quality, simhash
 
 
 @pytest.mark.parametrize("start", ["<body>", "", "<body class=x><div>", "<main>"])
@@ -173,3 +174,19 @@ def test_pieces_follow_the_counted_cost():
     counts = [simhash.pieces_for(n, 4) for n in (10, 10**5, 10**7, 10**9, 10**11)]
     assert counts == sorted(counts, reverse=True) and counts[0] > counts[-1] >= 2
     assert simhash.cost_of(4, 5)[0] == 5 < simhash.cost_of(4, 3)[0] < simhash.cost_of(4, 2)[0]
+
+
+def test_portions_of_long_texts_encode_as_the_whole():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), bpe.Transducer(path)
+    library.no_truncation()
+    library.no_padding()
+    r = random.Random(8)
+    words = ["don't", "it's", "naïve", "2024", "...", "a\n\nb", "  ", "\t x", "😀", "word", "<|endoftext|>", " ", "re-use", "I'll"]
+    for text in (" ".join(r.choice(words) for _ in range(60_000)), "x" * 200_000, "  ".join(r.choice(words) for _ in range(30_000)), "\n".join(r.choice(words) for _ in range(40_000)) + " end here"):
+        parts = list(own.portions(text))
+        assert [i for p in parts for i in p] == library.encode(text, add_special_tokens=False).ids
+        assert "".join(own.decoded(parts)) == text
+    assert len(list(own.portions("one two " * 40_000))) > 3
