@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeline.llm import lexical, line_dedup
 from citeline.llm.common import table
 from citeline.llm.oracles import PII, url_filter
 
@@ -73,8 +74,28 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op3_sanitise_pii, op4_url_filter, op5_embedding_near_dedup, op6_tool_call_linking, op7_best_fit_packing, op8_quality_classifier, op9_simhash_near_dedup, op10_bpe_round_trip)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeline.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeline.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeline.llm.line_dedup import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op3_sanitise_pii, op4_url_filter, op5_embedding_near_dedup, op6_tool_call_linking, op7_best_fit_packing, op8_quality_classifier, op9_simhash_near_dedup, op10_bpe_round_trip, op11_ranked_search, op12_spelling_variants, op13_line_dedup)}
 ORACLES: dict[str, str] = {
+    "op11_ranked_search": lexical.SQL,
+    "op13_line_dedup": line_dedup.SQL,
     "op3_sanitise_pii": PII,
     "op4_url_filter": url_filter(),
     "op5_embedding_near_dedup": """WITH RECURSIVE v AS (
