@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeline.operators.text_index import TextIndex
+
 from citeline.functions.text import page_label, source_tag
 
 CHARS_PER_TOKEN, HISTORY_CHARS, HISTORY_MESSAGES = 4, 500, 2
@@ -71,17 +73,17 @@ def attach_interpretation(messages: DataFrame, conversation: str, order: str) ->
     return messages.withColumn("shown_as", F.when((F.col("role") == "user") & (after["role"] == "assistant"), after["interpreted_as"]))
 
 
-def chat_context(docs: DataFrame, questions: DataFrame, vector_lists: DataFrame, chunks: DataFrame, budget_tokens: int = 5000, depth: int = 20, keep: int = 8, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def chat_context(docs: DataFrame, questions: DataFrame, vector_lists: DataFrame, chunks: DataFrame, budget_tokens: int = 5000, depth: int = 20, keep: int = 8, index: TextIndex | None = None) -> DataFrame:
     """Sources of each question: words and vectors fused, the best chunks within the budget, tagged in order.
 
     docs (doc_id, text, company) are ready reports' chunks; vector_lists (query_id, list_idx, rank, doc_id) come
-    from the vector side; a question that names companies sees theirs only. ``index`` are stored postings and lengths of docs.
+    from the vector side; a question that names companies sees theirs only. ``index`` is the stored index of docs.
     """
     from citeline.operators import retrieval as R
 
     scoped = R.scope_by_name(questions, docs, "query_id", "question", "company")
-    scored = R.bm25_indexed(*index, questions) if index else R.bm25(docs.select("doc_id", "text"), questions)
-    scored = scored.join(docs.select("doc_id", "company"), "doc_id").join(scoped, ["query_id", "company"], "left_semi")
+    scored = R.bm25_indexed(index, questions) if index else R.bm25(docs.select("doc_id", "text"), questions)
+    scored = R.in_scope(scored.join(docs.select("doc_id", "company"), "doc_id"), scoped, "query_id", "company")
     words = R.top_k(scored, ["query_id"], [F.round("score", 9).desc(), F.col("doc_id")], depth).select("query_id", F.lit(0).alias("list_idx"), "rank", "doc_id")
     best = R.fused_top(words.unionByName(vector_lists), "query_id", "doc_id", keep).select("query_id", "rank", F.col("doc_id").alias("chunk_id"))
     return assemble(best.join(chunks, "chunk_id"), budget_tokens)

@@ -8,19 +8,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.functions.text import index_tokens, question_tokens
+from citeline.operators.text_index import TextIndex
 from citeline.session import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Rows of a question table that are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Asked terms that prune a stored index as literals; more are joined.
+LITERAL_TERMS = 10_000
 #: Query vectors that are held against all vectors at once.
 QUERY_BLOCK = 2_000
+#: Vectors of a block where both sides are dealt into a grid.
+VECTOR_BLOCK = 20_000
+#: Names that one automaton looks for; more are dealt into several.
+NAME_BLOCK = 200_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -63,13 +71,15 @@ def asked(questions: DataFrame, query: str, question: str) -> tuple[DataFrame, D
     return listed, parts_of, few
 
 
-def scores(tf: DataFrame, stats: DataFrame, listed: DataFrame, hint, key: str, query: str) -> DataFrame:
-    """(query, key, score) from how often each phrase occurs in each document (key, p, doc_len, tf)."""
+def scores(tf: DataFrame, stats: tuple[int, float | None], listed: DataFrame, hint, key: str, query: str) -> DataFrame:
+    """(query, key, score) from how often each phrase occurs in each document (key, p, doc_len, tf), which is read once and kept."""
+    n_docs, avg_len = F.lit(stats[0]), F.lit(stats[1]).cast("double")
+    tf = cut(tf)
     df = tf.groupBy("p").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("doc_len") / F.col("avg_len")))
-    scored = tf.join(hint(df), "p").crossJoin(F.broadcast(stats)).select(key, "p", part.alias("part"))  # stats is one row
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("doc_len") / avg_len))
+    scored = tf.join(hint(df), "p").select(key, "p", part.alias("part"))
     ordered = F.array_sort(F.collect_list(F.struct("n", "part")))
     return scored.join(hint(listed.select(query, "n", "p")), "p").groupBy(query, key).agg(F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x["part"]).alias("score"))
 
@@ -89,67 +99,40 @@ def bm25(docs: DataFrame, questions: DataFrame, key: str = "doc_id", text: str =
     start = F.when(F.col("len") > 1, F.col("pos") - F.col("i")).alias("start")
     starts = met.groupBy(key, "p", "len", "doc_len", start).agg(F.count(F.lit(1)).alias("found")).where("len = 1 or found = len")
     tf = starts.groupBy(key, "p", "doc_len").agg(F.sum(F.when(F.col("len") == 1, F.col("found")).otherwise(1)).alias("tf"))
-    return scores(tf, corpus_stats(docs, text), listed, hint, key, query)
+    return scores(tf, tuple(corpus_stats(docs, text).first()), listed, hint, key, query)
 
 
-def bm25_indexed(index: DataFrame, sizes: DataFrame, questions: DataFrame, key: str = "doc_id", query: str = "query_id", question: str = "question", scope: DataFrame | None = None) -> DataFrame:
-    """What ``bm25`` gives, from postings (key, term, tf, positions, doc_len) and lengths (key, doc_len): only asked terms are read.
+def asked_terms(parts_of: DataFrame) -> dict[str, int] | None:
+    """Asked terms with their hashes, to stand in the plan; None if they are more than LITERAL_TERMS."""
+    rows = parts_of.select("term", F.xxhash64("term").alias("h")).distinct().limit(LITERAL_TERMS + 1).collect()
+    return {r["term"]: r["h"] for r in rows} if len(rows) <= LITERAL_TERMS else None
+
+
+def bm25_indexed(index: TextIndex, questions: DataFrame, query: str = "query_id", question: str = "question", scope: DataFrame | None = None) -> DataFrame:
+    """What ``bm25`` gives, from a stored index: one scan of the asked terms' buckets serves all questions.
 
     ``scope`` (query, key) leaves only its pairs; statistics stay those of all documents.
     """
+    key = index.key
     listed, parts_of, few = asked(questions, query, question)
     hint = F.broadcast if few else (lambda df: df)
-    met = index.join(hint(parts_of), "term")
-    single = met.where("len = 1").select(key, "p", "doc_len", F.col("tf").cast("long").alias("tf"))
-    starts = met.where("len > 1").select(key, "p", "len", "doc_len", F.explode(F.transform("positions", lambda x: x - F.col("i"))).alias("start"))
-    phrased = starts.groupBy(key, "p", "len", "doc_len", "start").agg(F.count(F.lit(1)).alias("found")).where("found = len").groupBy(key, "p", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    found = scores(single.unionByName(phrased), stats, listed, hint, key, query)
+    held = index.postings(asked_terms(parts_of))
+    if held is None:
+        return questions.sparkSession.createDataFrame([], f"{query} {questions.schema[query].dataType.simpleString()}, {key} long, score double")
+    met = held.join(hint(parts_of), "term")
+    if parts_of.where("len > 1").limit(1).count():
+        # A phrase's parts are shifted to its start and meet there; a single term is a phrase that starts nowhere.
+        nowhere = F.array(F.struct(F.lit(None).cast("int").alias("start"), F.col("tf").cast("long").alias("n")))
+        starts = F.transform("positions", lambda x: F.struct((x - F.col("i")).alias("start"), F.lit(1).cast("long").alias("n")))
+        each = met.select(key, "p", "len", "doc_len", F.explode(F.when(F.col("len") == 1, nowhere).otherwise(starts)).alias("x")).repartition(key, "p")
+        found = each.groupBy(key, "p", "len", "doc_len", "x.start").agg(F.sum("x.n").alias("n")).where("len = 1 or n = len")
+        tf = found.groupBy(key, "p", "doc_len").agg(F.sum(F.when(F.col("len") == 1, F.col("n")).otherwise(1)).alias("tf"))
+    else:
+        tf = met.select(key, "p", "doc_len", F.col("tf").cast("long").alias("tf"))
+    found = scores(tf, index.statistics(), listed, hint, key, query)
     return found if scope is None else found.join(scope, [query, key], "left_semi")
 
 
-def index_append(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = 16) -> int:
-    """Write texts as a new segment of the stored index at ``path`` and return its number.
-
-    Postings lie in buckets of terms, sorted by term, so that a question's terms are found by file statistics.
-    Lists of texts without words are kept as lengths.
-    """
-    segment = index_segments(docs.sparkSession, path)
-    found = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    found.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
-    lengths(docs, key, text).write.parquet(f"{path}/lengths/segment={segment}")
-    return segment
-
-
-def index_delete(keys: DataFrame, path: str, key: str = "doc_id") -> int:
-    """Delete texts from the stored index: what segments so far hold of them counts no more. An update is a delete and an append."""
-    segment = index_segments(keys.sparkSession, path)
-    keys.select(key).distinct().write.parquet(f"{path}/deleted/segment={segment}")
-    return segment
-
-
-def _part(spark, path: str, part: str) -> DataFrame | None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
-    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    return spark.read.option("basePath", f"{path}/{part}").parquet(f"{path}/{part}") if there else None
-
-
-def index_segments(spark, path: str) -> int:
-    """How many segments the index has, those of deletions too."""
-    tables = [t for t in (_part(spark, path, p) for p in ("lengths", "deleted")) if t is not None]
-    return max((int(t.agg(F.max("segment")).first()[0]) + 1 for t in tables if t.columns), default=0)
-
-
-def index_read(spark, path: str, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of the texts that are in the stored index and not deleted since."""
-    found, sizes, gone = (_part(spark, path, p) for p in ("postings", "lengths", "deleted"))
-    if gone is not None:
-        late = gone.groupBy(key).agg(F.max("segment").alias("_gone"))
-        live = lambda t: t.join(late, key, "left").where("_gone is null or segment > _gone").drop("_gone")
-        found, sizes = live(found), live(sizes)
-    return found.drop("segment", "bucket"), sizes.drop("segment")
-
-
 def top_k(scored: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group with their 1-based rank; pre-limited in each task before the shuffle."""
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
@@ -169,55 +152,89 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    size = np.sqrt((vectors * vectors).sum(axis=1))
+    return vectors / np.where(size > 0, size, 1.0)[:, None]
+
+
+def blocks_of(rows: DataFrame, key: str, size: int) -> list[DataFrame]:
+    """Rows dealt by a hash into blocks of about ``size``, one after the other; few rows are one block."""
+    n = rows.count()
+    if n <= size:
+        return [rows]
+    many = -(-n // size) + 1
+    numbered = cut(rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(many))))
+    return [numbered.where(F.col("_b") == i).drop("_b") for i in range(many)]
+
+
+def first_of(names: pa.Array, scopes: list | None, asked_: np.ndarray, keys: pa.Array, v: np.ndarray, mine: list | None, k: int | None) -> Iterator[tuple]:
+    """(query, keys, scores) of what can be among the first ``k`` of each query in a batch of vectors, ties at the last place too.
+
+    The last place is found by partition, so a query costs one pass over its scores, not a sort.
+    """
+    alike = asked_ @ unit_rows(v).T
+    if mine is not None:
+        alike = np.where(np.array(scopes, object)[:, None] == np.array(mine, object)[None, :], alike, -np.inf)
+    for i in range(len(names)):
+        row = alike[i]
+        some = np.nonzero(row > -np.inf)[0] if mine is not None else np.arange(len(row))
+        if k is not None and len(some) > k:
+            last = np.partition(row[some], len(some) - k)[len(some) - k]
+            some = some[row[some] >= last - 1e-9]
+        if len(some):
+            yield names.take(pa.array([i] * len(some))), keys.take(pa.array(some)), row[some]
+
+
 def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str, query: str, scope: str | None = None, k: int | None = None) -> DataFrame:
     """(query, key, score) of each query vector with each vector, or with those of its scope only.
 
-    Queries are taken in blocks of ``QUERY_BLOCK`` against all vectors: a block of unit vectors goes to the tasks, which
-    multiply it with batches of vectors. With ``k`` a task passes on, of each query, only what can be among
-    its first k by score (to nine places) and then key.
+    With ``k`` a batch passes on, of each query, only what can be among its first k (to nine places). At most QUERY_BLOCK
+    queries go to the tasks of the vectors' scan by broadcast. More of them are never in the driver: queries and vectors are
+    dealt into blocks, and each pair of blocks is one group of a shuffled grid, of bounded size on both sides.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *queries.schema]}
-    mine = [query, "vector", *([scope] if scope else [])]
-    rows = queries.select(*mine).orderBy(query)
-    many = rows.count()
-    if many > QUERY_BLOCK:
-        n = -(-many // QUERY_BLOCK) + 1
-        numbered = cut(rows.withColumn("_b", F.pmod(F.xxhash64(query), F.lit(n))))
-        blocks = [numbered.where(F.col("_b") == i).drop("_b") for i in range(n)]
-    else:
-        blocks = [rows]
-    found = None
-    for block in blocks:
-        held = block.toPandas()
-        asked_ = np.array(held["vector"].tolist(), np.float64).reshape(len(held), -1)
-        size = np.sqrt((asked_ * asked_).sum(axis=1))
-        asked_ = asked_ / np.where(size > 0, size, 1.0)[:, None]
-        names, scopes = held[query].to_numpy(), held[scope].to_numpy() if scope else None
-
-        def run(batches: Iterator[pd.DataFrame], asked_=asked_, names=names, scopes=scopes) -> Iterator[pd.DataFrame]:
-            best: list[pd.DataFrame] = [pd.DataFrame({query: names[:0], key: [], "score": []})] * len(names)
-            for pdf in batches:
-                if not len(pdf) or not len(names):
-                    continue
-                v = np.array(pdf["embedding"].tolist(), np.float64)
-                n = np.sqrt((v * v).sum(axis=1))
-                alike = (v / np.where(n > 0, n, 1.0)[:, None]) @ asked_.T
-                for i in range(len(names)):
-                    some = np.nonzero(pdf[scope].to_numpy() == scopes[i])[0] if scope else np.arange(len(pdf))
-                    part = pd.DataFrame({query: np.repeat(names[i], len(some)), key: pdf[key].to_numpy()[some], "score": alike[some, i]})
-                    if k is None:
-                        yield part
-                    else:
-                        both = pd.concat([best[i], part]) if len(best[i]) else part
-                        both = both.assign(_r=both["score"].round(9)).sort_values(["_r", key], ascending=[False, True]).head(k)
-                        best[i] = both.drop(columns="_r")
-            if k is not None:
-                yield from (b for b in best if len(b))
-
-        needed = vectors.where("embedding is not null").select(key, "embedding", *([scope] if scope else []))
-        part = needed.mapInPandas(run, f"{query} {kinds[query]}, {key} {kinds[key]}, score double")
-        found = part if found is None else found.unionByName(part)
-    return found
+    more = [scope] if scope else []
+    asked_ = queries.select(query, "vector", *more)
+    held = vectors.where("embedding is not null").select(key, "embedding", *more)
+    kinds = {f.name: f.dataType for f in [*vectors.schema, *queries.schema]}
+    schema = f"{query} {kinds[query].simpleString()}, {key} {kinds[key].simpleString()}, score double"
+    matrix = lambda column: np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+    listed = lambda table, i: table.column(i).to_pylist() if scope else None
+
+    def made(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for names, keys, scores_ in parts:
+            yield pa.record_batch([names, keys, pa.array(scores_, pa.float64())], [query, key, "score"])
+
+    many = asked_.count()
+    if many <= QUERY_BLOCK:
+        block = asked_.orderBy(query).toArrow().combine_chunks()
+        sent = vectors.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = sent.value
+            if not block.num_rows:
+                return
+            names, unit = block.column(0).combine_chunks(), unit_rows(matrix(block.column(1)))
+            names = names if isinstance(names, pa.Array) else pa.concat_arrays(names.chunks)
+            for b in batches:
+                if b.num_rows:
+                    yield from made(first_of(names, listed(block, 2), unit, b.column(0), matrix(b.column(1)), listed(b, 2), k))
+
+        return held.mapInArrow(run, schema)
+    q_blocks, v_blocks = -(-many // QUERY_BLOCK), max(1, -(-held.count() // VECTOR_BLOCK))
+    spread = lambda df, by, own, other, mine, theirs: df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(mine))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(theirs - 1).cast("long"))))
+    left = spread(asked_, query, "_q", "_v", q_blocks, v_blocks).groupBy("_q", "_v")
+    right = spread(held, key, "_v", "_q", v_blocks, q_blocks).groupBy("_q", "_v")
+
+    def cell(q: pa.Table, v: pa.Table) -> pa.Table:
+        empty = pa.table([pa.array([], q.schema.field(query).type), pa.array([], v.schema.field(key).type), pa.array([], pa.float64())], [query, key, "score"])
+        if not q.num_rows or not v.num_rows:
+            return empty
+        flat = lambda column: pa.concat_arrays(column.chunks)
+        mine, theirs = (q[scope].to_pylist(), v[scope].to_pylist()) if scope else (None, None)
+        parts = made(first_of(flat(q[query]), mine, unit_rows(matrix(q["vector"])), flat(v[key]), matrix(v["embedding"]), theirs, k))
+        return pa.Table.from_batches(parts, empty.schema)
+
+    return left.cogroup(right).applyInArrow(cell, schema)
 
 
 def fuse(lists: DataFrame, by: str, key: str, k: int = RRF_K) -> DataFrame:
@@ -258,17 +275,37 @@ def vectors_removed(index: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def scope_by_name(questions: DataFrame, reports: DataFrame, query: str, question: str, name: str) -> DataFrame:
-    """(query, name): names contained in a question, regardless of case; all names where none is.
+    """(query, name): names contained in a question, regardless of case; one row with a null name, for "all", where none is.
 
-    Names meet questions by their first three letters in an equi-join; only questions that name none are
-    given all names, because that is their scope.
+    One pass of an automaton of all names over each question finds them; names are broadcast in automata of NAME_BLOCK.
     """
-    names = reports.select(name).distinct().where(F.coalesce(F.col(name), F.lit("")) != "").withColumn("_n", F.lower(F.col(name)))
-    names = names.withColumn("_k", F.substring("_n", 1, 3))
-    text = F.lower(F.coalesce(F.col(question), F.lit("")))
-    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring(text, i, n)))))
-    keys = questions.select(query, text.alias("_q"), F.explode(starts).alias("_k"))
-    hits = keys.join(names, "_k").where(F.contains("_q", F.col("_n"))).select(query, name).distinct()
-    rest = questions.select(query).join(hits.select(query).distinct(), query, "left_anti").withColumn("_all", F.lit(1))
-    return hits.unionByName(rest.join(names.select(name).withColumn("_all", F.lit(1)), "_all").select(query, name))
+    listed = reports.select(name).distinct().where(F.coalesce(F.col(name), F.lit("")) != "").withColumn("_n", F.lower(F.col(name)))
+    text = questions.select(query, F.lower(F.coalesce(F.col(question), F.lit(""))).alias("_t"))
+    kind = questions.schema[query].dataType.simpleString()
+    hits = None
+    for block in blocks_of(listed, "_n", NAME_BLOCK):
+        names: dict[str, list[str]] = {}
+        for r in block.collect():
+            names.setdefault(r["_n"], []).append(r[name])
+        sent = questions.sparkSession.sparkContext.broadcast(names)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, machine = sent.value, ahocorasick.Automaton()
+            for n in names:
+                machine.add_word(n, n)
+            machine.make_automaton()
+            for b in batches:
+                found = [(i, x) for i, t in enumerate(b.column(1).to_pylist()) for n in dict.fromkeys(n for _, n in machine.iter(t)) for x in names[n]] if names else []
+                yield pa.record_batch([b.column(0).take(pa.array([i for i, _ in found], pa.int64())), pa.array([x for _, x in found], pa.string())], [query, name])
+
+        part = text.mapInArrow(run, f"{query} {kind}, {name} string")
+        hits = part if hits is None else hits.unionByName(part)
+    hits = cut(hits)
+    rest = questions.select(query).join(hits.select(query).distinct(), query, "left_anti")
+    return hits.unionByName(rest.select(query, F.lit(None).cast("string").alias(name)))
+
+
+def in_scope(scored: DataFrame, scoped: DataFrame, query: str, name: str) -> DataFrame:
+    """Scored rows (query, name, ...) whose name is in their question's scope; a null name of the scope is all names."""
+    every = scoped.where(F.col(name).isNull()).select(query)
+    return scored.join(scoped, [query, name], "left_semi").unionByName(scored.join(every, query, "left_semi"))

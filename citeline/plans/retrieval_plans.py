@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from citeline.operators import retrieval as R
+from citeline.operators import segments as S
+from citeline.operators import text_index as I
+from citeline.operators import vector_index as VI
 from citeline.plans.base import query
 from citeline.plans.text_plans import FIRSTS, TOKENS
-from citeline.session import shared_folder, table
+from citeline.session import scratch, table
+from citeline.streaming.indexing import index_batch, index_stream
 
-#: BM25 of every benchmark passage over all documents: view s(query_id, doc_id, score).
-BM25 = f"""words AS (SELECT doc_id, list_transform(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+'), lambda x: x) AS w FROM documents),
+def bm25_sql(docs: str, asked: str) -> str:
+    """Views of DuckDB up to s(query_id, doc_id, score): BM25 of every question (query_id, text) over all texts (doc_id, text)."""
+    return f"""words AS (SELECT doc_id, list_transform(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+'), lambda x: x) AS w FROM {docs}),
 stats AS (SELECT count(*) AS n, avg(len(w)) AS l FROM words),
-q0 AS (SELECT item_id AS query_id, {TOKENS.format(x='text')} AS t FROM benchmark),
+q0 AS (SELECT query_id, {TOKENS.format(x='text')} AS t FROM {asked}),
 q1 AS (SELECT query_id, {FIRSTS.format(l='t')} AS t FROM q0),
 q AS (SELECT query_id, i AS n, t[i] AS token FROM q1, range(1, len(t) + 1) r(i)),
 ph AS (SELECT query_id, n, regexp_extract_all(strip_accents(token), '[\\p{{L}}\\p{{N}}]+') AS terms FROM q),
@@ -27,6 +30,10 @@ dfs AS (SELECT terms, count(*) AS df FROM tf GROUP BY terms),
 part AS (SELECT doc_id, terms, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / l)) AS p FROM tf JOIN dfs USING (terms), stats),
 s AS (SELECT query_id, doc_id, sum(p ORDER BY n) AS score FROM part JOIN ph USING (terms) GROUP BY query_id, doc_id)"""
 
+
+#: BM25 of every benchmark passage over all documents.
+BM25 = bm25_sql("documents", "(SELECT item_id AS query_id, text FROM benchmark)")
+
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)"
 
 
@@ -34,22 +41,39 @@ def passages(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-_STORED: dict[tuple, str] = {}
+_STORED: dict[tuple, tuple] = {}
+
+
+def stored_index(spark, sf_dir, view=None):
+    """The index of the documents, or of a named view of them (a function of (spark, sf_dir)): written once a session for the files as they are (name, length, time of change), then read by every question."""
+    fs, at = S.hadoop(spark, f"{sf_dir}/documents.parquet")
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
+    name = (spark.sparkContext.applicationId, sf_dir, view and view.__name__)
+    held = _STORED.get(name)
+    if held is None or held[0] != state:
+        if held is not None:
+            S.hadoop(spark, held[1])[0].delete(S.hadoop(spark, held[1])[1], True)
+        path = scratch(spark, "index")
+        I.index_append((view(spark, sf_dir) if view else table(spark, sf_dir, "documents")).select("doc_id", "text"), path)
+        _STORED[name] = (state, path)
+    return I.index_read(spark, _STORED[name][1])
 
 
-def stored_index(spark, sf_dir):
-    """(postings, lengths) of the documents: written once a session for the files as they are, then read by every question."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
-    if key not in _STORED:
-        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        R.index_append(docs, path)
-        _STORED[key] = path
-    return R.index_read(spark, _STORED[key])
+@query(
+    """WITH a AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS w FROM documents), w AS (SELECT doc_id, unnest(w) AS term FROM a)
+SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM w GROUP BY term"""
+)
+def stream_index(spark, sf_dir):
+    """The documents as a stream into a stored index, its first batch run once more: what the index holds is what one append holds."""
+    path, docs = scratch(spark, "index"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parque[t]")
+    index_stream(stream, path, scratch(spark, "progress"), "documents")
+    index_batch(docs, 0, path, "documents")
+    return I.index_read(spark, path).postings().groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("occurrences"))
 
 
 def bm25_lists(spark, sf_dir):
-    return R.bm25_indexed(*stored_index(spark, sf_dir), passages(spark, sf_dir))
+    return R.bm25_indexed(stored_index(spark, sf_dir), passages(spark, sf_dir))
 
 
 def vector_scores(spark, sf_dir, queries=None, k=20):
@@ -72,7 +96,7 @@ def bm25_scoped(spark, sf_dir):
     """Corpus statistics stay global; each question sees one source only."""
     sources = table(spark, sf_dir, "documents").select("doc_id", "source")
     wanted = passages(spark, sf_dir).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("source"))
-    mine = R.bm25_indexed(*stored_index(spark, sf_dir), passages(spark, sf_dir), scope=sources.join(F.broadcast(wanted), "source").select("query_id", "doc_id"))
+    mine = R.bm25_indexed(stored_index(spark, sf_dir), passages(spark, sf_dir), scope=sources.join(F.broadcast(wanted), "source").select("query_id", "doc_id"))
     return best(mine, 5).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
@@ -156,7 +180,7 @@ _NAMED = "SELECT item_id, CASE WHEN item_id % 4 = 0 THEN text ELSE text || ' SRC
 
 @query(
     f"""WITH qs AS ({_NAMED}), p AS (SELECT item_id, source, contains(lower(question), lower(source)) AS hit FROM qs, (SELECT DISTINCT source FROM documents))
-SELECT item_id, source FROM (SELECT *, bool_or(hit) OVER (PARTITION BY item_id) AS found FROM p) WHERE hit OR NOT found"""
+SELECT item_id, source FROM p WHERE hit UNION ALL SELECT item_id, NULL FROM p GROUP BY item_id HAVING NOT bool_or(hit)"""
 )
 def scope_by_source(spark, sf_dir):
     named = F.when(F.col("item_id") % 4 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" SRC"), (F.col("item_id") % 20).cast("string")))
@@ -170,22 +194,35 @@ lw AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(CASE WHEN doc_id %
 
 @query(f"WITH {_LIVE} SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM (SELECT doc_id, unnest(w) AS term FROM lw) GROUP BY term")
 def index_maintenance(spark, sf_dir):
-    """Two appends, a delete, and an update (delete and append anew): the index holds what is live."""
-    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    R.index_append(docs.where("doc_id % 2 = 0"), path)
-    R.index_append(docs.where("doc_id % 2 <> 0"), path)
-    R.index_delete(docs.where("doc_id % 3 = 0"), path)
-    R.index_append(docs.where("doc_id % 15 = 0").withColumn("text", F.concat(F.lit("renewed "), "text")), path)
-    found, _ = R.index_read(spark, path)
+    """Two appends, a delete, an update (delete and append anew), a compaction: the index holds what is live, and a pinned reader what was."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark, "index")
+    I.index_append(docs.where("doc_id % 2 = 0"), path, batch="even")
+    I.index_append(docs.where("doc_id % 2 <> 0"), path)
+    I.index_append(docs.where("doc_id % 2 = 0"), path, batch="even")  # replayed: changes nothing
+    I.index_delete(docs.where("doc_id % 3 = 0"), path)
+    I.index_compact(spark, path)
+    I.index_append(docs.where("doc_id % 15 = 0").withColumn("text", F.concat(F.lit("renewed "), "text")), path)
+    found = I.index_read(spark, path).postings()
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("occurrences"))
 
 
 @query("SELECT vec_id AS doc_id, label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) * CASE WHEN vec_id % 10 = 2 THEN 2 ELSE 1 END, 6) AS total FROM embeddings WHERE vec_id % 10 NOT IN (0, 1)")
 def vector_index_updates(spark, sf_dir):
-    """Load, add (some anew), remove; what is left."""
-    all_ = vectors(spark, sf_dir)
-    loaded = all_.where("doc_id % 10 <> 1")
-    twice = all_.where("doc_id % 10 = 2").withColumn("embedding", F.transform("embedding", lambda x: (x * 2).cast("float")))
-    kept = R.vectors_removed(R.vectors_added(loaded, twice, "doc_id"), all_.where("doc_id % 10 = 0").select("doc_id"), "doc_id")
+    """A stored index: add, replace some (remove and add anew), remove some; what is left."""
+    all_, path = vectors(spark, sf_dir), scratch(spark, "vectors")
+    add = lambda rows: VI.vectors_add(rows, path, "doc_id", "label")
+    add(all_.where("doc_id % 10 <> 1"))
+    VI.vectors_remove(all_.where("doc_id % 10 = 2"), path, "doc_id")
+    add(all_.where("doc_id % 10 = 2").withColumn("embedding", F.transform("embedding", lambda x: (x * 2).cast("float"))))
+    VI.vectors_remove(all_.where("doc_id % 10 = 0"), path, "doc_id")
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return kept.select("doc_id", "label", F.round(total, 6).alias("total"))
+    return VI.vectors_read(spark, path, "doc_id", "label").vectors().select("doc_id", "label", F.round(total, 6).alias("total"))
+
+
+@query(f"WITH {COS} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, {_VTOP} AS rank FROM cs) WHERE rank <= 20")
+def vector_index_search(spark, sf_dir):
+    """The stored index's search, codes first and exact scores last, of every hundredth vector against all."""
+    path = scratch(spark, "vectors")
+    VI.vectors_add(vectors(spark, sf_dir), path, "doc_id", "label")
+    found = VI.vectors_read(spark, path, "doc_id", "label").search(vector_queries(spark, sf_dir), 20)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")

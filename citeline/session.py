@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,29 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new name in the shared folder for what this application writes; it is deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at.getParent())
+    _SCRATCH.append((spark.sparkContext.applicationId, fs, at))
+    if len(_SCRATCH) == 1:
+        atexit.register(_clear)
+    return path
+
+
+_SCRATCH: list[tuple] = []
+
+
+def _clear() -> None:
+    for _, fs, at in _SCRATCH:
+        try:
+            fs.delete(at, True)
+        except Exception:  # noqa: BLE001  the JVM has ended before, and its folder with it
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
