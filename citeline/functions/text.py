@@ -74,6 +74,13 @@ def clean_paragraph(line_list: Column, compatibility: bool = True) -> Column:
     return F.regexp_replace(normalize_text(F.array_join(line_list, "\n"), compatibility), r"(?U)\s+", " ")
 
 
+def block_text(lines: Column, compatibility: bool = True) -> Column:
+    """The text of a block of lines of spans: spans run on, blank lines go, the rest is one paragraph; empty for a null block."""
+    joined = F.transform(lines, lambda spans: F.array_join(spans, ""))
+    kept = F.filter(joined, lambda t: t.rlike(r"(?U)\S"))
+    return clean_paragraph(F.coalesce(kept, F.array().cast("array<string>")), compatibility)
+
+
 def clean_cell(text: Column, compatibility: bool = True) -> Column:
     """A table cell: normalised, newlines as spaces, pipes as slashes, stripped."""
     return strip(F.translate(normalize_text(F.coalesce(text, F.lit("")), compatibility), "\n|", " /"))

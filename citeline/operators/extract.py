@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CANDIDATES, MAX_GOALS, BATCH, SIMILARITY = 150, 60, 10, 0.6
+from citeline.operators.text_index import TextIndex
+
+MAX_CANDIDATES, MAX_GOALS, BATCH = 150, 60, 10
 
 
 def candidates(topical: DataFrame, semantic: DataFrame, report: str, order: list[str], key: str, cap: int = MAX_CANDIDATES) -> DataFrame:
@@ -39,39 +38,6 @@ def rank_goals(goals: DataFrame, report: str, order: str, cap: int = MAX_GOALS)
     return goals.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
 
 
-def squeezed(title: Column, target: Column) -> Column:
-    """Title and target as small letters, without blanks and hyphens."""
-    return F.regexp_replace(F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(target, F.lit("")))), r"(?U)[\s\-]+", "")
-
-
-def dedupe_goals(goals: DataFrame, report: str = "report_id", order: str = "pos") -> DataFrame:
-    """Goals without rewordings, with ``slot``: where the commitment first appeared.
-
-    A goal is held against each kept one of its category and year, in order; the first alike is
-    replaced in place if the new quote is longer, and later goals meet the new wording. Only goals of
-    one report, category and year can be alike, so each such group is a task of its own.
-    """
-    names = goals.columns
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []  # [slot, text, row]
-        pdf = pdf.rename(columns={"_text": "squeezed_"}).sort_values(order)
-        for row in pdf.itertuples(index=False):
-            text = row.squeezed_
-            for k in kept:
-                if difflib.SequenceMatcher(None, text, k[1]).ratio() >= SIMILARITY:
-                    if len(row.quote or "") > len(k[2].quote or ""):
-                        k[1:] = [text, row]
-                    break
-            else:
-                kept.append([getattr(row, order), text, row])
-        return pd.DataFrame([(*k[2][:-1], k[0]) for k in kept], columns=[*names, "slot"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in goals.schema) + f", slot {goals.schema[order].dataType.simpleString()}"
-    made = goals.withColumn("_text", squeezed(F.col("title"), F.col("target")))
-    return made.groupBy(report, "category", "target_year").applyInPandas(one, schema)
-
-
 #: The phrasings that look for workforce figures and for sustainability goals.
 WORKFORCE_QUESTIONS = (
     "total number of employees FTE full-time equivalent", "workforce headcount at year end", "average number of employees",
@@ -88,16 +54,16 @@ def question_table(spark, phrasings: tuple[str, ...]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(phrasings)), "query_id long, question string")
 
 
-def phrased_candidates(index: tuple[DataFrame, DataFrame], phrasings: tuple[str, ...], reports: DataFrame, vector_lists: DataFrame | None = None, report: str = "report_id", key: str = "doc_id", depth: int = 20, keep: int = 12) -> DataFrame:
+def phrased_candidates(index: TextIndex, phrasings: tuple[str, ...], reports: DataFrame, vector_lists: DataFrame | None = None, report: str = "report_id", key: str = "doc_id", depth: int = 20, keep: int = 12) -> DataFrame:
     """(report, key, rank): the chunks of each report that several fixed phrasings find, each cut at ``depth``, fused in their order.
 
-    ``index`` are postings and lengths of all chunks, ``reports`` (report, key) says whose they are; ``vector_lists``
+    ``index`` is the stored index of all chunks, ``reports`` (report, key) says whose they are; ``vector_lists``
     (report, query_id, list_idx, rank, key) are the vector side's lists, where there is one.
     """
     from citeline.operators import retrieval as R
 
     questions = question_table(reports.sparkSession, phrasings)
-    found = R.bm25_indexed(*index, questions, key=key).join(reports.select(report, key), key)
+    found = R.bm25_indexed(index, questions).join(reports.select(report, key), key)
     order = [F.round("score", 9).desc(), F.col(key)]
     words = R.top_k(found, [report, "query_id"], order, depth).select(report, "query_id", F.lit(0).alias("list_idx"), "rank", key)
     both = words if vector_lists is None else words.unionByName(vector_lists)
@@ -107,16 +73,23 @@ def phrased_candidates(index: tuple[DataFrame, DataFrame], phrasings: tuple[str,
     return R.fused_top(outer, report, key, keep).select(report, key, "rank")
 
 
-def workforce_candidates(index: tuple[DataFrame, DataFrame], reports: DataFrame, **limits) -> DataFrame:
+def workforce_candidates(index: TextIndex, reports: DataFrame, **limits) -> DataFrame:
     """Chunks of each report where workforce figures may stand: six phrasings, 20 each, 12 of them."""
     return phrased_candidates(index, WORKFORCE_QUESTIONS, reports, keep=12, **limits)
 
 
-def goal_searches(index: tuple[DataFrame, DataFrame], reports: DataFrame, **limits) -> DataFrame:
+def goal_searches(index: TextIndex, reports: DataFrame, **limits) -> DataFrame:
     """Chunks of each report where goals may stand, by search: eight phrasings, 20 each, 40 of them."""
     return phrased_candidates(index, GOAL_QUESTIONS, reports, keep=40, **limits)
 
 
+def page_items(extractions: DataFrame, report: str = "report_id") -> tuple[DataFrame, DataFrame]:
+    """(one row (report, ...) with its first workforce row, all goal rows): what a report's page shows of its extractions."""
+    first = F.row_number().over(Window.partitionBy(report).orderBy("id"))
+    figures = extractions.where("kind = 'fte'").withColumn("_n", first).where("_n = 1").drop("_n")
+    return figures, extractions.where("kind = 'sustainability_goal'")
+
+
 def fact_rows(facts: DataFrame, chunks: DataFrame, compatibility: bool = True) -> DataFrame:
     """Accepted workforce facts (report_id, chunk_id, quote, value_text, ...) with verified, value, page and payload."""
     from citeline.operators.verify import verification

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from citeline.functions.text import TOPICS
 from citeline.operators import extract as E
-from citeline.plans.base import LINES, lines, query
+from citeline.operators import extraction as X
+from citeline.operators.dedupe import dedupe_goals as dedupe
+from citeline.plans.base import query
+from citeline.plans.retrieval_plans import bm25_sql, stored_index
 from citeline.plans.text_plans import CANON
-from citeline.session import table
+from citeline.session import scratch, table
 
 
 def goals(spark, sf_dir):
@@ -45,21 +49,81 @@ def accepted_extractions(spark, sf_dir):
 
 @query()
 def dedupe_goals(spark, sf_dir):
-    """No SQL form: the similarity is a matching of blocks, and order counts; tests hold it against a loop."""
-    return E.dedupe_goals(goals(spark, sf_dir)).select("report_id", "category", "target_year", "slot", "pos", "quote")
+    """No SQL form: the similarity is a matching of blocks, and order counts; tests hold these rows against a loop."""
+    return dedupe(goals(spark, sf_dir)).select("report_id", "category", "target_year", "slot", "pos", "quote")
+
+
+def statements(spark, sf_dir):
+    """Documents as chunks of their source's report: whole texts, some with a last line on staff or on goals.
+
+    Columns: doc_id, chunk_id, report_id, page_start, page_end, kind, text.
+    """
+    i, n = F.col("doc_id"), F.format_number(F.col("doc_id") * 37 + 1000, 0)
+    staff = F.concat(F.lit("The workforce was "), n, F.lit(" employees at year end."))
+    goal = F.concat(F.lit("We aim to reach net zero emissions in plant "), (i % 6).cast("string"), F.lit(" by "), (2020 + i % 17).cast("string"), F.lit("."))
+    last = F.when(i % 5 == 0, staff).when(i % 5 == 1, goal).when(i % 5 == 2, F.lit("Renewable energy and water are on the agenda."))
+    page = (i % 50).cast("int")
+    return table(spark, sf_dir, "documents").select(
+        i, i.alias("chunk_id"), F.col("source").alias("report_id"), page.alias("page_start"), page.alias("page_end"), F.lit("text").alias("kind"), F.concat_ws("\n", "text", last).alias("text")
+    )
+
+
+STATEMENTS = """statements AS (SELECT doc_id, doc_id AS chunk_id, source AS report_id, CAST(doc_id % 50 AS INTEGER) AS page_start, concat_ws(chr(10), text, CASE doc_id % 5
+  WHEN 0 THEN 'The workforce was ' || format('{:,}', doc_id * 37 + 1000) || ' employees at year end.'
+  WHEN 1 THEN 'We aim to reach net zero emissions in plant ' || (doc_id % 6) || ' by ' || (2020 + doc_id % 17) || '.'
+  WHEN 2 THEN 'Renewable energy and water are on the agenda.' END) AS text FROM documents)"""
+
+
+def _asked(phrasings) -> str:
+    return "(SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(phrasings)) + ") v(query_id, text))"
+
+
+def _found(phrasings, keep: int) -> str:
+    """Views up to found(report_id, doc_id, rank): phrasings fused in their order."""
+    return f"""{STATEMENTS}, {bm25_sql("statements", _asked(phrasings))},
+tops AS (SELECT report_id, query_id, doc_id, row_number() OVER (PARTITION BY report_id, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s JOIN statements USING (doc_id)),
+fu AS (SELECT report_id, doc_id, sum(1.0 / (60 + CAST(rank AS DOUBLE)) ORDER BY query_id) AS fused, min(query_id * 1000 + rank) AS first FROM tops WHERE rank <= 20 GROUP BY ALL),
+found AS (SELECT report_id, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY round(fused, 12) DESC, first, doc_id) AS rank FROM fu) WHERE rank <= {keep})"""
+
+
+@query(f"WITH {_found(E.WORKFORCE_QUESTIONS, 12)} SELECT report_id, doc_id, rank FROM found")
+def workforce_candidates(spark, sf_dir):
+    """The first twelve chunks of each report by six fixed phrasings."""
+    return E.workforce_candidates(stored_index(spark, sf_dir, statements), statements(spark, sf_dir).select("report_id", "doc_id"))
 
 
 @query(
-    f"""WITH {LINES}, l AS (SELECT source, doc_id, pos, doc_id * 1000 + pos AS id, para FROM lines JOIN documents USING (doc_id)),
-c AS (SELECT source, doc_id, pos, id FROM l WHERE regexp_matches(para, '(?i)\\b(the|licen[sc]e\\w*)\\b') UNION SELECT source, doc_id, pos, id FROM l WHERE pos % 11 = 0)
-SELECT source, id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos, id) AS n FROM c) WHERE n <= 150"""
+    f"""WITH {_found(E.GOAL_QUESTIONS, 40)}, c AS (SELECT report_id, chunk_id, page_start FROM statements WHERE regexp_matches(text, '(?i)\\b({TOPICS})\\b') OR chunk_id IN (SELECT doc_id FROM found))
+SELECT report_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY page_start, chunk_id) AS n FROM c) WHERE n <= 150"""
 )
 def goal_candidates(spark, sf_dir):
-    """Topical lines and a second set, united, the first 150 of each source in document order."""
-    named = lines(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    rows = named.select("source", "doc_id", "pos", (F.col("doc_id") * 1000 + F.col("pos")).alias("id"), "para")
-    topical = rows.where(F.col("para").rlike(r"(?i)\b(the|licen[sc]e\w*)\b")).drop("para")
-    return E.candidates(topical, rows.where("pos % 11 = 0").drop("para"), "source", ["doc_id", "pos"], "id").select("source", "id")
+    """Chunks that speak of a topic united with what eight fixed searches find, the first 150 of each report in page order."""
+    return candidates_of_goals(spark, sf_dir).select("report_id", "chunk_id")
+
+
+def candidates_of_goals(spark, sf_dir):
+    chunks = statements(spark, sf_dir)
+    searched = E.goal_searches(stored_index(spark, sf_dir, statements), chunks.select("report_id", "doc_id"))
+    return X.goal_candidates(chunks, searched.withColumnRenamed("doc_id", "chunk_id"))
+
+
+@query()
+def extracted_goals(spark, sf_dir):
+    """Goals of each report by the offline model, mapped in batches of ten chunks and reduced; no SQL form, since rewordings are told by a matching of blocks."""
+    years = table(spark, sf_dir, "documents").select(F.col("source").alias("report_id")).distinct().withColumn("fiscal_year", F.lit(2024))
+    return X.extract_goals(candidates_of_goals(spark, sf_dir), years, scratch(spark, "answers"), X.offline_goals, compatibility=False)
+
+
+@query(
+    f"""WITH {_found(E.WORKFORCE_QUESTIONS, 12)}, f AS (SELECT report_id, min(rank) AS rank FROM found WHERE doc_id % 5 = 0 GROUP BY report_id)
+SELECT report_id, doc_id AS chunk_id, format('{{:,}}', doc_id * 37 + 1000) AS value_text, CAST(doc_id * 37 + 1000 AS DOUBLE) AS value, CAST(doc_id % 50 AS INTEGER) AS page, true AS verified FROM found JOIN f USING (report_id, rank)"""
+)
+def extracted_workforce(spark, sf_dir):
+    """The workforce figure of each report by the offline model, from its twelve candidates, held against its chunk."""
+    chunks = statements(spark, sf_dir)
+    found = E.workforce_candidates(stored_index(spark, sf_dir, statements), chunks.select("report_id", "doc_id"))
+    facts = X.extract_workforce(chunks.join(found, ["report_id", "doc_id"]), scratch(spark, "answers"), X.offline_workforce, compatibility=False)
+    return facts.select("report_id", "chunk_id", "value_text", "value", "page", "verified")
 
 
 def found_facts(spark, sf_dir):
@@ -85,13 +149,3 @@ def fact_rows(spark, sf_dir):
 @query(f"WITH {_FACTS} SELECT chunk_id, {_GOOD} AS verified, CAST(chunk_id % 50 AS INTEGER) AS page FROM f")
 def goal_rows(spark, sf_dir):
     return E.goal_rows(found_facts(spark, sf_dir), doc_chunks(spark, sf_dir), compatibility=False).select("chunk_id", "verified", "page")
-
-
-
-@query()
-def workforce_candidates(spark, sf_dir):
-    """The first chunks of each source by six fixed phrasings; tests hold it against plain fusion."""
-    from citeline.plans.retrieval_plans import stored_index
-
-    sources = table(spark, sf_dir, "documents").select(F.col("source").alias("report_id"), "doc_id")
-    return E.workforce_candidates(stored_index(spark, sf_dir), sources)

@@ -107,3 +107,18 @@ def filename_guess(spark, sf_dir):
 def topic_filter(spark, sf_dir):
     """The topic regex, with two words of the test corpus so that it selects rows there."""
     return lines(spark, sf_dir).where(F.col("para").rlike(rf"(?i)\b({T.TOPICS}|the|licen[sc]e\w*)\b")).select("doc_id", "pos")
+
+
+_LINES_OF = "list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\\S'))"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace({NORM.format(x='t')}, '\\s+', ' ', 'g')) AS block FROM (SELECT doc_id, regexp_replace(array_to_string({_LINES_OF}, chr(10)), '([A-Za-z0-9_])-\\n+([A-Za-z0-9_])', '\\1\\2', 'g') AS t FROM documents)")
+def block_text(spark, sf_dir):
+    """Each document as a block: its lines cut into spans at blanks, and put together again."""
+    spans = F.transform(F.split("text", "\n", -1), lambda l: F.regexp_extract_all(l, F.lit(r"\S+|\s+"), F.lit(0)))
+    return table(spark, sf_dir, "documents").select("doc_id", T.block_text(spans, compatibility=False).alias("block"))
+
+
+@query(f"SELECT item_id, {NORM.format(x='t')} AS cell FROM (SELECT item_id, replace(replace(text || ' | a' || chr(10) || ' b', chr(10), ' '), '|', '/') AS t FROM benchmark)")
+def clean_cells(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", T.clean_cell(F.concat("text", F.lit(" | a\n b")), compatibility=False).alias("cell"))

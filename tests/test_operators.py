@@ -13,7 +13,9 @@ from citeline.operators import extract as G
 from citeline.operators import layout as L
 from citeline.operators import models as M
 from citeline.operators import retrieval as R
+from citeline.operators import text_index as I
 from citeline.operators import verify as V
+from citeline.operators.dedupe import dedupe_goals
 
 QUIET = settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -116,17 +118,20 @@ def test_stored_index_answers_as_the_texts_do(spark, tmp_path):
     """Appends, a delete and an update; scores equal those of the live texts, with and without a scope."""
     path, schema = str(tmp_path / "index"), "doc_id long, text string"
     frame = lambda rows: spark.createDataFrame(rows, schema)
-    first, second = [(1, "rate 8.7 percent"), (2, "rate 8 and 7"), (3, "nothing here")], [(4, "8.7 8.7 rate"), (5, "..."), (6, "new rate")]
-    assert R.index_append(frame(first), path) == 0 and R.index_append(frame(second), path) == 1
-    assert R.index_delete(frame([(1, ""), (6, "")]), path) == 2 and R.index_append(frame([(6, "newer 8.7 words")]), path) == 3
-    live = frame([first[1], first[2], *second[:2], (6, "newer 8.7 words")])
+    first, second = [(1, "rate 8.7 percent"), (2, "rate 8 and 7"), (3, "nothing here")], [(4, "8.7 8.7 rate"), (5, "..."), (6, "new rate"), (7, None)]
+    I.index_append(frame(first), path)
+    I.index_append(frame(second), path)
+    I.index_delete(frame([(1, ""), (6, "")]), path)
+    assert I.index_append(frame([(6, "newer 8.7 words")]), path).version == 4
+    live = frame([first[1], first[2], second[0], second[1], second[3], (6, "newer 8.7 words")])
     asked = spark.createDataFrame([(1, "8.7"), (2, "rate"), (3, "gone percent")], "query_id long, question string")
     scores = lambda df: {(r.query_id, r.doc_id): round(r.score, 12) for r in df.collect()}
-    index = R.index_read(spark, path)
-    found = scores(R.bm25_indexed(*index, asked))
-    assert found == scores(R.bm25(live, asked)) and set(found) == {(1, 4), (1, 6), (2, 2), (2, 4)}
+    index = I.index_read(spark, path)
+    found = scores(R.bm25_indexed(index, asked))
+    assert set(found) == {(1, 4), (1, 6), (2, 2), (2, 4)}
+    assert found == scores(R.bm25(live.fillna("", ["text"]), asked))
     scope = spark.createDataFrame([(1, 6), (2, 2)], "query_id long, doc_id long")
-    assert scores(R.bm25_indexed(*index, asked, scope=scope)) == {k: found[k] for k in ((1, 6), (2, 2))}
+    assert scores(R.bm25_indexed(index, asked, scope=scope)) == {k: found[k] for k in ((1, 6), (2, 2))}
 
 
 def test_cosine_blocks_and_first_k(spark, monkeypatch):
@@ -138,6 +143,8 @@ def test_cosine_blocks_and_first_k(spark, monkeypatch):
         every = best(R.cosine_scores(v, q, "id", "query_id", scope))
         assert len(every) == 28 and best(R.cosine_scores(v, q, "id", "query_id", scope, k=4)) == every
         monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+        monkeypatch.setattr(R, "VECTOR_BLOCK", 20)
+        assert "toArrow" not in str(R.cosine_scores(v, q, "id", "query_id", scope)._jdf.queryExecution()) and best(R.cosine_scores(v, q, "id", "query_id", scope)) == every
         assert best(R.cosine_scores(v, q, "id", "query_id", scope, k=4)) == every
         monkeypatch.undo()
 
@@ -149,14 +156,15 @@ def test_ids_follow_the_order(spark):
     assert K.with_ids(rows.limit(0), ["x"]).collect() == []
 
 
-def test_candidates_by_fixed_phrasings(spark):
+def test_candidates_by_fixed_phrasings(spark, tmp_path):
     docs = [(i, t) for i, t in enumerate(["employees headcount at year end", "workforce of the year", "own employees 2024", "no such thing", "external employees and internal employees", "weather"])]
     df = spark.createDataFrame([(i, t, i % 2) for i, t in docs], "doc_id long, text string, report_id int")
-    index = (R.postings(df, "doc_id", "text"), R.lengths(df, "doc_id", "text"))
+    I.index_append(df, str(tmp_path / "index"))
+    index = I.index_read(spark, str(tmp_path / "index"))
     found = {(r.report_id, r["rank"]): r.doc_id for r in G.workforce_candidates(index, df.select("report_id", "doc_id")).collect()}
     lists = {}
     for q, text in enumerate(G.WORKFORCE_QUESTIONS):
-        scored = R.bm25_indexed(*index, spark.createDataFrame([(q, text)], "query_id long, question string")).collect()
+        scored = R.bm25_indexed(index, spark.createDataFrame([(q, text)], "query_id long, question string")).collect()
         for rep in (0, 1):
             order = sorted((r for r in scored if r.doc_id % 2 == rep), key=lambda r: (-round(r.score, 9), r.doc_id))[:20]
             lists[rep, q] = [r.doc_id for r in order]
@@ -184,10 +192,20 @@ def test_fusion(spark):
     assert found == [(7, round(1 / 61 + 1 / 62, 9)), (9, round(1 / 61, 9)), (8, round(1 / 62, 9))]
 
 
-def test_scope(spark):
-    asked = spark.createDataFrame([(1, "what of SRC1"), (2, "nobody")], "q int, question string")
-    names = spark.createDataFrame([("src1",), ("src10",)], "name string")
-    assert sorted(map(tuple, R.scope_by_name(asked, names, "q", "question", "name").collect())) == [(1, "src1"), (2, "src1"), (2, "src10")]
+def test_scope(spark, monkeypatch):
+    rows = [(1, "what of SRC1"), (2, "nobody"), (3, "Src10, src1 and SRC1"), (4, None), (5, "ÉCLAIR or éclair")]
+    asked = spark.createDataFrame(rows, "q int, question string")
+    given = ["src1", "src10", "Éclair", "éclair", "", None, "SRC1"]
+    names = spark.createDataFrame([(n,) for n in given], "name string")
+    wanted = {(i, n) for i, t in rows for n in given if n and n.lower() in (t or "").lower()}
+    wanted |= {(i, None) for i, _ in rows if i not in {q for q, _ in wanted}}
+    for size in (R.NAME_BLOCK, 2):
+        monkeypatch.setattr(R, "NAME_BLOCK", size)
+        found = [tuple(x) for x in R.scope_by_name(asked, names, "q", "question", "name").collect()]
+        assert set(found) == wanted and len(found) == len(wanted)
+    assert R.scope_by_name(asked, names.limit(0), "q", "question", "name").where("name is null").count() == 5
+    scored = spark.createDataFrame([(1, "src1", 1), (1, "x", 2), (2, "x", 3)], "q int, name string, id int")
+    assert {r.id for r in R.in_scope(scored, R.scope_by_name(asked, names, "q", "question", "name"), "q", "name").collect()} == {1, 3}
 
 
 CASES = [
@@ -290,7 +308,10 @@ def test_dedupe_goals_matches_a_plain_loop(spark):
                 break
         else:
             kept.append(row)
-    assert [x.pos for x in G.dedupe_goals(df).orderBy("slot").collect()] == [k[1] for k in kept]
+    assert [x.pos for x in dedupe_goals(df).orderBy("slot").collect()] == [k[1] for k in kept]
+    # In rounds of small blocks, and with few commitments a task.
+    assert [x.pos for x in dedupe_goals(df, block=4, share=2).orderBy("slot").collect()] == [k[1] for k in kept]
+    assert dedupe_goals(df.limit(0)).collect() == []
 
 
 def test_catalog_codec_and_sorting(spark):
