@@ -63,8 +63,8 @@ def quotes_in_corpus(quotes: DataFrame, docs: DataFrame, quote_id: str, quote: s
         # Few heads are one literal set: a text's other heads are dropped before rows are made of them, and it is verified in place.
         wanted = {i: sorted({r["h"] for r in asked if r["k"] == i}) for i in sizes}
         hit = lambda i: F.filter(heads(F.col("t"), i), lambda h: h.isin(wanted[i]))
-        some = texts.withColumn("x", F.concat(*(tagged(hit(i), i) for i in sizes)))
-        met = some.where(F.size("x") > 0).select(key, "t", F.explode("x").alias("x"))
+        # An outer explosion and no filter: one on the array would be pushed below and repeat the canonical form many times.
+        met = texts.select(key, "t", F.explode_outer(F.concat(*(tagged(hit(i), i) for i in sizes))).alias("x"))
         pairs = met.join(F.broadcast(first.select(quote_id, "q", "k", "h")), (F.col("x.k") == F.col("k")) & (F.col("x.h") == F.col("h")))
         return pairs.where(F.contains("t", F.col("q"))).select(quote_id, key).distinct()
     each = texts.select(key, F.explode(F.array(*(F.struct(F.lit(i).alias("k"), heads(F.col("t"), i).alias("hs")) for i in sizes))).alias("x"))
