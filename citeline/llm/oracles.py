@@ -55,9 +55,11 @@ def url_filter() -> str:
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     name = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ordered) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered) + " END"
-    words = ", ".join(f"('{c}', '{w}')" for c, x in u.CATEGORIES.items() for w in x.split())
+    first = lambda i: sorted({r[i] for r in u.RULES}, key=lambda x: (-len(x), x))
+    bare_host = "CASE " + " ".join(f"WHEN host = '{x}' OR ends_with(host, '.{x}') THEN left(host, length(host) - {len(x)})" for x in first(1)) + " ELSE host END"
+    bare_path = "CASE " + " ".join(f"WHEN starts_with(path, '{x}') THEN substr(path, {len(x) + 1})" for x in first(2)) + " ELSE path END"
     kinds = [x for pair in u.MODELS for x in pair]
-    counted = ", ".join(f"CASE WHEN half IS NOT DISTINCT FROM {x[1]} OR {x[0] == 'a'} AND v IS NOT DISTINCT FROM 'block' THEN 0 ELSE 1 END AS {x}" for x in kinds)
+    inside = ", ".join(f"count(*) FILTER (v = '{'allow' if x[0] == 'a' else 'block'}'{f' AND half <> {x[1]}' if len(x) > 1 else ''}) AS {x}" for x in kinds)
     orders = []
     for k in range(1, u.ORDER + 1):
         low = {x: f"l.q{x}" if k > 1 else "1 / 256" for x in kinds}
@@ -68,14 +70,12 @@ q{k} AS (SELECT o.g, {", ".join(f"CASE WHEN n{x} > 0 THEN (o.{x} + t{x} * {low[x
     newline = ",\n"
     return f"""WITH p0 AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p1 AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p0),
-rows_ AS (SELECT page_id, host, path, {name} AS rule, {verdict} AS v, host || path AS line FROM p1),
-known AS (SELECT line, any_value(v) AS v, CAST('0x' || substr(md5(regexp_extract(line, '^[^/]*')), 1, 8) AS BIGINT) % 2 AS half FROM rows_ WHERE host <> '' GROUP BY line),
-w(c, x) AS (VALUES {words}),
-listed AS (SELECT x AS line FROM w UNION SELECT a.x || j || b.x FROM w a JOIN w b USING (c), (VALUES ('-'), ('')) t(j) WHERE a.x <> b.x),
-counted AS (SELECT line, half IS NULL AS inner_, {counted} FROM (SELECT line, v, half FROM known UNION ALL SELECT line, 'block', NULL FROM listed)),
-top AS (SELECT {gram} AS g, {", ".join(f"sum({x}) AS {x}" for x in kinds)} FROM counted, range(1, length(line) + 2) r(i) WHERE NOT (inner_ AND (contains({gram}, chr(2)) OR contains({gram}, chr(3)))) GROUP BY 1),
+rows_ AS (SELECT page_id, host, path, {name} AS rule, {verdict} AS v FROM p1),
+known AS (SELECT DISTINCT host, path, v, {bare_host} || '/' || {bare_path} AS line, CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) % 2 AS half FROM rows_ WHERE host <> ''),
+once AS (SELECT DISTINCT host, half, v, {gram} AS g FROM known, range(1, length(line) + 2) r(i)),
+top AS (SELECT g, {inside} FROM once GROUP BY g),
 {newline.join(orders)},
-sc AS (SELECT line, avg(CASE WHEN half = 0 THEN ln(qr0 / qa0) ELSE ln(qr1 / qa1) END) AS score FROM known, range(1, length(line) + 2) r(i) JOIN q{u.ORDER} ON g = {gram} GROUP BY line),
-lim AS (SELECT greatest(coalesce(quantile_disc(score, 0.99), 0.0), 0.0) AS cutoff FROM known JOIN sc USING (line) WHERE v = 'allow')
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host = '' THEN 'allow' WHEN score > cutoff THEN 'block' ELSE 'allow' END) AS verdict, round(score, 6) AS score, round(cutoff, 6) AS threshold
-FROM rows_ LEFT JOIN sc USING (line), lim"""
+sc AS (SELECT host, path, v, avg(CASE WHEN v IS NULL THEN ln(qr / qa) WHEN half = 0 THEN ln(qr0 / qa0) ELSE ln(qr1 / qa1) END) AS score FROM known, range(1, length(line) + 2) r(i) JOIN q{u.ORDER} ON g = {gram} GROUP BY ALL),
+lim AS (SELECT CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN greatest(0.0, a, b) END AS cutoff FROM (SELECT quantile_disc(score, 0.999) FILTER (v = 'allow') AS a, quantile_disc(score, 0.999) FILTER (v = 'block') AS b FROM sc))
+SELECT page_id, host, path, rule, coalesce(rows_.v, CASE WHEN host = '' THEN 'allow' WHEN score > cutoff THEN 'block' ELSE 'allow' END) AS verdict, round(score, 6) AS score, round(cutoff, 6) AS threshold
+FROM rows_ LEFT JOIN (SELECT host, path, score FROM sc) USING (host, path), lim"""
