@@ -3,7 +3,7 @@
 Texts are exploded into lines, a line's key (stripped, small A to Z) is hashed, documents are counted per hash,
 and lines over the threshold are dropped from all documents but one; what is left is put together by position.
 All of it is DataFrame functions. Only (hash, document) pairs of lines that are long enough are shuffled, never texts of lines;
-a hash that very many lines share is counted per task first and meets its lines by broadcast.
+a hash that very many lines share is counted per task first and meets its lines by broadcast, as all do that are few.
 
 Defined cases: a null or empty text is one empty line; the key of a document is ``key`` and a digest of its text, so repeated
 rows are judged alike and count once; rows of one ``key`` are one document when documents are counted, and
@@ -16,15 +16,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeline.llm.common import numbered, spread_join
+from citeline.llm.common import cut, numbered, spread_join
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Frequent lines, of 32 bytes each, that are broadcast; more meet their places in a shuffle.
+BROADCAST_LINES = 200_000
 #: The white space that is stripped from a line's ends, and the letters made small.
 BLANKS, CAPITALS = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS))
+
+
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), CAPITALS, CAPITALS.lower())
+    """Small A to Z; lines of ASCII alone, told by their length in bytes, take the built-in's fast way."""
+    text = bare(line)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, CAPITALS, CAPITALS.lower()))
 
 
 def split_lines(text: Column) -> Column:
@@ -38,10 +46,11 @@ def digest(text: Column) -> Column:
 
 def places(docs: DataFrame, doc: str, text: str, min_chars: int) -> DataFrame:
     """(doc, name, pos, h) of the lines that are long enough; ``name`` is a digest of the text."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    each = docs.select(F.col(doc).alias("doc"), digest(whole).alias("name"), F.posexplode(split_lines(F.col(text))).alias("pos", "line"))
-    keys = each.select("doc", "name", "pos", line_key(F.col("line")).alias("k")).where(F.length("k") >= min_chars)
-    return keys.select("doc", "name", "pos", digest(F.col("k")).alias("h"))
+    # The digest of a text is bound before its lines are rows, else it is taken for each of them.
+    named = docs.select(F.col(doc).alias("doc"), digest(F.coalesce(F.col(text), F.lit(""))).alias("name"), split_lines(F.col(text)).alias("lines"))
+    each = named.select("doc", "name", F.posexplode_outer("lines").alias("pos", "line"))
+    # The length is that of the stripped line: a filter on the key would compute the key twice.
+    return each.where(F.length(bare(F.col("line"))) >= min_chars).select("doc", "name", "pos", digest(line_key(F.col("line"))).alias("h"))
 
 
 def frequent(lines: DataFrame, min_docs: int) -> DataFrame:
@@ -55,7 +64,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     base, names = numbered(docs)
     doc, body = names[key], names[text]
     lines = places(base, doc, body, min_chars)
-    met = spread_join(lines, frequent(lines, min_docs), "h")
+    common = cut(frequent(lines, min_docs))
+    few = common.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    met = lines.join(F.broadcast(common), "h") if few else spread_join(lines, common, "h")
     gone = met.where(~F.col("doc").eqNullSafe(F.col("last"))).groupBy("doc", "name").agg(F.collect_set("pos").alias("gone"))
     whole = base.withColumn("name", digest(F.coalesce(F.col(body), F.lit(""))))
     both = whole.join(gone, F.col(doc).eqNullSafe(F.col("doc")) & (whole["name"] == gone["name"]), "left")
@@ -66,7 +77,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
         F.size(x["l"]).cast("long").alias("n_lines"), F.size(x["g"]).cast("long").alias("n_dropped"),
     ))[0]
     made = both.select(*names.values(), parts.alias("made"))
-    added = [c for c in ("kept_text", "n_lines", "n_dropped")]
+    added = ["kept_text", "n_lines", "n_dropped"]
     return made.select(*(F.col(c).alias(n) for n, c in names.items() if n not in added), *(F.col(f"made.{c}").alias(c) for c in added))
 
 
