@@ -47,18 +47,21 @@ CLOSES = {
 }
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-#: Stems in class, id and role, by what they tell.
+#: Words in class, id and role, by what they tell, and what such a word may end in; longer words that begin alike tell nothing.
 STEMS = {
-    "menu": ("nav", "menu", "breadcrumb", "crumb", "toc", "pager", "pagination", "skip"),
-    "frame": ("header", "masthead", "footer", "foot", "copyright", "branding", "topbar", "banner"),
-    "side": ("side", "aside", "widget", "related", "recommend", "popular", "trending", "more-", "teaser", "promo"),
-    "advert": ("ad", "ads", "advert", "sponsor", "sponsored", "dfp", "outbrain", "taboola"),
-    "notice": ("cookie", "consent", "notice", "gdpr", "popup", "modal", "overlay", "alert", "newsletter", "subscribe", "signup", "paywall"),
-    "reader": ("comment", "comments", "reply", "replies", "disqus", "respond", "discussion", "feedback", "reviews"),
-    "share": ("share", "social", "tags", "byline", "author", "meta", "login", "search", "form"),
-    "body": ("article", "content", "entry", "post", "story", "main", "text", "body", "prose"),
-}
-EXACT = {"ad", "ads", "side", "foot", "form", "meta", "text", "post", "main", "body", "more-", "search", "toc"}
+    "menu": "nav navigation menu breadcrumb crumb toc pager pagination skip skiplink",
+    "frame": "header masthead footer foot copyright branding topbar banner",
+    "side": "side aside widget related recommend recommended recommendation popular trending more teaser promo",
+    "advert": "ad advert advertisement advertising sponsor sponsored dfp outbrain taboola",
+    "notice": "cookie consent notice gdpr popup modal overlay alert newsletter subscribe subscription signup paywall",
+    "reader": "comment reply replies disqus respond discussion feedback review",
+    "share": "share sharing social tag byline author meta login search form",
+    "body": "article content entry post story main text body prose",
+}
+ENDINGS = ("", "s", "bar", "box", "list", "area", "section", "wrap", "wrapper", "container", "block", "item", "items", "links", "link", "form", "content", "body", "menu", "nav")
+MARKS = {w + e: g for g, stems in STEMS.items() for w in stems.split() for e in ENDINGS}
+#: Marks that an article's or main region's own class may bear; and those that so much prose below outweighs.
+OF_ARTICLES, OUTWEIGHED, PROSE = frozenset({"body", "reader"}), frozenset({"menu", "frame", "advert", "notice", "share"}), 300
 
 
 class Node:
@@ -71,9 +74,9 @@ class Node:
 
 
 def marks_of(attributes: dict[str, str]) -> frozenset:
-    """What class, id and role tell, as names of stem groups."""
+    """What class, id and role tell, as names of groups of words."""
     words = re.findall(r"[a-z]+", " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower())
-    return frozenset(g for g, stems in STEMS.items() for s in stems if any(w == s if s in EXACT or len(s) < 3 else w.startswith(s.rstrip("-")) for w in words))
+    return frozenset(MARKS[w] for w in words if w in MARKS)
 
 
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -178,7 +181,8 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         if block:
             found = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3] else {}
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-            nodes.append(Node(tag, open_nodes[-1], marks_of(found) if found else frozenset(), hidden, found.get("data-label")))
+            marks = marks_of(found) if found else frozenset()
+            nodes.append(Node(tag, open_nodes[-1], marks & OF_ARTICLES if tag in ("article", "main") else marks, hidden, found.get("data-label")))
             open_nodes.append(len(nodes) - 1)
         depths[tag].append(len(stack))
         stack.append((tag, block))
@@ -191,22 +195,25 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
 
 def features(nodes: list[Node]) -> list[tuple[str, ...]]:
     """The observed features of each node; text below counts for link share."""
-    own, linked, items = [n.own for n in nodes], [n.linked for n in nodes], [0] * len(nodes)
+    own, linked = [n.own for n in nodes], [n.linked for n in nodes]
+    # Prose: blocks of a line or more that end like sentences and are hardly linked.
+    prose = [n.own if n.own >= 80 and n.linked < 0.15 * n.own and n.last[-1:] in ".!?…" else 0 for n in nodes]
     for i in range(len(nodes) - 1, 0, -1):
         p = nodes[i].parent
         own[p] += own[i]
         linked[p] += linked[i]
-        items[p] += 1
+        prose[p] += prose[i]
     out, under = [], ["none"] * len(nodes)
     for i, n in enumerate(nodes):
-        under[i] = "hidden" if n.hidden or under[n.parent] == "hidden" else "+".join(sorted(n.marks)) or (n.tag if n.tag in REGIONS else under[n.parent] if i else "none")
+        marks = n.marks - OUTWEIGHED if prose[i] >= PROSE else n.marks
+        under[i] = "hidden" if n.hidden or under[n.parent] == "hidden" else "+".join(sorted(marks)) or (n.tag if n.tag in REGIONS else under[n.parent] if i else "none")
         size = n.own
         bin_ = "none" if not size else "tiny" if size < 20 else "short" if size < 80 else "line" if size < 200 else "long"
         share = linked[i] / own[i] if own[i] else -1
         f = ["under=" + under[i], "tag=" + (n.tag if n.tag in BLOCKS else "root"), "size=" + bin_, "links=" + ("no" if share < 0 else "few" if share < 0.15 else "some" if share < 0.5 else "most")]
         if size:
             f.append("stop=" + str(n.last[-1:] in ".!?…\"'»”)"))
-        f += ["mark=" + m for m in sorted(n.marks)]
+        f += ["mark=" + m for m in sorted(marks)]
         out.append(tuple(f))
     return out
 
