@@ -9,7 +9,10 @@ texts, each scored by the model of the half that it is not in, widened by a slac
 
 Defined cases: null and empty texts score as their end symbol alone; a null or unlabelled language takes the
 quantile of all trusted texts; without any trusted text nothing is rejected; labels that contradict
-each other, or call it toxic, do not make a text trusted; repeated rows stay repeated; extra columns are ignored.
+each other, or call it toxic, do not make a text trusted; repeated rows stay repeated, copies get equal scores (ties are
+accepted or rejected together, and one at the threshold is accepted); very long texts are read whole, portion by portion; an
+empty table gives no rows; extra columns are ignored. N-grams of a block are told by 64-bit hashes; a block holds
+fewer than 2^24 distinct ones, so two that meet are one in 10^5 blocks, and what is lost is one n-gram's probability there.
 """
 
 from __future__ import annotations
@@ -30,79 +33,17 @@ LENGTH = 4
 START, STOP = "\x02", "\x03"
 #: Documents of a block that is scored at once, characters that are held as numbers at once, n-grams that a task adds up.
 BLOCK, BLOCK_BYTES, CHARACTERS, HELD = 8000, 32 << 20, 1 << 20, 1 << 20
+#: Bytes of input files for a task that packs blocks.
+TASK_BYTES = 12 << 20
 #: Models by number: of the texts outside the first half, of those outside the second, of all.
 ALL = 2
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-#: The closed-alphabet form (``codes``, ``counts``, ``log_probabilities``), for comparison: order four, small classes.
-ORDER = 4
-#: The classes of characters that count as one symbol; letters a-z are symbols of their own.
-CLASSES = (" \t", "\n\r\x0b\x0c", "0123456789", ".", ",", ";:", "!?", "'\"", "-_", "()[]{}<>", "|/\\")
-#: Ends; classes; a-z; upper case; other ASCII; letters beyond ASCII by hash; other scripts by hash.
-END, FIRST = 0, 1
-LETTERS = FIRST + len(CLASSES)
-UPPER, SIGN, ACCENT, SCRIPT = LETTERS + 26, LETTERS + 27, LETTERS + 28, LETTERS + 36
-SYMBOLS = SCRIPT + 4
 #: Trusted ids that are broadcast at most; beyond that the join shuffles.
 BROADCAST_IDS = 4_000_000
 #: Languages whose limits are broadcast at most; beyond that the join shuffles.
 BROADCAST_LANGUAGES = 10_000
 
 
-def symbol_table() -> np.ndarray:
-    """The symbol of each code point below 0x250; the last entry stands for all others by class."""
-    table = np.empty(0x250, np.int64)
-    for code in range(0x250):
-        c = chr(code)
-        group = next((i for i, x in enumerate(CLASSES) if c in x), None)
-        if group is not None:
-            table[code] = FIRST + group
-        elif "a" <= c <= "z":
-            table[code] = LETTERS + code - 97
-        elif c.isupper():
-            table[code] = UPPER
-        else:
-            table[code] = SIGN if code < 128 or not c.isalpha() else ACCENT + code % 8
-    return table
-
-
-TABLE = symbol_table()
-
-
-def codes(text: str | None) -> np.ndarray:
-    """The code of the n-gram that ends at each symbol of the text and at its end."""
-    points = np.frombuffer((text or "").encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-    symbols = np.zeros(len(points) + ORDER, np.int64)
-    symbols[ORDER - 1 : -1] = np.where(points < 0x250, TABLE[np.minimum(points, 0x24F)], SCRIPT + points // 256 % 4)
-    out = symbols[: -ORDER + 1].copy()
-    for i in range(1, ORDER):
-        out *= SYMBOLS
-        out += symbols[i : len(symbols) - ORDER + 1 + i]
-    return out
-
-
-def counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(g, c): how often each n-gram occurs in all texts; each task adds up its own before the shuffle."""
-
-    def run(batches):
-        grams, many = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            parts = [codes(v.as_py()) for v in batch.column(0)]
-            if not parts:
-                continue
-            new, seen = np.unique(np.concatenate(parts), return_counts=True)
-            grams, place = np.unique(np.concatenate([grams, new]), return_inverse=True)
-            many = np.bincount(place, np.concatenate([many, seen]), len(grams)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(many)], names=["g", "c"])
-
-    return texts.select(text).mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-
-
-def discounts(grams: DataFrame) -> tuple[float, float, float]:
-    """The three discounts of modified Kneser-Ney from the counts of counts."""
-    n = grams.agg(*(F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4))).first()
-    return discounts_of(*(n[f"n{i}"] for i in (1, 2, 3, 4)))
-
-
 def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     if not (n1 and n2 and n3):
         return 0.5, 0.75, 0.9
@@ -110,32 +51,6 @@ def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, floa
     return tuple(min(max(d, 0.05), i - 0.05) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
-def log_probabilities(grams: DataFrame) -> np.ndarray:
-    """ln p of every n-gram of the highest order as one array of SYMBOLS ** ORDER floats.
-
-    ``grams`` are the counts of the highest order. Lower orders count distinct left neighbours.
-    """
-    top = cut(grams)
-    rows = top.count()
-    orders = {ORDER: narrowed(top, rows)}
-    for k in range(ORDER - 1, 0, -1):
-        orders[k] = cut(narrowed(orders[k + 1].select((F.col("g") % SYMBOLS**k).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c")), rows))
-    dense = np.full(1, 1 / SYMBOLS)
-    for k in range(1, ORDER + 1):
-        d1, d2, d3 = discounts(orders[k])
-        context = F.expr(f"g div {SYMBOLS}").alias("x")
-        cuts = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        shard = orders[k].select("g", context, "c", cuts.alias("d"))
-        sums = shard.groupBy("x").agg(F.sum("c").alias("total"), F.sum("d").alias("mass"))
-        joined = shard.join(sums, "x").select("g", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"))
-        own, left = joined.toArrow(), sums.select("x", (F.col("mass") / F.col("total")).alias("left")).toArrow()
-        back = np.ones(SYMBOLS ** (k - 1))
-        back[left["x"].to_numpy()] = left["left"].to_numpy()
-        dense = (back[:, None] * np.tile(dense.reshape(-1, SYMBOLS if k > 1 else 1), (SYMBOLS, 1) if k > 2 else (1, 1))).reshape(-1) if k > 1 else np.full(SYMBOLS, back[0] / SYMBOLS)
-        dense[own["g"].to_numpy()] += own["own"].to_numpy()
-    return np.log(dense).astype(np.float32)
-
-
 def windows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """(all windows of code points, places of the n-grams, their 64-bit hashes, how many each text has), one n-gram for each character and the end."""
     padded = [START * (LENGTH - 1) + (t or "").replace("\0", "\ufffd") + STOP for t in texts]
@@ -260,8 +175,16 @@ def packed(df: DataFrame) -> DataFrame:
         for m in list(held):
             yield out(m)
 
-    # Tasks of a block's rows, so that many small input partitions do not make many small blocks.
-    return df.coalesce(df.count() // BLOCK + 1).mapInArrow(run, "tag long, rows binary")
+    return df.mapInArrow(run, "tag long, rows binary")
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """The rows in tasks of about TASK_BYTES of their files, so that many small partitions do not make many small blocks.
+
+    The size is the optimizer's, from the files, so nothing is read for it; where it knows none, partitions stay as they are.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.coalesce(min(size // TASK_BYTES + 1, 1 << 30))
 
 
 def unpacked(blob: bytes) -> pa.Table:
@@ -326,7 +249,7 @@ def judged(df: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: floa
     small_batches(df.sparkSession)
     ids = cut(trusted_ids(labels, key)).select(F.col(key).alias("__id"), F.lit(True).alias("__t"))
     known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = df.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), F.col(text).alias("__text"), *(c.alias(n) for n, c in (also or {}).items()))
+    rows = gathered(df).select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), F.col(text).alias("__text"), *(c.alias(n) for n, c in (also or {}).items()))
     rows = rows.join(known, F.col("__key") == F.col("__id"), "left").drop("__id")
     # By the text, so that copies are in one half; a trusted text is judged by the model of the other.
     half = F.pmod(F.xxhash64("__text"), F.lit(2))

@@ -400,40 +400,6 @@ def test_packing_rows(spark):
         assert end == items[0].seq_used <= items[0].seq_length
 
 
-def test_quality_is_modified_kneser_ney(spark):
-    texts = ["the cat sat on the mat.", "the dog sat on the log.", "a cat and a dog, the end"]
-    table = quality.log_probabilities(quality.counts(spark.createDataFrame([(t,) for t in texts], "text string")))
-    s = quality.SYMBOLS
-    p = np.exp(table.astype(float)).reshape(-1, s)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
-    from collections import Counter
-
-    grams = Counter(int(g) for t in texts for g in quality.codes(t))
-    orders = {4: grams}
-    for k in (3, 2, 1):
-        orders[k] = Counter(g % s**k for g in orders[k + 1])
-    cuts = {}
-    for k, c in orders.items():
-        n = Counter(c.values())
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] and n[3] else None
-        cuts[k] = (0.5, 0.75, 0.9) if y is None else tuple(min(max(d, 0.05), i - 0.05) for i, d in ((1, 1 - 2 * y * n[2] / n[1]), (2, 2 - 3 * y * n[3] / n[2]), (3, 3 - 4 * y * n[4] / n[3])))
-
-    def prob(k, g):
-        if k == 0:
-            return 1 / s
-        low = prob(k - 1, g % s ** (k - 1))
-        same = {x: c for x, c in orders[k].items() if x // s == g // s}
-        if not same:
-            return low
-        cut = lambda c: cuts[k][min(c, 3) - 1]
-        total = sum(same.values())
-        return (orders[k].get(g, 0) - (cut(orders[k][g]) if g in same else 0)) / total + sum(map(cut, same.values())) / total * low
-
-    r = random.Random(1)
-    some = list(grams) + [r.randrange(s**4) for _ in range(200)]
-    assert np.allclose([np.exp(table[g]) for g in some], [prob(4, g) for g in some], rtol=1e-4)
-
-
 def test_quality_rejects_junk(spark):
     r = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "river", "stone", "under", "over", "the", "of", "and"]

@@ -9,6 +9,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from citeline.llm import bpe, chat, html_extract, media, quality, simhash
 
@@ -190,3 +191,77 @@ def test_portions_of_long_texts_encode_as_the_whole():
         assert [i for p in parts for i in p] == library.encode(text, add_special_tokens=False).ids
         assert "".join(own.decoded(parts)) == text
     assert len(list(own.portions("one two " * 40_000))) > 3
+
+
+PROSE = ["The markets have been calm for the whole of this long week. " * 4, "Nobody expects that the rates will be lowered any time soon. " * 4]
+NOTICE = '<div class="cookie-notice"><p>We use cookies to improve this site. By going on you accept them.</p></div>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><article class="cookie-recipe"><h1>Best of the week</h1><p>{}</p><p>{}</p></article></body>', '<body><div class="commentary"><h1>Best of the week</h1><p>{}</p><p>{}</p></div></body>',
+        '<body><div class="cookie-recipe"><h1>Best of the week</h1><p>{}</p><p>{}</p></div>' + NOTICE + "</body>", '<body><div id="menu-of-the-day" class="bannerman"><h1>Best of the week</h1><p>{}</p><p>{}</p></div></body>',
+        '<body><main class="search-results"><h1>Best of the week</h1><p>{}</p><p>{}</p></main></body>',
+    ],
+)
+def test_html_prose_outweighs_class_words(page):
+    model = html_extract.Model(html_extract.labelled_pages())
+    assert model.extract(page.format(*PROSE)) == "\n".join(["Best of the week", *(p.strip() for p in PROSE)])
+
+
+def test_html_comments_stay_out_however_long():
+    model = html_extract.Model(html_extract.labelled_pages())
+    page = f'<body><article><h1>Best of the week</h1><p>{PROSE[0]}</p></article><section class="comments"><article class="comment"><p>{PROSE[1]}</p></article></section></body>'
+    assert model.extract(page) == "\n".join(["Best of the week", PROSE[0].strip()])
+
+
+def test_quality_decisions_by_a_plain_model(spark):
+    """Perplexity, threshold and decision of every row of ``classify`` against a plain computation with held-out halves."""
+    r = random.Random(11)
+    words = "alpha beta gamma delta river stone under over the of and".split()
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(2, 30))), r.choice(["en", "de", None])) for i in range(80)] + [(90, "zzqx kkwv jjqz " * 6, "en"), (91, None, "de"), (92, "", None), (3, "the of and", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 60)], "doc_id long, quality int")
+    half = {x.text: x.h for x in df.select("text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("h")).collect()}
+    n = quality.LENGTH
+
+    def grams(t):
+        p = quality.START * (n - 1) + (t or "") + quality.STOP
+        return [p[i : i + n] for i in range(len(t or "") + 1)]
+
+    def model(texts):
+        orders = {n: Counter(g for t in texts for g in grams(t))}
+        for k in range(n - 1, 0, -1):
+            orders[k] = Counter(g[1:] for g in orders[k + 1])
+        cuts = {k: quality.discounts_of(*(Counter(c.values())[i] for i in (1, 2, 3, 4))) for k, c in orders.items()}
+        after = {}
+        for k, c in orders.items():
+            for g, m in c.items():
+                after.setdefault(g[:-1], {})[g] = (m, cuts[k][min(m, 3) - 1])
+
+        def prob(g):
+            if not g:
+                return 1 / (len(orders[1]) + 1)
+            low, same = prob(g[1:]), after.get(g[:-1])
+            if not same or len(next(iter(same))) != len(g):
+                return low
+            total = sum(m for m, _ in same.values())
+            m, d = same.get(g, (0, 0))
+            return (m - d + sum(d for _, d in same.values()) * low) / total
+
+        return lambda t: -sum(math.log(prob(g)) for g in grams(t))
+
+    trusted = [(t, lang) for i, t, lang in rows if i < 60]
+    models = {0: model([t for t, _ in trusted if half[t] == 1]), 1: model([t for t, _ in trusted if half[t] == 0]), 2: model([t for t, _ in trusted])}
+    nats = lambda i, t: models[half[t] if i < 60 else 2](t)
+    size = lambda t: len(t or "") + 1
+    held = [(lang, nats(0, t), size(t)) for t, lang in trusted]
+    whole = sum(a for _, a, _ in held) / sum(b for *_, b in held)
+    mean = {x: sum(a for lang, a, _ in held if lang == x) / sum(b for lang, _, b in held if lang == x) for x in ("en", "de")}
+    level = lambda lang, a, b: (a + 60.0 * mean.get(lang, whole)) / (b + 60.0)
+    top = lambda v: sorted(v)[math.ceil(0.99 * len(v)) - 1] + math.log1p(0.15)
+    limit = {x: top([level(*h) for h in held if h[0] == x]) for x in ("en", "de")} | {None: top([level(*h) for h in held])}
+    found = Counter((x.doc_id, x.lang, round(x.perplexity, 6), round(x.threshold, 6), x.accepted) for x in quality.classify(df, labels).collect())
+    wanted = Counter((i, lang, round(math.exp(nats(i, t) / size(t)), 6), round(math.exp(limit[lang]), 6), level(lang, nats(i, t), size(t)) <= limit[lang]) for i, t, lang in rows)
+    assert found == wanted and not all(x[-1] for x in found)
