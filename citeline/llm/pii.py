@@ -146,28 +146,27 @@ def holding(df: DataFrame, text: str, terms: DataFrame, many: int) -> DataFrame:
 
 def disclosing_terms(df: DataFrame, text: str = "text", threshold: float = 0.9, support: int = 3) -> DataFrame:
     """(term, entity, n_both, n_term, n_entity, disclosure) of the terms that disclose a protected entity."""
-    found = df.select(F.col(text).alias("t"), identity(text).alias("h")).withColumn("s", base_spans(F.col("t"))).where(F.size("s") > 0)
-    held = stored(found.select("h", words_outside(F.col("t")).alias("words"), entities_of(F.col("s")).alias("entities")).dropDuplicates(["h"]))
-    texts = df.select(identity(text)).distinct().count()
+    # No filter on the spans: it would be pushed below them and find them again for each use. Texts without
+    # entities keep their digest alone, so that all distinct texts are counted here.
+    found = df.select(F.col(text).alias("t"), identity(text).alias("h")).withColumn("s", base_spans(F.col("t")))
+    some = F.size("s") > 0
+    held = stored(found.select("h", F.when(some, words_outside(F.col("t"))).alias("words"), F.when(some, entities_of(F.col("s"))).alias("entities")).dropDuplicates(["h"]))
+    texts = held.count()
     mentions = held.select("h", F.explode("entities").alias("entity"))
     entities = cut(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support))
-    kinds = held.select("h", F.explode("words").alias("term"), F.filter("entities", lambda e: e.isin(*KINDS)).alias("kinds"))
+    # One pass over the words gives each term's texts, in all and of each kind.
+    each = held.select(F.explode("words").alias("term"), *(F.array_contains("entities", k).alias(k) for k in KINDS[:4]))
+    seen = cut(each.groupBy("term").agg(F.count(F.lit(1)).alias("n_seen"), *(F.count_if(F.col(k)).alias(k) for k in KINDS[:4])).where(F.col("n_seen") >= support))
+    by_kind = seen.select("term", F.explode(F.array(*(F.struct(F.lit(k).alias("entity"), F.col(k).alias("n_both")) for k in KINDS[:4]))).alias("x")).select("x.entity", "term", "x.n_both")
     # Values stand with a colon, so that they are told from kinds; only the recurring ones meet the words of their texts.
     values = mentions.where(F.contains("entity", F.lit(":"))).join(entities.select("entity"), "entity", "left_semi")
-    by_value = values.join(held.select("h", "words"), "h").select("entity", F.explode("words").alias("term"))
-    both = (
-        kinds.select(F.explode("kinds").alias("entity"), "term")
-        .unionByName(by_value)
-        .groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("n_both"))
-        .where(F.col("n_both") >= support)
-    )
+    by_value = values.join(held.select("h", "words"), "h").select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    both = by_kind.unionByName(by_value).where(F.col("n_both") >= support)
     # A term is in at least the texts that hold an entity with it; what fails with that count fails with the whole one.
-    seen = kinds.groupBy("term").agg(F.count(F.lit(1)).alias("n_seen"))
     own = F.greatest(F.log(F.lit(texts) / F.col("n_entity")), F.lit(1e-9))
     most = F.log(F.col("n_both") * texts / (F.col("n_seen") * F.col("n_entity"))) / own
     small = F.broadcast(entities) if entities.count() <= BROADCAST_TERMS else entities
-    both = cut(both.join(seen, "term").join(small, "entity").where(most >= threshold).drop("n_seen"))
+    both = cut(both.join(seen.select("term", "n_seen"), "term").join(small, "entity").where(most >= threshold).drop("n_seen"))
     discard(held)
     candidates = cut(both.select("term").distinct())
     many = candidates.count()
