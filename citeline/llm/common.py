@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeline.session import cut, shared_folder, table  # noqa: F401  the operators take them from here
+from citeline.session import cut, scratch, shared_folder, table  # noqa: F401  the operators take them from here
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -16,8 +14,8 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write whole rows as Parquet into the shared folder, under its checkpoint of this application, and read them again."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    """Write whole rows as Parquet into the shared folder and read them again; what is not discarded is deleted when the application ends."""
+    path = scratch(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

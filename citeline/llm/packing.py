@@ -10,7 +10,8 @@ not of documents. Documents get a rank within their length from salted counts, a
 (bounded by the largest length) turns length and rank into a sequence and an offset.
 
 Defined cases: documents longer than the largest length are cut into pieces, all of them kept; null and
-empty texts give one row without a sequence; repeated rows are packed each on their own; a null key
+empty texts give one row without a sequence; repeated rows are packed each on their own; pieces of one length are ranked
+by key and place, and equal ones (ties) in any order, which changes no sequence's lengths; a null key
 stays null; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -165,3 +166,31 @@ def pack(df: DataFrame, sizes: Sequence[int] = LENGTHS, key: str = "doc_id", len
     )
     none = [F.lit(None).cast(t).alias(c) for c, t in (("seq_id", "long"), ("seq_offset", "long"), ("seq_used", "long"), ("seq_length", "int"))]
     return found.unionByName(items.where("n_tokens <= 0").select(key, "piece", "start", "n_tokens", *none))
+
+
+def pieces(text: Column, largest: int) -> Column:
+    """The pieces of a text of at most ``largest`` words, each with the white space after its words; together they are the text."""
+    blank = r"[\x20\x09-\x0D]"
+    whole = F.coalesce(text, F.lit(""))
+
+    def cut_up(t: Column) -> Column:
+        tokens = F.regexp_extract_all(t, F.lit(rf"[^\x20\x09-\x0D]+{blank}*"), F.lit(0))
+        parts = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / largest).cast("int")), lambda i: F.array_join(F.slice(w, i * largest + 1, largest), ""))
+        first = F.regexp_extract(t, rf"^{blank}*", 0)
+        return F.transform(F.transform(F.array(tokens), parts)[0], lambda x, i: F.when(i == 0, F.concat(first, x)).otherwise(x))
+
+    return F.when(words(whole) <= largest, F.array(whole)).otherwise(cut_up(whole))
+
+
+def pack_texts(df: DataFrame, sizes: Sequence[int] = LENGTHS, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of ``pack`` by words with ``text``, the piece's own: what a sequence is written from.
+
+    Rows are told by key and text, so null and repeated keys keep their own texts; whole repeated rows are packed as
+    often as they come.
+    """
+    row = F.unhex(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("\0")), F.lit("\1"), F.coalesce(F.col(text), F.lit("\0")))))
+    named = df.select(row.alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    placed = pack(named, sizes, "row", **settings)
+    each = named.dropDuplicates(["row"]).select(F.col("row").alias("row0"), "key", F.posexplode_outer(pieces(F.col("text"), max(sizes))).alias("piece0", "text"))
+    met = placed.join(each, (F.col("row") == F.col("row0")) & (F.col("piece") == F.col("piece0")))
+    return met.select(F.col("key").alias(key), "piece", "start", "n_tokens", "seq_id", "seq_offset", "seq_used", "seq_length", "text")
