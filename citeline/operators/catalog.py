@@ -137,7 +137,7 @@ def vector_to_blob(vector: Column) -> Column:
 
 def text_sink(rows: DataFrame) -> DataFrame:
     """One JSON line per row."""
-    return rows.select(F.to_json(F.struct("*")).alias("line"))
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
 
 
 def pending(chunks: DataFrame) -> DataFrame:
@@ -162,6 +162,28 @@ def of_report(rows: DataFrame, report: str, order: list[str], key: str = "report
     return rows.orderBy(key, *order) if report is None else rows.where(F.col(key) == report).orderBy(*order)
 
 
+def extraction_payload(rows: DataFrame, schema: str, column: str = "payload") -> DataFrame:
+    """Extractions with their stored JSON decoded by a declared schema; what is no such JSON fails the job."""
+    return rows.withColumn(column, F.from_json(column, schema, {"mode": "FAILFAST"}))
+
+
+def choices(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """(by, and the sorted distinct values of each column): what a filter offers; nulls are not offered.
+
+    Values are made distinct before they are gathered, so a list is no longer than its distinct values.
+    """
+    found = rows.select(by).distinct()
+    for c in columns:
+        listed = rows.where(F.col(c).isNotNull()).select(by, c).distinct().groupBy(by).agg(F.array_sort(F.collect_list(c)).alias(c))
+        found = found.join(listed, by, "left").withColumn(c, F.coalesce(c, F.array().cast(f"array<{rows.schema[c].dataType.simpleString()}>")))
+    return found
+
+
+def busy(reports: DataFrame, by: str) -> DataFrame:
+    """(by, busy): whether any report of a group is being processed."""
+    return reports.groupBy(by).agg(F.bool_or(F.col("status") == "processing").alias("busy"))
+
+
 def embedded(chunks: DataFrame) -> DataFrame:
     """Chunks that have a vector: what a vector index loads."""
     return chunks.where("embedding is not null")

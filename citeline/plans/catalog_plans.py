@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from citeline.operators import catalog as K
+from citeline.operators import extract as E
 from citeline.plans.base import query
-from citeline.session import shared_folder, table
+from citeline.session import scratch, table
+from citeline.sources.files import write_json_lines
 
 KINDS = ("click", "error")
 
@@ -69,8 +71,8 @@ def extracted_cell(spark, sf_dir):
 
 @query(f"WITH {EXTRACTIONS} SELECT report_id, kind, id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM extractions ORDER BY report_id, kind, id")
 def extraction_payloads(spark, sf_dir):
-    decoded = extractions(spark, sf_dir).withColumn("p", F.from_json("props", "k int", {"mode": "FAILFAST"}))
-    return decoded.select("report_id", "kind", "id", "p.k").orderBy("report_id", "kind", "id")
+    decoded = K.extraction_payload(extractions(spark, sf_dir), "k int", "props")
+    return K.of_report(decoded.select("report_id", "kind", "id", "props.k"), None, ["kind", "id"])
 
 
 @query(f"WITH {REPORTS} SELECT sha256, min(id) AS id, count(*) AS copies FROM reports GROUP BY sha256")
@@ -122,7 +124,8 @@ def listing_sort(spark, sf_dir):
 
 @query(f"WITH {REPORTS} SELECT company, bool_or(status = 'processing') AS busy, count(DISTINCT status) AS statuses FROM reports GROUP BY company")
 def processing_flags(spark, sf_dir):
-    return reports(spark, sf_dir).groupBy("company").agg(F.bool_or(F.col("status") == "processing").alias("busy"), F.countDistinct("status").alias("statuses"))
+    rows = reports(spark, sf_dir)
+    return K.busy(rows, "company").join(rows.groupBy("company").agg(F.countDistinct("status").alias("statuses")), "company")
 
 
 _CATEGORY = "CASE p_size % 9 WHEN 0 THEN 'climate' WHEN 1 THEN 'energy' WHEN 2 THEN 'circularity_waste' WHEN 3 THEN 'water' WHEN 4 THEN 'biodiversity' WHEN 5 THEN 'social_people' WHEN 6 THEN 'governance' WHEN 7 THEN 'other' ELSE 'new_' || p_size END"
@@ -137,7 +140,8 @@ def category_labels(spark, sf_dir):
 @query(f"SELECT p_brand, array_to_string(list_sort(list_distinct(list(c))), '|') AS categories, array_to_string(list_sort(list_distinct(list(y) FILTER (y IS NOT NULL))), '|') AS years FROM (SELECT p_brand, {_CATEGORY} AS c, CASE WHEN p_size % 7 <> 0 THEN 2020 + p_size % 20 END AS y FROM part) GROUP BY p_brand")
 def filter_choices(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_brand", F.expr(_CATEGORY).alias("c"), F.when(F.col("p_size") % 7 != 0, F.col("p_size") % 20 + 2020).alias("y"))
-    return rows.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("c")), "|").alias("categories"), F.array_join(F.array_sort(F.collect_set("y")).cast("array<string>"), "|").alias("years"))
+    found = K.choices(rows, "p_brand", ["c", "y"])
+    return found.select("p_brand", F.array_join("c", "|").alias("categories"), F.array_join(F.col("y").cast("array<string>"), "|").alias("years"))
 
 
 @query(f"SELECT p_partkey FROM (SELECT p_partkey, {_CATEGORY} AS category, CASE WHEN p_size % 7 <> 0 THEN CAST(2020 + p_size % 20 AS VARCHAR) ELSE '' END AS y FROM part) WHERE category = 'water' AND y = ''")
@@ -248,3 +252,18 @@ def page_tasks(spark, sf_dir):
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at FROM events")
 def iso_times(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", K.now_iso(F.col("ts").cast("timestamp")).alias("at"))
+
+
+@query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS line FROM nation""")
+def json_lines(spark, sf_dir):
+    """Rows as JSON lines, as the sink writes them; read back from what it wrote."""
+    path = scratch(spark, "lines")
+    write_json_lines(table(spark, sf_dir, "nation"), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query(f"WITH {EXTRACTIONS}, f AS (SELECT report_id, id, kind, row_number() OVER (PARTITION BY report_id, kind ORDER BY id) AS n FROM extractions) SELECT report_id, id, kind FROM f WHERE kind = 'sustainability_goal' OR n = 1")
+def page_items(spark, sf_dir):
+    """What a report's page shows: its first workforce figure and all its goals."""
+    figures, goals = E.page_items(extractions(spark, sf_dir))
+    return figures.unionByName(goals).select("report_id", "id", "kind")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from citeline.operators import chunking as C
 from citeline.plans.base import LINES, lines, query
+from citeline.plans.text_plans import CAPTION
 from citeline.session import table
 
 #: Where a window of a long paragraph ends in DuckDB, from its start ``st``.
@@ -88,11 +89,9 @@ lg AS (SELECT *, lag(kind) OVER w AS k, lag(region) OVER w AS r, lag(text) OVER
 rn AS (SELECT *, sum(CASE WHEN k IS NULL OR kind = 'table' OR k = 'table' OR r <> region THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM lg)"""
 
 
-@query(f"WITH {_ITEMS} SELECT doc_id, seq, kind, CAST(run AS BIGINT) AS run, CASE WHEN kind = 'table' AND k = 'text' AND length(t) <= 200 THEN trim(t) END AS short_caption FROM rn")
+@query(f"WITH {_ITEMS} SELECT doc_id, seq, kind, CAST(run AS BIGINT) AS run, CASE WHEN kind = 'table' AND k = 'text' THEN {CAPTION.format(s='trim(t)')} END AS caption FROM rn")
 def item_runs(spark, sf_dir):
-    found = C.runs(items(spark, sf_dir))
-    before = F.lag("text").over(C.Window.partitionBy("doc_id").orderBy("seq"))
-    return found.withColumn("_t", before).select("doc_id", "seq", "kind", F.col("run").cast("long").alias("run"), F.when(F.length("_t") <= 200, F.col("caption")).alias("short_caption"))
+    return C.runs(items(spark, sf_dir)).select("doc_id", "seq", "kind", F.col("run").cast("long").alias("run"), "caption")
 
 
 @query()

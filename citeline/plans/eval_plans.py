@@ -31,9 +31,10 @@ def eval_failures(spark, sf_dir):
     return E.failures(results(spark, sf_dir)).select("doc_id", "hit", "grounded")
 
 
-@query(f"WITH {RESULTS}, s AS (SELECT status, 100.0 * count(*) FILTER (hit) / count(*) AS r FROM results GROUP BY status) SELECT status, printf('%.1f %%', r) AS rate FROM s")
+@query(f"WITH {RESULTS} SELECT status, round(count(*) FILTER (hit) * 100.0::DOUBLE / count(*), 1) AS rate, CASE WHEN count(*) FILTER (hit) > 0 THEN round(count(*) FILTER (hit AND grounded) * 100.0::DOUBLE / count(*) FILTER (hit), 1) END AS grounded_of_hits FROM results GROUP BY status")
 def rate_report(spark, sf_dir):
-    return E.summary(results(spark, sf_dir), "status").select("status", F.format_string("%.1f %%", F.col("hit_rate") * 100).alias("rate"))
+    n = results(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("h"), F.count_if(F.col("hit") & F.col("grounded")).alias("g"))
+    return n.select("status", E.percent(F.col("h"), F.col("n")).alias("rate"), E.percent(F.col("g"), F.col("h")).alias("grounded_of_hits"))
 
 
 _SOURCE_CHUNKS = f"""{C.PACKED}, sc AS (SELECT source AS report_id, CAST(c.doc_id * 1000 + n AS BIGINT) AS id, CASE WHEN c.doc_id % 6 = 0 THEN 'table' ELSE 'text' END AS kind, page_start, c.text FROM chunks c JOIN documents d ON d.doc_id = c.doc_id)"""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeline.functions.text import TOPICS
+from citeline.operators import catalog as K
 from citeline.operators import extract as E
 from citeline.operators import extraction as X
+from citeline.operators.context import extraction_context
 from citeline.operators.dedupe import dedupe_goals as dedupe
 from citeline.plans.base import query
 from citeline.plans.retrieval_plans import bm25_sql, stored_index
@@ -149,3 +151,21 @@ def fact_rows(spark, sf_dir):
 @query(f"WITH {_FACTS} SELECT chunk_id, {_GOOD} AS verified, CAST(chunk_id % 50 AS INTEGER) AS page FROM f")
 def goal_rows(spark, sf_dir):
     return E.goal_rows(found_facts(spark, sf_dir), doc_chunks(spark, sf_dir), compatibility=False).select("chunk_id", "verified", "page")
+
+
+@query(f"WITH {STATEMENTS} SELECT chunk_id, page_start FROM statements WHERE report_id = 'src3' ORDER BY page_start, chunk_id")
+def report_chunks(spark, sf_dir):
+    """The chunks of one report by page."""
+    return K.of_report(statements(spark, sf_dir), "src3", ["page_start", "chunk_id"]).select("chunk_id", "page_start")
+
+
+@query(
+    f"""WITH {STATEMENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY page_start, chunk_id) - 1 AS i FROM statements)
+SELECT report_id || '/' || (i // 10) AS prompt, md5(string_agg('<source id="S' || (i % 10 + 1) || '" pages="' || page_start || '" kind="text">' || chr(10) || text || chr(10) || '</source>', chr(10) || chr(10) ORDER BY i)) AS digest, string_agg('S' || (i % 10 + 1) || '=' || chunk_id, ',' ORDER BY i) AS ids FROM n GROUP BY 1"""
+)
+def extraction_contexts(spark, sf_dir):
+    """The prompt text of each batch of ten chunks, and what its source ids stand for."""
+    batched = E.batches(statements(spark, sf_dir), "report_id", ["page_start", "chunk_id"]).withColumn("prompt", F.concat_ws("/", "report_id", "batch"))
+    text, ids = extraction_context(batched, ["page_start", "chunk_id"], "prompt")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.substring("source_id", 2, 9).cast("int").alias("i"), "source_id", "chunk_id"))), lambda x: F.concat_ws("=", x["source_id"], x["chunk_id"].cast("string")))
+    return text.select("prompt", F.md5(F.col("context").cast("binary")).alias("digest")).join(ids.groupBy("prompt").agg(F.array_join(listed, ",").alias("ids")), "prompt")

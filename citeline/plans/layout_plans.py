@@ -38,6 +38,17 @@ def boilerplate_lines(spark, sf_dir):
     return L.boilerplate(blocks(spark, sf_dir), pages(spark, sf_dir), minimum=2)
 
 
+_SIZE = "CAST(length(para) // 500 AS VARCHAR)"
+
+
+@query(f"WITH {LINES}, s AS (SELECT doc_id, {_SIZE} AS text, count(DISTINCT pos) AS n FROM lines GROUP BY ALL), p AS (SELECT doc_id, count(*) AS c FROM lines GROUP BY doc_id) SELECT doc_id, text FROM s JOIN p USING (doc_id) WHERE n >= greatest(10, floor(c * 0.5))")
+def boilerplate_default(spark, sf_dir):
+    """The library's own minimum of ten pages, on documents of a page a line that bear only the line's size class."""
+    rows = lines(spark, sf_dir)
+    marks = rows.select("doc_id", (F.col("pos") + 1).alias("page"), F.lit("text").alias("kind"), F.expr("cast(length(para) div 500 as string)").alias("text"))
+    return L.boilerplate(marks, rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_count")))
+
+
 @query(f"WITH {BLOCKS} SELECT doc_id, block_no FROM b a WHERE NOT EXISTS (SELECT 1 FROM b t WHERE t.kind = 'table' AND a.kind = 'text' AND a.doc_id = t.doc_id AND a.page = t.page AND {_INSIDE})")
 def table_overlap_filter(spark, sf_dir):
     return L.outside_tables(blocks(spark, sf_dir)).select("doc_id", "block_no")

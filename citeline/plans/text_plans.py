@@ -69,10 +69,11 @@ def fts_query_tokens(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.fts_query(F.col("text")).alias("match"))
 
 
-@query(
-    f"""WITH {LINES} SELECT doc_id, pos, CASE WHEN length(s) <= 200 THEN s ELSE right(coalesce(list_filter(string_split(regexp_replace(s, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')[-1], s), 200) END AS caption
-FROM (SELECT doc_id, pos, trim(para) AS s FROM lines)"""
-)
+#: The caption of a stripped paragraph ``s``: all of it, or the end of its last sentence.
+CAPTION = "CASE WHEN length({s}) <= 200 THEN {s} ELSE right(coalesce(list_filter(string_split(regexp_replace({s}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')[-1], {s}), 200) END"
+
+
+@query(f"WITH {LINES} SELECT doc_id, pos, {CAPTION.format(s='s')} AS caption FROM (SELECT doc_id, pos, trim(para) AS s FROM lines)")
 def caption(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", "pos", T.sentence_tail(F.col("para")).alias("caption"))
 

@@ -7,6 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeline.operators.catalog import text_sink
 from citeline.streaming.intake import MAGIC, MAX_BYTES
 
 
@@ -19,7 +20,7 @@ def checked_uploads(spark: SparkSession, path: str, magic: bytes = MAGIC, max_by
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON document or array of records with a declared schema."""
+    """JSON documents or arrays of records with a declared schema; a file is one task, so large tables belong in JSON lines."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
 
 
@@ -27,6 +28,11 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    """Append rows as JSON lines, nulls kept."""
+    text_sink(rows).write.mode("append").text(path)
+
+
 def append_by_report(rows: DataFrame, path: str, report: str = "report_id") -> None:
     """Append to a table partitioned by report, so that scans of a report read its folder alone."""
     rows.write.mode("append").partitionBy(report).parquet(path)
