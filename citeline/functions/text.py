@@ -49,7 +49,8 @@ def strip(text: Column) -> Column:
 
 
 def dehyphenate(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)(\w)-\n+(\w)", "$1$2")
+    """Words broken at a line's end are joined; texts without such a place are not searched by the pattern."""
+    return F.when(F.contains(text, F.lit("-\n")), F.regexp_replace(text, r"(?U)(\w)-\n+(\w)", "$1$2")).otherwise(text)
 
 
 def tidy(text: Column) -> Column:
@@ -64,9 +65,13 @@ def normalize_text(text: Column, compatibility: bool = True) -> Column:
 
     NFKC has no built-in, so it is an Arrow function; leave it out where the text is known to be NFKC.
     """
+    return tidy(compatible(text, compatibility))
+
+
+def compatible(text: Column, compatibility: bool = True) -> Column:
+    """Joined words in compatibility form; ASCII is its own, so only other texts go to the Arrow function."""
     joined = dehyphenate(text)
-    # ASCII is its own compatibility form: only other texts go to the Arrow function.
-    return tidy(F.coalesce(nfkc(F.when(joined.rlike(r"[^\x00-\x7F]"), joined)), joined) if compatibility else joined)
+    return F.coalesce(nfkc(F.when(joined.rlike(r"[^\x00-\x7F]"), joined)), joined) if compatibility else joined
 
 
 def clean_paragraph(line_list: Column, compatibility: bool = True) -> Column:
@@ -87,8 +92,13 @@ def clean_cell(text: Column, compatibility: bool = True) -> Column:
 
 
 def canonical_form(text: Column, compatibility: bool = True) -> Column:
-    """Small ASCII words between single spaces, padded on both sides; hyphens vanish."""
-    words = F.regexp_replace(F.replace(F.lower(normalize_text(text, compatibility)), F.lit("-"), F.lit("")), "[^a-z0-9]+", " ")
+    """Small ASCII words between single spaces, padded on both sides; hyphens vanish.
+
+    What the normaliser does to blanks and lines leaves no trace here, so of its steps only those before and the
+    mapped characters are taken.
+    """
+    mapped = F.translate(compatible(text, compatibility), MAPPED, BECOMES)
+    words = F.regexp_replace(F.replace(F.lower(mapped), F.lit("-"), F.lit("")), "[^a-z0-9]+", " ")
     return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
 
 

@@ -35,12 +35,18 @@ def verification(quote: Column, value: Column, source: Column, compatibility: bo
     return F.struct(good.alias("verified"), F.when(given, parse_number(value)).alias("value"))
 
 
-def heads(text: Column, k: int) -> Column:
-    """Hashes of all runs of k words of a canonical form; fewer words make one run."""
-    words = F.split(F.trim(text), " ")
-    shifted = F.arrays_zip(*(F.slice(words, i + 1, F.greatest(F.size(words), F.lit(1))).alias(f"w{i}") for i in range(k)))
-    whole = F.slice(shifted, 1, F.greatest(F.size(words) - (k - 1), F.lit(1)))
-    return F.array_distinct(F.transform(whole, lambda x: F.xxhash64(F.concat_ws(" ", *(x[f"w{i}"] for i in range(k))))))
+def heads(text: Column, k: int, firsts: list[str] | None = None) -> Column:
+    """Hashes of all runs of k words of a canonical form; ``firsts`` leaves the runs that begin with one of these words.
+
+    The words are the variable of a lambda, so that a text is split once.
+    """
+
+    def runs(w: Column) -> Column:
+        at = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
+        some = at if firsts is None else F.filter(at, lambda i: F.get(w, i).isin(firsts))
+        return F.array_distinct(F.transform(some, lambda i: F.xxhash64(F.concat_ws(" ", *(F.get(w, i + j) for j in range(k))))))
+
+    return F.transform(F.array(F.split(F.trim(text), " ")), runs)[0]
 
 
 def tagged(hashes: Column, k: int) -> Column:
@@ -56,13 +62,15 @@ def quotes_in_corpus(quotes: DataFrame, docs: DataFrame, quote_id: str, quote: s
     canon = quotes.select(quote_id, canonical_form(F.col(quote), compatibility).alias("q")).where(F.trim("q") != "")
     canon = canon.withColumn("k", F.least(F.lit(k), F.size(F.split(F.trim("q"), " "))))
     first = canon.select(quote_id, "q", "k", F.xxhash64(F.array_join(F.slice(F.split(F.trim("q"), " "), 1, k), " ")).alias("h"))
-    texts = docs.select(key, canonical_form(F.col(text), compatibility).alias("t"))
+    # Never null, else a filter on that would find the canonical form once more.
+    texts = docs.select(key, canonical_form(F.coalesce(F.col(text), F.lit("")), compatibility).alias("t"))
     sizes = sorted(r["k"] for r in first.select("k").distinct().collect()) or [k]  # k values at most
-    asked = first.select("k", "h").limit(LITERAL_HEADS + 1).collect()  # a row for each quote, which bounds the broadcast too
+    asked = first.select("k", "h", F.get(F.split(F.trim("q"), " "), 0).alias("w")).limit(LITERAL_HEADS + 1).collect()  # a row for each quote, which bounds the broadcast too
     if len(asked) <= LITERAL_HEADS:
         # Few heads are one literal set: a text's other heads are dropped before rows are made of them, and it is verified in place.
         wanted = {i: sorted({r["h"] for r in asked if r["k"] == i}) for i in sizes}
-        hit = lambda i: F.filter(heads(F.col("t"), i), lambda h: h.isin(wanted[i]))
+        firsts = {i: sorted({r["w"] for r in asked if r["k"] == i}) for i in sizes}
+        hit = lambda i: F.filter(heads(F.col("t"), i, firsts[i]), lambda h: h.isin(wanted[i]))
         # An outer explosion and no filter: one on the array would be pushed below and repeat the canonical form many times.
         met = texts.select(key, "t", F.explode_outer(F.concat(*(tagged(hit(i), i) for i in sizes))).alias("x"))
         pairs = met.join(F.broadcast(first.select(quote_id, "q", "k", "h")), (F.col("x.k") == F.col("k")) & (F.col("x.h") == F.col("h")))
