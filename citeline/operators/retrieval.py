@@ -79,9 +79,12 @@ def scores(tf: DataFrame, stats: tuple[int, float | None], listed: DataFrame, hi
     idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("doc_len") / avg_len))
-    scored = tf.join(hint(df), "p").select(key, "p", part.alias("part"))
-    ordered = F.array_sort(F.collect_list(F.struct("n", "part")))
-    return scored.join(hint(listed.select(query, "n", "p")), "p").groupBy(query, key).agg(F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x["part"]).alias("score"))
+    # Parts are added as whole numbers of 2^-60, so that sums are the same in any order and start in the tasks that join.
+    up = (part * float(1 << 20)).alias("up")
+    high = F.floor("up").cast("long")
+    scored = tf.join(hint(df), "p").select(key, "p", up).select(key, "p", high.alias("high"), F.floor((F.col("up") - high) * float(1 << 40)).cast("long").alias("low"))
+    sums = scored.join(hint(listed.select(query, "p")), "p").groupBy(query, key).agg(F.sum("high").alias("high"), F.sum("low").alias("low"))
+    return sums.select(query, key, ((F.col("high") + F.col("low") / float(1 << 40)) / float(1 << 20)).alias("score"))
 
 
 def bm25(docs: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", query: str = "query_id", question: str = "question") -> DataFrame:
