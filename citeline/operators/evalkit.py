@@ -13,9 +13,13 @@ MIN_CHARS = 400
 def sample_chunks(chunks: DataFrame, per_report: int, report: str = "report_id") -> DataFrame:
     """The longest table of each report, first on ties, and a systematic sample of its long texts.
 
-    Every step-th text in order with step = max(1, n div remaining), the first ``remaining`` of them.
+    Every step-th text in order with step = max(1, n div remaining), the first ``remaining`` of them. A report that has no
+    more long chunks than are asked for gives them all.
     """
-    long = chunks.where(F.length("text") >= MIN_CHARS)
+    every = chunks.where(F.length("text") >= MIN_CHARS)
+    sizes = every.groupBy(report).agg((F.count(F.lit(1)) <= per_report).alias("_few"))
+    sized = every.join(sizes, report)
+    few, long = (sized.where(c).select(*chunks.columns) for c in ("_few", "not _few"))
     table = long.where("kind = 'table'").withColumn("_n", F.row_number().over(Window.partitionBy(report).orderBy(F.length("text").desc(), "page_start", "id"))).where("_n = 1").drop("_n")
     has = table.select(report).withColumn("_t", F.lit(1))
     texts = long.where("kind = 'text'").join(has, report, "left").withColumn("_left", F.lit(per_report) - F.coalesce("_t", F.lit(0)))
@@ -23,7 +27,7 @@ def sample_chunks(chunks: DataFrame, per_report: int, report: str = "report_id")
     numbered = texts.withColumn("_i", F.row_number().over(w.orderBy("page_start", "id")) - 1).withColumn("_all", F.count(F.lit(1)).over(w))
     step = F.greatest(F.lit(1), F.floor(F.col("_all") / F.greatest(F.col("_left"), F.lit(1))))
     taken = numbered.where((F.col("_i") % step == 0) & (F.floor(F.col("_i") / step) < F.col("_left")))
-    return table.unionByName(taken.select(*chunks.columns))
+    return table.unionByName(taken.select(*chunks.columns)).unionByName(few)
 
 
 def retrieval_hits(found: DataFrame, gold: DataFrame, key: str, text: str, quote: str, compatibility: bool = True) -> DataFrame:

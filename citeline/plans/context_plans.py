@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from citeline.operators import answering as A
 from citeline.operators import context as X
 from citeline.plans import retrieval_plans as P
 from citeline.plans.base import query
-from citeline.session import table
+from citeline.session import scratch, table
 
 BUDGET = 1000
 
@@ -77,3 +78,18 @@ def chat_context(spark, sf_dir):
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 20).alias("report_id"), page.alias("page_start"), page.alias("page_end"), F.lit("text").alias("kind"), "company", F.lit(2024).alias("year"), "text")
     found = X.chat_context(docs, asked, vectors.select("query_id", F.lit(1).alias("list_idx"), "rank", "doc_id"), chunks, index=P.stored_index(spark, sf_dir))
     return found.select("query_id", "chunk_id", "rank", "source_id")
+
+
+@query(
+    f"""WITH RECURSIVE {_RANKED}, f AS (SELECT query_id, k.chunk_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))[1] AS quote FROM kept k JOIN rc r USING (query_id, rank) WHERE source_id = 'S1')
+SELECT item_id AS turn_id, CASE WHEN quote IS NULL THEN 'not_found' ELSE 'answered' END AS status, coalesce(quote || ' [S1]', '') AS answer, CAST(CASE WHEN quote IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_citations FROM benchmark LEFT JOIN f ON query_id = item_id"""
+)
+def answered_turns(spark, sf_dir):
+    """Each passage as a question, answered by the offline model from its context, its quote verified against the cited source."""
+    kept = X.assemble(ranked_chunks(spark, sf_dir), BUDGET)
+    none = F.lit(None).cast("string")
+    turns = P.passages(spark, sf_dir).join(X.render(kept), "query_id", "left").select(F.col("query_id").alias("turn_id"), F.col("question").alias("message"), none.alias("interpreted_as"), "context", none.alias("history"))
+    sources = kept.select(F.col("query_id").alias("turn_id"), "source_id", "text")
+    found = A.answered(turns, sources, scratch(spark, "answers"), A.offline_answer, compatibility=False)
+    good = F.size(F.filter("citations", lambda c: c["verified"])) == F.size("citations")
+    return found.where(good).select("turn_id", "status", "answer", F.size("citations").alias("n_citations"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from citeline.operators import answering as A
 from citeline.operators import evalkit as E
 from citeline.operators import models as M
 from citeline.plans import chunk_plans as C
 from citeline.plans import retrieval_plans as P
 from citeline.plans.base import query
 from citeline.plans.text_plans import CANON
-from citeline.session import table
+from citeline.session import scratch, table
 
 
 def results(spark, sf_dir):
@@ -46,16 +47,28 @@ def source_chunks(spark, sf_dir):
     return C.packed(spark, sf_dir).join(docs, "doc_id").select(F.col("source").alias("report_id"), (F.col("doc_id") * 1000 + F.col("n")).alias("id"), kind.alias("kind"), "page_start", "text")
 
 
-@query(
-    f"""WITH RECURSIVE {_SOURCE_CHUNKS}, lg AS (SELECT * FROM sc WHERE length(text) >= 400),
+#: Views up to sampled(report_id, id, kind, page_start, text): five chunks of each source.
+_SAMPLED = f"""{_SOURCE_CHUNKS}, ev AS (SELECT *, count(*) OVER (PARTITION BY report_id) AS m FROM sc WHERE length(text) >= 400), lg AS (SELECT * FROM ev WHERE m > 5),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY length(text) DESC, page_start, id) AS k FROM lg WHERE kind = 'table') WHERE k = 1),
-x AS (SELECT lg.*, 5 - CASE WHEN t.report_id IS NULL THEN 0 ELSE 1 END AS want, row_number() OVER (PARTITION BY lg.report_id ORDER BY lg.page_start, lg.id) - 1 AS i, count(*) OVER (PARTITION BY lg.report_id) AS alln FROM lg LEFT JOIN t ON t.report_id = lg.report_id WHERE lg.kind = 'text')
-SELECT report_id, id, kind FROM t UNION ALL SELECT report_id, id, kind FROM x WHERE i % greatest(1, alln // want) = 0 AND i // greatest(1, alln // want) < want"""
-)
+x AS (SELECT lg.*, 5 - CASE WHEN t.report_id IS NULL THEN 0 ELSE 1 END AS want, row_number() OVER (PARTITION BY lg.report_id ORDER BY lg.page_start, lg.id) - 1 AS i, count(*) OVER (PARTITION BY lg.report_id) AS alln FROM lg LEFT JOIN t ON t.report_id = lg.report_id WHERE lg.kind = 'text'),
+sampled AS (SELECT report_id, id, kind, page_start, text FROM t UNION ALL SELECT report_id, id, kind, page_start, text FROM x WHERE i % greatest(1, alln // want) = 0 AND i // greatest(1, alln // want) < want UNION ALL SELECT report_id, id, kind, page_start, text FROM ev WHERE m <= 5)"""
+
+
+@query(f"WITH RECURSIVE {_SAMPLED} SELECT report_id, id, kind FROM sampled")
 def sample_chunks(spark, sf_dir):
     return E.sample_chunks(source_chunks(spark, sf_dir), 5).select("report_id", "id", "kind")
 
 
+@query(
+    f"""WITH RECURSIVE {_SAMPLED}, q AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))[1] AS quote FROM sampled)
+SELECT id, 'What is said on page ' || page_start || '?' AS question, quote AS expected_quote FROM q WHERE quote IS NOT NULL AND contains({CANON.format(x='text')}, {CANON.format(x='quote')})"""
+)
+def gold_set(spark, sf_dir):
+    """Questions of the offline model on the sampled chunks of each source, where their quotes stand in the chunk."""
+    chunks = E.sample_chunks(source_chunks(spark, sf_dir), 5).withColumns({"company": F.col("report_id"), "fiscal_year": F.lit(2024)})
+    return A.gold_set(chunks, scratch(spark, "answers"), A.offline_question, compatibility=False).select("id", "question", "expected_quote")
+
+
 @query(
     f"""WITH {P.BM25}, top AS (SELECT query_id, doc_id FROM (SELECT *, {P._TOP} AS rank FROM s) WHERE rank <= 8),
 p AS (SELECT item_id, {CANON.format(x='b.text')} AS q, {CANON.format(x='d.text')} AS t FROM benchmark b LEFT JOIN top ON query_id = item_id LEFT JOIN documents d USING (doc_id))

@@ -9,6 +9,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from citeline.functions import text as T
+from citeline.operators import answering as A
+from citeline.operators import evalkit as V
 from citeline.operators import extract as E
 from citeline.operators import extraction as X
 from citeline.operators.models import ModelError
@@ -182,3 +184,34 @@ def test_a_rejected_upload_leaves_nothing(spark, tmp_path):
     assert len(stored) == 2 and {(tmp_path / f).read_bytes() for f in stored} == {b"%PDF-1", b"%PDF-2"}
     write([("again", b"%PDF-2"), ("new", b"%PDF-3")])
     assert len(os.listdir(tmp_path)) == 3
+
+
+def test_answers_are_checked(spark, tmp_path):
+    turns = spark.createDataFrame(
+        [(1, "what?", None, '<source id="S1">\nWe emit 5,120 tonnes.\n</source>', None), (2, "and then?", "what then?", "", "User: what?"), (3, "bad", None, '<source id="S1">\nx\n</source>', "")],
+        "turn_id long, message string, interpreted_as string, context string, history string",
+    )
+    prompts = {r.turn_id: r.p for r in turns.select("turn_id", A.answer_prompt(F.col("message"), F.col("interpreted_as"), F.col("context"), F.col("history")).alias("p")).collect()}
+    assert prompts[1] == '<sources>\n<source id="S1">\nWe emit 5,120 tonnes.\n</source>\n</sources>\n\nQuestion: what?'
+    assert prompts[2] == f"<sources>\n{A.NO_SOURCES}\n</sources>\n\nConversation so far:\nUser: what?\n\nQuestion: and then?\nInterpreted as: what then?"
+    sources = spark.createDataFrame([(1, "S1", "We emit 5,120 tonnes."), (3, "S1", "x")], "turn_id long, source_id string, text string")
+
+    def model(prompt):
+        if "Question: bad" in prompt:
+            return json.dumps({"citations": [{"source_id": "S1", "quote": "made up", "value_text": "7"}, {"source_id": "S9", "quote": "x"}], "status": "answered", "answer": "It is 9,999 [S1] [S9]."})
+        return A.offline_answer(prompt)
+
+    found = {r.turn_id: r for r in A.answered(turns, sources, str(tmp_path / "a"), model).collect()}
+    assert found[1].status == "answered" and found[1].citations[0].verified and found[1].caveats == []
+    assert found[2].status == "not_found" and found[2].citations == []
+    assert found[3].status == "partial" and len(found[3].citations) == 1 and len(found[3].caveats) == 3
+
+
+def test_gold_set_and_small_reports(spark, tmp_path):
+    rows = [(i, 1, "table" if i < 3 else "text", i, f"line {i} " * 100) for i in range(4)] + [(10 + i, 2, "table" if i < 3 else "text", i, f"row {i} " * (90 + i)) for i in range(20)] + [(90, 3, "text", 1, "short")]
+    df = spark.createDataFrame(rows, "id long, report_id long, kind string, page_start int, text string")
+    found = V.sample_chunks(df, 5).collect()
+    assert {r.id for r in found if r.report_id == 1} == {0, 1, 2, 3} and len([r for r in found if r.report_id == 2]) == 5 and not [r for r in found if r.report_id == 3]
+    named = df.withColumns({"company": F.lit("acme"), "fiscal_year": F.lit(2024)})
+    model = lambda p: json.dumps({"usable": "line 0" in p or "line 1" in p, "question": "q?", "expected_quote": "line 0 line 0"})
+    assert [(r.id, r.question) for r in A.gold_set(named.where("report_id = 1"), str(tmp_path / "g"), model).collect()] == [(0, "q?")]
