@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeline.operators.catalog import text_sink
+from citeline.operators.segments import hadoop
 from citeline.streaming.intake import MAGIC, MAX_BYTES
 
 
 def checked_uploads(spark: SparkSession, path: str, magic: bytes = MAGIC, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, length, sha256, problem) of files: problem is null, ``too large`` or ``wrong type``; Spark lists no empty files."""
+    """(path, length, sha256, problem) of a folder's files: problem is null, ``empty``, ``too large`` or ``wrong type``.
+
+    Spark reads no empty files, so those are listed by the folder's store.
+    """
     files = spark.read.format("binaryFile").load(path)
     wrong = F.substring("content", 1, len(magic)) != F.lit(magic)
     problem = F.when(F.col("length") > max_bytes, "too large").when(wrong, "wrong type")
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"), problem.alias("problem"))
+    checked = files.select("path", "length", F.sha2("content", 256).alias("sha256"), problem.alias("problem"))
+    fs, at = hadoop(spark, path)
+    empty = [(f.getPath().toString(), 0, hashlib.sha256().hexdigest(), "empty") for f in fs.listStatus(at) if f.isFile() and f.getLen() == 0]
+    seen = checked.where("length > 0")
+    return seen.unionByName(spark.createDataFrame(empty, "path string, length long, sha256 string, problem string")) if empty else seen
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -16,7 +16,8 @@ def test_intake_is_once_per_content(spark, tmp_path):
     run()
     assert sorted(got) == [b"%PDF-1", b"%PDF-2", b"%PDF-3"]
     (folder / "g.pdf").write_bytes(b"")
-    assert {r.problem for r in checked_uploads(spark, str(folder)).collect()} == {None, "wrong type"}
+    assert {r.problem for r in checked_uploads(spark, str(folder)).collect()} == {None, "wrong type", "empty"}
+    assert [r.path.rsplit("/", 1)[1] for r in checked_uploads(spark, str(folder)).where("problem = 'empty'").collect()] == ["g.pdf"]
 
 
 def test_tables_and_json(spark, tmp_path):
