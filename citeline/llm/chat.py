@@ -211,7 +211,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] | None
             try:
                 if k == "call":
                     errors += map(whole, problems(value, schemas[n])) if n in schemas else ["no schema"]
-                row = {"conversation": None if pd.isna(c) else int(c), "id": i, "role": r, "turn": None if pd.isna(t) else int(t), "type": k}
+                row = {"conversation": None if pd.isna(c) else c if isinstance(c, str) else int(c), "id": i, "role": r, "turn": None if pd.isna(t) else int(t), "type": k}
                 row |= {"name": n, "arguments": value} if k == "call" else {"content": value}
                 line = whole(canonical(row))
             except RecursionError:

@@ -98,6 +98,13 @@ def test_chat_survives_bad_json(spark):
     assert found[6].call_id == '[1, {"x": null}]' and found[7].level == 2 and found[8].valid and "\ufffd" in found[8].json
 
 
+def test_chat_conversations_named_by_text(spark):
+    rows = [("a-1", 0, "user", "ask"), ("a-1", 1, "assistant", "say"), (None, 0, "user", "x")]
+    found = chat.linked(*chat.exchanges(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string"))).collect()
+    assert sorted((r.conv_id or "", r.state) for r in found) == [("", "repeated"), ("a-1", "linked"), ("a-1", "linked")]
+    assert {json.loads(r.json)["conversation"] for r in found} == {"a-1", None}
+
+
 def test_chat_orders_long_chains_and_joins(spark):
     """A chain of 600 calls, a call that joins two of it, a cycle and what hangs on it."""
     rows = [(1, i, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(600)] + [(1, 700, "j", ["c10", "c500"]), (1, 701, "k", ["j"]), (1, 702, "m", ["k", "c2"])]
