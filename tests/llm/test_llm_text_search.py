@@ -94,7 +94,7 @@ def plain_search(rows, items, keep=10):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block", [lexical.BLOCK_TERMS, 5])
+@pytest.mark.parametrize("block", [lexical.BLOCK_TERMS, 60])
 def test_search_equals_brute_force(spark, block):
     r = random.Random(block)
     vocabulary = [f"wörd{i}" for i in range(30)] + ["THE", "the", "10", "é"]
