@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from citeline.operators import catalog as K
@@ -175,7 +173,7 @@ def streaming_intake(spark, sf_dir):
     """Documents as a stream, each content once, in available-now batches into a shared folder."""
     from citeline.streaming.intake import ingest, once_per_content
 
-    folder = f"{shared_folder(spark)}/intake-{uuid.uuid4().hex}"
+    folder = scratch(spark, "intake")
     schema = table(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
     digests = once_per_content(stream.select(F.sha2("text", 256).alias("sha256")))
