@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from citeline.llm.common import cut, narrowed, numbered, small_batches
+from citeline.llm.common import cut, numbered, small_batches
 
 #: Characters of an n-gram; what stands before and after a text.
 LENGTH = 4
