@@ -180,12 +180,17 @@ _NAMED = "SELECT item_id, CASE WHEN item_id % 4 = 0 THEN text ELSE text || ' SRC
 
 @query(
     f"""WITH qs AS ({_NAMED}), p AS (SELECT item_id, source, contains(lower(question), lower(source)) AS hit FROM qs, (SELECT DISTINCT source FROM documents))
-SELECT item_id, source FROM p WHERE hit UNION ALL SELECT item_id, NULL FROM p GROUP BY item_id HAVING NOT bool_or(hit)"""
+SELECT item_id, source FROM (SELECT *, bool_or(hit) OVER (PARTITION BY item_id) AS found FROM p) WHERE hit OR NOT found"""
 )
 def scope_by_source(spark, sf_dir):
+    """The sources that each question names; every source where it names none."""
     named = F.when(F.col("item_id") % 4 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" SRC"), (F.col("item_id") % 20).cast("string")))
     questions = table(spark, sf_dir, "benchmark").select("item_id", named.alias("question"))
-    return R.scope_by_name(questions, table(spark, sf_dir, "documents"), "item_id", "question", "source")
+    questions, sources = questions.where("question is not null"), table(spark, sf_dir, "documents").select("source").distinct()
+    hits = R.scope_by_name(questions, sources, "item_id", "question", "source").where("source is not null")
+    hits = hits.unionByName(questions.select("item_id").crossJoin(sources.where("source = ''")))  # the empty name is in every question
+    rest = questions.select("item_id").join(hits.select("item_id").distinct(), "item_id", "left_anti")
+    return hits.unionByName(rest.crossJoin(sources))
 
 
 _LIVE = """live AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 5 = 0),

@@ -42,3 +42,16 @@ def test_entry(spark):
 
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("sources", [["src1", "Energy", None], ["src1", ""]])
+def test_a_question_without_a_name_has_every_source(spark, tmp_path, sources):
+    spark.createDataFrame([(0, "about energy"), (1, "names src"), (4, "names nobody"), (8, None), (12, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, s) for i, s in enumerate(sources * 2)], "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["scope_by_source"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert plain(found) == plain(con.sql(registry.ORACLES["scope_by_source"]).df())
+    if "" not in sources:
+        assert {x for i, x in found.values.tolist() if i == 4} == set(sources)
