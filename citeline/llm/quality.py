@@ -32,7 +32,7 @@ from citeline.llm.common import cut, numbered, small_batches
 LENGTH = 4
 START, STOP = "\x02", "\x03"
 #: Documents of a block that is scored at once, characters that are held as numbers at once, n-grams that a task adds up.
-BLOCK, BLOCK_BYTES, CHARACTERS, HELD = 8000, 32 << 20, 1 << 20, 1 << 20
+BLOCK, BLOCK_BYTES, CHARACTERS, HELD = 8000, 32 << 20, 1 << 19, 1 << 18
 #: Bytes of input files for a task that packs blocks.
 TASK_BYTES = 12 << 20
 #: Models by number: of the texts outside the first half, of those outside the second, of all.
@@ -187,7 +187,7 @@ def gathered(df: DataFrame) -> DataFrame:
     return df.coalesce(min(size // TASK_BYTES + 1, 1 << 30))
 
 
-def unpacked(blob: bytes) -> pa.Table:
+def unpacked(blob: bytes | pa.Buffer) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
@@ -202,8 +202,8 @@ def scored(df: DataFrame, model: list[tuple[DataFrame, DataFrame]], text: str =
 
     def texts_of(batches):
         for batch in batches:
-            for tag, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for part in unpacked(blob).select([text]).to_batches():
+            for tag, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for part in unpacked(blob.as_buffer()).select([text]).to_batches():
                     yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array(np.full(part.num_rows, tag))], names=["t", "tag"])
 
     grams = tally(blocks.mapInArrow(texts_of, "t string, tag long"))

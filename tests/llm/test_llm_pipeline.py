@@ -4,12 +4,13 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from citeline.llm import near_copies, packing, pii, quality, registry
+from citeline.llm import common, near_copies, packing, pii, quality, registry
 from citeline.llm.common import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -63,6 +64,15 @@ def test_near_copies_tiles_and_ties(spark):
     assert len(whole) == 49 and len(parts) == 49
 
 
+def test_blocks_come_to_a_worker_few_at_a_time(spark):
+    """What one worker gets at once is bounded in bytes, not in rows alone."""
+    common.small_batches(spark)
+    sizes = lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches)
+    blocks = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), F.lit(2 << 20)).cast("binary").alias("rows"))
+    found = [r.n for r in blocks.mapInArrow(sizes, "n long").collect()]
+    assert max(found) <= 8 << 20 and sum(found) >= 80 << 20
+
+
 def test_run_is_its_stages(spark):
     docs = table(spark, SMALL, "documents").toPandas()
     accepted = {r.doc_id for r in quality.classify(table(spark, SMALL, "documents"), table(spark, SMALL, "labels")).where("accepted").collect()}
