@@ -64,6 +64,28 @@ def test_near_copies_tiles_and_ties(spark):
     assert len(whole) == 49 and len(parts) == 49
 
 
+def test_every_link_at_the_threshold_is_found(spark, monkeypatch):
+    """Pairs just above and just below 0.8, chains, and common lines that lead more texts than one tile or the order allows."""
+    r = random.Random(3)
+    texts = []
+    for k in range(150):
+        words = [f"{k}w{i}" for i in range(r.choice((40, 104, 200)))]
+        n = len(words) - 4
+        for cut in (round(n / 9), round(n / 9) + 1):  # of n shingles that many differ at either end: 0.8 and a little less
+            texts.append(" ".join(words))
+            texts.append(" ".join([*words[cut:], *(f"{k}x{cut}y{i}" for i in range(cut))]))
+            words = texts[-1].split() if r.random() < 0.5 else [f"{k}z{cut}w{i}" for i in range(len(words))]
+    line = " ".join(f"common{i}" for i in range(24))
+    texts += [f"{line} {' '.join(f'{k}c{i}' for i in range(r.choice((1, 3, 5, 6, 30))))}" for k in range(60)]
+    r.shuffle(texts)
+    wanted = kept_by_force(dict(enumerate(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for frequent, tile in ((1000, near_copies.TILE), (5, 8)):
+        monkeypatch.setattr(near_copies, "FREQUENT", frequent, raising=False)
+        monkeypatch.setattr(near_copies, "TILE", tile)
+        assert {x.doc_id for x in near_copies.keep_one(df).collect()} == wanted
+
+
 def test_blocks_come_to_a_worker_few_at_a_time(spark):
     """What one worker gets at once is bounded in bytes, not in rows alone."""
     common.small_batches(spark)
