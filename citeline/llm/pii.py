@@ -43,6 +43,8 @@ PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&=/\\_`~^"
 SPACE = r"[\x20\x09-\x0D]"
 #: Terms up to this number are one literal set in the plan; up to the second they are broadcast; more are joined by shuffle.
 LITERAL_TERMS, BROADCAST_TERMS = 5000, 200_000
+#: Texts with terms whose hashes are broadcast at most; beyond that all texts move to meet their terms.
+BROADCAST_TEXTS = 4_000_000
 #: Items that are folded in one go; longer lists are folded block by block, so that appending stays linear.
 FOLDED = 256
 
@@ -135,13 +137,17 @@ def entities_of(spans: Column) -> Column:
 
 
 def holding(df: DataFrame, text: str, terms: DataFrame, many: int) -> DataFrame:
-    """Distinct (term, h) of the texts that hold each of ``terms``, over all texts."""
+    """Distinct (term, h) of the texts that hold each of ``terms``, over all texts; the terms of a text are shuffled as one row with its digest."""
     words = words_outside(F.col(text))
     if many <= LITERAL_TERMS:
         literal = [r["term"] for r in terms.collect()]
-        return df.select(identity(text).alias("h"), F.explode(F.filter(words, lambda w: w.isin(literal))).alias("term")).distinct()
-    small = F.broadcast(terms) if many <= BROADCAST_TERMS else terms
-    return df.select(identity(text).alias("h"), F.explode(words).alias("term")).join(small, "term", "left_semi").distinct()
+        held = df.select(identity(text).alias("h"), F.filter(words, lambda w: w.isin(literal)).alias("terms")).dropDuplicates(["h"])
+    elif many <= BROADCAST_TERMS:
+        each = df.select(identity(text).alias("h"), F.explode(words).alias("term")).join(F.broadcast(terms), "term", "left_semi")
+        held = each.groupBy("h").agg(F.collect_set("term").alias("terms"))
+    else:
+        return df.select(identity(text).alias("h"), F.explode(words).alias("term")).join(terms, "term", "left_semi").distinct()
+    return held.select("h", F.explode("terms").alias("term"))
 
 
 def disclosing_terms(df: DataFrame, text: str = "text", threshold: float = 0.9, support: int = 3) -> DataFrame:
@@ -215,11 +221,21 @@ def with_spans(df: DataFrame, text: str = "text", **limits) -> DataFrame:
         added = F.when(F.exists(tokens(whole), hit), spread(hit)).otherwise(none)
         return known.withColumn("pii", F.concat("pii", added)).drop(*(f"__{k}" for k in told if k))
     # Too many for a literal: the terms of each distinct text come by joins instead.
-    named = base.withColumn("__h", identity(text))
-    worded = named.select("__h", F.filter(F.array(*(F.when(c, k) for k, c in has.items())), lambda k: k.isNotNull()).alias("k"), F.explode(F.array_distinct(F.filter(tokens(whole), is_term))).alias("term"))
+    hashed = df.withColumn("__h", identity(text))
+    worded = hashed.withColumn("pii", base_spans(F.col(text))).select("__h", F.filter(F.array(*(F.when(c, k) for k, c in has.items())), lambda k: k.isNotNull()).alias("k"), F.explode(F.array_distinct(F.filter(tokens(whole), is_term))).alias("term"))
     small = F.broadcast(pairs) if many <= BROADCAST_TERMS else pairs
     of_text = worded.join(small, "term").where(F.contains("entity", F.lit(":")) | F.array_contains("k", F.col("entity"))).groupBy("__h").agg(F.collect_set("term").alias("__terms"))
-    marked = named.join(of_text, "__h", "left")
+    of_text = cut(of_text)
+    # Only texts that hold a term move to meet it; those without one, which are most, stay where they are.
+    hashes = of_text.select(F.xxhash64("__h").alias("__x")).distinct()
+    moved, stay = hashed, None
+    if of_text.count() <= BROADCAST_TEXTS:
+        same = F.xxhash64("__h") == F.col("__x")
+        moved, stay = hashed.join(F.broadcast(hashes), same, "left_semi"), hashed.join(F.broadcast(hashes), same, "left_anti")
+    marked = moved.join(of_text, "__h", "left")
+    if stay is not None:
+        marked = marked.unionByName(stay.withColumn("__terms", F.lit(None).cast("array<string>")))
+    marked = marked.withColumn("pii", base_spans(F.col(text)))
     return marked.withColumn("pii", F.concat("pii", F.when(F.col("__terms").isNotNull(), spread(lambda w: F.array_contains("__terms", w))).otherwise(none))).drop("__h", "__terms")
 
 

@@ -172,6 +172,21 @@ def test_pii_term_paths_agree(spark, monkeypatch):
     assert sorted(map(tuple, pii.report(df).collect())) == one and any("term" in r[-1] for r in one)
 
 
+def test_pii_texts_without_terms_do_not_move(spark, monkeypatch):
+    """Where terms come by joins, texts that hold none stay; with too many hashes to broadcast the spans are the same."""
+    rows = [(i, f"x{i % 9} ask Zaphod now z.b@ship.example y{i % 9}") for i in range(12)] + [(20 + i, f"other words {i}") for i in range(200)] + [(300, None), (301, ""), (302, "zaphod")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(map(tuple, pii.report(df).collect()))
+    monkeypatch.setattr(pii, "LITERAL_TERMS", 0)
+    found = pii.report(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "LeftAnti" in plan and sorted(map(tuple, found.collect())) == one
+    monkeypatch.setattr(pii, "BROADCAST_TEXTS", -1, raising=False)
+    assert sorted(map(tuple, pii.report(df).collect())) == one
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", -1)
+    assert sorted(map(tuple, pii.report(df).collect())) == one
+
+
 def test_url_rules_and_models(spark):
     r = random.Random(2)
     name = lambda: "".join(r.choice("bcdlmnrst") + r.choice("aeiou") for _ in range(4))
