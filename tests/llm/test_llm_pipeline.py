@@ -86,6 +86,33 @@ def test_every_link_at_the_threshold_is_found(spark, monkeypatch):
         assert {x.doc_id for x in near_copies.keep_one(df).collect()} == wanted
 
 
+def test_long_texts_of_one_subject_do_not_move(spark, monkeypatch):
+    """Long texts that share a passage meet, but their texts are not fetched for it; those near the threshold are, and link."""
+    r = random.Random(5)
+    passage = [f"p{i}" for i in range(300)]
+    texts = [" ".join([*passage, *(f"{k}u{i}" for i in range(r.randrange(1200, 1500)))]) for k in range(40)]
+    for k in range(6):
+        words = texts[k].split()
+        n = (len(words) - 4) // 9
+        texts += [" ".join([*words[n:], *(f"{k}v{i}" for i in range(n))])]
+    fetched, verify = [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda edges, *rest: fetched.append(edges.count()) or verify(edges, *rest))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id for x in near_copies.keep_one(df).collect()} == kept_by_force(dict(enumerate(texts)))
+    assert sum(fetched) <= 12
+
+
+def test_long_sketches_never_exceed_the_differing_hashes():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 5, 32, 33, 400, 3000):
+        x = np.unique(r.integers(0, 2**64, n, np.uint64))
+        for m in (0, 1, n // 2, n, 2 * n):
+            y = np.union1d(x[: r.integers(0, n + 1)], r.integers(0, 2**64, m, np.uint64))
+            far = near_copies.differing(near_copies.parity(x), near_copies.parity(y))
+            assert far <= len(np.setxor1d(x, y)) and far == near_copies.differing(near_copies.parity(y), near_copies.parity(x))
+            assert len(near_copies.parity(x)) * 8 >= 2 * len(x)
+
+
 def test_blocks_come_to_a_worker_few_at_a_time(spark):
     """What one worker gets at once is bounded in bytes, not in rows alone."""
     common.small_batches(spark)
