@@ -60,7 +60,16 @@ class Transducer:
         self.id_of = {b: i for i, b in self.bytes_of.items()}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.rank = {(text(a), text(b)): n for n, (a, b) in enumerate(pairs)}
+        merges = [(self.id_of.get(a), self.id_of.get(b), self.id_of.get(a + b)) for a, b in self.rank]
+        self.joins = {a << 32 | b: n for (a, b, _), n in zip(merges, self.rank.values()) if a is not None and b is not None}  # rank by left id << 32 | right id
+        self.parts = {i: (a, b) for a, b, i in merges}  # of a token that a merge makes
+        self.made = {i: n for (_, _, i), n in zip(merges, self.rank.values())}
+        self.plain_merges = len(self.parts) == len(merges) and all(None not in m for m in merges)
         self.lookahead = max((len(a) + len(b) for a, b in self.rank), default=1)
+        self.spans: dict[bytes, int] = {}  # by three bytes: the longest token that ends in them
+        for b in self.id_of:
+            if len(b) > 2:
+                self.spans[b[-3:]] = max(len(b), self.spans.get(b[-3:], 0))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         self.split = regex.compile(SPLIT)
@@ -96,14 +105,37 @@ class Transducer:
         if known is None:
             if len(self.fits) > REMEMBERED:
                 self.fits.clear()
-            a, b = self.bytes_of[left], self.bytes_of[right]
-            known = self.fits[left << 32 | right] = (a, b) not in self.rank and self.merged(a + b) == [a, b]
+            if self.plain_merges:
+                known = self.apart(left, right)
+            else:
+                a, b = self.bytes_of[left], self.bytes_of[right]
+                known = (a, b) not in self.rank and self.merged(a + b) == [a, b]
+            self.fits[left << 32 | right] = known
         return known
 
+    def apart(self, left: int, right: int) -> bool:
+        """The same for tokens that encode to themselves, where one merge makes each token: merges are undone at the seam, the latest first.
+
+        What stands at the seam then would have merged across it if that merge came before the one undone; of equal ranks the left one comes first.
+        """
+        joins, made, parts = self.joins.get, self.made.get, self.parts
+        a, b, before = made(left, -1), made(right, -1), 1 << 60
+        while joins(left << 32 | right, before) >= before:
+            if a > b:
+                before, left = a, parts[left][1]
+                a = made(left, -1)
+            elif b < 0:
+                return True
+            else:
+                before, right = b + 1, parts[right][0]
+                b = made(right, -1)
+        return False
+
     def extend(self, buffer: bytes, last: list[int]) -> None:
         """Find the last token of each further prefix of ``buffer``; -1 stands before its start."""
-        found, own, fits, longest = self.id_of.get, self.own, self.fits.get, self.lookahead
+        found, own, fits, spans = self.id_of.get, self.own, self.fits.get, self.spans.get
         for end in range(len(last), len(buffer) + 1):
+            longest = spans(buffer[end - 3 : end], 2) if end > 2 else end
             for at in range(end - longest if end > longest else 0, end):
                 i = found(buffer[at:end])
                 if i is not None and (own[i] == 1 or self.proper(i)):
