@@ -33,6 +33,8 @@ LENGTH = 4
 START, STOP = "\x02", "\x03"
 #: Documents of a block that is scored at once, characters that are held as numbers at once, n-grams that a task adds up.
 BLOCK, BLOCK_BYTES, CHARACTERS, HELD = 8000, 32 << 20, 1 << 19, 1 << 18
+#: Texts of a block that are Python strings at once.
+SLICE = 500
 #: Bytes of input files for a task that packs blocks.
 TASK_BYTES = 12 << 20
 #: Models by number: of the texts outside the first half, of those outside the second, of all.
@@ -82,8 +84,22 @@ def portions(texts: list[str | None]):
         yield texts[start:]
 
 
-def tally(texts: DataFrame) -> DataFrame:
-    """(g, tag, c): how often each n-gram occurs in the texts of (text, tag); each task adds up its own before the shuffle."""
+def by_tag(batch: pa.RecordBatch):
+    """(tag, texts) of a batch of (text, tag)."""
+    tags = batch.column(1).to_numpy(zero_copy_only=False)
+    for tag in np.unique(tags).tolist():
+        yield tag, batch.column(0).filter(pa.array(tags == tag)).to_pylist()
+
+
+def slices(column: pa.ChunkedArray):
+    """The texts of a block as lists of at most SLICE, so that a block is not held as Python strings beside its bytes."""
+    for chunk in column.chunks:
+        for i in range(0, len(chunk), SLICE):
+            yield chunk.slice(i, SLICE).to_pylist()
+
+
+def tally(texts: DataFrame, read=by_tag) -> DataFrame:
+    """(g, tag, c): how often each n-gram occurs in the (tag, texts) that ``read`` finds in a batch; each task adds up its own before the shuffle."""
 
     def run(batches):
         held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -94,9 +110,8 @@ def tally(texts: DataFrame) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            tags = batch.column(1).to_numpy(zero_copy_only=False)
-            for tag in np.unique(tags).tolist():
-                for part in portions(batch.column(0).filter(pa.array(tags == tag)).to_pylist()):
+            for tag, found in read(batch):
+                for part in portions(found):
                     views, at, h, _ = windows(part)
                     new, first, seen = np.unique(h, return_index=True, return_counts=True)
                     grams = np.ascontiguousarray(views[at[first]]).view(f"<U{LENGTH}")[:, 0]
@@ -200,13 +215,12 @@ def scored(df: DataFrame, model: list[tuple[DataFrame, DataFrame]], text: str =
     schema = StructType([*kept, StructField("__symbols", LongType()), StructField("__nats", DoubleType())])
     blocks = packed(df.withColumn("__m", (F.lit(ALL) if by is None else by).cast("long"))).repartition("tag")
 
-    def texts_of(batches):
-        for batch in batches:
-            for tag, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for part in unpacked(blob.as_buffer()).select([text]).to_batches():
-                    yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array(np.full(part.num_rows, tag))], names=["t", "tag"])
+    def texts_of(batch):
+        for tag, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            yield from ((tag, some) for some in slices(unpacked(blob.as_buffer()).column(text)))
 
-    grams = tally(blocks.mapInArrow(texts_of, "t string, tag long"))
+    # A block is opened where it is counted: a function of its own would double the Python workers of each executor.
+    grams = tally(blocks, texts_of)
     # The sum keeps both uses of the counts alike, so that they are counted once.
     needed = grams.groupBy((F.col("tag") % 4).alias("m"), "g").agg(F.sum("c").alias("c")).where("c > 0").select("m", "g")
     found = grams.where("c > 0").select("g", "tag", (F.col("tag") % 4).alias("m")).join(probabilities(needed, model), ["m", "g"]).select("tag", "g", "nats")
@@ -220,7 +234,7 @@ def scored(df: DataFrame, model: list[tuple[DataFrame, DataFrame]], text: str =
         known, nats = known[order], table.column("nats").to_numpy()[order]
         rows = pa.concat_tables(unpacked(blob) for blob in packs.column("rows").to_pylist())
         sizes, sums = [], []
-        for part in portions(rows.column(text).to_pylist()):
+        for part in (p for some in slices(rows.column(text)) for p in portions(some)):
             _, _, h, many = windows(part)
             place = np.minimum(np.searchsorted(known, h), len(known) - 1)
             if (known[place] != h).any():
