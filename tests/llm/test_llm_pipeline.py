@@ -102,6 +102,46 @@ def test_long_texts_of_one_subject_do_not_move(spark, monkeypatch):
     assert sum(fetched) <= 12
 
 
+def test_pairs_of_a_crowd_grow_with_its_texts_not_their_square(spark, monkeypatch):
+    """Near copies of one text, with few or many edits, and texts with passages in common: all links, and few pairs looked at for them."""
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for k in range(300):
+        words = list(base)
+        for i in r.sample(range(len(words)), r.randrange(1, 16)):
+            words[i] = f"{k}e{i}"
+        texts.append(" ".join(words))
+    passages = [" ".join(f"{p}p{i}" for i in range(120)) for p in range(6)]
+    texts += [" ".join([*r.sample(passages, 3), *(f"{k}u{i}" for i in range(400))]) for k in range(120)]
+    r.shuffle(texts)
+    looked, allowed = [], near_copies.allowed
+    monkeypatch.setattr(near_copies, "allowed", lambda edges, *rest: looked.append(edges.count()) or allowed(edges, *rest))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id for x in near_copies.keep_one(df).collect()} == kept_by_force(dict(enumerate(texts)))
+    assert sum(looked) <= 8 * len(texts)
+
+
+def test_ranks_of_an_anchor_never_rule_out_similar_sets():
+    """Of two sets of enough similarity the first shared leading hash is early enough in both, whatever is frequent; one that is frequent comes last."""
+    g = np.random.default_rng(6)
+    for n in (1, 4, 9, 10, 50, 300):
+        for _ in range(30):
+            x = np.unique(g.integers(0, 2**64, n, np.uint64))
+            lost = g.integers(0, n // 5 + 1)
+            y = np.union1d(g.permutation(x)[: n - lost], g.integers(0, 2**64, g.integers(0, n // 9 + 1), np.uint64))
+            both = len(np.intersect1d(x, y))
+            part, rest = near_copies.Late.split(x[::3], 7)
+            late = near_copies.Late(7, part << 32 | rest, g.integers(21, 99, len(part)))
+            a, b = (near_copies.leading(v, 0.8, late).view(np.uint64) for v in (x, y))
+            assert not len(np.setdiff1d(x[np.isin(x, x[::3], invert=True)], a)) or not np.isin(a, x[::3]).any()
+            if both < 0.8 * (len(x) + len(y) - both):
+                continue
+            i, j = next((int(np.nonzero(a == h)[0][0]), int(np.nonzero(b == h)[0][0])) for h in a if h in b)
+            sides = [{"id": np.array([k]), "component": np.array([k]), "size": np.array([len(v)]), "rank": np.array([at]), "print": np.frombuffer(near_copies.sketch(v), np.uint64)[None]} for k, v, at in ((0, x, i), (1, y, j))]
+            assert [v.tolist() for v in near_copies.apart(*sides, 0.8)] == [[0], [1]]
+
+
 def test_long_sketches_never_exceed_the_differing_hashes():
     r = np.random.default_rng(4)
     for n in (0, 1, 5, 32, 33, 400, 3000):
