@@ -173,6 +173,25 @@ def test_vector_index_recall(spark, tmp_path, monkeypatch):
         assert len(found) == 300 and hits >= 297
 
 
+@pytest.mark.parametrize("block", [2000, 4])
+def test_vector_search_where_codes_do_not_tell(spark, tmp_path, monkeypatch, block):
+    """Vectors closer to each other than codes resolve, copies beyond the first pass, a zero vector: the first k are those of all vectors."""
+    monkeypatch.setattr(VI, "QUERY_BLOCK", block)
+    r, path = np.random.default_rng(5), str(tmp_path / "v")
+    middle = r.normal(size=16)
+    dense = [middle + r.normal(size=16) * 1e-3 for _ in range(600)]
+    rows = [(900 - i, i % 3, [float(np.float32(x)) for x in v]) for i, v in enumerate([*dense, *[dense[0]] * 200, np.zeros(16)])]
+    VI.vectors_add(spark.createDataFrame(rows, VECTORS), path)
+    asked = [(j, [float(np.float32(x)) for x in v]) for j, v in enumerate([*dense[:5], -middle, np.eye(16)[0], np.zeros(16)])]
+    found = VI.vectors_read(spark, path).search(spark.createDataFrame(asked, "query_id long, vector array<float>"), 10).collect()
+    m = np.array([v for *_, v in rows])
+    for j, q in asked:
+        size = np.linalg.norm(m, axis=1) * np.linalg.norm(q)
+        score = np.where(size > 0, m @ np.array(q) / np.where(size > 0, size, 1), 0.0)
+        wanted = sorted((-round(x, 9), key) for x, (key, *_) in zip(score.tolist(), rows))[:10]
+        assert [(-round(x.score, 9), x.chunk_id) for x in sorted(found, key=lambda x: x["rank"]) if x.query_id == j] == wanted
+
+
 def test_vector_stream(spark, tmp_path):
     folder, path = str(tmp_path / "in"), str(tmp_path / "v")
     spark.createDataFrame([(1, 1, [1.0]), (2, 1, [2.0])], VECTORS).write.parquet(folder)
