@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from citeline.operators import chunking as C
@@ -9,6 +14,8 @@ from citeline.plans.base import LINES, lines, query
 from citeline.plans.text_plans import CAPTION
 from citeline.session import table
 
+#: Words whose buckets a task of the offline embedding keeps.
+KNOWN_WORDS = 500_000
 #: Where a window of a long paragraph ends in DuckDB, from its start ``st``.
 _END = """CASE WHEN st + 2800 >= length(para) THEN length(para)
   WHEN strpos(substr(para, st + 2801), ' ') BETWEEN 1 AND 50 THEN st + 2800 + strpos(substr(para, st + 2801), ' ') - 1 ELSE st + 2800 END"""
@@ -100,11 +107,30 @@ def chunk_documents(spark, sf_dir):
     return C.chunk_documents(items(spark, sf_dir)).select("doc_id", "n", "page_start", "page_end", "kind", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+class Buckets(dict):
+    """The bucket of each word, from its MD5, found once for a word; the empty one has the last, which is no dimension."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+        self[""] = dim
+
+    def __missing__(self, word: str) -> int:
+        found = int.from_bytes(hashlib.md5(word.encode()).digest()[:4]) % self.dim
+        if len(self) < KNOWN_WORDS:
+            self[word] = found
+        return found
+
+
 def hashed_vector(text, dim: int = 32):
-    """The offline embedding: words counted in buckets of their MD5."""
-    words = F.filter(F.split(F.lower(text), " "), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dim)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
+    """The offline embedding: words counted in buckets of their MD5. It is an Arrow function, like any model's hook."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bucket = Buckets(dim).__getitem__
+        for texts in batches:
+            yield pd.Series([None if t is None else np.bincount(list(map(bucket, t.split(" "))), minlength=dim + 1)[:dim].astype(float) for t in texts])
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<double>")(F.lower(text))
 
 
 _VECTOR = """list_transform(range(0, 32), lambda b: CAST(len(list_filter(list_transform(list_filter(string_split(lower(text), ' '), lambda w: w <> ''), lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 32), lambda x: x = b)) AS DOUBLE))"""

@@ -6,6 +6,7 @@ import re
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from citeline.operators import chunking as C
 from citeline.plans import chunk_plans
@@ -24,6 +25,21 @@ def test_chunks_reach_the_last_line(spark, tmp_path):
         assert max(r.page_end for r in query(spark, str(tmp_path)).collect()) == 20
 
 
+def test_a_word_is_hashed_once(spark, monkeypatch):
+    """The offline embedding finds a word's bucket by one digest and counts it for all 32 dimensions; null and empty texts, more words than are kept."""
+    assert "md5" not in chunk_plans.hashed_vector(F.lit("x"))._jc.toString()  # the JVM's form repeated it for each dimension
+    calls, digest = [], hashlib.md5
+    monkeypatch.setattr(chunk_plans.hashlib, "md5", lambda b: calls.append(b) or digest(b))
+    monkeypatch.setattr(chunk_plans, "KNOWN_WORDS", 3)
+    bucket = chunk_plans.Buckets(32)
+    words = ["a", "b", "a", "", "c", "c", "a"]
+    wanted = {w: int(digest(w.encode()).hexdigest()[:8], 16) % 32 for w in words} | {"": 32}
+    assert [bucket[w] for w in words] == [wanted[w] for w in words] and calls == [b"a", b"b", b"c", b"c"] and len(bucket) == 3
+    monkeypatch.undo()
+    found = [r.v for r in spark.createDataFrame([(0, "B  a b"), (1, None), (2, "")], "i int, t string").select("i", chunk_plans.hashed_vector(F.col("t")).alias("v")).orderBy("i").collect()]
+    assert found == [[sum(wanted[w] == i for w in ("b", "a", "b")) for i in range(32)], None, [0.0] * 32]
+
+
 def plain_chunks(items):
     """(n, page_start, page_end, kind, text) of one document's items, by plain loops."""
     out, run = [], []
