@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from citeline.functions.text import index_tokens, question_tokens
 from citeline.operators.text_index import TextIndex
-from citeline.session import cut
+from citeline.session import cut, release
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Rows of a question table that are broadcast; larger ones are joined by shuffle.
@@ -75,6 +75,7 @@ def scores(tf: DataFrame, stats: tuple[int, float | None], listed: DataFrame, hi
     """(query, key, score) from how often each phrase occurs in each document (key, p, doc_len, tf), which is read once and kept."""
     n_docs, avg_len = F.lit(stats[0]), F.lit(stats[1]).cast("double")
     tf = cut(tf)
+    release(tf.sparkSession)
     df = tf.groupBy("p").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
@@ -83,7 +84,8 @@ def scores(tf: DataFrame, stats: tuple[int, float | None], listed: DataFrame, hi
     up = (part * float(1 << 20)).alias("up")
     high = F.floor("up").cast("long")
     scored = tf.join(hint(df), "p").select(key, "p", up).select(key, "p", high.alias("high"), F.floor((F.col("up") - high) * float(1 << 40)).cast("long").alias("low"))
-    sums = scored.join(hint(listed.select(query, "p")), "p").groupBy(query, key).agg(F.sum("high").alias("high"), F.sum("low").alias("low"))
+    # Dealt by key before each part meets the questions that ask for it, which are more rows; they add up where they are.
+    sums = scored.repartition(key).join(hint(listed.select(query, "p")), "p").groupBy(query, key).agg(F.sum("high").alias("high"), F.sum("low").alias("low"))
     return sums.select(query, key, ((F.col("high") + F.col("low") / float(1 << 40)) / float(1 << 20)).alias("score"))
 
 

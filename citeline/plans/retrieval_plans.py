@@ -10,7 +10,7 @@ from citeline.operators import text_index as I
 from citeline.operators import vector_index as VI
 from citeline.plans.base import query
 from citeline.plans.text_plans import FIRSTS, TOKENS
-from citeline.session import scratch, table
+from citeline.session import release, scratch, table
 from citeline.streaming.indexing import index_batch, index_stream
 
 def bm25_sql(docs: str, asked: str) -> str:
@@ -55,6 +55,7 @@ def stored_index(spark, sf_dir, view=None):
             S.hadoop(spark, held[1])[0].delete(S.hadoop(spark, held[1])[1], True)
         path = scratch(spark, "index")
         I.index_append((view(spark, sf_dir) if view else table(spark, sf_dir, "documents")).select("doc_id", "text"), path)
+        release(spark)  # of building it, its files alone stay
         _STORED[name] = (state, path)
     return I.index_read(spark, _STORED[name][1])
 
@@ -76,6 +77,11 @@ def bm25_lists(spark, sf_dir):
     return R.bm25_indexed(stored_index(spark, sf_dir), passages(spark, sf_dir))
 
 
+def bm25_once(spark, sf_dir):
+    """What ``bm25_lists`` gives, without an index: where questions are asked once, only their words move, not all of the documents."""
+    return R.bm25(table(spark, sf_dir, "documents"), passages(spark, sf_dir))
+
+
 def vector_scores(spark, sf_dir, queries=None, k=20):
     """Scores of the first ``k`` vectors of each query at least."""
     queries = vector_queries(spark, sf_dir).drop("label") if queries is None else queries

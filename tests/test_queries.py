@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from citeline.plans import registry
+from citeline.plans import context_plans, registry
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -55,3 +55,12 @@ def test_a_question_without_a_name_has_every_source(spark, tmp_path, sources):
     assert plain(found) == plain(con.sql(registry.ORACLES["scope_by_source"]).df())
     if "" not in sources:
         assert {x for i, x in found.values.tolist() if i == 4} == set(sources)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no driver tables here")
+def test_documents_do_not_move_for_few_found_rows(spark, monkeypatch):
+    """Texts meet the found rows where they lie, and once: the calls and checks of answers read no document again, and no index is built for them."""
+    chunks = context_plans.ranked_chunks(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" in chunks and "BroadcastHashJoin" in chunks and "Exchange hashpartitioning" not in chunks
+    monkeypatch.setattr(context_plans.P, "stored_index", None)
+    assert "documents.parquet" not in registry.QUERIES["answered_turns"](spark, SMALL)._jdf.queryExecution().toString()
