@@ -92,3 +92,12 @@ def test_stages(spark, tmp_path, at):
         assert out.columns == docs.columns
         assert {"quality": 3, "simhash_near_dedup": 5, "pii": len(TEXTS)}[name] == n
     assert stage(spark, documents(spark, TEXTS[:0]), str(tmp_path)).count() == 0
+
+
+def test_url_threshold_is_the_exact_place(spark):
+    """The threshold is the score at its place of all labelled ones, ties, nulls and none too; an approximate percentile is some places off."""
+    scores = spark.range(0, 300_000).select(F.when(F.col("id") > 0, F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / 2.0**40).alias("score"))
+    values = sorted(r.score for r in scores.collect() if r.score is not None)
+    assert url_filter.cutoff_of(scores, 0.001) == values[299_999 - 299 - 1]
+    assert scores.agg(F.expr("percentile_approx(score, 0.9, 10000)").alias("x")).first().x != url_filter.cutoff_of(scores, 0.1) == values[299_999 - 29_999 - 1]
+    assert url_filter.cutoff_of(spark.range(5).select(F.lit(1.5).alias("score")), 0.5) == 1.5 and url_filter.cutoff_of(scores.where("false"), 0.001) is None
